@@ -46,7 +46,7 @@ def _ewm_sql(src: str, key: str | None, order: str, cols: list[str], mode: str,
             + f",\nv AS (SELECT s.*, {', '.join(body_cols)} FROM s {' '.join(joins)})")
     for c in cols:
         if mode == "fill":
-            sel.append(f"round(coalesce({c}, v_{c}), 6) AS {c}")
+            sel.append(f"coalesce({c}, round(v_{c}, 6)) AS {c}")
         else:
             sel.append(f"round(v_{c}, 6) AS {c}_ewm")
     return ctes, f"SELECT {', '.join(ids)}, {', '.join(sel)} FROM v"
@@ -56,7 +56,7 @@ def _panel_ewm_sql(mode: str) -> str:
     ctes, body = _ewm_sql("panel", None, "date_id", EWM_COLS, "propagate" if mode == "propagate" else "carry",
                           ["date_id"])
     if mode == "fill":
-        body = "SELECT date_id, " + ", ".join(f"round(coalesce({c}, v_{c}), 6) AS {c}" for c in EWM_COLS) + " FROM v"
+        body = "SELECT date_id, " + ", ".join(f"coalesce({c}, round(v_{c}, 6)) AS {c}" for c in EWM_COLS) + " FROM v"
     return with_panel(body, ctes)
 
 
@@ -92,7 +92,10 @@ def q_shift(spark, sf_dir):
 def _panel_ewm(spark, sf_dir, mode):
     p = panel(spark, sf_dir).select("date_id", *EWM_COLS)
     if mode == "fill":
-        out = series.ewm(p, EWM_COLS, "date_id", com=EWM_COM, null_mode="carry", fill=True)
+        # WIN3 = coalesce(x, ewm); the ewm part is rounded for the oracle
+        # compare, observed values pass through untouched
+        out = series.ewm(p, EWM_COLS, "date_id", com=EWM_COM, null_mode="carry")
+        return out.select("date_id", *[F.coalesce(F.col(c), F.round(f"{c}_ewm", 6)).alias(c) for c in EWM_COLS])
     else:
         out = series.ewm(p, EWM_COLS, "date_id", com=EWM_COM, null_mode=mode)
         out = out.select("date_id", *[f"{c}_ewm" for c in EWM_COLS])
@@ -123,7 +126,7 @@ _EV_NULLED = "(SELECT event_id, user_id, ts, CASE WHEN event_type = 'error' THEN
 
 def _events_ewm_sql():
     ctes, _ = _ewm_sql(_EV_NULLED, "user_id", "ts", ["value"], "carry", ["event_id", "user_id"])
-    return f"WITH {ctes}\nSELECT event_id, round(value, 6) AS value, round(v_value, 6) AS value_ewm FROM v"
+    return f"WITH {ctes}\nSELECT event_id, value, round(v_value, 6) AS value_ewm FROM v"
 
 
 @query("win2_ewm_keyed", _events_ewm_sql())
@@ -133,7 +136,7 @@ def q_ewm_keyed(spark, sf_dir):
     v = ev.select("event_id", "user_id", "ts",
                   F.when(F.col("event_type") != "error", F.col("value")).alias("value"))
     out = series.ewm(v, ["value"], "ts", "user_id", com=EWM_COM, null_mode="carry")
-    return round_doubles(out.select("event_id", "value", "value_ewm"))
+    return out.select("event_id", "value", F.round("value_ewm", 6).alias("value_ewm"))
 
 
 # --------------------------------------------------------------------- splits

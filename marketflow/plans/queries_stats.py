@@ -94,11 +94,11 @@ def _group_sql() -> list[tuple[str, str]]:
         if not cols:
             continue
         lst = "[" + ", ".join(f"CAST({c} AS DOUBLE)" for c in cols) + "]"
-        nn = f"list_filter({lst}, x -> x IS NOT NULL)"
+        nn = f"list_filter({lst}, lambda x: x IS NOT NULL)"
         n = f"len({nn})"
-        s = f"list_reduce(list_prepend(0.0, {nn}), (a, x) -> a + x)"
+        s = f"list_reduce(list_prepend(0.0, {nn}), lambda a, x: a + x)"
         mu = f"({s}) / {n}"
-        ss = f"list_reduce(list_prepend(0.0, list_transform({nn}, x -> (x - {mu}) * (x - {mu}))), (a, x) -> a + x)"
+        ss = f"list_reduce(list_prepend(0.0, list_transform({nn}, lambda x: (x - {mu}) * (x - {mu}))), lambda a, x: a + x)"
         out += [(f"{g}_mean", f"CASE WHEN {n} > 0 THEN {mu} END"),
                 (f"{g}_std", f"CASE WHEN {n} >= 2 THEN sqrt(({ss}) / ({n} - 1)) END"),
                 (f"{g}_min", f"list_min({lst})"), (f"{g}_max", f"list_max({lst})"),
@@ -113,14 +113,9 @@ def _features_sql(fill: bool) -> str:
     step2 = "SELECT *, " + ", ".join(f"{e} AS {a}" for a, e in inter) + " FROM feat1"
     cols = P + [a for a, _ in feats] + [a for a, _ in inter]
     ints = {"date_id", "D1", "D2"}
-    sel = []
-    for c in cols:
-        if fill and c not in ints:
-            sel.append(f"round(coalesce({c}, median({c}) OVER ()), 6) AS {c}")
-        elif c in ints:
-            sel.append(c)
-        else:
-            sel.append(f"round({c}, 6) AS {c}")
+    # same arithmetic in the same order as the Spark expressions: values are
+    # bit-identical, so nothing is rounded
+    sel = [f"coalesce({c}, median({c}) OVER ()) AS {c}" if fill and c not in ints else c for c in cols]
     return with_panel("SELECT " + ", ".join(sel) + " FROM feat2",
                       f"feat1 AS ({base}),\nfeat2 AS ({step2})")
 
@@ -133,21 +128,21 @@ def group_features(spark, sf_dir):
 def q_rowwise(spark, sf_dir):
     """ROW1-ROW5 per prefix group (mean, sample std, min, max, range; nulls
     skipped) + ROW6 15 pairwise products of group means."""
-    return round_doubles(group_features(spark, sf_dir))
+    return group_features(spark, sf_dir)
 
 
 @query("row1_row6_imp2_create_features", _features_sql(fill=True))
 def q_create_features(spark, sf_dir):
     """Flagship batch feature build: ROW1-ROW6 on unfilled data, then IMP2
     median fill of every numeric column that has nulls (own-table medians)."""
-    return round_doubles(median_fill(group_features(spark, sf_dir)))
+    return median_fill(group_features(spark, sf_dir))
 
 
 @query("imp2_median_fill", with_panel("SELECT " + ", ".join(
-    c if c in ("date_id", "D1", "D2") else f"round(coalesce({c}, median({c}) OVER ()), 6) AS {c}" for c in P)
+    c if c in ("date_id", "D1", "D2") else f"coalesce({c}, median({c}) OVER ()) AS {c}" for c in P)
     + " FROM panel"))
 def q_median_fill(spark, sf_dir):
-    return round_doubles(median_fill(panel(spark, sf_dir)))
+    return median_fill(panel(spark, sf_dir))
 
 
 @query("imp1_fill_from_expression", with_panel(

@@ -31,7 +31,7 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
-def _norm(v):
+def _norm(v, places=6):
     if v is None:
         return None
     if isinstance(v, bool):
@@ -39,22 +39,22 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        r = round(v, 6)
+        r = round(v, places) if places is not None else v
         return 0.0 if r == 0 else r
     if isinstance(v, int):
         return float(v)
     if isinstance(v, (list, tuple)):
-        return tuple(_norm(x) for x in v)
+        return tuple(_norm(x, places) for x in v)
     if hasattr(v, "asDict"):
-        return tuple(_norm(x) for x in v)
+        return tuple(_norm(x, places) for x in v)
     if isinstance(v, dict):
-        return tuple(sorted((k, _norm(x)) for k, x in v.items()))
+        return tuple(sorted((k, _norm(x, places)) for k, x in v.items()))
     return str(v)
 
 
-def table_hash(cols: list[str], rows: list[tuple]) -> str:
+def table_hash(cols: list[str], rows: list[tuple], places=6) -> str:
     order = sorted(range(len(cols)), key=lambda i: cols[i])
-    lines = sorted(repr(tuple(_norm(r[i]) for i in order)) for r in rows)
+    lines = sorted(repr(tuple(_norm(r[i], places) for i in order)) for r in rows)
     return hashlib.sha256("\n".join(lines).encode()).hexdigest()[:16]
 
 
@@ -90,6 +90,7 @@ def compare(spark, sf_dir: str, names=None, verbose=True) -> dict:
             res["oracle_rows"] = len(drows)
             res["cols_match"] = sorted(scols) == sorted(dcols)
             res["hash_match"] = table_hash(scols, srows) == table_hash(dcols, drows)
+            res["strict_match"] = table_hash(scols, srows, None) == table_hash(dcols, drows, None)
             res["ok"] = res["cols_match"] and res["hash_match"] and len(srows) == len(drows)
             if not res["cols_match"]:
                 res["spark_cols"], res["oracle_cols"] = scols, dcols
