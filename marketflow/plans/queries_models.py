@@ -1 +1,269 @@
-"""placeholder"""
+"""Registered queries: scaling, moments, elastic net, stand-in ensemble
+evaluation, boosted trees (AGG10-AGG15, MOD1-MOD12, SRC7, FN9)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from marketflow.operators import evaluate, linear, schema, series, trees
+from marketflow.operators.scale import apply_scaler, fit_scaler, scaler_frame
+from marketflow.plans import linear_signal as ls
+from marketflow.plans.materialize import materialize
+from marketflow.plans.oracle import with_panel
+from marketflow.plans.queries_basic import TEST_TAIL_ROWS, load_test, load_train
+from marketflow.plans.queries_stats import round_doubles
+from marketflow.plans.registry import panel, query
+
+V = ls.MODEL_VARS
+N_SPLITS = 5
+
+# ----------------------------------------------------------- z-score (MOD1)
+# Input: the model columns of the panel with nulls dropped; the scaler is fit on
+# the train part (all but the last 10 rows) and applied to every row.
+
+_MODEL_SQL = ("m AS (SELECT date_id, market_forward_excess_returns AS target, S2, E2, E3, P9, S1, S5, I2, P8, "
+              "P10, P12, P13, I2 - I1 AS U1, M11 / nullif((I2 + I9 + I7) / 3, 0) AS U2 FROM panel),\n"
+              "mm AS (SELECT * FROM m WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in ["target", *V]) + "),\n"
+              "tr AS (SELECT * FROM mm WHERE date_id IN (SELECT date_id FROM panel "
+              "QUALIFY row_number() OVER (ORDER BY date_id DESC) > 10)),\n"
+              "st AS (SELECT " + ", ".join(f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) = 0 THEN 1.0 "
+                                           f"ELSE stddev_pop({c}) END AS s_{c}" for c in V) + " FROM tr)")
+
+
+def _model_rows(spark, sf_dir):
+    p = schema.rename(panel(spark, sf_dir), {"market_forward_excess_returns": "target"})
+    from marketflow.plans.queries_basic import model_table
+    return schema.drop_nulls(model_table(p))
+
+
+def _train_part(spark, sf_dir, df):
+    ids = load_train(spark, sf_dir).select("date_id")
+    return df.join(ids, "date_id", "left_semi")
+
+
+@query("agg14_scaler_fit", with_panel(" UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", round(m_{c}, 6) AS mean, round(s_{c}, 6) AS scale FROM st" for c in V), _MODEL_SQL))
+def q_scaler_fit(spark, sf_dir):
+    """AGG14: mean and population std per model input, fit on the train part."""
+    m = _model_rows(spark, sf_dir)
+    return round_doubles(scaler_frame(spark, fit_scaler(_train_part(spark, sf_dir, m), V)))
+
+
+@query("mod1_zscore_apply", with_panel(
+    "SELECT date_id, target, " + ", ".join(f"round((mm.{c} - m_{c}) / s_{c}, 6) AS {c}" for c in V)
+    + " FROM mm, st", _MODEL_SQL))
+def q_zscore(spark, sf_dir):
+    """MOD1: z-score every row with the train-fitted scaler (constant column -> /1)."""
+    m = _model_rows(spark, sf_dir)
+    sc = fit_scaler(_train_part(spark, sf_dir, m), V)
+    return round_doubles(apply_scaler(m, sc))
+
+
+# ----------------------------------------------------- fold moments (AGG15)
+
+_PAIRS = [(i, j) for i in range(len(V)) for j in range(i, len(V))]
+
+
+def _moments_sql() -> str:
+    z = ("z AS (SELECT target, " + ", ".join(f"(tr.{c} - m_{c}) / s_{c} AS {c}" for c in V) +
+         ", CAST(CASE WHEN pos < (n % 10) * (n // 10 + 1) THEN pos // (n // 10 + 1) "
+         "ELSE (n % 10) + (pos - (n % 10) * (n // 10 + 1)) // (n // 10) END AS INTEGER) AS fold "
+         "FROM (SELECT *, row_number() OVER (ORDER BY date_id) - 1 AS pos, count(*) OVER () AS n FROM tr) tr, st)")
+    parts = ["SELECT fold, 'n' AS stat, -1 AS i, -1 AS j, CAST(count(*) AS DOUBLE) AS value FROM z GROUP BY fold",
+             "SELECT fold, 'sy', -1, -1, round(sum(target), 6) FROM z GROUP BY fold",
+             "SELECT fold, 'syy', -1, -1, round(sum(target * target), 6) FROM z GROUP BY fold"]
+    for i, c in enumerate(V):
+        parts.append(f"SELECT fold, 'sx', {i}, -1, round(sum({c}), 6) FROM z GROUP BY fold")
+        parts.append(f"SELECT fold, 'sxy', {i}, -1, round(sum({c} * target), 6) FROM z GROUP BY fold")
+    for i, j in _PAIRS:
+        parts.append(f"SELECT fold, 'sxx', {i}, {j}, round(sum({V[i]} * {V[j]}), 6) FROM z GROUP BY fold")
+    return with_panel("\nUNION ALL ".join(parts), _MODEL_SQL + ",\n" + z)
+
+
+def scaled_train_with_folds(spark, sf_dir):
+    m = _model_rows(spark, sf_dir)
+    tr = _train_part(spark, sf_dir, m)
+    z = apply_scaler(tr, fit_scaler(tr, V))
+    z = series.add_position(z, "date_id")
+    return series.add_folds(z, "contiguous", ls.CV_FOLDS)
+
+
+@query("agg15_fold_moments", _moments_sql())
+def q_moments(spark, sf_dir):
+    """AGG15: per contiguous fold, n, sums, cross moments of the z-scored inputs
+    and target -- one aggregation pass; shown as a long (fold, stat, i, j) table."""
+    mom = linear.moments(scaled_train_with_folds(spark, sf_dir), V, "target", ["fold"])
+    pi = F.array(*[F.lit(i) for i, _ in _PAIRS])
+    pj = F.array(*[F.lit(j) for _, j in _PAIRS])
+    n1 = F.lit(-1)
+    scal = [mom.select("fold", F.lit("n").alias("stat"), n1.alias("i"), n1.alias("j"),
+                       F.col("n").cast("double").alias("value")),
+            mom.select("fold", F.lit("sy"), n1, n1, F.round("sy", 6)),
+            mom.select("fold", F.lit("syy"), n1, n1, F.round("syy", 6))]
+    vec = [mom.select("fold", F.lit(s).alias("stat"), F.posexplode(s).alias("i", "v"))
+           .select("fold", "stat", "i", n1.alias("j"), F.round("v", 6).alias("value")) for s in ("sx", "sxy")]
+    mat = mom.select("fold", F.posexplode("sxx").alias("k", "v")).select(
+        "fold", F.lit("sxx").alias("stat"), F.element_at(pi, F.col("k") + 1).alias("i"),
+        F.element_at(pj, F.col("k") + 1).alias("j"), F.round("v", 6).alias("value"))
+    out = scal[0]
+    for d in scal[1:] + vec + [mat]:
+        out = out.union(d)
+    return out
+
+
+# -------------------------------------------------- elastic net (MOD2-MOD4)
+
+def _linear_fit(spark, sf_dir):
+    tr, te = load_train(spark, sf_dir), load_test(spark, sf_dir)
+    common = schema.common_columns(tr, te)
+    both = schema.concat_strict(tr.select(*common), te.select(*common))
+    data = materialize(ls.create_example_dataset(both))  # model input: written once, read by every fit pass
+    return ls.fit(tr, data)
+
+
+@query("mod2_mod3_elastic_net_fit")
+def q_enet(spark, sf_dir):
+    """MOD2 ElasticNetCV (100 log-spaced alphas, l1_ratio 0.5, 10 contiguous
+    folds, moments + coordinate descent) and MOD3 final fit: coefficient table."""
+    fitted, _ = _linear_fit(spark, sf_dir)
+    m = fitted.model
+    rows = [(f, float(w)) for f, w in zip(m.features, m.coef)] + [("(intercept)", float(m.intercept)),
+                                                                  ("(alpha)", float(m.alpha))]
+    return spark.createDataFrame(rows, "feature string, value double")
+
+
+@query("mod2_fn9_cv_path")
+def q_path(spark, sf_dir):
+    """MOD2 + FN9: mean validation MSE over the 10 folds for every alpha of the
+    log-spaced grid (one row per alpha)."""
+    _, xt = _linear_fit(spark, sf_dir)
+    d = xt.withColumn("_series", F.lit(0))
+    mom = linear.moments(d, V, "target", ["_series", "fold"]).withColumn("fold", F.col("fold").cast("int"))
+    path = linear.cv_path(linear.train_minus_fold(mom, ["_series"]), ["_series"], len(V),
+                          linear.ElasticNetParameters())
+    return path.groupBy("alpha_idx", "alpha").agg(F.avg("mse").alias("mean_mse"), F.count("fold").alias("n_folds"))
+
+
+@query("mod4_mod5_mod12_batch_predictions")
+def q_predict(spark, sf_dir):
+    """MOD12: per-batch inference on the test rows (features rebuilt inside each
+    batch, as the reference does), MOD4 linear score, MOD5 signal, FLT8 first row."""
+    fitted, _ = _linear_fit(spark, sf_dir)
+    return ls.predict_batches(load_test(spark, sf_dir), fitted)
+
+
+# ------------------------------------ stand-in ensemble (MOD9-MOD11, AGG10-13)
+# Three deterministic predictors keep the evaluation SQL-checkable:
+# lgb := lagged return, xgb := mean target of the fold's training rows, cat := 0.
+
+def _standin(spark, sf_dir):
+    tr = load_train(spark, sf_dir).select("date_id", "forward_returns", "lagged_forward_returns")
+    tr = series.add_folds(series.add_position(tr, "date_id"), "expanding", N_SPLITS)
+    # training mean for fold model j: rows with fold < j (cumulative over a
+    # (k+1)-row table, broadcast back by fold)
+    per = tr.groupBy("fold").agg(F.sum("forward_returns").alias("s"), F.count("forward_returns").alias("c"))
+    from pyspark.sql import Window
+    w = Window.orderBy("fold").rowsBetween(Window.unboundedPreceding, -1)
+    cum = per.select(F.col("fold").alias("model_fold"), (F.sum("s").over(w) / F.sum("c").over(w)).alias("train_mean"))
+    cum = F.broadcast(cum)  # k+1 rows
+    val = tr.where(F.col("fold") >= 1).join(cum, tr["fold"] == cum["model_fold"]).drop("model_fold")
+    te = load_test(spark, sf_dir).select("date_id", F.col("target").alias("lagged_forward_returns"))
+    # each test row is scored by each of the k fold models: k copies, equi join
+    te = te.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(N_SPLITS))))
+    test = te.join(cum.withColumnRenamed("model_fold", "fold"), on="fold", how="inner")
+    return val, test
+
+
+def _long_scores(df, id_cols):
+    return df.select(*id_cols, F.explode(F.array(
+        F.struct(F.lit("lgb").alias("model"), F.col("lagged_forward_returns").alias("pred")),
+        F.struct(F.lit("xgb").alias("model"), F.col("train_mean").alias("pred")),
+        F.struct(F.lit("cat").alias("model"), F.lit(0.0).alias("pred")))).alias("s")) \
+        .select(*id_cols, "s.model", "s.pred")
+
+
+def standin_fold_metrics(spark, sf_dir):
+    val, _ = _standin(spark, sf_dir)
+    b = evaluate.blend(_long_scores(val, ["date_id", "fold"]), evaluate.weights_frame(spark), ["date_id", "fold"])
+    y = val.select("date_id", "forward_returns")
+    return evaluate.fold_metrics(b.join(y, "date_id"), "forward_returns", "blend")
+
+
+_STANDIN_SQL = """
+tr0 AS (SELECT date_id, forward_returns, lagged_forward_returns FROM panel
+        QUALIFY row_number() OVER (ORDER BY date_id DESC) > 10),
+tr AS (SELECT *, CASE WHEN pos < n - 5 * (n // 6) THEN 0 ELSE (pos - (n - 5 * (n // 6))) // (n // 6) + 1 END AS fold
+       FROM (SELECT *, row_number() OVER (ORDER BY date_id) - 1 AS pos, count(*) OVER () AS n FROM tr0)),
+cum AS (SELECT j.fold AS model_fold, (SELECT sum(forward_returns) / count(forward_returns) FROM tr t WHERE t.fold < j.fold) AS train_mean
+        FROM (SELECT DISTINCT fold FROM tr) j),
+val AS (SELECT tr.*, cum.train_mean FROM tr JOIN cum ON tr.fold = cum.model_fold WHERE tr.fold >= 1),
+vb AS (SELECT fold, forward_returns AS y, 0.4 * lagged_forward_returns + 0.3 * train_mean + 0.3 * 0.0 AS b FROM val),
+fm AS (SELECT CAST(fold AS INTEGER) AS fold, sqrt(sum((y - b) * (y - b)) / count(*)) AS rmse,
+              CASE WHEN var_pop(y) * count(*) > 0 THEN 1 - sum((y - b) * (y - b)) / (var_pop(y) * count(*))
+                   WHEN sum((y - b) * (y - b)) = 0 THEN 1.0 ELSE 0.0 END AS r2
+       FROM vb GROUP BY fold)"""
+
+
+@query("agg11_agg12_agg13_mod9_mod11_fold_metrics",
+       with_panel("SELECT fold, round(rmse, 6) AS rmse, round(r2, 6) AS r2 FROM fm", _STANDIN_SQL))
+def q_fold_metrics(spark, sf_dir):
+    """MOD9 out-of-fold scores on the WIN4 split, MOD11 .4/.3/.3 blend,
+    AGG11 RMSE, AGG12 R^2, AGG13 per-fold table."""
+    return round_doubles(standin_fold_metrics(spark, sf_dir))
+
+
+@query("agg10_mean_fold_metrics", with_panel(
+    "SELECT round(avg(rmse), 6) AS mean_rmse, round(avg(r2), 6) AS mean_r2, count(*) AS n_folds FROM fm",
+    _STANDIN_SQL))
+def q_mean_metrics(spark, sf_dir):
+    """AGG10: unweighted mean of the five fold metrics."""
+    return round_doubles(evaluate.mean_metrics(standin_fold_metrics(spark, sf_dir)))
+
+
+@query("mod10_mod11_test_prediction", with_panel("""
+SELECT t.date_id, round(avg(0.4 * t.lagged_forward_returns + 0.3 * cum.train_mean + 0.3 * 0.0), 6) AS prediction
+FROM (SELECT date_id, lagged_forward_returns FROM panel QUALIFY row_number() OVER (ORDER BY date_id DESC) <= 10) t,
+     cum WHERE cum.model_fold >= 1 GROUP BY t.date_id""", _STANDIN_SQL))
+def q_test_pred(spark, sf_dir):
+    """MOD11 blend per fold model on the test rows, MOD10 mean over the 5 fold models."""
+    _, test = _standin(spark, sf_dir)
+    b = evaluate.blend(_long_scores(test, ["date_id", "fold"]), evaluate.weights_frame(spark), ["date_id", "fold"])
+    return round_doubles(evaluate.fold_average(b, ["date_id"]))
+
+
+# ------------------------------------------------------ boosted trees (MOD6-9)
+
+# Round budget of the registered tree query (library default: 1000 / patience 50).
+GBT_QUERY_ROUNDS = 20
+GBT_QUERY_PATIENCE = 10
+
+
+def _gbt_run(spark, sf_dir):
+    from marketflow.functions.rowwise import add_group_features, feature_groups
+    from marketflow.operators.impute import median_fill
+    p = panel(spark, sf_dir)
+    feats = median_fill(add_group_features(p, feature_groups(p.columns)))
+    n = feats.count()
+    pos = series.add_position(feats, "date_id")
+    tr = pos.where(F.col("pos") < n - TEST_TAIL_ROWS)
+    te = pos.where(F.col("pos") >= n - TEST_TAIL_ROWS)
+    tr = series.add_folds(tr, "expanding", N_SPLITS)
+    excl = {"date_id", "forward_returns", "risk_free_rate", "market_forward_excess_returns", "pos", "fold"}
+    fcols = [c for c in feats.columns if c not in excl]
+    return trees.fit_ensemble(tr, te.drop("pos"), fcols, "forward_returns", "date_id", "fold", N_SPLITS,
+                              max_rounds=GBT_QUERY_ROUNDS, patience=GBT_QUERY_PATIENCE)
+
+
+@query("mod6_mod7_mod8_mod9_gbt_scores")
+def q_gbt(spark, sf_dir):
+    """MOD6-MOD8 three GBT configurations per WIN4 fold, MOD9 out-of-fold and
+    test scores (long: date_id, model, fold, split, pred)."""
+    scores, _ = _gbt_run(spark, sf_dir)
+    return scores
+
+
+@query("src7_win7_metric_history")
+def q_hist(spark, sf_dir):
+    """SRC7 metric history (model, fold, iteration, split, rmse) of the GBT fits."""
+    _, hist = _gbt_run(spark, sf_dir)
+    return hist
