@@ -1 +1,96 @@
-"""placeholder"""
+"""Registered queries: batch scoring, stream replay and checks (ST1-ST5,
+UDF1-UDF4, JOIN2, SET4)."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from marketflow.operators import joins
+from marketflow.plans.registry import query, table
+from marketflow.streaming import score as st
+
+# The events table replays as one batch per event type; the user's predictor
+# is the batch's first value in time order (so SQL can check it).
+
+_BATCH_SQL = """
+SELECT event_type AS batch_id, CAST(row_number() OVER (ORDER BY min(event_id), event_type) - 1 AS INTEGER) AS batch_index,
+       count(*) AS n_rows, arg_min(value, ts) AS prediction
+FROM events GROUP BY event_type"""
+
+
+def _first_value(pdf: pd.DataFrame) -> float:
+    """A user predict: scalar per batch (the first value in time order)."""
+    return float(pdf["value"].iloc[0])
+
+
+def _batch_scores(df):
+    preds = st.predict_batches(df, "event_type", _first_value, "batch_id string, prediction double",
+                               order_by="ts")
+    counts = df.groupBy(F.col("event_type").alias("batch_id")).agg(F.count(F.lit(1)).alias("n_rows"))
+    return preds, counts
+
+
+@query("udf1_udf2_st5_predict_batches", _BATCH_SQL)
+def q_batches(spark, sf_dir):
+    """UDF1 pandas predict per batch (scalar -> named column, PRJ18/SET4),
+    UDF2 batches from a DataFrame, ST5 batch counter by first appearance."""
+    ev = table(spark, sf_dir, "events")
+    preds, counts = _batch_scores(ev)
+    idx = st.batch_index(ev.withColumnRenamed("event_type", "batch_id"), "batch_id", "event_id")
+    return idx.join(counts, "batch_id").join(preds, "batch_id").select("batch_id", "batch_index", "n_rows", "prediction")
+
+
+EVENT_SCHEMA = T.StructType([
+    T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
+    T.StructField("user_id", T.LongType()), T.StructField("value", T.DoubleType()),
+    T.StructField("props", T.StringType()), T.StructField("event_type", T.StringType()),
+])
+
+
+def _replayed(spark, sf_dir):
+    ev = table(spark, sf_dir, "events")
+    path = st.write_batches(ev, "event_type")  # UDF3: the path is a plain argument
+
+    def score_fn(bdf):
+        preds, counts = _batch_scores(bdf)
+        return counts.join(preds, "batch_id")
+
+    return st.replay(spark, path, EVENT_SCHEMA, "event_type", score_fn)
+
+
+@query("st1_st2_stream_replay", """
+SELECT event_type AS batch_id, count(*) AS n_rows, arg_min(value, ts) AS prediction FROM events GROUP BY event_type""")
+def q_replay(spark, sf_dir):
+    """ST1 replay one file per batch through a file stream (availableNow), ST2
+    score each micro-batch in foreachBatch and append to a Parquet sink."""
+    out = _replayed(spark, sf_dir)
+    return out.select("batch_id", "n_rows", "prediction")
+
+
+@query("st3_st4_join2_row_checks", """
+SELECT event_type AS batch_id, count(*) AS n_expected, count(*) AS n_received, 0::BIGINT AS n_missing,
+       0::BIGINT AS n_extra, 0::BIGINT AS n_dup, 'ok' AS status, NULL::INTEGER AS error_type,
+       count(*) FILTER (WHERE NOT coalesce(value >= 0, false)) AS n_fail_non_negative,
+       count(*) FILTER (WHERE NOT coalesce(prediction >= 0 AND prediction <= 2, false)) AS n_fail_signal_range
+FROM (SELECT *, CASE WHEN value IS NOT NULL THEN least(greatest(value / 100.0, 0.0), 2.0) END AS prediction FROM events)
+GROUP BY event_type""")
+def q_checks(spark, sf_dir):
+    """Row-level predictions per batch: JOIN2 ids zipped by key, ST3 alignment
+    (expected vs received ids per batch), ST4 custom per-row checks."""
+    ev = table(spark, sf_dir, "events")
+    from marketflow.functions.scalar import clip
+
+    def predict(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"event_id": pdf["event_id"].values, "prediction": (pdf["value"] / 100.0).clip(0, 2)})
+
+    preds = st.predict_batches(ev, "event_type", predict, "batch_id string, event_id long, prediction double")
+    expected = ev.select(F.col("event_type").alias("batch_id"), "event_id")
+    align = joins.alignment(expected, preds.select("batch_id", "event_id"), "batch_id", "event_id")
+    rows = joins.zip_by_key(ev.select("event_id", "value"), preds, "event_id")
+    checks = st.custom_checks(rows, "batch_id", {
+        "non_negative": F.col("value") >= 0,
+        "signal_range": clip(F.col("prediction"), 0, 2) == F.col("prediction"),
+    })
+    return align.join(checks, "batch_id")
