@@ -116,16 +116,17 @@ def error_name(code: Column) -> Column:
     return m[code]
 
 
-def run_report(checks: DataFrame) -> DataFrame:
+def run_report(checks: DataFrame, batch_col: str | None = None) -> DataFrame:
     """SRC6: one-row run report from a per-batch check table.
 
     ``checks`` has ``status`` ('ok' or an error text) and ``error_type`` (int,
     NULL when ok) per batch. The report carries the first failing batch, by
-    ``batch_id``. One global aggregate: partial per partition, one row out.
+    ``batch_col`` (default: the first column). One global aggregate: partial per partition, one row out.
     """
+    batch_col = batch_col or checks.columns[0]
     bad = F.col("status") != F.lit("ok")
     first = F.min_by(F.struct("error_type", "status"),
-                     F.when(bad, F.col("batch_id")))
+                     F.when(bad, F.col(batch_col)))
     agg = checks.agg(F.count_if(bad).alias("_n_bad"), first.alias("_first"))
     ok = F.col("_n_bad") == 0
     return agg.select(
