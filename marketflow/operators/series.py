@@ -43,6 +43,8 @@ _HALO = "_halo"
 MAX_BUCKETS = 10_000
 # Target rows per block for halo windows at large scale.
 TARGET_BLOCK_ROWS = 4_000_000
+# Mean rows per (series, block) group above which the EWM runs in pandas.
+PANDAS_MIN_GROUP_ROWS = 5_000
 
 
 def _as_list(x) -> list[str]:
@@ -67,6 +69,7 @@ class SeriesLayout:
     n_rows: int
     n_buckets: int
     block_rows: int
+    n_series: int = 1
 
 
 def _target_buckets(df: DataFrame) -> int:
@@ -87,12 +90,14 @@ def add_position(df: DataFrame, order_by, partition_by=None, pos_col: str = POS,
     nb = n_buckets or _target_buckets(df)
     kd = _numeric_key(df, order[0])
     fr = [i / nb for i in range(1, nb)]
+    ns = F.approx_count_distinct(F.struct(*keys)) if keys else F.lit(1)
     if fr:
-        row = df.agg(F.count(F.lit(1)).alias("n"),
+        row = df.agg(F.count(F.lit(1)).alias("n"), ns.alias("ns"),
                      F.percentile_approx(kd, fr, 10_000).alias("q")).first()
-        n, qs = row["n"], sorted(set(row["q"] or []))
+        n, n_series, qs = row["n"], row["ns"], sorted(set(row["q"] or []))
     else:
-        n, qs = df.count(), []
+        row = df.agg(F.count(F.lit(1)).alias("n"), ns.alias("ns")).first()
+        n, n_series, qs = row["n"], row["ns"], []
     splits = [-math.inf] + [float(q) for q in qs] + [math.inf]
     if len(splits) < 3:
         splits = [-math.inf, 0.0, math.inf]
@@ -111,7 +116,7 @@ def add_position(df: DataFrame, order_by, partition_by=None, pos_col: str = POS,
     out = joined.withColumn(pos_col, (F.col("_off") + F.row_number().over(w_rn) - 1).cast("long")) \
                 .drop("_off", _BKT)
     if with_layout:
-        return out, SeriesLayout(int(n), len(splits) - 1, default_block_rows(df, int(n)))
+        return out, SeriesLayout(int(n), len(splits) - 1, default_block_rows(df, int(n)), int(n_series or 1))
     return out
 
 
@@ -213,9 +218,17 @@ def ewm_window_rows(alpha: float, rel_tol: float = 2.0 ** -53) -> int:
 def ewm(df: DataFrame, cols: list[str], order_by, partition_by=None, com: float = 0.5,
         null_mode: str = "carry", fill: bool = False, suffix: str = "_ewm",
         pos_col: str | None = None, block_rows: int | None = None,
-        alpha: float | None = None) -> DataFrame:
+        alpha: float | None = None, engine: str = "auto") -> DataFrame:
     """WIN2 (EWM mean, adjusted weights, nulls hold a position) and WIN3 (fill).
 
+    Per (series, block) the mean is computed over the block plus a halo of K
+    earlier rows: ``engine='pandas'`` runs the recursive filter per block in
+    ``applyInPandas`` (one group = at most block_rows + K rows, a proven bound);
+    ``engine='window'`` stays in the JVM with a K-row window and array
+    higher-order functions (O(K) interpreted work per row). ``'auto'`` picks
+    pandas when a (series, block) group holds many rows (vectorised filter
+    wins) and the window when groups are small (per-group overhead wins).
+
     ``null_mode='carry'``: at a null input the mean of the last non-null
     position is carried (the value the adjusted recursion keeps).
     ``'propagate'``: NULL at null positions. Leading nulls stay NULL.
@@ -232,28 +245,20 @@ def ewm(df: DataFrame, cols: list[str], order_by, partition_by=None, com: float
     if pos_col is None:
         df, lay = add_position(df, order_by, keys, with_layout=True)
         pos_col, br = POS, block_rows or lay.block_rows
+        n_rows, n_series = lay.n_rows, lay.n_series
     else:
-        br = block_rows or default_block_rows(df, df.count())
+        n_rows, n_series = df.count(), 1
+        br = block_rows or default_block_rows(df, n_rows)
     br = max(br, K + 1)
+    if engine == "auto":
+        groups = max(n_series, math.ceil(n_rows / br))
+        engine = "pandas" if n_rows / max(groups, 1) >= PANDAS_MIN_GROUP_ROWS else "window"
     h = with_halo(df, br, before=K, pos_col=pos_col)
     p = F.col(pos_col)
-    w_frame = Window.partitionBy(*keys, _BLK).orderBy(pos_col).rowsBetween(-K, 0)
-    w_run = Window.partitionBy(*keys, _BLK).orderBy(pos_col).rowsBetween(Window.unboundedPreceding, 0)
-
-    nn_cols = {}
-    for c in cols:
-        x = F.col(c).cast("double")
-        arr = F.collect_list(F.when(x.isNotNull(), F.struct(p.alias("p"), x.alias("v")))).over(w_frame)
-        num = F.aggregate(arr, F.lit(0.0), lambda acc, e: acc + e["v"] * F.pow(F.lit(r), (p - e["p"]).cast("double")))
-        den = F.aggregate(arr, F.lit(0.0), lambda acc, e: acc + F.pow(F.lit(r), (p - e["p"]).cast("double")))
-        nn_cols[f"_e_{c}"] = F.when(x.isNotNull(), num / den)
-    h = h.withColumns(nn_cols)
-    if null_mode == "carry":
-        # halo rows carry truncated means: only own-block rows feed the carry;
-        # earlier blocks come through the summary table below.
-        h = h.withColumns({f"_c_{c}": F.last(F.when(~F.col(_HALO), F.col(f"_e_{c}")), ignorenulls=True)
-                           .over(w_run) for c in cols})
-    h = h.where(~F.col(_HALO)).drop(_HALO)
+    if engine == "pandas":
+        h = _ewm_block_pandas(h, cols, keys, pos_col, a, null_mode)
+    else:
+        h = _ewm_block_window(h, cols, keys, pos_col, r, K, null_mode)
 
     if null_mode == "carry":
         # Carry across blocks: last non-null mean per (series, block), then the
@@ -280,6 +285,56 @@ def ewm(df: DataFrame, cols: list[str], order_by, partition_by=None, com: float
     return h.drop(POS) if drop_pos else h
 
 
+def _ewm_block_window(h: DataFrame, cols, keys, pos_col, r, K, null_mode) -> DataFrame:
+    p = F.col(pos_col)
+    w_frame = Window.partitionBy(*keys, _BLK).orderBy(pos_col).rowsBetween(-K, 0)
+    w_run = Window.partitionBy(*keys, _BLK).orderBy(pos_col).rowsBetween(Window.unboundedPreceding, 0)
+    nn_cols = {}
+    for c in cols:
+        x = F.col(c).cast("double")
+        arr = F.collect_list(F.when(x.isNotNull(), F.struct(p.alias("p"), x.alias("v")))).over(w_frame)
+        num = F.aggregate(arr, F.lit(0.0), lambda acc, e: acc + e["v"] * F.pow(F.lit(r), (p - e["p"]).cast("double")))
+        den = F.aggregate(arr, F.lit(0.0), lambda acc, e: acc + F.pow(F.lit(r), (p - e["p"]).cast("double")))
+        nn_cols[f"_e_{c}"] = F.when(x.isNotNull() & ~F.col(_HALO), num / den)
+    h = h.withColumns(nn_cols)
+    if null_mode == "carry":
+        # halo rows carry truncated means: only own-block rows feed the carry;
+        # earlier blocks come through the summary table.
+        h = h.withColumns({f"_c_{c}": F.last(F.col(f"_e_{c}"), ignorenulls=True).over(w_run) for c in cols})
+    return h.where(~F.col(_HALO)).drop(_HALO)
+
+
+def _ewm_block_pandas(h: DataFrame, cols, keys, pos_col, alpha, null_mode) -> DataFrame:
+    """Adjusted EWM per (series, block) group with pandas; returns own-block rows
+    with ``_e_{c}`` (mean at non-null positions) and, in carry mode, ``_c_{c}``
+    (in-block carry of the last own-block mean)."""
+    import numpy as np
+    import pandas as pd
+
+    fields = [f for f in h.schema.fields if f.name != _HALO]
+    extra = [T.StructField(f"_e_{c}", T.DoubleType()) for c in cols]
+    if null_mode == "carry":
+        extra += [T.StructField(f"_c_{c}", T.DoubleType()) for c in cols]
+    schema = T.StructType(fields + extra)
+    names = [f.name for f in fields]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(pos_col, kind="mergesort").reset_index(drop=True)
+        own = ~pdf[_HALO].to_numpy(dtype=bool)
+        out = pdf.loc[own, names].reset_index(drop=True)
+        for c in cols:
+            x = pd.to_numeric(pdf[c], errors="coerce").astype("float64")
+            e = x.ewm(alpha=alpha, adjust=True, ignore_na=False).mean().to_numpy()
+            e = np.where(x.notna().to_numpy() & own, e, np.nan)
+            e_own = e[own]
+            out[f"_e_{c}"] = e_own
+            if null_mode == "carry":
+                out[f"_c_{c}"] = pd.Series(e_own).ffill().to_numpy()
+        return out
+
+    return h.groupBy(*keys, _BLK).applyInPandas(run, schema)
+
+
 # ------------------------------------------------------------ splits (WIN4/5)
 
 def expanding_fold(pos: Column, n: Column, k: int = 5) -> Column:

@@ -92,7 +92,7 @@ def scaled_train_with_folds(spark, sf_dir):
 def q_moments(spark, sf_dir):
     """AGG15: per contiguous fold, n, sums, cross moments of the z-scored inputs
     and target -- one aggregation pass; shown as a long (fold, stat, i, j) table."""
-    mom = linear.moments(scaled_train_with_folds(spark, sf_dir), V, "target", ["fold"])
+    mom = materialize(linear.moments(scaled_train_with_folds(spark, sf_dir), V, "target", ["fold"]))
     pi = F.array(*[F.lit(i) for i, _ in _PAIRS])
     pj = F.array(*[F.lit(j) for _, j in _PAIRS])
     n1 = F.lit(-1)
@@ -167,6 +167,7 @@ def _standin(spark, sf_dir):
     cum = per.select(F.col("fold").alias("model_fold"), (F.sum("s").over(w) / F.sum("c").over(w)).alias("train_mean"))
     cum = F.broadcast(cum)  # k+1 rows
     val = tr.where(F.col("fold") >= 1).join(cum, tr["fold"] == cum["model_fold"]).drop("model_fold")
+    val = materialize(val)  # small: one row per validation day, read by the metric passes
     te = load_test(spark, sf_dir).select("date_id", F.col("target").alias("lagged_forward_returns"))
     # each test row is scored by each of the k fold models: k copies, equi join
     te = te.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(N_SPLITS))))

@@ -34,8 +34,8 @@ def test_ewm_known_answers(spark):
     assert [r["x"] for r in fill.collect()] == [None, 1.0, 1.0, 1.0, 4.0, 2.0]
 
 
-@pytest.mark.parametrize("block_rows", [41, 57, 10_000])
-def test_ewm_matches_pandas_with_long_gaps(spark, block_rows):
+@pytest.mark.parametrize("block_rows,engine", [(41, "pandas"), (57, "window"), (57, "pandas"), (10_000, "auto")])
+def test_ewm_matches_pandas_with_long_gaps(spark, block_rows, engine):
     rng = np.random.default_rng(3)
     v = rng.normal(size=700)
     v[:5] = np.nan          # leading nulls
@@ -43,7 +43,7 @@ def test_ewm_matches_pandas_with_long_gaps(spark, block_rows):
     v[rng.choice(700, 80, replace=False)] = np.nan
     df = _frame(spark, [None if np.isnan(x) else float(x) for x in v])
     p = series.add_position(df, "t", n_buckets=7)
-    out = series.ewm(p, ["x"], "t", com=0.5, pos_col="pos", block_rows=block_rows).orderBy("t").toPandas()
+    out = series.ewm(p, ["x"], "t", com=0.5, pos_col="pos", block_rows=block_rows, engine=engine).orderBy("t").toPandas()
     ref = pd.Series(v).ewm(com=0.5).mean()
     got = out["x_ewm"].astype(float).to_numpy()
     assert np.allclose(got, ref.to_numpy(), atol=1e-12, equal_nan=True)
@@ -58,7 +58,7 @@ def test_ewm_keyed_matches_pandas(spark):
     v[rng.choice(n, 60, replace=False)] = np.nan
     pdf = pd.DataFrame({"t": np.arange(n, dtype="int64"), "k": keys, "x": v})
     df = spark.createDataFrame(pdf.where(pd.notnull(pdf), None))
-    out = series.ewm(df, ["x"], "t", "k", com=0.5, block_rows=45).toPandas().sort_values("t")
+    out = series.ewm(df, ["x"], "t", "k", com=0.5, block_rows=45, engine="pandas").toPandas().sort_values("t")
     ref = pdf.groupby("k")["x"].transform(lambda s: s.ewm(com=0.5).mean())
     assert np.allclose(out["x_ewm"].astype(float).to_numpy(), ref.to_numpy(), atol=1e-12, equal_nan=True)
 
