@@ -251,8 +251,11 @@ def ewm(df: DataFrame, cols: list[str], order_by, partition_by=None, com: float
         br = block_rows or default_block_rows(df, n_rows)
     br = max(br, K + 1)
     if engine == "auto":
-        groups = max(n_series, math.ceil(n_rows / br))
-        engine = "pandas" if n_rows / max(groups, 1) >= PANDAS_MIN_GROUP_ROWS else "window"
+        # pandas pays per group (Arrow batch + frame), the window pays per row
+        # and per history element: few or large groups -> pandas
+        groups = max(n_series, math.ceil(n_rows / br), 1)
+        few = groups <= 4 * shuffle_partitions(df.sparkSession)
+        engine = "pandas" if few or n_rows / groups >= PANDAS_MIN_GROUP_ROWS else "window"
     h = with_halo(df, br, before=K, pos_col=pos_col)
     p = F.col(pos_col)
     if engine == "pandas":

@@ -47,11 +47,11 @@ class FittedLinear:
 
 def fit(train_ids: DataFrame, data: DataFrame, params: ElasticNetParameters | None = None) -> tuple:
     """JOIN1 re-split by id, MOD1 scaler on train, WIN5 folds, MOD2+MOD3."""
-    train = joins.semi_join(data, train_ids.select("date_id"), "date_id")
+    train = materialize(joins.semi_join(data, train_ids.select("date_id"), "date_id"))
     scaler = fit_scaler(train, MODEL_VARS)
     xt = apply_scaler(train, scaler)
     xt = series.add_position(xt, "date_id")
-    xt = series.add_folds(xt, "contiguous", CV_FOLDS)
+    xt = materialize(series.add_folds(xt, "contiguous", CV_FOLDS))
     model = fit_linear(xt, MODEL_VARS, "target", "fold", params)
     return FittedLinear(scaler, model, tuple(MODEL_VARS)), xt
 

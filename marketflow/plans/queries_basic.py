@@ -12,7 +12,8 @@ from marketflow.operators import joins, profile, schema
 from marketflow.operators.series import add_position
 from marketflow.plans.oracle import with_panel
 from marketflow.plans.panel import PANEL_COLUMNS
-from marketflow.plans.registry import panel, query, table
+from marketflow.plans.materialize import materialize
+from marketflow.plans.registry import cached, panel, query, table
 from marketflow.session import scratch_path
 from marketflow.sources import io
 
@@ -130,16 +131,13 @@ def q_report(spark, sf_dir):
 
 # ----------------------------------------------------------------- projection
 
-def load_train(spark, sf_dir):
-    """Train table: PRJ1 rename, PRJ2/PRJ3 cast all but date_id, FLT4 head(-10)."""
+def _load_train(spark, sf_dir):
     p = schema.rename(panel(spark, sf_dir), {"market_forward_excess_returns": "target"})
     p = schema.cast_all_double(p, ("date_id",))
     return schema.all_but_last(p, TEST_TAIL_ROWS, "date_id").drop("pos")
 
 
-def load_test(spark, sf_dir):
-    """Test table: the last 10 panel rows with ``is_scored`` and the lagged
-    returns renamed to ``target`` (PRJ1), cast like the train table."""
+def _load_test(spark, sf_dir):
     p = panel(spark, sf_dir)
     n = p.count()
     pos = add_position(p, "date_id")
@@ -148,6 +146,18 @@ def load_test(spark, sf_dir):
     return schema.cast_all_double(t, ("date_id",))
 
 
+def load_train(spark, sf_dir):
+    """Train table: PRJ1 rename, PRJ2/PRJ3 cast all but date_id, FLT4 head(-10).
+    Written once per session (it is read by several fits and checks)."""
+    return cached("train", spark, sf_dir, lambda: materialize(_load_train(spark, sf_dir)))
+
+
+def load_test(spark, sf_dir):
+    """Test table: the last 10 panel rows with ``is_scored`` and the lagged
+    returns renamed to ``target`` (PRJ1), cast like the train table."""
+    return cached("test", spark, sf_dir, lambda: materialize(_load_test(spark, sf_dir)))
+
+
 def _dbl(c, alias=None):
     return f"CAST({c} AS DOUBLE) AS {alias or c}"
 
