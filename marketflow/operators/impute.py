@@ -4,13 +4,12 @@ Spark's exact ``median`` keeps a value->count map per group and merges all of
 them in one task for a global median: memory grows with the distinct values
 of the whole column. ``exact_medians`` instead selects the middle ranks:
 
-1. one aggregation: non-null count and ``percentile_approx`` bounds around the
-   middle, ``0.5 +- 3/accuracy`` (rank error of the sketch is <= n/accuracy);
-2. one aggregation: rows below the lower bound (exact count) and the sorted
-   candidate values inside [lo, hi] -- about ``6 n / accuracy`` per column, a
-   bound chosen through ``accuracy``;
-3. the middle ranks are picked from the candidate array; if the sketch bound
-   ever misses, that column is redone with the full value range.
+1. one aggregation: counts and ``percentile_approx`` bounds around the middle
+   rank, ``0.5 +- 3/accuracy`` (the sketch's rank error is <= n/accuracy);
+2. exact counts of the rows below / inside the bounds; a window with more
+   than MAX_CANDIDATES rows is narrowed again by a sketch of its own rows;
+3. the candidates inside the final window are sorted per column and the
+   middle ranks picked on the executors.
 
 Result equals numpy/pandas/DuckDB ``median`` (average of the two middle values
 for even counts). All-null columns give NULL.
@@ -24,72 +23,100 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Candidates per column kept in one task in step 2.
+# Candidates per column kept in one task in the selection pass.
 MAX_CANDIDATES = 2_000_000
+# Sketch accuracy: the rank error of percentile_approx is <= n / accuracy and its
+# summary holds O(accuracy) entries per column per task.
+SKETCH_ACCURACY = 10_000
+MAX_ROUNDS = 4
 
 
-def _accuracy_for(n: int) -> int:
-    # 6n/acc candidates <= MAX_CANDIDATES
-    return int(min(10_000_000, max(10_000, math.ceil(6 * n / MAX_CANDIDATES))))
-
-
-def exact_medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
+def exact_medians(df: DataFrame, cols: list[str], with_counts: bool = False):
     """AGG9: exact median of each column (nulls skipped).
 
-    Tables up to MAX_CANDIDATES rows: one pass (sorted values per column).
-    Larger: a sketch pass for bounds, then one selection pass.
+    Pass 1: row count, non-null counts and sketch bounds around the middle
+    rank. Small tables (<= MAX_CANDIDATES rows) then select directly. Larger
+    ones count the rows below / inside the bounds exactly; while a window
+    still holds too many candidates it is narrowed by a sketch of the rows
+    inside it (each round shrinks it by ~accuracy/6); finally the candidates
+    are sorted per column on the executors and the middle ranks picked.
+    ``with_counts=True`` also returns (n_rows, {col: n_non_null}).
     """
     if not cols:
-        return {}
+        return ({}, (0, {})) if with_counts else {}
     x = {c: F.col(f"`{c}`").cast("double") for c in cols}
-    n_total = df.count()
+    d = 3.0 / SKETCH_ACCURACY
+    row = df.agg(F.count(F.lit(1)).alias("_n"),
+                 *[F.count(x[c]).alias(f"n{i}") for i, c in enumerate(cols)],
+                 *[F.percentile_approx(x[c], [max(0.0, 0.5 - d), min(1.0, 0.5 + d)], SKETCH_ACCURACY)
+                   .alias(f"q{i}") for i, c in enumerate(cols)]).first()
+    n_total = row["_n"]
+    counts = {c: row[f"n{i}"] for i, c in enumerate(cols)}
     if n_total <= MAX_CANDIDATES:
-        return _pick(df, x, {c: None for c in cols}, retry=False)
-    acc = _accuracy_for(n_total)
-    d = 3.0 / acc
-    row = df.agg(*[F.percentile_approx(x[c], [max(0.0, 0.5 - d), min(1.0, 0.5 + d)], acc).alias(f"q{i}")
-                   for i, c in enumerate(cols)]).first()
-    bounds = {c: (tuple(row[f"q{i}"]) if row[f"q{i}"] is not None else None) for i, c in enumerate(cols)}
-    return _pick(df, x, bounds, retry=True)
-
-
-def _pick(df, x, bounds, retry):
-    """Selection pass: exact count below the lower bound, non-null count, and
-    the sorted candidates inside the bounds (all values when bound is None)."""
-    cols = list(bounds)
-    aggs = []
+        med = _pick(df, x, {c: None for c in cols}, {c: 0 for c in cols}, counts)
+    else:
+        bounds = {c: (tuple(row[f"q{i}"]) if row[f"q{i}"] is not None else None) for i, c in enumerate(cols)}
+        med = _narrow_and_pick(df, x, bounds, counts)
+    return (med, (n_total, counts)) if with_counts else med
+
+
+def _narrow_and_pick(df, x, bounds, counts):
+    out = {c: None for c, n in counts.items() if not n}
+    live = {c: b for c, b in bounds.items() if counts[c]}
+    below = {}
+    d = 3.0 / SKETCH_ACCURACY
+    for _ in range(MAX_ROUNDS):
+        if not live:
+            break
+        cs = list(live)
+        inside = {c: (x[c] >= F.lit(live[c][0])) & (x[c] <= F.lit(live[c][1])) for c in cs}
+        r = df.agg(*[F.count_if(x[c] < F.lit(live[c][0])).alias(f"b{i}") for i, c in enumerate(cs)],
+                   *[F.count_if(inside[c]).alias(f"k{i}") for i, c in enumerate(cs)]).first()
+        ready, nxt, sk = {}, {}, {}
+        for i, c in enumerate(cs):
+            n, b, k = counts[c], r[f"b{i}"], r[f"k{i}"]
+            lo_r, hi_r = (n - 1) // 2 - b, n // 2 - b
+            if not (0 <= lo_r and hi_r < k):      # sketch missed: widen to the full range
+                nxt[c] = (-math.inf, math.inf)
+            elif k <= MAX_CANDIDATES:
+                ready[c], below[c] = live[c], b
+            else:                                 # narrow with a sketch of the window
+                sk[c] = (lo_r / k, hi_r / k)
+        if ready:
+            out.update(_pick(df, x, ready, below, counts))
+        if sk:
+            names = list(sk)
+            q = df.agg(*[F.percentile_approx(F.when(inside[c], x[c]),
+                                             [max(0.0, sk[c][0] - d), min(1.0, sk[c][1] + d)], SKETCH_ACCURACY)
+                         .alias(f"q{i}") for i, c in enumerate(names)]).first()
+            for i, c in enumerate(names):
+                nxt[c] = tuple(q[f"q{i}"])
+        live = nxt
+    if live:
+        raise RuntimeError(f"median selection did not converge for {sorted(live)}")
+    return out
+
+
+def _pick(df, x, bounds, below, counts):
+    """Selection pass: sorted candidates inside the bounds (all values when the
+    bound is None), middle ranks picked on the executors; only the medians
+    reach the driver."""
+    cols = [c for c in bounds if counts[c]]
+    out = {c: None for c in bounds if not counts[c]}
+    if not cols:
+        return out
+    aggs, picks = [], []
     for i, c in enumerate(cols):
         b = bounds[c]
-        if b is None:
-            inside, below = x[c].isNotNull(), F.lit(0).cast("long")
-        else:
-            inside = (x[c] >= F.lit(b[0])) & (x[c] <= F.lit(b[1]))
-            below = F.count_if(x[c] < F.lit(b[0]))
-        aggs += [F.count(x[c]).alias(f"n{i}"), below.alias(f"b{i}"),
-                 F.sort_array(F.collect_list(F.when(inside, x[c]))).alias(f"v{i}")]
-    # the pick happens on the executors: only medians reach the driver
-    picks = []
-    for i, c in enumerate(cols):
-        n, b, v = F.col(f"n{i}"), F.col(f"b{i}"), F.col(f"v{i}")
-        lo, hi = F.floor((n - 1) / 2) - b, F.floor(n / 2) - b
-        ok = (n > 0) & (lo >= 0) & (hi < F.size(v))
-        a = F.try_element_at(v, (lo + 1).cast("int"))
-        z = F.try_element_at(v, (hi + 1).cast("int"))
-        picks += [n.alias(f"n{i}"), ok.alias(f"ok{i}"), F.when(ok, a + (z - a) * 0.5).alias(f"m{i}")]
+        inside = x[c].isNotNull() if b is None else (x[c] >= F.lit(b[0])) & (x[c] <= F.lit(b[1]))
+        aggs.append(F.sort_array(F.collect_list(F.when(inside, x[c]))).alias(f"v{i}"))
+        n, v = counts[c], F.col(f"v{i}")
+        lo, hi = (n - 1) // 2 - below[c], n // 2 - below[c]
+        a = F.try_element_at(v, F.lit(lo + 1))
+        z = F.try_element_at(v, F.lit(hi + 1))
+        picks.append((a + (z - a) * 0.5).alias(f"m{i}"))
     row = df.agg(*aggs).select(*picks).first()
-    out, redo = {}, {}
-    for i, c in enumerate(cols):
-        n = row[f"n{i}"]
-        if not n:
-            out[c] = None
-        elif row[f"ok{i}"]:
-            out[c] = row[f"m{i}"]
-        elif retry and n <= MAX_CANDIDATES:
-            redo[c] = None
-        else:
-            raise RuntimeError(f"median selection missed the middle ranks of {c}")
-    if redo:
-        out.update(_pick(df, x, redo, retry=False))
+    out.update({c: row[f"m{i}"] for i, c in enumerate(cols)})
     return out
 
 
@@ -115,14 +142,17 @@ def median_fill(df: DataFrame, fit: DataFrame | None = None, cols: list[str] | N
     fractional median must fit). All-null columns stay null.
     """
     from marketflow.operators.profile import numeric_columns
-    fit = df if fit is None else fit
     cols = cols if cols is not None else numeric_columns(df)
     if not cols:
         return df
-    # which columns have nulls in df: one aggregation
-    nn = df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-    need = [c for i, c in enumerate(cols) if nn[f"n{i}"] > 0]
-    med = exact_medians(fit, need)
+    if fit is None:
+        # own medians: the null counts come out of the same passes
+        med, (n, counts) = exact_medians(df, cols, with_counts=True)
+        need = [c for c in cols if counts[c] < n]
+    else:
+        nn = df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+        need = [c for i, c in enumerate(cols) if nn[f"n{i}"] > 0]
+        med = exact_medians(fit, need)
     repl = {}
     for c in need:
         t = df.schema[c].dataType
