@@ -7,38 +7,39 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marketflow.functions.scalar import SignalParams, clip
 from marketflow.operators import joins
-from marketflow.plans.registry import query, table
+from marketflow.plans.oracle import with_panel
+from marketflow.plans.registry import panel, query, table
 from marketflow.streaming import score as st
 
-# The events table replays as one batch per event type; the user's predictor
-# is the batch's first value in time order (so SQL can check it).
+SIGNAL = SignalParams()
 
-_BATCH_SQL = """
-SELECT event_type AS batch_id, CAST(row_number() OVER (ORDER BY min(event_id), event_type) - 1 AS INTEGER) AS batch_index,
-       count(*) AS n_rows, arg_min(value, ts) AS prediction
-FROM events GROUP BY event_type"""
 
+def _signal_predict(pdf: pd.DataFrame) -> float:
+    """A user predict as in the reference protocol: one batch (one date) in,
+    one scalar out -- the clipped position signal of the batch's first row."""
+    x = pdf["lagged_forward_returns"].iloc[0]
+    if pd.isna(x):
+        return float("nan")
+    return float(min(max(x * SIGNAL.signal_multiplier + 1.0, SIGNAL.min_signal), SIGNAL.max_signal))
 
-def _first_value(pdf: pd.DataFrame) -> float:
-    """A user predict: scalar per batch (the first value in time order)."""
-    return float(pdf["value"].iloc[0])
 
-
-def _batch_scores(df):
-    preds = st.predict_batches(df, "event_type", _first_value, "batch_id string, prediction double",
-                               order_by="ts")
-    counts = df.groupBy(F.col("event_type").alias("batch_id")).agg(F.count(F.lit(1)).alias("n_rows"))
-    return preds, counts
-
-
-@query("udf1_udf2_st5_predict_batches", _BATCH_SQL)
+@query("udf1_udf2_st5_predict_batches", with_panel("""
+SELECT date_id AS batch_id, CAST(row_number() OVER (ORDER BY date_id) - 1 AS INTEGER) AS batch_index,
+       count(*) OVER (PARTITION BY date_id) AS n_rows,
+       CASE WHEN lagged_forward_returns IS NOT NULL
+            THEN least(greatest(lagged_forward_returns * 400.0 + 1.0, 0.0), 2.0) END AS prediction
+FROM panel"""))
 def q_batches(spark, sf_dir):
-    """UDF1 pandas predict per batch (scalar -> named column, PRJ18/SET4),
-    UDF2 batches from a DataFrame, ST5 batch counter by first appearance."""
-    ev = table(spark, sf_dir, "events")
-    preds, counts = _batch_scores(ev)
-    idx = st.batch_index(ev.withColumnRenamed("event_type", "batch_id"), "batch_id", "event_id")
+    """UDF1 pandas predict per batch (one date per batch, scalar -> named
+    column, PRJ18/SET4), UDF2 batches from a DataFrame, ST5 batch counter."""
+    p = panel(spark, sf_dir).select("date_id", "lagged_forward_returns")
+    preds = st.predict_batches(p, "date_id", _signal_predict, "batch_id long, prediction double",
+                               order_by="date_id")
+    preds = preds.withColumn("prediction", F.when(~F.isnan("prediction"), F.col("prediction")))
+    counts = p.groupBy(F.col("date_id").alias("batch_id")).agg(F.count(F.lit(1)).alias("n_rows"))
+    idx = st.batch_index(p.withColumnRenamed("date_id", "batch_id"), "batch_id", "batch_id")
     return idx.join(counts, "batch_id").join(preds, "batch_id").select("batch_id", "batch_index", "n_rows", "prediction")
 
 
@@ -49,15 +50,11 @@ EVENT_SCHEMA = T.StructType([
 ])
 
 
-def _replayed(spark, sf_dir):
-    ev = table(spark, sf_dir, "events")
-    path = st.write_batches(ev, "event_type")  # UDF3: the path is a plain argument
-
-    def score_fn(bdf):
-        preds, counts = _batch_scores(bdf)
-        return counts.join(preds, "batch_id")
-
-    return st.replay(spark, path, EVENT_SCHEMA, "event_type", score_fn)
+def _batch_score(bdf):
+    """Scorer of one micro-batch, Spark-native (any batch size): rows and the
+    first value in time order per batch id."""
+    return bdf.groupBy(F.col("event_type").alias("batch_id")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min_by("value", "ts").alias("prediction"))
 
 
 @query("st1_st2_stream_replay", """
@@ -65,7 +62,9 @@ SELECT event_type AS batch_id, count(*) AS n_rows, arg_min(value, ts) AS predict
 def q_replay(spark, sf_dir):
     """ST1 replay one file per batch through a file stream (availableNow), ST2
     score each micro-batch in foreachBatch and append to a Parquet sink."""
-    out = _replayed(spark, sf_dir)
+    ev = table(spark, sf_dir, "events")
+    path = st.write_batches(ev, "event_type")  # UDF3: the path is a plain argument
+    out = st.replay(spark, path, EVENT_SCHEMA, "event_type", _batch_score)
     return out.select("batch_id", "n_rows", "prediction")
 
 
@@ -77,15 +76,16 @@ SELECT event_type AS batch_id, count(*) AS n_expected, count(*) AS n_received, 0
 FROM (SELECT *, CASE WHEN value IS NOT NULL THEN least(greatest(value / 100.0, 0.0), 2.0) END AS prediction FROM events)
 GROUP BY event_type""")
 def q_checks(spark, sf_dir):
-    """Row-level predictions per batch: JOIN2 ids zipped by key, ST3 alignment
-    (expected vs received ids per batch), ST4 custom per-row checks."""
+    """Row-level predictions (UDF1 row form, mapInPandas), JOIN2 ids zipped by
+    key, ST3 alignment of expected vs received ids per batch, ST4 custom checks."""
     ev = table(spark, sf_dir, "events")
-    from marketflow.functions.scalar import clip
 
     def predict(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"event_id": pdf["event_id"].values, "prediction": (pdf["value"] / 100.0).clip(0, 2)})
+        return pd.DataFrame({"batch_id": pdf["event_type"].values, "event_id": pdf["event_id"].values,
+                             "prediction": (pdf["value"] / 100.0).clip(0, 2)})
 
-    preds = st.predict_batches(ev, "event_type", predict, "batch_id string, event_id long, prediction double")
+    preds = st.predict_rows(ev.select("event_type", "event_id", "value"), predict,
+                            "batch_id string, event_id long, prediction double")
     expected = ev.select(F.col("event_type").alias("batch_id"), "event_id")
     align = joins.alignment(expected, preds.select("batch_id", "event_id"), "batch_id", "event_id")
     rows = joins.zip_by_key(ev.select("event_id", "value"), preds, "event_id")

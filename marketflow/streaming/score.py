@@ -42,15 +42,39 @@ def _to_frame(result, batch_id, id_col: str, target: str) -> pd.DataFrame:
     return out
 
 
+# A user predict sees a whole batch in one pandas frame: batches above this
+# size are refused (use ``predict_rows`` or a DataFrame scorer instead).
+MAX_BATCH_ROWS = 5_000_000
+
+
+class BatchTooLarge(ValueError):
+    pass
+
+
+def check_batch_sizes(df: DataFrame, batch_col: str, limit: int = MAX_BATCH_ROWS) -> int:
+    """Largest batch size (one aggregation, one number to the driver); raises
+    when it exceeds ``limit``."""
+    m = df.groupBy(batch_col).count().agg(F.max("count")).first()[0] or 0
+    if m > limit:
+        raise BatchTooLarge(f"largest batch has {m} rows > {limit}; score it with predict_rows "
+                            "or a DataFrame-level scorer")
+    return m
+
+
 def predict_batches(df: DataFrame, batch_col: str, predict: Callable[[pd.DataFrame], object],
                     out_schema: str | T.StructType, order_by: str | None = None,
-                    id_col: str = DEFAULT_ID, target: str = DEFAULT_TARGET) -> DataFrame:
-    """UDF1 in batch form: ``predict(batch_pdf)`` per batch, in parallel.
-
-    ``out_schema`` must contain ``id_col``. A batch is one group, so a batch
-    must fit one task -- the protocol scores one time step per batch; very
-    large batches should use a DataFrame-level scorer instead (``score_fn``).
+                    id_col: str = DEFAULT_ID, target: str = DEFAULT_TARGET,
+                    max_batch_rows: int | None = MAX_BATCH_ROWS) -> DataFrame:
+    """UDF1 in batch form: ``predict(batch_pdf)`` per batch, all batches in
+    parallel through ``applyInPandas``.
+
+    The protocol gives ``predict`` a whole batch (one time step), so a batch
+    is one group; its size is checked against ``max_batch_rows`` first.
+    ``out_schema`` must contain ``id_col``.
     """
+    if max_batch_rows is not None:
+        check_batch_sizes(df, batch_col, max_batch_rows)
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         if order_by:
             pdf = pdf.sort_values(order_by, kind="mergesort")
@@ -59,6 +83,17 @@ def predict_batches(df: DataFrame, batch_col: str, predict: Callable[[pd.DataFra
     return df.groupBy(batch_col).applyInPandas(run, out_schema)
 
 
+def predict_rows(df: DataFrame, predict: Callable[[pd.DataFrame], pd.DataFrame],
+                 out_schema: str | T.StructType) -> DataFrame:
+    """UDF1 for row-wise predictors: ``predict`` maps any chunk of rows to one
+    output row per input row (ids included). Runs with ``mapInPandas`` on Arrow
+    batches -- no grouping, so no batch size limit and no shuffle."""
+    def run(it):
+        for pdf in it:
+            yield predict(pdf)
+    return df.mapInPandas(run, out_schema)
+
+
 # ------------------------------------------------- ST1: batches in id order
 
 def batch_index(df: DataFrame, batch_col: str, order_col: str) -> DataFrame:
