@@ -104,7 +104,7 @@ def fit_fold(train: DataFrame, valid: DataFrame, test: DataFrame | None, feature
 
 def fit_ensemble(df: DataFrame, test: DataFrame | None, features: list[str], target: str, id_col: str,
                  fold_col: str = "fold", n_folds: int = 5, learners=LEARNERS, max_rounds: int = MAX_ROUNDS,
-                 patience: int = PATIENCE, parallel: int = 3):
+                 patience: int = PATIENCE, parallel: int = 8):
     """MOD9: per fold j, fit every learner on rows with fold < j and score the
     rows with fold == j (and the test rows). Fits of one fold run concurrently
     from a small driver thread pool (each fit is itself a distributed job).

@@ -260,7 +260,9 @@ def _gbt_fit(spark, sf_dir):
     pos = series.add_position(feats, "date_id")
     tr = pos.where(F.col("pos") < n - TEST_TAIL_ROWS)
     te = pos.where(F.col("pos") >= n - TEST_TAIL_ROWS)
-    tr = series.add_folds(tr, "expanding", N_SPLITS)
+    # written once: 15 fits and their evaluations read these two tables
+    tr = materialize(series.add_folds(tr, "expanding", N_SPLITS))
+    te = materialize(te)
     excl = {"date_id", "forward_returns", "risk_free_rate", "market_forward_excess_returns", "pos", "fold"}
     fcols = [c for c in feats.columns if c not in excl]
     return trees.fit_ensemble(tr, te.drop("pos"), fcols, "forward_returns", "date_id", "fold", N_SPLITS,
