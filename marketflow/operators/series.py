@@ -130,6 +130,12 @@ def default_block_rows(df: DataFrame, n_rows: int, min_rows: int = 64) -> int:
     return int(per)
 
 
+def bounded_block_rows(block_rows: int, n_rows: int) -> int:
+    """Never more than MAX_BUCKETS blocks per unkeyed series, so the
+    per-block summary tables stay within their broadcast bound."""
+    return max(int(block_rows), math.ceil(n_rows / MAX_BUCKETS), 1)
+
+
 def with_halo(df: DataFrame, block_rows: int, before: int = 0, after: int = 0,
               pos_col: str = POS) -> DataFrame:
     """Add ``_blk`` and ``_halo``; duplicate edge rows into neighbour blocks."""
@@ -163,10 +169,13 @@ def shift(df: DataFrame, cols: dict[str, tuple[str, int]], order_by, partition_b
     drop_pos = pos_col is None
     if pos_col is None:
         df, lay = add_position(df, order_by, keys, with_layout=True)
-        pos_col, n = POS, lay.n_rows
+        pos_col, n_rows = POS, lay.n_rows
         br = block_rows or lay.block_rows
     else:
-        br = block_rows or default_block_rows(df, df.count())
+        n_rows = df.count()
+        br = block_rows or default_block_rows(df, n_rows)
+    if not keys:
+        br = bounded_block_rows(br, n_rows)
     back = max([o for _, o in cols.values() if o > 0], default=0)
     ahead = max([-o for _, o in cols.values() if o < 0], default=0)
     br = max(br, back + 1, ahead + 1)
@@ -250,6 +259,8 @@ def ewm(df: DataFrame, cols: list[str], order_by, partition_by=None, com: float
         n_rows, n_series = df.count(), 1
         br = block_rows or default_block_rows(df, n_rows)
     br = max(br, K + 1)
+    if not keys:
+        br = bounded_block_rows(br, n_rows)
     if engine == "auto":
         # pandas pays per group (Arrow batch + frame), the window pays per row
         # and per history element: few or large groups -> pandas
@@ -407,7 +418,10 @@ def running_best(df: DataFrame, value_col: str, order_by, partition_by=None, pos
         df, lay = add_position(df, order_by, keys, with_layout=True)
         pos_col, br = POS, block_rows or lay.block_rows
     else:
-        br = block_rows or default_block_rows(df, df.count())
+        n_rows = df.count()
+        br = block_rows or default_block_rows(df, n_rows)
+        if not keys:
+            br = bounded_block_rows(br, n_rows)
     p = F.col(pos_col)
     d = df.withColumn(_BLK, F.floor(p / F.lit(br)).cast("long"))
     item = F.when(F.col(value_col).isNotNull(), F.struct(F.col(value_col).cast("double").alias("v"), p.alias("p")))
