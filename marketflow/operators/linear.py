@@ -53,12 +53,25 @@ def _pairs(p: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(p) for j in range(i, p)]
 
 
-def moments(df: DataFrame, features: list[str], target: str, group_cols: list[str]) -> DataFrame:
-    """AGG15: sufficient statistics per group, one aggregation pass.
+# Above this many features the cross moments are accumulated with numpy per
+# partition (one BLAS product per chunk) instead of p(p+1)/2 SQL aggregates.
+WIDE_FEATURES = 24
+# Groups held at once by one partial-moment accumulator before it flushes.
+MAX_OPEN_GROUPS = 2_000
+
+
+def moments(df: DataFrame, features: list[str], target: str, group_cols: list[str],
+            engine: str = "auto") -> DataFrame:
+    """AGG15: sufficient statistics per group, one pass over the rows.
 
     Output: group columns, ``n`` (long), ``sx``/``sxy`` (array<double>, length p),
     ``sy``/``syy`` (double), ``sxx`` (array<double>, upper triangle row-major).
     Rows with a null feature or target are skipped, as a fit would.
+
+    ``engine='sql'``: one aggregation with p(p+1)/2 sums (narrow inputs).
+    ``engine='numpy'``: per-partition partial moments in ``mapInPandas``
+    (map-side combine, bounded number of open groups), then an element-wise
+    merge per group in Spark (wide inputs). ``'auto'`` picks by width.
     """
     x = [F.col(c).cast("double") for c in features]
     y = F.col(target).cast("double")
@@ -67,6 +80,9 @@ def moments(df: DataFrame, features: list[str], target: str, group_cols: list[st
         ok = ok & c.isNotNull()
     d = df.where(ok)
     p = len(features)
+    if engine == "numpy" or (engine == "auto" and p > WIDE_FEATURES):
+        return _moments_numpy(d.select(*group_cols, *[xi.alias(f"_x{i}") for i, xi in enumerate(x)],
+                                       y.alias("_y")), group_cols, p)
     return d.groupBy(*group_cols).agg(
         F.count(F.lit(1)).alias("n"),
         F.array(*[F.sum(x[i]) for i in range(p)]).alias("sx"),
@@ -77,6 +93,60 @@ def moments(df: DataFrame, features: list[str], target: str, group_cols: list[st
     )
 
 
+def _moments_numpy(d: DataFrame, keys: list[str], p: int) -> DataFrame:
+    if not keys:  # one group: a constant key keeps the merge an equi join
+        out = _moments_numpy(d.withColumn("_k", F.lit(0)), ["_k"], p)
+        return out.drop("_k")
+    iu = np.triu_indices(p)
+    xcols = [f"_x{i}" for i in range(p)]
+    key_fields = [d.schema[k] for k in keys]
+    part_schema = T.StructType(key_fields + [
+        T.StructField("n", T.LongType()), T.StructField("sy", T.DoubleType()), T.StructField("syy", T.DoubleType()),
+        T.StructField("v", T.ArrayType(T.DoubleType()))])  # v = sx ++ sxx(upper) ++ sxy
+
+    def partial(it):
+        acc: dict = {}
+
+        def flush():
+            rows = []
+            for k, (n, sy, syy, sx, S, sxy) in acc.items():
+                rows.append(list(k) + [n, sy, syy, np.concatenate([sx, S[iu], sxy]).tolist()])
+            acc.clear()
+            return pd.DataFrame(rows, columns=keys + ["n", "sy", "syy", "v"])
+
+        for pdf in it:
+            for k, g in pdf.groupby(keys, sort=False, dropna=False):
+                k = k if isinstance(k, tuple) else (k,)
+                X = g[xcols].to_numpy(dtype="float64")
+                yv = g["_y"].to_numpy(dtype="float64")
+                a = acc.get(k)
+                if a is None:
+                    a = acc[k] = [0, 0.0, 0.0, np.zeros(p), np.zeros((p, p)), np.zeros(p)]
+                a[0] += len(yv)
+                a[1] += yv.sum()
+                a[2] += yv @ yv
+                a[3] += X.sum(axis=0)
+                a[4] += X.T @ X
+                a[5] += X.T @ yv
+            if len(acc) >= MAX_OPEN_GROUPS:
+                yield flush()
+        if acc:
+            yield flush()
+
+    parts = d.mapInPandas(partial, part_schema)
+    L = p + len(iu[0]) + p
+    # element-wise merge of the partial vectors: (group, idx) sums, shuffled by
+    # (group, idx) so a hot group is spread over many tasks
+    ex = parts.select(*keys, "n", "sy", "syy", F.posexplode("v").alias("i", "val"))
+    scal = parts.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("sy").alias("sy"), F.sum("syy").alias("syy"))
+    vec = ex.groupBy(*keys, "i").agg(F.sum("val").alias("val")) \
+            .groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("i", "val"))).alias("_v"))
+    vals = F.transform(F.col("_v"), lambda e: e["val"])
+    out = scal.join(vec, on=keys, how="inner")
+    return out.select(*keys, F.col("n").cast("long").alias("n"), F.slice(vals, 1, p).alias("sx"), "sy", "syy",
+                      F.slice(vals, p + 1, L - 2 * p).alias("sxx"), F.slice(vals, L - p + 1, p).alias("sxy"))
+
+
 def _unpack(n, sx, sy, syy, sxx, sxy, p):
     sx, sxy = np.asarray(sx, float), np.asarray(sxy, float)
     S = np.zeros((p, p))

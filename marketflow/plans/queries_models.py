@@ -282,3 +282,48 @@ def q_hist(spark, sf_dir):
     """SRC7 metric history (model, fold, iteration, split, rmse) of the GBT fits."""
     _, hist = _gbt_run(spark, sf_dir)
     return hist
+
+
+# ------------------------------------------------ wide moments (AGG15, p=64)
+
+EMB_DIM = 64
+_WPAIRS = [(i, j) for i in range(EMB_DIM) for j in range(i, EMB_DIM)]
+
+
+def _wide_sql() -> str:
+    e = lambda i: f"CAST(embedding[{i + 1}] AS DOUBLE)"
+    y = "CAST(label AS DOUBLE)"
+    cols = [f"CAST(count(*) AS DOUBLE) AS \"n_-1_-1\"", f"sum({y}) AS \"sy_-1_-1\"", f"sum({y} * {y}) AS \"syy_-1_-1\""]
+    cols += [f"sum({e(i)}) AS \"sx_{i}_-1\"" for i in range(EMB_DIM)]
+    cols += [f"sum({e(i)} * {y}) AS \"sxy_{i}_-1\"" for i in range(EMB_DIM)]
+    cols += [f"sum({e(i)} * {e(j)}) AS \"sxx_{i}_{j}\"" for i, j in _WPAIRS]
+    return (f"SELECT split_part(k, '_', 1) AS stat, CAST(split_part(k, '_', 2) AS INTEGER) AS i, "
+            f"CAST(split_part(k, '_', 3) AS INTEGER) AS j, round(value, 6) AS value "
+            f"FROM (UNPIVOT (SELECT {', '.join(cols)} FROM embeddings) ON COLUMNS(*) INTO NAME k VALUE value)")
+
+
+@query("agg15_wide_moments_embeddings", _wide_sql())
+def q_wide(spark, sf_dir):
+    """AGG15, wide case: cross moments of the 64-wide embedding and the label,
+    accumulated per partition with numpy (map-side combine) and merged per
+    element in Spark; long (stat, i, j, value) table."""
+    from marketflow.plans.registry import table
+    emb = table(spark, sf_dir, "embeddings")
+    x = emb.select(*[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(EMB_DIM)],
+                   F.col("label").cast("double").alias("y"))
+    mom = materialize(linear.moments(x, [f"x{i}" for i in range(EMB_DIM)], "y", []))
+    pi = F.array(*[F.lit(i) for i, _ in _WPAIRS])
+    pj = F.array(*[F.lit(j) for _, j in _WPAIRS])
+    n1 = F.lit(-1)
+    parts = [mom.select(F.lit("n").alias("stat"), n1.alias("i"), n1.alias("j"), F.col("n").cast("double").alias("value")),
+             mom.select(F.lit("sy"), n1, n1, F.round("sy", 6)),
+             mom.select(F.lit("syy"), n1, n1, F.round("syy", 6))]
+    parts += [mom.select(F.lit(s).alias("stat"), F.posexplode(s).alias("i", "v"))
+              .select("stat", "i", n1.alias("j"), F.round("v", 6).alias("value")) for s in ("sx", "sxy")]
+    parts.append(mom.select(F.posexplode("sxx").alias("k", "v")).select(
+        F.lit("sxx").alias("stat"), F.element_at(pi, F.col("k") + 1).alias("i"),
+        F.element_at(pj, F.col("k") + 1).alias("j"), F.round("v", 6).alias("value")))
+    out = parts[0]
+    for d in parts[1:]:
+        out = out.union(d)
+    return out

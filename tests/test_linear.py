@@ -80,3 +80,23 @@ def test_keyed_fits_many_series(spark):
     out = linear.elastic_net_cv(df, ["a", "b", "c"], "y", keys=["s"],
                                 params=linear.ElasticNetParameters(alphas=[0.1, 0.01])).collect()
     assert sorted(r["s"] for r in out) == [0, 1, 2] and all(len(r["coef"]) == 3 for r in out)
+
+
+def test_numpy_moments_equal_sql_moments(spark):
+    rng = np.random.default_rng(9)
+    n, p = 700, 6
+    pdf = pd.DataFrame(rng.normal(size=(n, p)), columns=[f"x{i}" for i in range(p)])
+    pdf["y"] = rng.normal(size=n)
+    pdf["g"] = rng.integers(0, 3, n)
+    pdf.loc[5, "x2"] = np.nan
+    df = spark.createDataFrame(pdf.where(pd.notnull(pdf), None)).repartition(5)
+    feats = [f"x{i}" for i in range(p)]
+    for keys in (["g"], []):
+        a = {tuple(r[k] for k in keys): r for r in linear.moments(df, feats, "y", keys, engine="sql").collect()}
+        b = {tuple(r[k] for k in keys): r for r in linear.moments(df, feats, "y", keys, engine="numpy").collect()}
+        assert a.keys() == b.keys()
+        for k in a:
+            assert a[k]["n"] == b[k]["n"]
+            for c in ("sx", "sxx", "sxy"):
+                assert np.allclose(a[k][c], b[k][c], atol=1e-9)
+            assert abs(a[k]["sy"] - b[k]["sy"]) < 1e-9 and abs(a[k]["syy"] - b[k]["syy"]) < 1e-9

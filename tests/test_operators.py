@@ -188,3 +188,11 @@ def test_one_row_batch_with_null_feature_gives_null(spark):
     hist = spark.createDataFrame([[0, 0.0] + [base[c] for c in ls.RAW_INPUTS]], schema_)
     out = {r["date_id"]: r for r in ls.predict_batches(test, fitted, history=hist).collect()}
     assert out[2]["prediction"] == pytest.approx(1.4)
+
+
+def test_keyed_scaler(spark):
+    pdf = pd.DataFrame({"s": [0, 0, 0, 1, 1], "a": [1.0, 2.0, 3.0, 5.0, 5.0]})
+    df = spark.createDataFrame(pdf)
+    params = scale.fit_scaler_keyed(df, ["a"], ["s"])
+    z = scale.apply_scaler_keyed(df, params, ["a"], ["s"]).orderBy("s", "a").toPandas()
+    assert np.allclose(z["a"][:3], [-1.224744871, 0.0, 1.224744871]) and (z["a"][3:] == 0).all()
