@@ -4,6 +4,7 @@ evaluation, boosted trees (AGG10-AGG15, MOD1-MOD12, SRC7, FN9)."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketflow.operators import evaluate, linear, schema, series, trees
 from marketflow.operators.scale import apply_scaler, fit_scaler, scaler_frame
@@ -243,45 +244,58 @@ def q_test_pred(spark, sf_dir):
 GBT_QUERY_ROUNDS = 10
 GBT_QUERY_PATIENCE = 5
 def _gbt_run(spark, sf_dir):
-    """The fold fits run once per session and input; scores and history are
-    checkpointed so both registered views read the same written result."""
+    """The ensemble runs once per session and input; its tables are written to
+    the checkpoint folder so every registered view reads the same result."""
+    from marketflow.plans import ensemble
+
     def build():
-        scores, hist = _gbt_fit(spark, sf_dir)
-        return materialize(scores), materialize(hist)
+        p = panel(spark, sf_dir)
+        n = p.count()
+        pos = series.add_position(p, "date_id")
+        train = pos.where(F.col("pos") < n - TEST_TAIL_ROWS).drop("pos")
+        test = pos.where(F.col("pos") >= n - TEST_TAIL_ROWS).drop("pos")
+        r = ensemble.run(train, test, "date_id", spark, max_rounds=GBT_QUERY_ROUNDS, patience=GBT_QUERY_PATIENCE)
+        r.history = materialize(r.history)
+        r.fold_metrics = materialize(r.fold_metrics)
+        r.predictions = materialize(r.predictions)
+        return r
     return cached("gbt", spark, sf_dir, build)
 
 
-def _gbt_fit(spark, sf_dir):
-    from marketflow.functions.rowwise import add_group_features, feature_groups
-    from marketflow.operators.impute import median_fill
-    p = panel(spark, sf_dir)
-    feats = median_fill(add_group_features(p, feature_groups(p.columns)))
-    n = feats.count()
-    pos = series.add_position(feats, "date_id")
-    tr = pos.where(F.col("pos") < n - TEST_TAIL_ROWS)
-    te = pos.where(F.col("pos") >= n - TEST_TAIL_ROWS)
-    # written once: 15 fits and their evaluations read these two tables
-    tr = materialize(series.add_folds(tr, "expanding", N_SPLITS))
-    te = materialize(te)
-    excl = {"date_id", "forward_returns", "risk_free_rate", "market_forward_excess_returns", "pos", "fold"}
-    fcols = [c for c in feats.columns if c not in excl]
-    return trees.fit_ensemble(tr, te.drop("pos"), fcols, "forward_returns", "date_id", "fold", N_SPLITS,
-                              max_rounds=GBT_QUERY_ROUNDS, patience=GBT_QUERY_PATIENCE)
-
-
 @query("mod6_mod7_mod8_mod9_gbt_scores")
 def q_gbt(spark, sf_dir):
     """MOD6-MOD8 three GBT configurations per WIN4 fold, MOD9 out-of-fold and
     test scores (long: date_id, model, fold, split, pred)."""
-    scores, _ = _gbt_run(spark, sf_dir)
-    return scores
+    return _gbt_run(spark, sf_dir).scores
 
 
 @query("src7_win7_metric_history")
 def q_hist(spark, sf_dir):
     """SRC7 metric history (model, fold, iteration, split, rmse) of the GBT fits."""
-    _, hist = _gbt_run(spark, sf_dir)
-    return hist
+    return _gbt_run(spark, sf_dir).history
+
+
+@query("agg10_agg13_mod11_gbt_fold_metrics")
+def q_gbt_metrics(spark, sf_dir):
+    """MOD11 .4/.3/.3 blend of the three learners' out-of-fold scores, AGG11-AGG13
+    per-fold RMSE and R^2, AGG10 means appended as fold 0."""
+    r = _gbt_run(spark, sf_dir)
+    mean = r.summary.select(F.lit(0).alias("fold"), F.col("mean_rmse").alias("rmse"), F.col("mean_r2").alias("r2"))
+    return r.fold_metrics.unionByName(mean)
+
+
+@query("src4_src5_mod10_score_file")
+def q_score_file(spark, sf_dir):
+    """MOD10 test prediction (mean of the 5 fold models' blends), PRJ17 score
+    table (date_id, forward_returns), SRC4 parquet + SRC5 CSV sinks; the CSV
+    is read back."""
+    from marketflow.session import scratch_path
+    from marketflow.sources import io
+    preds = _gbt_run(spark, sf_dir).predictions.select("date_id", "forward_returns")
+    io.write_parquet(preds, scratch_path(spark, "submission-parquet"))
+    path = io.write_csv(preds, scratch_path(spark, "submission-csv"))
+    st = T.StructType([T.StructField("date_id", T.LongType()), T.StructField("forward_returns", T.DoubleType())])
+    return io.read_csv(spark, path, st, flavor="pandas")
 
 
 # ------------------------------------------------ wide moments (AGG15, p=64)
