@@ -341,3 +341,41 @@ def q_wide(spark, sf_dir):
     for d in parts[1:]:
         out = out.union(d)
     return out
+
+
+# ------------------------------------------------ many series (per nation)
+
+_NATION_SQL = """
+WITH li AS (SELECT CAST(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) AS date_id, l_suppkey,
+                   CAST(round(l_extendedprice * 100) AS BIGINT) AS pc, CAST(l_quantity AS BIGINT) AS q,
+                   CAST(round(l_discount * 100) AS BIGINT) AS dc FROM lineitem),
+d AS (SELECT CAST(s.s_nationkey AS INTEGER) AS nation, date_id, count(*) AS n, sum(pc) AS sp, sum(q) AS sq, sum(dc) AS sd
+      FROM li JOIN supplier s ON li.l_suppkey = s.s_suppkey GROUP BY ALL),
+f AS (SELECT nation, date_id, sp / n / 100 AS avg_price,
+             CASE WHEN (date_id + nation) % 13 <> 0 THEN sq / n END AS avg_qty,
+             CASE WHEN NOT ((date_id % 97) < nation % 5) THEN sd / n / 100 END AS avg_disc,
+             CAST(n AS DOUBLE) AS n_lines FROM d)
+SELECT *, lead(avg_price) OVER (PARTITION BY nation ORDER BY date_id) / avg_price - 1 AS target FROM f"""
+
+
+def _nation_panel(spark, sf_dir):
+    from marketflow.plans import nation_panel
+    return cached("nation_panel", spark, sf_dir, lambda: nation_panel.build(spark, sf_dir))
+
+
+@query("win1_keyed_nation_panel", _NATION_SQL)
+def q_nation_panel(spark, sf_dir):
+    """Many series: a daily panel per supplier nation (lineitem pre-aggregated
+    per supplier-day before the supplier join), next-day return by a keyed lead."""
+    return _nation_panel(spark, sf_dir)
+
+
+@query("win3_win5_mod1_mod2_per_nation_elastic_net")
+def q_nation_enet(spark, sf_dir):
+    """One elastic net per nation, all in parallel: keyed EWM fill, keyed
+    contiguous folds, keyed z-score, moments by (nation, fold), CV path per
+    (nation, fold), alpha pick and final fit per nation."""
+    from marketflow.plans import nation_panel
+    out = nation_panel.fit_per_nation(_nation_panel(spark, sf_dir))
+    return out.select("nation", "alpha", "cv_mse", "intercept",
+                      *[F.col("coef")[i].alias(f"w_{c}") for i, c in enumerate(nation_panel.FEATURES)])

@@ -100,3 +100,23 @@ def test_numpy_moments_equal_sql_moments(spark):
             for c in ("sx", "sxx", "sxy"):
                 assert np.allclose(a[k][c], b[k][c], atol=1e-9)
             assert abs(a[k]["sy"] - b[k]["sy"]) < 1e-9 and abs(a[k]["syy"] - b[k]["syy"]) < 1e-9
+
+
+def test_per_nation_fit_equals_single_series_fit(spark):
+    """Keyed elastic net (25 series at once) = the unkeyed fit of one series."""
+    from marketflow.plans import nation_panel as npl
+    from marketflow.operators import schema
+    from marketflow.operators.scale import apply_scaler, fit_scaler
+    panel = npl.build(spark, "/root/testdata/sf0.001")
+    params = linear.ElasticNetParameters(alphas=[0.1, 0.01, 0.001])
+    keyed = {r["nation"]: r for r in npl.fit_per_nation(panel, params).collect()}
+    nat = sorted(keyed)[0]
+    one = panel.where(F.col("nation") == nat).drop("nation")
+    filled = series.ewm(one, npl.FEATURES, "date_id", com=0.5, fill=True)
+    data = schema.drop_nulls(filled, ["target", *npl.FEATURES])
+    z = apply_scaler(data, fit_scaler(data, npl.FEATURES))
+    z = series.add_folds(series.add_position(z, "date_id"), "contiguous", 10)
+    single = linear.elastic_net_cv(z, npl.FEATURES, "target", "fold", None, params).first()
+    assert len(keyed) > 1
+    assert keyed[nat]["alpha"] == pytest.approx(single["alpha"])
+    assert np.allclose(keyed[nat]["coef"], single["coef"], atol=1e-7)
