@@ -56,8 +56,15 @@ def _as_list(x) -> list[str]:
 def _numeric_key(df: DataFrame, c: str) -> Column:
     """Order key as double (exact for integers below 2**53)."""
     t = df.schema[c].dataType
-    if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(F.col(c).cast("timestamp")).cast("double")
+    if isinstance(t, T.TimestampNTZType):
+        # wall-clock micros, no session time zone (a DST zone would make the
+        # mapping non-monotone)
+        x = F.col(c)
+        days = F.datediff(x.cast("date"), F.lit("1970-01-01").cast("date")).cast("double")
+        secs = (F.hour(x) * 3600 + F.minute(x) * 60).cast("double") + F.date_part(F.lit("SECOND"), x).cast("double")
+        return days * 86_400_000_000.0 + secs * 1_000_000.0
+    if isinstance(t, T.TimestampType):
+        return F.unix_micros(F.col(c)).cast("double")
     if isinstance(t, T.DateType):
         return F.unix_date(F.col(c)).cast("double")
     return F.col(c).cast("double")

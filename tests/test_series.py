@@ -112,3 +112,17 @@ def test_sortedness(spark):
     pdf = pd.DataFrame({"i": np.arange(10, dtype="int64"), "v": [1, 2, 2, 3, 1, 5, 6, 7, 8, 9]})
     r = series.sortedness(spark.createDataFrame(pdf), "v", "i").first()
     assert r["n_unsorted"] == 1 and not r["is_sorted"]
+
+
+def test_positions_ntz_independent_of_session_zone(spark):
+    import datetime as dt
+    base = dt.datetime(2024, 3, 10, 1, 0, 0)  # spans the US spring-forward hour
+    rows = [(i, base + dt.timedelta(minutes=7 * i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "i long, ts timestamp_ntz")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        got = [r["pos"] for r in series.add_position(df, "ts", n_buckets=6).orderBy("i").collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert got == list(range(40))
