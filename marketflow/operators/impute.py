@@ -34,9 +34,9 @@ MAX_ROUNDS = 4
 def exact_medians(df: DataFrame, cols: list[str], with_counts: bool = False):
     """AGG9: exact median of each column (nulls skipped).
 
-    Pass 1: row count, non-null counts and sketch bounds around the middle
-    rank. Small tables (<= MAX_CANDIDATES rows) then select directly. Larger
-    ones count the rows below / inside the bounds exactly; while a window
+    Pass 1: row count and non-null counts. Small tables (<= MAX_CANDIDATES
+    rows) then select directly. Larger ones take sketch bounds around the
+    middle rank, count the rows below / inside them exactly; while a window
     still holds too many candidates it is narrowed by a sketch of the rows
     inside it (each round shrinks it by ~accuracy/6); finally the candidates
     are sorted per column on the executors and the middle ranks picked.
@@ -47,15 +47,15 @@ def exact_medians(df: DataFrame, cols: list[str], with_counts: bool = False):
     x = {c: F.col(f"`{c}`").cast("double") for c in cols}
     d = 3.0 / SKETCH_ACCURACY
     row = df.agg(F.count(F.lit(1)).alias("_n"),
-                 *[F.count(x[c]).alias(f"n{i}") for i, c in enumerate(cols)],
-                 *[F.percentile_approx(x[c], [max(0.0, 0.5 - d), min(1.0, 0.5 + d)], SKETCH_ACCURACY)
-                   .alias(f"q{i}") for i, c in enumerate(cols)]).first()
+                 *[F.count(x[c]).alias(f"n{i}") for i, c in enumerate(cols)]).first()
     n_total = row["_n"]
     counts = {c: row[f"n{i}"] for i, c in enumerate(cols)}
     if n_total <= MAX_CANDIDATES:
         med = _pick(df, x, {c: None for c in cols}, {c: 0 for c in cols}, counts)
     else:
-        bounds = {c: (tuple(row[f"q{i}"]) if row[f"q{i}"] is not None else None) for i, c in enumerate(cols)}
+        q = df.agg(*[F.percentile_approx(x[c], [max(0.0, 0.5 - d), min(1.0, 0.5 + d)], SKETCH_ACCURACY)
+                     .alias(f"q{i}") for i, c in enumerate(cols)]).first()
+        bounds = {c: (tuple(q[f"q{i}"]) if q[f"q{i}"] is not None else None) for i, c in enumerate(cols)}
         med = _narrow_and_pick(df, x, bounds, counts)
     return (med, (n_total, counts)) if with_counts else med
 
