@@ -38,3 +38,21 @@ def test_batch_index_first_appearance(spark):
     df = spark.createDataFrame([(0, "c"), (1, "a"), (2, "c"), (3, "b")], "pos long, k string")
     idx = {r["k"]: r["batch_index"] for r in st.batch_index(df, "k", "pos").collect()}
     assert idx == {"c": 0, "a": 1, "b": 2}
+
+
+def test_batches_spanning_arrow_chunks(spark):
+    import numpy as np
+    rng = np.random.default_rng(2)
+    b = rng.integers(0, 7, 200)
+    pdf = pd.DataFrame({"b": b.astype("int64"), "t": np.arange(200, dtype="int64"), "v": rng.normal(size=200)})
+    df = spark.createDataFrame(pdf).repartition(3)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = st.predict_batches(df, "b", lambda p: float(p["v"].iloc[0] * 1000 + len(p)),
+                                 "batch_id long, prediction double", order_by="t").toPandas()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    exp = pdf.sort_values("t").groupby("b").apply(lambda g: g["v"].iloc[0] * 1000 + len(g))
+    got = got.set_index("batch_id")["prediction"].sort_index()
+    assert len(got) == 7 and np.allclose(got.to_numpy(), exp.sort_index().to_numpy())
