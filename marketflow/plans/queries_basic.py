@@ -38,6 +38,14 @@ def _csv_roundtrip(spark, sf_dir, flavor):
     return io.read_csv(spark, path, panel_schema(), flavor=flavor)
 
 
+@query("fixture_panel", with_panel("SELECT * FROM panel"))
+def q_panel(spark, sf_dir):
+    """The daily panel itself: lineitem aggregated per ship date (exact distinct
+    counts as pair aggregations), injected nulls, forward/lagged returns by
+    lead/lag through halo blocks."""
+    return panel(spark, sf_dir)
+
+
 @query("src1_csv_scan_pandas", with_panel("SELECT * FROM panel"))
 def q_src1(spark, sf_dir):
     """Panel written as CSV, read back with declared types and pandas NA tokens."""

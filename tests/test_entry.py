@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as E
 from tests.oracle_check import compare
 
-FAST = ["fixture_like_panel_csv", "prj5_prj6_derived_u1_u2", "win2_ewm_carry", "win4_expanding_folds",
+FAST = ["fixture_panel", "src2_csv_scan_polars", "prj5_prj6_derived_u1_u2", "win2_ewm_carry", "win4_expanding_folds",
         "agg9_exact_medians", "join3_st3_alignment_check", "agg11_agg12_agg13_mod9_mod11_fold_metrics",
         "row1_row6_imp2_create_features", "win7_early_stopping_keyed"]
 
