@@ -145,24 +145,26 @@ def bounded_block_rows(block_rows: int, n_rows: int) -> int:
 
 def with_halo(df: DataFrame, block_rows: int, before: int = 0, after: int = 0,
               pos_col: str = POS) -> DataFrame:
-    """Add ``_blk`` and ``_halo``; duplicate edge rows into neighbour blocks."""
+    """Add ``_blk`` and ``_halo``; duplicate edge rows into neighbour blocks.
+
+    One pass: every row explodes into its own block plus, when it sits in the
+    last ``before`` (first ``after``) rows of its block, a halo copy for the
+    next (previous) block -- no union, so the input is scanned once.
+    """
     if before >= block_rows or after >= block_rows:
         raise ValueError("halo must be shorter than a block")
     p = F.col(pos_col)
     blk = F.floor(p / F.lit(block_rows)).cast("long")
     off = p - blk * F.lit(block_rows)
-    base = df.withColumn(_BLK, blk).withColumn(_HALO, F.lit(False))
-    parts = [base]
+    own = F.struct(blk.alias("b"), F.lit(False).alias("h"))
+    copies = [own]
     if before:
-        parts.append(df.where(off >= block_rows - before)
-                     .withColumn(_BLK, blk + 1).withColumn(_HALO, F.lit(True)))
+        copies.append(F.when(off >= block_rows - before, F.struct((blk + 1).alias("b"), F.lit(True).alias("h"))))
     if after:
-        parts.append(df.where((off < after) & (blk > 0))
-                     .withColumn(_BLK, blk - 1).withColumn(_HALO, F.lit(True)))
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
+        copies.append(F.when((off < after) & (blk > 0), F.struct((blk - 1).alias("b"), F.lit(True).alias("h"))))
+    arr = F.filter(F.array(*copies), lambda e: e.isNotNull()) if len(copies) > 1 else F.array(own)
+    return df.withColumn("_bh", F.explode(arr)) \
+             .withColumn(_BLK, F.col("_bh.b")).withColumn(_HALO, F.col("_bh.h")).drop("_bh")
 
 
 def shift(df: DataFrame, cols: dict[str, tuple[str, int]], order_by, partition_by=None,
