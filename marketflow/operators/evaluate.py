@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Blend weights of the three learners.
-BLEND_WEIGHTS = {"lgb": 0.4, "xgb": 0.3, "cat": 0.3}
+BLEND_WEIGHTS = {"gbt_a": 0.4, "gbt_b": 0.3, "gbt_c": 0.3}
 
 
 def weights_frame(spark, weights: dict[str, float] = BLEND_WEIGHTS) -> DataFrame:

@@ -38,12 +38,13 @@ class TreeConfig:
     predict_at_best: bool = True   # False: use every fitted round
 
 
-# The three learner configurations (leaf-wise 31 leaves ~ depth 5).
+# The three learner configurations A (leaf-wise, 31 leaves ~ depth 5),
+# B (depth 6, histogram, every fitted round used) and C (depth 6, seed 42).
 LEARNERS = (
-    TreeConfig("lgb", max_depth=5, subsampling_rate=0.8, feature_subset="0.8", min_instances=20),
-    TreeConfig("xgb", max_depth=6, subsampling_rate=0.8, feature_subset="0.8", min_instances=3,
+    TreeConfig("gbt_a", max_depth=5, subsampling_rate=0.8, feature_subset="0.8", min_instances=20),
+    TreeConfig("gbt_b", max_depth=6, subsampling_rate=0.8, feature_subset="0.8", min_instances=3,
                predict_at_best=False),
-    TreeConfig("cat", max_depth=6, feature_subset="all", seed=42),
+    TreeConfig("gbt_c", max_depth=6, feature_subset="all", seed=42),
 )
 MAX_ROUNDS = 1000
 PATIENCE = 50

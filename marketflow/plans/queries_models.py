@@ -160,7 +160,7 @@ def q_predict(spark, sf_dir):
 
 # ------------------------------------ stand-in ensemble (MOD9-MOD11, AGG10-13)
 # Three deterministic predictors keep the evaluation SQL-checkable:
-# lgb := lagged return, xgb := mean target of the fold's training rows, cat := 0.
+# gbt_a := lagged return, gbt_b := mean target of the fold's training rows, gbt_c := 0.
 
 def _standin(spark, sf_dir):
     tr = load_train(spark, sf_dir).select("date_id", "forward_returns", "lagged_forward_returns")
@@ -183,9 +183,9 @@ def _standin(spark, sf_dir):
 
 def _long_scores(df, id_cols):
     return df.select(*id_cols, F.explode(F.array(
-        F.struct(F.lit("lgb").alias("model"), F.col("lagged_forward_returns").alias("pred")),
-        F.struct(F.lit("xgb").alias("model"), F.col("train_mean").alias("pred")),
-        F.struct(F.lit("cat").alias("model"), F.lit(0.0).alias("pred")))).alias("s")) \
+        F.struct(F.lit("gbt_a").alias("model"), F.col("lagged_forward_returns").alias("pred")),
+        F.struct(F.lit("gbt_b").alias("model"), F.col("train_mean").alias("pred")),
+        F.struct(F.lit("gbt_c").alias("model"), F.lit(0.0).alias("pred")))).alias("s")) \
         .select(*id_cols, "s.model", "s.pred")
 
 

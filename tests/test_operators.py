@@ -89,7 +89,7 @@ def test_signal_known(spark):
 
 def test_blend_and_average(spark):
     w = evaluate.weights_frame(spark)
-    sc = spark.createDataFrame([(1, "lgb", 1.0), (1, "xgb", 2.0), (1, "cat", 3.0)], "id int, model string, pred double")
+    sc = spark.createDataFrame([(1, "gbt_a", 1.0), (1, "gbt_b", 2.0), (1, "gbt_c", 3.0)], "id int, model string, pred double")
     assert evaluate.blend(sc, w, ["id"]).first()["blend"] == pytest.approx(1.9)
     f = spark.createDataFrame([(1, j, float(j)) for j in range(1, 6)], "id int, fold int, blend double")
     assert evaluate.fold_average(f, ["id"]).first()["prediction"] == 3.0
