@@ -60,9 +60,11 @@ def q_src2(spark, sf_dir):
 @query("src3_parquet_scan",
        "SELECT event_id, ts, user_id, event_type, value FROM events WHERE value > 10")
 def q_src3(spark, sf_dir):
-    """Parquet scan with NaN->NULL, a pruned column set and a pushed filter."""
-    ev = io.read_parquet(spark, f"{sf_dir}/events.parquet")
-    return ev.select("event_id", "ts", "user_id", "event_type", "value").where(F.col("value") > 10)
+    """Parquet scan with NaN->NULL, a pruned column set and a filter pushed
+    into the scan (PushedFilters: value > 10)."""
+    return io.read_parquet(spark, f"{sf_dir}/events.parquet",
+                           columns=["event_id", "ts", "user_id", "event_type", "value"],
+                           where=F.col("value") > 10, where_cols=["value"])
 
 
 @query("src4_parquet_sink", with_panel("SELECT date_id, forward_returns FROM panel"))

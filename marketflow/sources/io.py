@@ -79,9 +79,25 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType,
     return _csv_typed(raw, schema, tokens)
 
 
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """SRC3: parquet scan with NaN normalised to NULL."""
-    return nan_to_null(spark.read.parquet(path))
+def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None,
+                 where: Column | None = None, where_cols: list[str] = ()) -> DataFrame:
+    """SRC3: parquet scan with NaN normalised to NULL.
+
+    Projection and filter are applied to the RAW columns before the NaN
+    normalisation, so Catalyst pushes them into the scan (a predicate on the
+    normalised ``CASE WHEN isnan(x) ...`` expression would not reach Parquet).
+    ``where_cols`` names the floating columns the predicate reads: their NaN
+    rows are excluded, exactly as the predicate on NULL would exclude them.
+    """
+    df = spark.read.parquet(path)
+    if columns:
+        df = df.select(*columns)
+    if where is not None:
+        guard = where
+        for c in where_cols:
+            guard = guard & ~F.isnan(F.col(c))
+        df = df.where(guard)
+    return nan_to_null(df)
 
 
 def write_parquet(df: DataFrame, path: str) -> str:

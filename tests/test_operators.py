@@ -196,3 +196,13 @@ def test_keyed_scaler(spark):
     params = scale.fit_scaler_keyed(df, ["a"], ["s"])
     z = scale.apply_scaler_keyed(df, params, ["a"], ["s"]).orderBy("s", "a").toPandas()
     assert np.allclose(z["a"][:3], [-1.224744871, 0.0, 1.224744871]) and (z["a"][3:] == 0).all()
+
+
+def test_zero_denominator_and_nan_at_load(spark, tmp_path):
+    df = spark.createDataFrame([(1.0, 2.0, 0.0, 0.0, 0.0)], "M11 double, I2 double, I9 double, I7 double, I1 double")
+    r = df.select(scalar.u2(i2="I1").alias("u2"), scalar.u2().alias("u2b")).first()
+    assert r["u2"] is None and r["u2b"] == pytest.approx(1.0 / (2.0 / 3))
+    p = str(tmp_path / "n.parquet")
+    spark.createDataFrame(pd.DataFrame({"a": [1.0, float("nan"), None]})).write.parquet(p)
+    vals = sorted((r["a"] is None, r["a"]) for r in io.read_parquet(spark, p).collect())
+    assert [v for _, v in vals] == [1.0, None, None]
