@@ -21,7 +21,9 @@ def semi_join(df: DataFrame, keys: DataFrame, on, key_rows_bound: int | None = N
     Pass ``key_rows_bound`` when the key side has a known size bound below
     BROADCAST_MAX_ROWS to force a broadcast; otherwise the planner/AQE picks.
     """
-    k = keys.select(*([on] if isinstance(on, str) else on)).distinct() if key_rows_bound is None else keys
+    # no distinct: a semi join ignores duplicate keys, and a distinct would add
+    # a shuffle of the key side
+    k = keys.select(*([on] if isinstance(on, str) else on))
     if key_rows_bound is not None and key_rows_bound <= BROADCAST_MAX_ROWS:
         k = F.broadcast(k)
     return df.join(k, on=on, how="left_semi")
