@@ -1,8 +1,9 @@
 """Row-wise (horizontal) statistics over groups of columns (ROW1-ROW6) and the
 column-group metadata they need (PRJ9, PRJ10, AGG16).
 
-All expressions are built-in array functions, so they stay inside whole-stage
-codegen and need no shuffle: a row's statistics depend on that row only.
+All expressions are plain null-skipping arithmetic over the group's columns
+(no arrays, no lambdas), so they compile into whole-stage codegen and need no
+shuffle: a row's statistics depend on that row only.
 """
 
 from __future__ import annotations
@@ -33,35 +34,48 @@ def base_features(columns: list[str], exclude=EXCLUDE_COLUMNS) -> list[str]:
     return [c for c in columns if c not in ex]
 
 
-def _values(cols: list[str]) -> Column:
-    arr = F.array(*[F.col(c).cast("double") for c in cols])
-    return F.filter(arr, lambda x: x.isNotNull())
+def _d(c: str) -> Column:
+    return F.col(c).cast("double")
+
+
+def _count(cols: list[str]) -> Column:
+    n = F.lit(0)
+    for c in cols:
+        n = n + F.col(c).isNotNull().cast("int")
+    return n
+
+
+def _sum(terms: list[Column]) -> Column:
+    """Left-to-right sum skipping nulls (adding 0.0 is exact), plain
+    arithmetic so the whole expression stays in whole-stage codegen."""
+    acc = F.lit(0.0)
+    for t in terms:
+        acc = acc + F.coalesce(t, F.lit(0.0))
+    return acc
 
 
 def row_mean(cols: list[str]) -> Column:
     """ROW1: mean of the non-null values; NULL when none."""
-    v = _values(cols)
-    s = F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
-    return F.when(F.size(v) > 0, s / F.size(v))
+    n = _count(cols)
+    return F.when(n > 0, F.try_divide(_sum([_d(c) for c in cols]), n))
 
 
 def row_std(cols: list[str]) -> Column:
     """ROW2: sample std (ddof=1) of the non-null values, two-pass; NULL when <2."""
-    v = _values(cols)
-    n = F.size(v)
-    mu = F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / n
-    ss = F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - mu) * (x - mu))
+    n = _count(cols)
+    mu = F.try_divide(_sum([_d(c) for c in cols]), n)
+    ss = _sum([(_d(c) - mu) * (_d(c) - mu) for c in cols])
     return F.when(n >= 2, F.sqrt(ss / (n - 1)))
 
 
 def row_min(cols: list[str]) -> Column:
     """ROW3 (nulls skipped; NULL when all null)."""
-    return F.array_min(F.array(*[F.col(c).cast("double") for c in cols]))
+    return F.least(*[_d(c) for c in cols]) if len(cols) > 1 else _d(cols[0])
 
 
 def row_max(cols: list[str]) -> Column:
     """ROW4."""
-    return F.array_max(F.array(*[F.col(c).cast("double") for c in cols]))
+    return F.greatest(*[_d(c) for c in cols]) if len(cols) > 1 else _d(cols[0])
 
 
 def group_stat_columns(groups: dict[str, list[str]]) -> dict[str, Column]:
