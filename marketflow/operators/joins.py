@@ -39,16 +39,20 @@ def zip_by_key(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.join(right, on=key, how="inner")
 
 
-def alignment(expected: DataFrame, received: DataFrame, batch_col: str, id_col: str) -> DataFrame:
+def alignment(expected: DataFrame, received: DataFrame, batch_col: str, id_col: str,
+              pred_col: str | None = None) -> DataFrame:
     """JOIN3 / ST3: per batch, expected / received / missing / extra /
-    duplicated ids and a status.
+    duplicated ids and a status. With ``pred_col``, a batch whose received
+    predictions are all NULL fails with "No prediction received".
 
     ``expected`` and ``received`` hold (batch, id) rows. Received ids are
     counted per (batch, id) first (pre-aggregation before the full join), so a
     duplicated id shows as one row with ``n_rcv > 1``.
     """
     e = expected.groupBy(batch_col, id_col).agg(F.count(F.lit(1)).alias("n_exp"))
-    r = received.groupBy(batch_col, id_col).agg(F.count(F.lit(1)).alias("n_rcv"))
+    r = received.groupBy(batch_col, id_col).agg(
+        F.count(F.lit(1)).alias("n_rcv"),
+        (F.count(pred_col) if pred_col else F.count(F.lit(1))).alias("n_val"))
     j = e.join(r, on=[batch_col, id_col], how="full_outer")
     n_exp, n_rcv = F.coalesce("n_exp", F.lit(0)), F.coalesce("n_rcv", F.lit(0))
     per = j.groupBy(batch_col).agg(
@@ -57,14 +61,17 @@ def alignment(expected: DataFrame, received: DataFrame, batch_col: str, id_col:
         F.count_if((n_exp > 0) & (n_rcv == 0)).cast("long").alias("n_missing"),
         F.count_if((n_exp == 0) & (n_rcv > 0)).cast("long").alias("n_extra"),
         F.count_if(n_rcv > 1).cast("long").alias("n_dup"),
+        F.sum(F.coalesce("n_val", F.lit(0))).cast("long").alias("_n_val"),
     )
-    status = (F.when(F.col("n_expected") == 0, F.lit("Missing row IDs for batch"))
+    status = (F.when((F.col("n_received") > 0) & (F.col("_n_val") == 0), F.lit("No prediction received"))
+              .when(F.col("n_expected") == 0, F.lit("Missing row IDs for batch"))
               .when(F.col("n_received") != F.col("n_expected"),
                     F.format_string("Invalid predictions: expected %d rows but received %d",
                                     F.col("n_expected"), F.col("n_received")))
               .when((F.col("n_missing") > 0) | (F.col("n_extra") > 0) | (F.col("n_dup") > 0),
                     F.lit("Invalid predictions: row ids do not match"))
               .otherwise(F.lit("ok")))
-    etype = (F.when(F.col("n_expected") == 0, F.lit(5))
+    etype = (F.when(status == "No prediction received", F.lit(6))
+             .when(F.col("n_expected") == 0, F.lit(5))
              .when(status != "ok", F.lit(6)))
-    return per.withColumn("status", status).withColumn("error_type", etype.cast("int"))
+    return per.withColumn("status", status).withColumn("error_type", etype.cast("int")).drop("_n_val")

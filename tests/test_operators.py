@@ -206,3 +206,11 @@ def test_zero_denominator_and_nan_at_load(spark, tmp_path):
     spark.createDataFrame(pd.DataFrame({"a": [1.0, float("nan"), None]})).write.parquet(p)
     vals = sorted((r["a"] is None, r["a"]) for r in io.read_parquet(spark, p).collect())
     assert [v for _, v in vals] == [1.0, None, None]
+
+
+def test_alignment_no_prediction(spark):
+    exp = spark.createDataFrame([(1, 10), (2, 20)], "b int, id int")
+    rcv = spark.createDataFrame([(1, 10, None), (2, 20, 0.5)], "b int, id int, p double")
+    a = {r["b"]: r for r in joins.alignment(exp, rcv, "b", "id", pred_col="p").collect()}
+    assert a[1]["status"] == "No prediction received" and a[1]["error_type"] == 6
+    assert a[2]["status"] == "ok"
