@@ -346,6 +346,7 @@ def predict_keyed(df: DataFrame, models: DataFrame, features: list[str], keys: l
                   out: str = "prediction") -> DataFrame:
     """MOD4 for many series: coefficients joined on the series keys."""
     j = df.join(models.select(*keys, "intercept", "coef"), on=keys, how="inner")
-    x = F.array(*[F.col(c).cast("double") for c in features])
-    dot = F.aggregate(F.zip_with(x, F.col("coef"), lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
-    return j.withColumn(out, F.col("intercept") + dot).drop("intercept", "coef")
+    dot = F.col("intercept")
+    for i, c in enumerate(features):  # plain arithmetic: stays in codegen
+        dot = dot + F.col("coef")[i] * F.col(c).cast("double")
+    return j.withColumn(out, dot).drop("intercept", "coef")

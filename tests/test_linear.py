@@ -120,3 +120,10 @@ def test_per_nation_fit_equals_single_series_fit(spark):
     assert len(keyed) > 1
     assert keyed[nat]["alpha"] == pytest.approx(single["alpha"])
     assert np.allclose(keyed[nat]["coef"], single["coef"], atol=1e-7)
+
+
+def test_predict_keyed(spark):
+    models = spark.createDataFrame([(0, 1.0, [2.0, 3.0]), (1, -1.0, [0.0, 1.0])], "s int, intercept double, coef array<double>")
+    df = spark.createDataFrame([(0, 1.0, 1.0), (1, 2.0, 5.0)], "s int, a double, b double")
+    got = {r["s"]: r["prediction"] for r in linear.predict_keyed(df, models, ["a", "b"], ["s"]).collect()}
+    assert got == {0: 6.0, 1: 4.0}
