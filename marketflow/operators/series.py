@@ -222,6 +222,11 @@ def ewm_alpha(com: float | None = None, span: float | None = None,
     return float(alpha)
 
 
+def ewm_weights(r: float, K: int) -> list[float]:
+    """Decay weights r**d for d = 0..K (Python floats, shared with the oracle)."""
+    return [r ** d for d in range(K + 1)]
+
+
 def ewm_window_rows(alpha: float, rel_tol: float = 2.0 ** -53) -> int:
     """Rows of history after which older weights fall below ``rel_tol``.
 
@@ -312,12 +317,16 @@ def _ewm_block_window(h: DataFrame, cols, keys, pos_col, r, K, null_mode) -> Dat
     p = F.col(pos_col)
     w_frame = Window.partitionBy(*keys, _BLK).orderBy(pos_col).rowsBetween(-K, 0)
     w_run = Window.partitionBy(*keys, _BLK).orderBy(pos_col).rowsBetween(Window.unboundedPreceding, 0)
+    # weights r^d as a literal table: the same doubles whatever the engine,
+    # summed oldest to newest
+    wts = F.array(*[F.lit(float(wd)) for wd in ewm_weights(r, K)])
     nn_cols = {}
     for c in cols:
         x = F.col(c).cast("double")
         arr = F.collect_list(F.when(x.isNotNull(), F.struct(p.alias("p"), x.alias("v")))).over(w_frame)
-        num = F.aggregate(arr, F.lit(0.0), lambda acc, e: acc + e["v"] * F.pow(F.lit(r), (p - e["p"]).cast("double")))
-        den = F.aggregate(arr, F.lit(0.0), lambda acc, e: acc + F.pow(F.lit(r), (p - e["p"]).cast("double")))
+        wt = lambda e: F.element_at(wts, (p - e["p"] + 1).cast("int"))
+        num = F.aggregate(arr, F.lit(0.0), lambda acc, e: acc + e["v"] * wt(e))
+        den = F.aggregate(arr, F.lit(0.0), lambda acc, e: acc + wt(e))
         nn_cols[f"_e_{c}"] = F.when(x.isNotNull() & ~F.col(_HALO), num / den)
     h = h.withColumns(nn_cols)
     if null_mode == "carry":

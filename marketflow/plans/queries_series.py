@@ -17,8 +17,12 @@ CV_FOLDS = 10
 PATIENCE = 50
 
 EWM_COLS = ["E3", "P9", "S1", "S5", "V2"]
-_R = repr(1.0 - series.ewm_alpha(com=EWM_COM))  # decay per row, as a double literal
+_R = 1.0 - series.ewm_alpha(com=EWM_COM)  # decay per row
 _K = series.ewm_window_rows(series.ewm_alpha(com=EWM_COM))
+# the same literal weights the JVM engine uses, so both sides are bit-identical
+_W = "[" + ", ".join(f"CAST({w!r} AS DOUBLE)" for w in series.ewm_weights(_R, _K)) + "]"
+# registered EWM queries run the JVM engine: its arithmetic order matches the oracle
+ENGINE = "window"
 
 
 def _ewm_sql(src: str, key: str | None, order: str, cols: list[str], mode: str, ids: list[str]) -> str:
@@ -29,8 +33,10 @@ def _ewm_sql(src: str, key: str | None, order: str, cols: list[str], mode: str,
     idsel = ", ".join(f"a.{i}" for i in ids)
     pieces, sel = [], []
     for c in cols:
+        num = f"list_reduce(list_prepend(0.0, list(b.{c} * {_W}[a.pos - b.pos + 1] ORDER BY b.pos)), lambda acc, v: acc + v)"
+        den = f"list_reduce(list_prepend(0.0, list({_W}[a.pos - b.pos + 1] ORDER BY b.pos)), lambda acc, v: acc + v)"
         pieces.append(f"""e_{c} AS (
-  SELECT {idsel}, a.pos, sum(b.{c} * pow(CAST({_R} AS DOUBLE), a.pos - b.pos)) / sum(pow(CAST({_R} AS DOUBLE), a.pos - b.pos)) AS m
+  SELECT {idsel}, a.pos, {num} / {den} AS m
   FROM s a JOIN s b ON {on_key}b.pos BETWEEN a.pos - {_K} AND a.pos AND b.{c} IS NOT NULL
   WHERE a.{c} IS NOT NULL GROUP BY ALL)""")
     body_cols = []
@@ -46,9 +52,9 @@ def _ewm_sql(src: str, key: str | None, order: str, cols: list[str], mode: str,
             + f",\nv AS (SELECT s.*, {', '.join(body_cols)} FROM s {' '.join(joins)})")
     for c in cols:
         if mode == "fill":
-            sel.append(f"coalesce({c}, round(v_{c}, 6)) AS {c}")
+            sel.append(f"coalesce({c}, v_{c}) AS {c}")
         else:
-            sel.append(f"round(v_{c}, 6) AS {c}_ewm")
+            sel.append(f"v_{c} AS {c}_ewm")
     return ctes, f"SELECT {', '.join(ids)}, {', '.join(sel)} FROM v"
 
 
@@ -56,7 +62,7 @@ def _panel_ewm_sql(mode: str) -> str:
     ctes, body = _ewm_sql("panel", None, "date_id", EWM_COLS, "propagate" if mode == "propagate" else "carry",
                           ["date_id"])
     if mode == "fill":
-        body = "SELECT date_id, " + ", ".join(f"coalesce({c}, round(v_{c}, 6)) AS {c}" for c in EWM_COLS) + " FROM v"
+        body = "SELECT date_id, " + ", ".join(f"coalesce({c}, v_{c}) AS {c}" for c in EWM_COLS) + " FROM v"
     return with_panel(body, ctes)
 
 
@@ -92,14 +98,9 @@ def q_shift(spark, sf_dir):
 def _panel_ewm(spark, sf_dir, mode):
     p = panel(spark, sf_dir).select("date_id", *EWM_COLS)
     if mode == "fill":
-        # WIN3 = coalesce(x, ewm); the ewm part is rounded for the oracle
-        # compare, observed values pass through untouched
-        out = series.ewm(p, EWM_COLS, "date_id", com=EWM_COM, null_mode="carry")
-        return out.select("date_id", *[F.coalesce(F.col(c), F.round(f"{c}_ewm", 6)).alias(c) for c in EWM_COLS])
-    else:
-        out = series.ewm(p, EWM_COLS, "date_id", com=EWM_COM, null_mode=mode)
-        out = out.select("date_id", *[f"{c}_ewm" for c in EWM_COLS])
-    return round_doubles(out)
+        return series.ewm(p, EWM_COLS, "date_id", com=EWM_COM, null_mode="carry", fill=True, engine=ENGINE)
+    out = series.ewm(p, EWM_COLS, "date_id", com=EWM_COM, null_mode=mode, engine=ENGINE)
+    return out.select("date_id", *[f"{c}_ewm" for c in EWM_COLS])
 
 
 @query("win2_ewm_carry", _panel_ewm_sql("carry"))
@@ -126,7 +127,7 @@ _EV_NULLED = "(SELECT event_id, user_id, ts, CASE WHEN event_type = 'error' THEN
 
 def _events_ewm_sql():
     ctes, _ = _ewm_sql(_EV_NULLED, "user_id", "ts", ["value"], "carry", ["event_id", "user_id"])
-    return f"WITH {ctes}\nSELECT event_id, value, round(v_value, 6) AS value_ewm FROM v"
+    return f"WITH {ctes}\nSELECT event_id, value, v_value AS value_ewm FROM v"
 
 
 @query("win2_ewm_keyed", _events_ewm_sql())
@@ -135,8 +136,8 @@ def q_ewm_keyed(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
     v = ev.select("event_id", "user_id", "ts",
                   F.when(F.col("event_type") != "error", F.col("value")).alias("value"))
-    out = series.ewm(v, ["value"], "ts", "user_id", com=EWM_COM, null_mode="carry")
-    return out.select("event_id", "value", F.round("value_ewm", 6).alias("value_ewm"))
+    out = series.ewm(v, ["value"], "ts", "user_id", com=EWM_COM, null_mode="carry", engine=ENGINE)
+    return out.select("event_id", "value", "value_ewm")
 
 
 # --------------------------------------------------------------------- splits
