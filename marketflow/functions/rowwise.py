@@ -100,10 +100,27 @@ def interaction_names(groups: dict[str, list[str]], among=INTERACTION_GROUPS) ->
 
 def add_group_features(df: DataFrame, groups: dict[str, list[str]] | None = None,
                        among=INTERACTION_GROUPS) -> DataFrame:
-    """ROW1-ROW6 in two projections (means first, products reuse them)."""
+    """ROW1-ROW6 in three projections: counts, means, min, max first; then std
+    and range from those columns (the mean is computed once per row, not once
+    per term inside a conditional branch); then the interaction products."""
     groups = groups if groups is not None else feature_groups(df.columns)
-    stats = group_stat_columns(groups)
-    out = df.withColumns(stats)
+    groups = {g: cs for g, cs in groups.items() if cs}
+    first = {}
+    for g, cols in groups.items():
+        first[f"_n_{g}"] = _count(cols)
+        first[f"{g}_mean"] = row_mean(cols)
+        first[f"{g}_min"] = row_min(cols)
+        first[f"{g}_max"] = row_max(cols)
+    out = df.withColumns(first)
+    second = {}
+    for g, cols in groups.items():
+        n, mu = F.col(f"_n_{g}"), F.col(f"{g}_mean")
+        ss = _sum([(_d(c) - mu) * (_d(c) - mu) for c in cols])
+        second[f"{g}_std"] = F.when(n >= 2, F.sqrt(ss / (n - 1)))
+        second[f"{g}_range"] = F.col(f"{g}_max") - F.col(f"{g}_min")
+    out = out.withColumns(second)
+    order = [c for c in df.columns] + [f"{g}_{k}" for g in groups for k in ("mean", "std", "min", "max", "range")]
+    out = out.select(*order)
     inter = {f"{a}_{b}_interaction": F.col(f"{a}_mean") * F.col(f"{b}_mean")
              for a, b in interaction_names(groups, among)}
     return out.withColumns(inter) if inter else out
