@@ -214,3 +214,14 @@ def test_alignment_no_prediction(spark):
     a = {r["b"]: r for r in joins.alignment(exp, rcv, "b", "id", pred_col="p").collect()}
     assert a[1]["status"] == "No prediction received" and a[1]["error_type"] == 6
     assert a[2]["status"] == "ok"
+
+
+def test_semi_anti_join_and_report_success(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (3, "d")], "k int, v string")
+    keys = spark.createDataFrame([(2,), (2,), (3,)], "k int")
+    assert sorted(r["v"] for r in joins.semi_join(df, keys, "k").collect()) == ["b", "c", "d"]
+    assert sorted(r["v"] for r in joins.semi_join(df, keys, "k", key_rows_bound=3).collect()) == ["b", "c", "d"]
+    assert [r["v"] for r in joins.anti_join(df, keys, "k").collect()] == ["a"]
+    exp = spark.createDataFrame([(1, 10), (2, 20)], "b int, id int")
+    rep = io.run_report(joins.alignment(exp, exp, "b", "id")).first()
+    assert rep["Succeeded"] is True and rep["ErrorType"] is None and rep["ErrorName"] is None

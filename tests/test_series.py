@@ -126,3 +126,16 @@ def test_positions_ntz_independent_of_session_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert got == list(range(40))
+
+
+def test_halo_edges_and_block_bound(spark):
+    df = spark.range(10).select(F.col("id").alias("pos"))
+    h = series.with_halo(df, 4, before=1, after=2).collect()
+    own = sorted((r["pos"], r["_blk"]) for r in h if not r["_halo"])
+    halo = sorted((r["pos"], r["_blk"]) for r in h if r["_halo"])
+    assert own == [(p, p // 4) for p in range(10)]
+    # last row of a block -> next block; first two rows of blocks 1.. -> previous block
+    assert halo == sorted([(3, 1), (7, 2), (4, 0), (5, 0), (8, 1), (9, 1)])
+    assert series.bounded_block_rows(10, 10 * series.MAX_BUCKETS * 3) == 30
+    with pytest.raises(ValueError):
+        series.with_halo(df, 4, before=4)
