@@ -27,3 +27,14 @@ def test_fast_oracles_sf0001(spark):
     res = compare(spark, "/root/testdata/sf0.001", names, verbose=False)
     bad = {k: v for k, v in res.items() if not v.get("ok")}
     assert not bad, bad
+
+
+def test_panel_known_facts(spark):
+    """FIXTURES section 2: 2,499 rows at sf0.01 and these null counts."""
+    from marketflow.operators import profile
+    from marketflow.plans.registry import panel
+    p = panel(spark, "/root/testdata/sf0.01")
+    assert p.count() == 2499
+    nulls = {r["column"]: r["n_null"] for r in profile.columns_with_nulls(profile.null_counts(p)).collect()}
+    assert nulls == {"E3": 39, "P9": 357, "S1": 24, "S2": 24, "S5": 143, "V2": 47, "V3": 47,
+                     "forward_returns": 1, "market_forward_excess_returns": 1, "lagged_forward_returns": 1}
