@@ -84,6 +84,22 @@ def _target_buckets(df: DataFrame) -> int:
     return max(1, min(MAX_BUCKETS, 2 * sp))
 
 
+def _keyed_join(left: DataFrame, right: DataFrame, keys: list[str], extra: list[str], how: str) -> DataFrame:
+    """Equi join on ``extra`` columns and NULL-safe on the series ``keys`` (a
+    series whose key is NULL is still a series: its rows must not be dropped)."""
+    if not keys:
+        return left.join(right, on=extra, how=how)
+    on = keys + extra
+    r = right.select(*[F.col(c).alias(f"__r_{c}") for c in on], *[c for c in right.columns if c not in on])
+    lcols = left.columns
+    la, ra = left.alias("__l"), r.alias("__r")
+    cond = [F.col(f"__l.{k}").eqNullSafe(F.col(f"__r.__r_{k}")) for k in keys] + \
+           [F.col(f"__l.{c}") == F.col(f"__r.__r_{c}") for c in extra]
+    j = la.join(ra, on=cond, how=how)
+    return j.select(*[F.col(f"__l.{c}").alias(c) for c in lcols],
+                    *[F.col(f"__r.{c}").alias(c) for c in r.columns if not c.startswith("__r_")])
+
+
 def add_position(df: DataFrame, order_by, partition_by=None, pos_col: str = POS,
                  n_buckets: int | None = None, with_layout: bool = False):
     """WIN1: 0-based row position in ``order_by`` order within each series.
@@ -118,7 +134,7 @@ def add_position(df: DataFrame, order_by, partition_by=None, pos_col: str = POS,
     if not keys:
         # at most len(splits)-1 <= MAX_BUCKETS rows: a proven bound
         offsets = F.broadcast(offsets)
-    joined = bucketed.join(offsets, on=[*keys, _BKT], how="inner")
+    joined = _keyed_join(bucketed, offsets, keys, [_BKT], "inner")
     w_rn = Window.partitionBy(*keys, _BKT).orderBy(*order)
     out = joined.withColumn(pos_col, (F.col("_off") + F.row_number().over(w_rn) - 1).cast("long")) \
                 .drop("_off", _BKT)
@@ -299,7 +315,7 @@ def ewm(df: DataFrame, cols: list[str], order_by, partition_by=None, com: float
                                          for c in cols])
         if not keys:
             prev = F.broadcast(prev)  # one row per block, <= MAX_BUCKETS blocks
-        h = h.join(prev, on=[*keys, _BLK], how="left")
+        h = _keyed_join(h, prev, keys, [_BLK], "left")
         vals = {c: F.coalesce(F.col(f"_c_{c}"), F.col(f"_p_{c}")) for c in cols}
     else:
         vals = {c: F.col(f"_e_{c}") for c in cols}
@@ -396,7 +412,7 @@ def add_series_count(df: DataFrame, partition_by=None, n_col: str = "_n") -> Dat
     if not keys:
         return df.withColumn(n_col, F.lit(df.count()).cast("long"))  # one scalar
     cnt = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(n_col))
-    return df.join(cnt, on=keys, how="inner")
+    return _keyed_join(df, cnt, keys, [], "inner")
 
 
 def add_folds(df: DataFrame, kind: str = "expanding", k: int = 5, partition_by=None,
@@ -450,7 +466,7 @@ def running_best(df: DataFrame, value_col: str, order_by, partition_by=None, pos
     prev = summ.select(*keys, _BLK, F.min("_bm").over(w_prev).alias("_pm"))
     if not keys:
         prev = F.broadcast(prev)
-    d = d.join(prev, on=[*keys, _BLK], how="left")
+    d = _keyed_join(d, prev, keys, [_BLK], "left")
     best = F.when(F.col("_pm").isNull(), F.col("_in")).when(F.col("_in").isNull(), F.col("_pm")) \
             .otherwise(F.least(F.col("_in"), F.col("_pm")))
     return d.withColumn(out, best).drop("_in", "_pm", _BLK)

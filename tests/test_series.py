@@ -139,3 +139,16 @@ def test_halo_edges_and_block_bound(spark):
     assert series.bounded_block_rows(10, 10 * series.MAX_BUCKETS * 3) == 30
     with pytest.raises(ValueError):
         series.with_halo(df, 4, before=4)
+
+
+def test_null_series_key_keeps_rows(spark):
+    pdf = pd.DataFrame({"t": np.arange(12, dtype="int64"), "k": [None, 1.0] * 6, "x": np.arange(12.0)})
+    df = spark.createDataFrame(pdf.astype({"k": "object"}).where(pd.notnull(pdf), None), "t long, k double, x double")
+    pos = series.add_position(df, "t", "k", n_buckets=3)
+    assert pos.count() == 12
+    got = sorted((r["k"] is None, r["t"], r["pos"]) for r in pos.collect())
+    assert [g[2] for g in got if g[0]] == list(range(6)) and [g[2] for g in got if not g[0]] == list(range(6))
+    e = series.ewm(df, ["x"], "t", "k", engine="window").collect()
+    assert len(e) == 12 and all(r["x_ewm"] is not None for r in e)
+    f = series.add_folds(pos, "contiguous", 2, partition_by="k")
+    assert f.count() == 12
