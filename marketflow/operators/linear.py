@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketflow.functions.scalar import log_grid_values
+from marketflow.operators.series import _keyed_join
 
 # Default CV settings of the linear model.
 L1_RATIO = 0.5
@@ -247,7 +248,7 @@ def train_minus_fold(mom: DataFrame, keys: list[str]) -> DataFrame:
     tot = mom.groupBy(*keys).agg(
         F.sum("n").alias("n_t"), F.sum("sy").alias("sy_t"), F.sum("syy").alias("syy_t"),
         _sum_arrays("sx").alias("sx_t"), _sum_arrays("sxx").alias("sxx_t"), _sum_arrays("sxy").alias("sxy_t"))
-    j = mom.join(tot, on=keys, how="inner")
+    j = _keyed_join(mom, tot, keys, [], "inner")
     sub = lambda a, b: F.zip_with(F.col(a), F.col(b), lambda u, v: u - v)
     return j.select(*keys, "fold", "n", "sx", "sy", "syy", "sxx", "sxy",
                     (F.col("n_t") - F.col("n")).alias("n_tr"), sub("sx_t", "sx").alias("sx_tr"),
@@ -273,7 +274,7 @@ def select_alpha(path: DataFrame, keys: list[str]) -> DataFrame:
 def final_fit(total: DataFrame, best: DataFrame, keys: list[str], p: int, l1_ratio: float,
               max_iter: int = FINAL_MAX_ITER) -> DataFrame:
     """MOD3: fit per series on all training moments at the chosen alpha."""
-    j = total.join(best, on=keys, how="inner")
+    j = _keyed_join(total, best, keys, [], "inner")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         r = pdf.iloc[0]
@@ -345,7 +346,7 @@ def fit_linear(df: DataFrame, features: list[str], target: str, fold_col: str =
 def predict_keyed(df: DataFrame, models: DataFrame, features: list[str], keys: list[str],
                   out: str = "prediction") -> DataFrame:
     """MOD4 for many series: coefficients joined on the series keys."""
-    j = df.join(models.select(*keys, "intercept", "coef"), on=keys, how="inner")
+    j = _keyed_join(df, models.select(*keys, "intercept", "coef"), keys, [], "inner")
     dot = F.col("intercept")
     for i, c in enumerate(features):  # plain arithmetic: stays in codegen
         dot = dot + F.col("coef")[i] * F.col(c).cast("double")

@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketflow.operators.series import _keyed_join
+
 
 @dataclass(frozen=True)
 class ScalerParams:
@@ -57,6 +59,6 @@ def fit_scaler_keyed(df: DataFrame, cols: list[str], keys: list[str]) -> DataFra
 
 def apply_scaler_keyed(df: DataFrame, params: DataFrame, cols: list[str], keys: list[str]) -> DataFrame:
     """MOD1 per series (params joined on the series keys)."""
-    j = df.join(params, on=keys, how="left")
+    j = _keyed_join(df, params, keys, [], "left")
     out = j.withColumns({c: (F.col(c) - F.col(f"{c}__mean")) / F.col(f"{c}__scale") for c in cols})
     return out.drop(*[f"{c}__{s}" for c in cols for s in ("mean", "scale")])
