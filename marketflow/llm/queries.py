@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marketflow.llm import bpe, decontaminate, quality_rules, url_filter
+from marketflow.llm import bpe, decontaminate, jaccard_join, quality_rules, substring_dedup, url_filter
 from marketflow.llm.registry import query, table
 
 
@@ -40,3 +40,16 @@ def op9_decontaminate(spark, sf_dir):
 def op10_byte_pair(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return bpe.digests(bpe.encode_decode(docs, tokenizer_path()))
+
+
+@query("op1_substring_dedup")
+def op1_substring_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    cut = substring_dedup.substring_dedup(docs)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op3_jaccard_join")
+def op3_jaccard_join(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return jaccard_join.near_duplicates(docs).select("doc_id", "n_shingles", "component_id")
