@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marketflow.llm import bpe, decontaminate, jaccard_join, quality_rules, substring_dedup, url_filter
+from marketflow.llm import bpe, decontaminate, html_extract, jaccard_join, quality_rules, substring_dedup, toxicity, url_filter
 from marketflow.llm.registry import query, table
 
 
@@ -53,3 +53,16 @@ def op1_substring_dedup(spark, sf_dir):
 def op3_jaccard_join(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return jaccard_join.near_duplicates(docs).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op6_html_extract")
+def op6_html_extract(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    return html_extract.extract(pages).select("page_id", "url", "text", "n_chars")
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = table(spark, sf_dir, "labels", "doc_id", "toxic")
+    return toxicity.score_toxicity(docs, labels).select("doc_id", "held_out", "score", "predicted")
