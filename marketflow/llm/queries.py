@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marketflow.llm import bpe, decontaminate, html_extract, jaccard_join, quality_rules, substring_dedup, toxicity, url_filter
+from marketflow.llm import bpe, decontaminate, html_extract, jaccard_join, line_dedup, pii, quality_rules, substring_dedup, toxicity, url_filter
 from marketflow.llm.registry import query, table
 
 
@@ -66,3 +66,17 @@ def op2_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     labels = table(spark, sf_dir, "labels", "doc_id", "toxic")
     return toxicity.score_toxicity(docs, labels).select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op8_pii")
+def op8_pii(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return pii.digests(pii.find_pii(docs))
+
+
+@query("op7_line_dedup")
+def op7_line_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    n_deleted = F.aggregate("deleted", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
+    return line_dedup.line_dedup(docs).select("doc_id", "n_lines", n_deleted.alias("n_deleted"), F.sha2(
+        F.coalesce("clean_text", F.lit("")).cast("binary"), 256).alias("clean_sha256"))
