@@ -40,8 +40,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = jaccard_join.near_duplicates(docs)
-    return out.where(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(*COLUMNS)
+    return jaccard_join.near_duplicates(docs, keep_one=True).select(*COLUMNS)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

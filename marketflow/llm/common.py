@@ -22,7 +22,7 @@ SLICE_BYTES = 4 << 20
 #: Rows of an Arrow batch sent to Python; bounds the memory of batches of long texts.
 ARROW_ROWS = 1000
 #: Cells of a frequency sketch: a fixed size, whatever the input.
-SKETCH_CELLS = 1 << 20
+SKETCH_CELLS = 1 << 18
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
@@ -187,16 +187,16 @@ def sketch(df: DataFrame, cells: Callable[[Iterator[pa.RecordBatch]], Iterator[n
         out = np.zeros(SKETCH_CELLS, np.int64)
         for c in cells(batches):
             out += np.bincount(c, minlength=SKETCH_CELLS)
+        out = out.astype(np.uint32)
         yield pa.RecordBatch.from_pydict({"counts": pa.array([out.tobytes()], pa.binary())})
 
-    parts = df.mapInArrow(count, "counts binary").rdd.map(lambda r: np.frombuffer(r[0], np.int64))
-    if not parts.getNumPartitions():
-        return np.zeros(SKETCH_CELLS, np.int64)
-    return parts.treeReduce(lambda a, b: a + b, 3)
+    parts = df.mapInArrow(count, "counts binary").rdd.map(lambda r: np.frombuffer(r[0], np.uint32).astype(np.int64))
+    add = lambda a, b: a + b
+    return parts.treeAggregate(0, add, add, 3) + np.zeros(SKETCH_CELLS, np.int64)
 
 
 def cell_of(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> U64(44)).astype(np.int64)
+    return (hashes >> U64(46)).astype(np.int64)
 
 
 def hot_classes(counts: np.ndarray) -> np.ndarray:

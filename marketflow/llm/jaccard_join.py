@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketflow.llm import common
@@ -239,8 +239,11 @@ def _linked(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
     return total.where(f"{DEN} * both >= {NUM} * (na + nb - both)").select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N) -> DataFrame:
-    """``docs`` plus n_shingles (size of the set) and component_id (smallest id of the component)."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N,
+                    keep_one: bool = False) -> DataFrame:
+    """``docs`` plus n_shingles (size of the set) and component_id (smallest id of the component).
+
+    ``keep_one``: only the row that bears the component's id (one of them, if the row is repeated)."""
     spark = docs.sparkSession
     common.prepare(spark)
     doc, th = F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)), F.hash(F.coalesce(F.col(text_col), F.lit("")))
@@ -292,4 +295,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = docs.drop(*COLUMNS).withColumns({"__doc": doc, "__th": th}).join(
         of_row.select(F.col("doc").alias("__doc"), F.col("th").alias("__th"), "n_shingles", "component"), ["__doc", "__th"], "left")
     own = F.coalesce(F.col("component"), F.col(id_col).cast("bigint"))
-    return out.withColumn("component_id", F.when(own != _LAST, own)).drop("__doc", "__th", "component")
+    out = out.withColumn("component_id", F.when(own != _LAST, own))
+    if keep_one:
+        place = F.row_number().over(Window.partitionBy("__doc", "__th").orderBy("__doc"))
+        out = out.where((F.col("__doc") == F.col("component_id")) | F.col("component_id").isNull()).withColumn("__place", place)
+        out = out.where("__place = 1").drop("__place")
+    return out.drop("__doc", "__th", "component")

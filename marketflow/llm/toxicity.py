@@ -1,7 +1,8 @@
 """Toxicity scores by the nearest labelled examples under exact TF-IDF cosine.
 
 Features are words (A-Z lower-cased; runs of digits, letters and characters beyond ASCII) and word beginnings
-of 4, 5 and 6 bytes. The labelled examples are a bounded sample (``MAX_LABELLED`` rows of the training part,
+of 4 to 8 bytes; a feature that a text holds at least twice, and once in ``DENSE`` words or more often, is
+also a dense feature. The labelled examples are a bounded sample (``MAX_LABELLED`` rows of the training part,
 in hash order); on it the ``MAX_FEATURES`` features with the largest chi-square against the label are chosen.
 Inverse document frequencies of these are counted over all documents. The examples' vectors form a block-max
 inverted index: blocks of examples with the largest weight of each feature in a block. A document's blocks
@@ -30,17 +31,19 @@ from marketflow.llm.common import U64
 
 MAX_LABELLED = 12_000
 MAX_FEATURES = 256
-#: Least chi-square of a feature (one degree of freedom, p = 0.0001).
-MIN_CHI2 = 15.1
+#: Least chi-square of a feature (one degree of freedom, p = 0.000001, as there are very many candidates).
+MIN_CHI2 = 24.0
+#: A dense feature stands at least once in so many words.
+DENSE = 150
 BLOCK = 32
 NEIGHBOURS = 15
 THRESHOLD = 0.7
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8)
 COLUMNS = ("held_out", "score", "predicted", "evidence")
 
 
 def _features(texts: pa.Array):
-    """Hashes of all features of a slice, and their documents (a feature once for each place)."""
+    """Hashes of all features of a slice and their documents (a feature once for each place); words by document."""
     words = common.Words(texts, common.ALNUM, lower=True)
     doc = np.repeat(np.arange(len(texts)), words.counts)
     out, docs = [words.hash], [doc]
@@ -49,14 +52,16 @@ def _features(texts: pa.Array):
         start = words.start[long]
         out.append(common.span_hash(words.data, start, start + size) ^ U64(size))
         docs.append(doc[long])
-    return np.concatenate(out), np.concatenate(docs)
+    return np.concatenate(out), np.concatenate(docs), words.counts
 
 
 class Vocabulary:
-    """Chosen features; ``counts`` gives the term counts of a slice's documents."""
+    """Chosen features (hash, whether the dense form); ``counts`` gives the term counts of a slice's documents."""
 
-    def __init__(self, hashes: np.ndarray):
-        self.hashes = np.sort(hashes.astype(U64))
+    def __init__(self, hashes: np.ndarray, dense: np.ndarray):
+        self.hashes = np.unique(hashes.astype(U64))
+        self.base, self.dense = np.searchsorted(self.hashes, hashes.astype(U64)), dense.astype(bool)
+        self.size = len(self.base)
         self.filter = np.zeros(1 << 16, bool)
         self.filter[(self.hashes & U64(0xFFFF)).astype(np.int64)] = True
 
@@ -64,12 +69,17 @@ class Vocabulary:
         n, v = len(texts), len(self.hashes)
         if not v:
             return np.zeros((n, 0), np.int64)
-        feature, doc = _features(texts)
+        feature, doc, words = _features(texts)
         near = np.flatnonzero(self.filter[(feature & U64(0xFFFF)).astype(np.int64)])
         feature, doc = feature[near], doc[near]
         at = np.minimum(np.searchsorted(self.hashes, feature), v - 1)
         hit = self.hashes[at] == feature
-        return np.bincount(doc[hit] * v + at[hit], minlength=n * v).reshape(n, v)
+        found = np.bincount(doc[hit] * v + at[hit], minlength=n * v).reshape(n, v)[:, self.base]
+        return np.where(self.dense, _dense(found, words[:, None]), found)
+
+
+def _dense(count, words):
+    return (count >= 2) & (count * DENSE >= words)
 
 
 def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -178,28 +188,31 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> Model
 
     def distinct(batches):
         for piece in common.slices(batches):
-            feature, doc = _features(piece.column(1))
-            label = piece.column(2).to_numpy()[doc]
+            feature, doc, words = _features(piece.column(1))
             order = np.lexsort((doc, feature))
-            feature, doc, label = feature[order], doc[order], label[order]
-            new = np.ones(len(feature), bool)
-            new[1:] = (feature[1:] != feature[:-1]) | (doc[1:] != doc[:-1])
-            feature, label = feature[new], label[new]
-            begin = np.flatnonzero(np.append(True, feature[1:] != feature[:-1])) if len(feature) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(feature[begin].view(np.int64)), pa.array(np.diff(np.append(begin, len(feature))), pa.int64()),
-                 pa.array(np.add.reduceat(label, begin).astype(np.int64) if len(begin) else np.zeros(0, np.int64))],
-                names=["f", "n", "n1"])
-
-    seen = rows.select("id", "text", "toxic").mapInArrow(distinct, "f bigint, n bigint, n1 bigint").groupBy("f").agg(
+            feature, doc = feature[order], doc[order]
+            new = np.flatnonzero(np.append(True, (feature[1:] != feature[:-1]) | (doc[1:] != doc[:-1]))) if len(feature) else np.zeros(0, np.int64)
+            count = np.diff(np.append(new, len(feature)))
+            feature, doc = feature[new], doc[new]
+            label = piece.column(2).to_numpy().astype(np.int64)[doc]
+            for dense in (False, True):
+                keep = _dense(count, words[doc]) if dense else np.ones(len(feature), bool)
+                f, y = feature[keep], label[keep]
+                begin = np.flatnonzero(np.append(True, f[1:] != f[:-1])) if len(f) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(f[begin].view(np.int64)), pa.array(np.full(len(begin), dense)),
+                     pa.array(np.diff(np.append(begin, len(f))), pa.int64()),
+                     pa.array(np.add.reduceat(y, begin) if len(begin) else np.zeros(0, np.int64))], names=["f", "dense", "n", "n1"])
+
+    seen = rows.select("id", "text", "toxic").mapInArrow(distinct, "f bigint, dense boolean, n bigint, n1 bigint").groupBy("f", "dense").agg(
         F.sum("n").cast("double").alias("n"), F.sum("n1").cast("double").alias("n1"))
     n0 = n - n1
     # 2 x 2 table of (feature in the text, label)
     gap = F.col("n1") * F.lit(float(n0)) - (F.col("n") - F.col("n1")) * F.lit(float(n1))
     chi2 = gap * gap * n / (F.lit(float(max(n1, 1))) * max(n0, 1) * F.col("n") * F.greatest(F.lit(float(n)) - F.col("n"), F.lit(1.0)))
-    best = seen.where("n >= 5").withColumn("c", chi2).where(F.col("c") >= MIN_CHI2).orderBy(F.desc("c"), "f").limit(MAX_FEATURES)
-    vocabulary = Vocabulary(np.array([r["f"] for r in best.collect()], np.int64).view(U64))
-    v = len(vocabulary.hashes)
+    best = seen.where("n >= 5").withColumn("c", chi2).where(F.col("c") >= MIN_CHI2).orderBy(F.desc("c"), "f", "dense").limit(MAX_FEATURES).collect()
+    vocabulary = Vocabulary(np.array([r["f"] for r in best], np.int64).view(U64), np.array([r["dense"] for r in best], bool))
+    v = vocabulary.size
 
     def frequencies(batches):
         total = np.zeros(v + 1, np.int64)
