@@ -91,24 +91,21 @@ def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 class BlockMaxIndex:
     def __init__(self, rows: np.ndarray, names: np.ndarray, labels: np.ndarray):
-        rows = rows.reshape(len(rows), -1)
         full = np.flatnonzero(rows.any(1)) if rows.shape[1] else np.zeros(0, np.int64)
         order = full[np.lexsort((names[full], rows[full].max(1).round(3), rows[full].argmax(1)))] if len(full) else full
-        pad = -len(order) % BLOCK
+        pad = -len(order) % BLOCK if len(order) else BLOCK
         self.names = np.append(names[order], np.zeros(pad, np.int64))
         self.labels = np.append(labels[order], np.zeros(pad, np.int64))
         self.size = len(order)
         self.rows = np.vstack([rows[order], np.zeros((pad, rows.shape[1]), np.float32)])
-        self.blocks = self.rows.reshape(-1, BLOCK, rows.shape[1]) if rows.shape[1] else np.zeros((0, BLOCK, 0), np.float32)
-        self.maxima = self.blocks.max(1).T.copy() if len(self.blocks) else np.zeros((rows.shape[1], 0), np.float32)
+        self.blocks = self.rows.reshape(len(self.rows) // BLOCK, BLOCK, self.rows.shape[1])
+        self.maxima = self.blocks.max(1).T.copy()
 
     def search(self, queries: np.ndarray, k: int = NEIGHBOURS, skip: np.ndarray | None = None):
         """(example numbers, similarities) of the k nearest; -1 and 0 where there are fewer with a positive
         similarity. ``skip``: an example that a query may not have (itself, in leave-one-out)."""
         m, nb = len(queries), len(self.blocks)
         best, who = np.zeros((m, k)), np.full((m, k), -1, np.int64)
-        if not nb or not m:
-            return who, best
         bound = np.round(queries @ self.maxima + 1e-5, 5)
         order = np.argsort(-bound, axis=1, kind="stable")
         live = np.flatnonzero(queries.any(1))
@@ -235,7 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> Model
     known = rows.select("id", "text", "toxic").mapInArrow(weigh, "id bigint, toxic int, w binary").orderBy("id", "w").collect()
     names = np.array([r[0] for r in known], np.int64)
     y = np.array([r[1] for r in known], np.int64)
-    w = np.frombuffer(b"".join(r[2] for r in known), np.float32).reshape(len(known), v)
+    w = np.frombuffer(b"".join(r[2] for r in known), np.float32).reshape(len(known), v) if len(known) else np.zeros((0, v), np.float32)
     index = BlockMaxIndex(w, names, y)
     if not len(known):
         return Model(vocabulary, idf, index, None)

@@ -108,7 +108,7 @@ def test_jaccard_join_chains_and_near_copies(spark):
     line = " ".join(word() for _ in range(9))
     base = [word() for _ in range(60)]
     texts = []
-    for k in range(120):
+    for k in range(260):  # enough that the group's n-grams count as hot
         w = list(base)
         for _ in range(rng.randrange(4)):
             w[rng.randrange(60)] = word()
