@@ -2,14 +2,17 @@
 
 Spark's exact ``median`` keeps a value->count map per group and merges all of
 them in one task for a global median: memory grows with the distinct values
-of the whole column. ``exact_medians`` instead selects the middle ranks:
-
-1. one aggregation: counts and ``percentile_approx`` bounds around the middle
-   rank, ``0.5 +- 3/accuracy`` (the sketch's rank error is <= n/accuracy);
-2. exact counts of the rows below / inside the bounds; a window with more
-   than MAX_CANDIDATES rows is narrowed again by a sketch of its own rows;
-3. the candidates inside the final window are sorted per column and the
-   middle ranks picked on the executors.
+of the whole column. ``exact_medians`` selects the middle ranks instead:
+
+1. small tables go to step 3 at once; otherwise ``percentile_approx`` gives
+   bounds around the middle ranks, ``0.5 +- 3/accuracy`` (the sketch's rank
+   error is <= n/accuracy), and the rows below / inside are counted exactly;
+2. while a column's window still holds more than TARGET_VALUES distinct
+   values, a sketch of the window's rows narrows it (every round leaves
+   about 6/accuracy of the rows, besides ties of the two bounds, so this ends);
+3. the window's rows become (column, value, count) rows, combined before
+   the shuffle -- any number of ties is one row -- and running counts per
+   column give the values at the middle ranks.
 
 Result equals numpy/pandas/DuckDB ``median`` (average of the two middle values
 for even counts). All-null columns give NULL.
@@ -19,105 +22,88 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Candidates per column kept in one task in the selection pass.
-MAX_CANDIDATES = 2_000_000
+# Distinct values of a column's window that are ranked in one window task.
+TARGET_VALUES = 1_000_000
 # Sketch accuracy: the rank error of percentile_approx is <= n / accuracy and its
 # summary holds O(accuracy) entries per column per task.
 SKETCH_ACCURACY = 10_000
-MAX_ROUNDS = 4
+ALL = (-math.inf, math.inf)
 
 
 def exact_medians(df: DataFrame, cols: list[str], with_counts: bool = False):
     """AGG9: exact median of each column (nulls skipped).
 
-    Pass 1: row count and non-null counts. Small tables (<= MAX_CANDIDATES
-    rows) then select directly. Larger ones take sketch bounds around the
-    middle rank, count the rows below / inside them exactly; while a window
-    still holds too many candidates it is narrowed by a sketch of the rows
-    inside it (each round shrinks it by ~accuracy/6); finally the candidates
-    are sorted per column on the executors and the middle ranks picked.
     ``with_counts=True`` also returns (n_rows, {col: n_non_null}).
     """
     if not cols:
         return ({}, (0, {})) if with_counts else {}
     x = {c: F.col(f"`{c}`").cast("double") for c in cols}
-    d = 3.0 / SKETCH_ACCURACY
     row = df.agg(F.count(F.lit(1)).alias("_n"),
                  *[F.count(x[c]).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-    n_total = row["_n"]
     counts = {c: row[f"n{i}"] for i, c in enumerate(cols)}
-    if n_total <= MAX_CANDIDATES:
-        med = _pick(df, x, {c: None for c in cols}, {c: 0 for c in cols}, counts)
-    else:
-        q = df.agg(*[F.percentile_approx(x[c], [max(0.0, 0.5 - d), min(1.0, 0.5 + d)], SKETCH_ACCURACY)
-                     .alias(f"q{i}") for i, c in enumerate(cols)]).first()
-        bounds = {c: (tuple(q[f"q{i}"]) if q[f"q{i}"] is not None else None) for i, c in enumerate(cols)}
-        med = _narrow_and_pick(df, x, bounds, counts)
-    return (med, (n_total, counts)) if with_counts else med
+    bounds = {c: ALL for c in cols if counts[c]}
+    below = dict.fromkeys(bounds, 0)
+    if row["_n"] > TARGET_VALUES:
+        bounds, below = _narrowed(df, x, bounds, counts)
+    med = dict.fromkeys(cols) | _pick(df, x, bounds, below, counts)
+    return (med, (row["_n"], counts)) if with_counts else med
+
+
+def _inside(x: Column, b: tuple) -> Column:
+    if b == ALL:
+        return x.isNotNull()
+    return (x >= F.lit(b[0])) & (x <= F.lit(b[1]))
 
 
-def _narrow_and_pick(df, x, bounds, counts):
-    out = {c: None for c, n in counts.items() if not n}
-    live = {c: b for c, b in bounds.items() if counts[c]}
-    below = {}
+def _narrowed(df, x, bounds, counts):
+    """Windows around the middle ranks with few distinct values, and the rows below each."""
+    bounds, done, below = dict(bounds), {}, {}
+    ranks = {c: (0, counts[c]) for c in bounds}  # rows below the window, rows inside it
     d = 3.0 / SKETCH_ACCURACY
-    for _ in range(MAX_ROUNDS):
-        if not live:
-            break
-        cs = list(live)
-        inside = {c: (x[c] >= F.lit(live[c][0])) & (x[c] <= F.lit(live[c][1])) for c in cs}
-        r = df.agg(*[F.count_if(x[c] < F.lit(live[c][0])).alias(f"b{i}") for i, c in enumerate(cs)],
-                   *[F.count_if(inside[c]).alias(f"k{i}") for i, c in enumerate(cs)]).first()
-        ready, nxt, sk = {}, {}, {}
+    while bounds:
+        cs = list(bounds)
+        q = df.agg(*[F.percentile_approx(
+            F.when(_inside(x[c], bounds[c]), x[c]),
+            [min(max(0.0, ((counts[c] - 1) // 2 - ranks[c][0]) / ranks[c][1] - d), 1.0),
+             min(max(0.0, (counts[c] // 2 - ranks[c][0]) / ranks[c][1] + d), 1.0)], SKETCH_ACCURACY).alias(f"q{i}")
+            for i, c in enumerate(cs)]).first()
+        new = {c: tuple(q[f"q{i}"]) for i, c in enumerate(cs)}
+        r = df.agg(*[e for i, c in enumerate(cs) for e in (
+            F.count_if(x[c] < F.lit(new[c][0])).alias(f"b{i}"), F.count_if(_inside(x[c], new[c])).alias(f"k{i}"),
+            F.approx_count_distinct(F.when(_inside(x[c], new[c]), x[c])).alias(f"v{i}"))]).first()
         for i, c in enumerate(cs):
-            n, b, k = counts[c], r[f"b{i}"], r[f"k{i}"]
-            lo_r, hi_r = (n - 1) // 2 - b, n // 2 - b
-            if not (0 <= lo_r and hi_r < k):      # sketch missed: widen to the full range
-                nxt[c] = (-math.inf, math.inf)
-            elif k <= MAX_CANDIDATES:
-                ready[c], below[c] = live[c], b
-            else:                                 # narrow with a sketch of the window
-                sk[c] = (lo_r / k, hi_r / k)
-        if ready:
-            out.update(_pick(df, x, ready, below, counts))
-        if sk:
-            names = list(sk)
-            q = df.agg(*[F.percentile_approx(F.when(inside[c], x[c]),
-                                             [max(0.0, sk[c][0] - d), min(1.0, sk[c][1] + d)], SKETCH_ACCURACY)
-                         .alias(f"q{i}") for i, c in enumerate(names)]).first()
-            for i, c in enumerate(names):
-                nxt[c] = tuple(q[f"q{i}"])
-        live = nxt
-    if live:
-        raise RuntimeError(f"median selection did not converge for {sorted(live)}")
-    return out
+            b, k = r[f"b{i}"], r[f"k{i}"]
+            missed = not (b <= (counts[c] - 1) // 2 and counts[c] // 2 < b + k)
+            if missed or (b, k) == ranks[c]:  # the sketch missed or cannot narrow: rank the window as it is
+                done[c], below[c] = bounds.pop(c), ranks[c][0]
+            elif r[f"v{i}"] <= TARGET_VALUES:
+                done[c], below[c] = new[c], b
+                del bounds[c]
+            else:
+                bounds[c], ranks[c] = new[c], (b, k)
+    return done, below
 
 
 def _pick(df, x, bounds, below, counts):
-    """Selection pass: sorted candidates inside the bounds (all values when the
-    bound is None), middle ranks picked on the executors; only the medians
-    reach the driver."""
-    cols = [c for c in bounds if counts[c]]
-    out = {c: None for c in bounds if not counts[c]}
+    """Medians from value counts inside the bounds; at most two rows a column reach the driver."""
+    cols = list(bounds)
     if not cols:
-        return out
-    aggs, picks = [], []
-    for i, c in enumerate(cols):
-        b = bounds[c]
-        inside = x[c].isNotNull() if b is None else (x[c] >= F.lit(b[0])) & (x[c] <= F.lit(b[1]))
-        aggs.append(F.sort_array(F.collect_list(F.when(inside, x[c]))).alias(f"v{i}"))
-        n, v = counts[c], F.col(f"v{i}")
-        lo, hi = (n - 1) // 2 - below[c], n // 2 - below[c]
-        a = F.try_element_at(v, F.lit(lo + 1))
-        z = F.try_element_at(v, F.lit(hi + 1))
-        picks.append((a + (z - a) * 0.5).alias(f"m{i}"))
-    row = df.agg(*aggs).select(*picks).first()
-    out.update({c: row[f"m{i}"] for i, c in enumerate(cols)})
-    return out
+        return {}
+    items = F.array(*[F.struct(F.lit(i).alias("i"), F.when(_inside(x[c], bounds[c]), x[c]).alias("v"))
+                      for i, c in enumerate(cols)])
+    values = df.select(F.explode(F.filter(items, lambda e: e["v"].isNotNull())).alias("e")) \
+               .groupBy(F.col("e.i").alias("i"), F.col("e.v").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    rank = lambda of: F.element_at(F.array(*[F.lit(of(counts[c]) - below[c]) for c in cols]), F.col("i") + 1)
+    lo, hi = rank(lambda n: (n - 1) // 2), rank(lambda n: n // 2)
+    upto = F.sum("n").over(Window.partitionBy("i").orderBy("v"))
+    at = lambda k: (F.col("upto") - F.col("n") <= k) & (k < F.col("upto"))
+    rows = values.withColumn("upto", upto).groupBy("i").agg(
+        F.max(F.when(at(lo), F.col("v"))).alias("a"), F.max(F.when(at(hi), F.col("v"))).alias("z")).collect()
+    return {cols[r["i"]]: r["a"] + (r["z"] - r["a"]) * 0.5 for r in rows}
 
 
 def medians_frame(df: DataFrame, cols: list[str]) -> DataFrame:

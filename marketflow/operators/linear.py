@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from marketflow.functions.scalar import log_grid_values
 from marketflow.operators.series import _keyed_join
+from marketflow.plans.materialize import materialize
 
 # Default CV settings of the linear model.
 L1_RATIO = 0.5
@@ -38,16 +39,23 @@ FINAL_MAX_ITER = 1_000
 TOL = 1e-4
 
 
-@dataclass
-class ElasticNetParameters:
+@dataclass(frozen=True)
+class PenaltyGrid:
+    """Settings of the cross-validated fit; every field is checked."""
+
     l1_ratio: float = L1_RATIO
     cv: int = CV_FOLDS
-    alphas: list[float] = field(default_factory=lambda: log_grid_values(N_ALPHAS, *ALPHA_EXP_RANGE))
+    alphas: tuple[float, ...] = field(default_factory=lambda: tuple(log_grid_values(N_ALPHAS, *ALPHA_EXP_RANGE)))
     max_iter: int = CV_MAX_ITER
 
     def __post_init__(self):
-        if self.l1_ratio < 0 or self.l1_ratio > 1:
-            raise ValueError("Wrong initializing value for ElasticNet l1_ratio")
+        object.__setattr__(self, "alphas", tuple(self.alphas))
+        checks = {"l1_ratio must lie in [0, 1]": 0 <= self.l1_ratio <= 1, "cv needs two folds or more": self.cv >= 2,
+                  "alphas must be positive and not empty": bool(self.alphas) and min(self.alphas, default=0) > 0,
+                  "max_iter must be 1 or more": self.max_iter >= 1}
+        wrong = [text for text, ok in checks.items() if not ok]
+        if wrong:
+            raise ValueError("; ".join(wrong))
 
 
 def _pairs(p: int) -> list[tuple[int, int]]:
@@ -113,11 +121,12 @@ def _moments_numpy(d: DataFrame, keys: list[str], p: int) -> DataFrame:
             for k, (n, sy, syy, sx, S, sxy) in acc.items():
                 rows.append(list(k) + [n, sy, syy, np.concatenate([sx, S[iu], sxy]).tolist()])
             acc.clear()
-            return pd.DataFrame(rows, columns=keys + ["n", "sy", "syy", "v"])
+            # object columns: a key that is NULL in all rows keeps the declared type
+            return pd.DataFrame(rows, columns=keys + ["n", "sy", "syy", "v"], dtype=object)
 
         for pdf in it:
             for k, g in pdf.groupby(keys, sort=False, dropna=False):
-                k = k if isinstance(k, tuple) else (k,)
+                k = tuple(None if pd.isna(x) else x for x in (k if isinstance(k, tuple) else (k,)))
                 X = g[xcols].to_numpy(dtype="float64")
                 yv = g["_y"].to_numpy(dtype="float64")
                 a = acc.get(k)
@@ -134,7 +143,8 @@ def _moments_numpy(d: DataFrame, keys: list[str], p: int) -> DataFrame:
         if acc:
             yield flush()
 
-    parts = d.mapInPandas(partial, part_schema)
+    # one Python pass over the rows: both merges read the written partial moments
+    parts = materialize(d.mapInPandas(partial, part_schema), "partial-moments")
     L = p + len(iu[0]) + p
     # element-wise merge of the partial vectors: (group, idx) sums, shuffled by
     # (group, idx) so a hot group is spread over many tasks
@@ -143,7 +153,7 @@ def _moments_numpy(d: DataFrame, keys: list[str], p: int) -> DataFrame:
     vec = ex.groupBy(*keys, "i").agg(F.sum("val").alias("val")) \
             .groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("i", "val"))).alias("_v"))
     vals = F.transform(F.col("_v"), lambda e: e["val"])
-    out = scal.join(vec, on=keys, how="inner")
+    out = _keyed_join(scal, vec, keys, [], "inner")  # NULL-safe: a NULL group is a group
     return out.select(*keys, F.col("n").cast("long").alias("n"), F.slice(vals, 1, p).alias("sx"), "sy", "syy",
                       F.slice(vals, p + 1, L - 2 * p).alias("sxx"), F.slice(vals, L - p + 1, p).alias("sxy"))
 
@@ -212,7 +222,7 @@ def _mse(w, b, n, sx, sy, syy, S, sxy):
     return max(sse, 0.0) / n
 
 
-def cv_path(spark_df_moments: DataFrame, keys: list[str], p: int, params: ElasticNetParameters) -> DataFrame:
+def cv_path(spark_df_moments: DataFrame, keys: list[str], p: int, params: PenaltyGrid) -> DataFrame:
     """MOD2 step 1: per (series, fold) path of validation MSE over the alphas."""
     alphas = sorted(params.alphas, reverse=True)
     l1r, mi = params.l1_ratio, params.max_iter
@@ -314,7 +324,7 @@ class LinearModel:
 
 
 def elastic_net_cv(df: DataFrame, features: list[str], target: str, fold_col: str = "fold",
-                   keys: list[str] | None = None, params: ElasticNetParameters | None = None) -> DataFrame:
+                   keys: list[str] | None = None, params: PenaltyGrid | None = None) -> DataFrame:
     """MOD2 + MOD3 for every series: returns one row per series with
     ``alpha``, ``cv_mse``, ``intercept``, ``coef``. ``fold_col`` holds the
     contiguous fold id (WIN5)."""
@@ -322,11 +332,11 @@ def elastic_net_cv(df: DataFrame, features: list[str], target: str, fold_col: st
     unkeyed = not keys
     if unkeyed:  # one series: a constant key keeps every step an equi join
         df, keys = df.withColumn("_series", F.lit(0)), ["_series"]
-    params = params or ElasticNetParameters()
+    params = params or PenaltyGrid()
     p = len(features)
     mom = moments(df, features, target, keys + [fold_col]).withColumnRenamed(fold_col, "fold") \
         .withColumn("fold", F.col("fold").cast("int"))
-    mom = mom.checkpoint(eager=True)  # tiny; every later step reads it
+    mom = materialize(mom, "moments")  # tiny; every later step reads it
     tm = train_minus_fold(mom, keys)
     path = cv_path(tm, keys, p, params)
     best = select_alpha(path, keys)
@@ -337,7 +347,7 @@ def elastic_net_cv(df: DataFrame, features: list[str], target: str, fold_col: st
 
 
 def fit_linear(df: DataFrame, features: list[str], target: str, fold_col: str = "fold",
-               params: ElasticNetParameters | None = None) -> LinearModel:
+               params: PenaltyGrid | None = None) -> LinearModel:
     """Unkeyed convenience: the one fitted row as a ``LinearModel``."""
     r = elastic_net_cv(df, features, target, fold_col, None, params).first()
     return LinearModel(tuple(features), r["intercept"], tuple(r["coef"]), r["alpha"], r["cv_mse"])

@@ -4,11 +4,13 @@ A window with no ``partitionBy`` moves the whole table into one task. Every
 operator here instead works on *blocks*:
 
 1. ``add_position`` (WIN1) gives each row its 0-based position inside its series
-   (``partition_by`` keys, possibly none). It buckets the order key by global
-   quantiles (one bounded ``percentile_approx`` row on the driver), counts rows
-   per bucket, turns the small count table into offsets with a running sum,
-   and adds ``row_number`` inside each (series, bucket). A hot series is split
-   across buckets like any other, so no task holds a whole series.
+   (``partition_by`` keys, possibly none). Rows are range-partitioned on the
+   series keys and the WHOLE order tuple (any orderable types; NULL has a place
+   of its own) and written with their range number, so later passes see the same
+   ranges. Rows per (series, range) are counted, the small count table gives
+   offsets by a running sum, and ``row_number`` inside each (series, range) is
+   added. A hot series, and ties of the first order column, are split over
+   ranges like anything else, so no task holds a whole series.
 2. ``with_halo`` cuts positions into blocks of ``B`` rows and copies the last
    ``before`` rows of every block into the next one (and the first ``after``
    rows into the previous one), flagged ``_halo``. A window partitioned by
@@ -17,8 +19,7 @@ operator here instead works on *blocks*:
    run longer than the halo) go through a per-block summary table: one row per
    (series, block), carried with a running ``last`` and joined back.
 
-The order key must be unique inside a series (ties are broken by the extra
-``order_by`` columns, but all ties of the first column share one bucket).
+Rows that tie on the whole order tuple get distinct positions in no set order.
 """
 
 from __future__ import annotations
@@ -26,11 +27,10 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from marketflow.plans.materialize import materialize
 from marketflow.session import shuffle_partitions
 
 POS = "pos"
@@ -38,13 +38,11 @@ _BKT = "_bkt"
 _BLK = "_blk"
 _HALO = "_halo"
 
-# Upper bound on buckets / blocks per unkeyed series: keeps the per-bucket
-# tables small enough to broadcast whatever the data size.
-MAX_BUCKETS = 10_000
-# Target rows per block for halo windows at large scale.
+# Offsets of at most this many ranges are broadcast (a few MB); more are joined.
+BROADCAST_RANGES = 100_000
+# Rows of one range, and of one halo block, at large scale.
 TARGET_BLOCK_ROWS = 4_000_000
-# Mean rows per (series, block) group above which the EWM runs in pandas.
-PANDAS_MIN_GROUP_ROWS = 5_000
+MIN_BLOCK_ROWS = 64
 
 
 def _as_list(x) -> list[str]:
@@ -53,23 +51,6 @@ def _as_list(x) -> list[str]:
     return [x] if isinstance(x, str) else list(x)
 
 
-def _numeric_key(df: DataFrame, c: str) -> Column:
-    """Order key as double (exact for integers below 2**53)."""
-    t = df.schema[c].dataType
-    if isinstance(t, T.TimestampNTZType):
-        # wall-clock micros, no session time zone (a DST zone would make the
-        # mapping non-monotone)
-        x = F.col(c)
-        days = F.datediff(x.cast("date"), F.lit("1970-01-01").cast("date")).cast("double")
-        secs = (F.hour(x) * 3600 + F.minute(x) * 60).cast("double") + F.date_part(F.lit("SECOND"), x).cast("double")
-        return days * 86_400_000_000.0 + secs * 1_000_000.0
-    if isinstance(t, T.TimestampType):
-        return F.unix_micros(F.col(c)).cast("double")
-    if isinstance(t, T.DateType):
-        return F.unix_date(F.col(c)).cast("double")
-    return F.col(c).cast("double")
-
-
 @dataclass(frozen=True)
 class SeriesLayout:
     """Bounded driver-side facts about a positioned series table."""
@@ -79,9 +60,11 @@ class SeriesLayout:
     n_series: int = 1
 
 
-def _target_buckets(df: DataFrame) -> int:
-    sp = shuffle_partitions(df.sparkSession)
-    return max(1, min(MAX_BUCKETS, 2 * sp))
+def _target_ranges(df: DataFrame, n_rows: int) -> int:
+    """Ranges for ``n_rows``: as many as tasks run at once if that leaves MIN_BLOCK_ROWS rows each, and
+    never more than TARGET_BLOCK_ROWS rows each."""
+    wide = min(2 * shuffle_partitions(df.sparkSession), math.ceil(n_rows / MIN_BLOCK_ROWS))
+    return max(1, wide, math.ceil(n_rows / TARGET_BLOCK_ROWS))
 
 
 def _keyed_join(left: DataFrame, right: DataFrame, keys: list[str], extra: list[str], how: str) -> DataFrame:
@@ -101,62 +84,46 @@ def _keyed_join(left: DataFrame, right: DataFrame, keys: list[str], extra: list[
 
 
 def add_position(df: DataFrame, order_by, partition_by=None, pos_col: str = POS,
-                 n_buckets: int | None = None, with_layout: bool = False):
+                 n_buckets: int | None = None, with_layout: bool = False, nulls: str = "last"):
     """WIN1: 0-based row position in ``order_by`` order within each series.
 
-    Two-level and deterministic: quantile buckets of the first order column,
-    per-bucket counts, running-sum offsets over the small count table, then
-    ``row_number`` inside (series, bucket).
+    Ranges of the order tuple, written once; per-range counts, running-sum
+    offsets over the small count table, then ``row_number`` inside
+    (series, range). ``nulls``: NULL order values come "last" or "first".
     """
+    if nulls not in ("first", "last"):
+        raise ValueError("nulls must be 'first' or 'last'")
     order = _as_list(order_by)
     keys = _as_list(partition_by)
-    nb = n_buckets or _target_buckets(df)
-    kd = _numeric_key(df, order[0])
-    fr = [i / nb for i in range(1, nb)]
-    ns = F.approx_count_distinct(F.struct(*keys)) if keys else F.lit(1)
-    if fr:
-        row = df.agg(F.count(F.lit(1)).alias("n"), ns.alias("ns"),
-                     F.percentile_approx(kd, fr, 10_000).alias("q")).first()
-        n, n_series, qs = row["n"], row["ns"], sorted(set(row["q"] or []))
-    else:
-        row = df.agg(F.count(F.lit(1)).alias("n"), ns.alias("ns")).first()
-        n, n_series, qs = row["n"], row["ns"], []
-    splits = [-math.inf] + [float(q) for q in qs] + [math.inf]
-    if len(splits) < 3:
-        splits = [-math.inf, 0.0, math.inf]
-    with_key = df.withColumn("_kd", kd)
-    b = Bucketizer(splits=splits, inputCol="_kd", outputCol="_bktd", handleInvalid="keep")
-    bucketed = b.transform(with_key).withColumn(_BKT, F.col("_bktd").cast("int")).drop("_bktd", "_kd")
-
-    counts = bucketed.groupBy(*keys, _BKT).agg(F.count(F.lit(1)).alias("_cnt"))
+    asc = [F.asc_nulls_last(c) if nulls == "last" else F.asc_nulls_first(c) for c in order]
+    n = df.count()
+    nb = n_buckets or _target_ranges(df, n)
+    dealt = df.repartitionByRange(nb, *[F.asc_nulls_first(k) for k in keys], *asc).withColumn(_BKT, F.spark_partition_id())
+    ranged = materialize(dealt, "positions")
+    counts = ranged.groupBy(*keys, _BKT).agg(F.count(F.lit(1)).alias("_cnt"))
     w_off = Window.partitionBy(*keys).orderBy(_BKT).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, _BKT, F.coalesce(F.sum("_cnt").over(w_off), F.lit(0)).alias("_off"))
-    if not keys:
-        # at most len(splits)-1 <= MAX_BUCKETS rows: a proven bound
-        offsets = F.broadcast(offsets)
-    joined = _keyed_join(bucketed, offsets, keys, [_BKT], "inner")
-    w_rn = Window.partitionBy(*keys, _BKT).orderBy(*order)
+    if not keys and nb <= BROADCAST_RANGES:
+        offsets = F.broadcast(offsets)  # one row per range
+    joined = _keyed_join(ranged, offsets, keys, [_BKT], "inner")
+    w_rn = Window.partitionBy(*keys, _BKT).orderBy(*asc)
     out = joined.withColumn(pos_col, (F.col("_off") + F.row_number().over(w_rn) - 1).cast("long")) \
                 .drop("_off", _BKT)
     if with_layout:
-        return out, SeriesLayout(int(n), len(splits) - 1, default_block_rows(df, int(n)), int(n_series or 1))
+        n_series = ranged.agg(F.approx_count_distinct(F.struct(*keys))).first()[0] if keys else 1
+        return out, SeriesLayout(n, nb, default_block_rows(df, n), int(n_series or 1))
     return out
 
 
-def default_block_rows(df: DataFrame, n_rows: int, min_rows: int = 64) -> int:
-    """Rows per halo block: about ``2 x shuffle partitions`` blocks, never
-    more than ``TARGET_BLOCK_ROWS`` rows, never more than MAX_BUCKETS blocks."""
-    nb = _target_buckets(df)
-    per = max(min_rows, math.ceil(n_rows / nb))
-    per = min(per, TARGET_BLOCK_ROWS)
-    per = max(per, math.ceil(n_rows / MAX_BUCKETS))
-    return int(per)
+def default_block_rows(df: DataFrame, n_rows: int, min_rows: int = MIN_BLOCK_ROWS) -> int:
+    """Rows per halo block: about ``2 x shuffle partitions`` blocks, never more
+    than ``TARGET_BLOCK_ROWS`` rows."""
+    return int(min(max(min_rows, math.ceil(n_rows / (2 * shuffle_partitions(df.sparkSession)))), TARGET_BLOCK_ROWS))
 
 
-def bounded_block_rows(block_rows: int, n_rows: int) -> int:
-    """Never more than MAX_BUCKETS blocks per unkeyed series, so the
-    per-block summary tables stay within their broadcast bound."""
-    return max(int(block_rows), math.ceil(n_rows / MAX_BUCKETS), 1)
+def _small(blocks: DataFrame, n_rows: int, block_rows: int) -> DataFrame:
+    """A one-row-per-block table of an unkeyed series: broadcast while it has few rows."""
+    return F.broadcast(blocks) if n_rows <= BROADCAST_RANGES * block_rows else blocks
 
 
 def with_halo(df: DataFrame, block_rows: int, before: int = 0, after: int = 0,
@@ -199,8 +166,6 @@ def shift(df: DataFrame, cols: dict[str, tuple[str, int]], order_by, partition_b
     else:
         n_rows = df.count()
         br = block_rows or default_block_rows(df, n_rows)
-    if not keys:
-        br = bounded_block_rows(br, n_rows)
     back = max([o for _, o in cols.values() if o > 0], default=0)
     ahead = max([-o for _, o in cols.values() if o < 0], default=0)
     br = max(br, back + 1, ahead + 1)
@@ -257,16 +222,13 @@ def ewm_window_rows(alpha: float, rel_tol: float = 2.0 ** -53) -> int:
 def ewm(df: DataFrame, cols: list[str], order_by, partition_by=None, com: float = 0.5,
         null_mode: str = "carry", fill: bool = False, suffix: str = "_ewm",
         pos_col: str | None = None, block_rows: int | None = None,
-        alpha: float | None = None, engine: str = "auto") -> DataFrame:
+        alpha: float | None = None) -> DataFrame:
     """WIN2 (EWM mean, adjusted weights, nulls hold a position) and WIN3 (fill).
 
     Per (series, block) the mean is computed over the block plus a halo of K
-    earlier rows: ``engine='pandas'`` runs the recursive filter per block in
-    ``applyInPandas`` (one group = at most block_rows + K rows, a proven bound);
-    ``engine='window'`` stays in the JVM with a K-row window and array
-    higher-order functions (O(K) interpreted work per row). ``'auto'`` picks
-    pandas when a (series, block) group holds many rows (vectorised filter
-    wins) and the window when groups are small (per-group overhead wins).
+    earlier rows, by built-in expressions (a K-row window, literal weights):
+    the same engine, and the same bits, at every size; only the input columns
+    are touched.
 
     ``null_mode='carry'``: at a null input the mean of the last non-null
     position is carried (the value the adjusted recursion keeps).
@@ -284,25 +246,13 @@ def ewm(df: DataFrame, cols: list[str], order_by, partition_by=None, com: float
     if pos_col is None:
         df, lay = add_position(df, order_by, keys, with_layout=True)
         pos_col, br = POS, block_rows or lay.block_rows
-        n_rows, n_series = lay.n_rows, lay.n_series
+        n_rows = lay.n_rows
     else:
-        n_rows, n_series = df.count(), 1
+        n_rows = df.count()
         br = block_rows or default_block_rows(df, n_rows)
     br = max(br, K + 1)
-    if not keys:
-        br = bounded_block_rows(br, n_rows)
-    if engine == "auto":
-        # pandas pays per group (Arrow batch + frame), the window pays per row
-        # and per history element: few or large groups -> pandas
-        groups = max(n_series, math.ceil(n_rows / br), 1)
-        few = groups <= 4 * shuffle_partitions(df.sparkSession)
-        engine = "pandas" if few or n_rows / groups >= PANDAS_MIN_GROUP_ROWS else "window"
-    h = with_halo(df, br, before=K, pos_col=pos_col)
     p = F.col(pos_col)
-    if engine == "pandas":
-        h = _ewm_block_pandas(h, cols, keys, pos_col, a, null_mode)
-    else:
-        h = _ewm_block_window(h, cols, keys, pos_col, r, K, null_mode)
+    h = _ewm_block(with_halo(df, br, before=K, pos_col=pos_col), cols, keys, pos_col, r, K, null_mode)
 
     if null_mode == "carry":
         # Carry across blocks: last non-null mean per (series, block), then the
@@ -314,7 +264,7 @@ def ewm(df: DataFrame, cols: list[str], order_by, partition_by=None, com: float
         prev = summ.select(*keys, _BLK, *[F.last(f"_b_{c}", ignorenulls=True).over(w_prev).alias(f"_p_{c}")
                                          for c in cols])
         if not keys:
-            prev = F.broadcast(prev)  # one row per block, <= MAX_BUCKETS blocks
+            prev = _small(prev, n_rows, br)
         h = _keyed_join(h, prev, keys, [_BLK], "left")
         vals = {c: F.coalesce(F.col(f"_c_{c}"), F.col(f"_p_{c}")) for c in cols}
     else:
@@ -329,7 +279,7 @@ def ewm(df: DataFrame, cols: list[str], order_by, partition_by=None, com: float
     return h.drop(POS) if drop_pos else h
 
 
-def _ewm_block_window(h: DataFrame, cols, keys, pos_col, r, K, null_mode) -> DataFrame:
+def _ewm_block(h: DataFrame, cols, keys, pos_col, r, K, null_mode) -> DataFrame:
     p = F.col(pos_col)
     w_frame = Window.partitionBy(*keys, _BLK).orderBy(pos_col).rowsBetween(-K, 0)
     w_run = Window.partitionBy(*keys, _BLK).orderBy(pos_col).rowsBetween(Window.unboundedPreceding, 0)
@@ -352,37 +302,6 @@ def _ewm_block_window(h: DataFrame, cols, keys, pos_col, r, K, null_mode) -> Dat
     return h.where(~F.col(_HALO)).drop(_HALO)
 
 
-def _ewm_block_pandas(h: DataFrame, cols, keys, pos_col, alpha, null_mode) -> DataFrame:
-    """Adjusted EWM per (series, block) group with pandas; returns own-block rows
-    with ``_e_{c}`` (mean at non-null positions) and, in carry mode, ``_c_{c}``
-    (in-block carry of the last own-block mean)."""
-    import numpy as np
-    import pandas as pd
-
-    fields = [f for f in h.schema.fields if f.name != _HALO]
-    extra = [T.StructField(f"_e_{c}", T.DoubleType()) for c in cols]
-    if null_mode == "carry":
-        extra += [T.StructField(f"_c_{c}", T.DoubleType()) for c in cols]
-    schema = T.StructType(fields + extra)
-    names = [f.name for f in fields]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(pos_col, kind="mergesort").reset_index(drop=True)
-        own = ~pdf[_HALO].to_numpy(dtype=bool)
-        out = pdf.loc[own, names].reset_index(drop=True)
-        for c in cols:
-            x = pd.to_numeric(pdf[c], errors="coerce").astype("float64")
-            e = x.ewm(alpha=alpha, adjust=True, ignore_na=False).mean().to_numpy()
-            e = np.where(x.notna().to_numpy() & own, e, np.nan)
-            e_own = e[own]
-            out[f"_e_{c}"] = e_own
-            if null_mode == "carry":
-                out[f"_c_{c}"] = pd.Series(e_own).ffill().to_numpy()
-        return out
-
-    return h.groupBy(*keys, _BLK).applyInPandas(run, schema)
-
-
 # ------------------------------------------------------------ splits (WIN4/5)
 
 def expanding_fold(pos: Column, n: Column, k: int = 5) -> Column:
@@ -450,12 +369,10 @@ def running_best(df: DataFrame, value_col: str, order_by, partition_by=None, pos
     keys = _as_list(partition_by)
     if pos_col is None:
         df, lay = add_position(df, order_by, keys, with_layout=True)
-        pos_col, br = POS, block_rows or lay.block_rows
+        pos_col, br, n_rows = POS, block_rows or lay.block_rows, lay.n_rows
     else:
         n_rows = df.count()
         br = block_rows or default_block_rows(df, n_rows)
-        if not keys:
-            br = bounded_block_rows(br, n_rows)
     p = F.col(pos_col)
     d = df.withColumn(_BLK, F.floor(p / F.lit(br)).cast("long"))
     item = F.when(F.col(value_col).isNotNull(), F.struct(F.col(value_col).cast("double").alias("v"), p.alias("p")))
@@ -465,7 +382,7 @@ def running_best(df: DataFrame, value_col: str, order_by, partition_by=None, pos
     w_prev = Window.partitionBy(*keys).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
     prev = summ.select(*keys, _BLK, F.min("_bm").over(w_prev).alias("_pm"))
     if not keys:
-        prev = F.broadcast(prev)
+        prev = _small(prev, n_rows, br)
     d = _keyed_join(d, prev, keys, [_BLK], "left")
     best = F.when(F.col("_pm").isNull(), F.col("_in")).when(F.col("_in").isNull(), F.col("_pm")) \
             .otherwise(F.least(F.col("_in"), F.col("_pm")))

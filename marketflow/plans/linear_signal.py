@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from marketflow.functions.scalar import SignalParams, ret_to_signal, u1, u2
 from marketflow.operators import joins, schema, series
-from marketflow.operators.linear import ElasticNetParameters, LinearModel, fit_linear
+from marketflow.operators.linear import PenaltyGrid, LinearModel, fit_linear
 from marketflow.operators.scale import ScalerParams, apply_scaler, fit_scaler
 from marketflow.plans.materialize import materialize
 
@@ -45,7 +45,7 @@ class FittedLinear:
     features: tuple[str, ...]
 
 
-def fit(train_ids: DataFrame, data: DataFrame, params: ElasticNetParameters | None = None) -> tuple:
+def fit(train_ids: DataFrame, data: DataFrame, params: PenaltyGrid | None = None) -> tuple:
     """JOIN1 re-split by id, MOD1 scaler on train, WIN5 folds, MOD2+MOD3."""
     train = materialize(joins.semi_join(data, train_ids.select("date_id"), "date_id"))
     scaler = fit_scaler(train, MODEL_VARS)
@@ -88,7 +88,7 @@ def predict_batches(test: DataFrame, fitted: FittedLinear, history: DataFrame |
               .select(F.col("_batch").alias("date_id"), "raw_pred", "prediction")
 
 
-def run(spark: SparkSession, train: DataFrame, test: DataFrame, params: ElasticNetParameters | None = None,
+def run(spark: SparkSession, train: DataFrame, test: DataFrame, params: PenaltyGrid | None = None,
         use_history: bool = False):
     """End to end: concat (PRJ11/SET1), features, fit, batch predictions."""
     common = schema.common_columns(train, test)

@@ -1,18 +1,20 @@
-"""Lineage cuts in the shared checkpoint folder.
+"""Lineage cuts: written Parquet in the shared folder that ``spark.checkpoint.dir`` names.
 
-Reliable checkpoints only (``DataFrame.checkpoint``): the files live in the
-folder named by ``spark.checkpoint.dir``, so a lost executor does not lose
-them. Used after a large input has been reduced to a small table that several
-later passes read.
+A lost executor does not lose the files, and later passes prune columns and
+push filters into the scan. A folder made for a local session is removed when
+the process ends (see ``session.checkpoint_dir``); on a cluster the folder's owner
+sets how long its files stay.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from marketflow.session import checkpoint_dir
+from marketflow.session import scratch_path
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` to a fresh path in the shared folder and read it back."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

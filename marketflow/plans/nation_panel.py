@@ -53,7 +53,7 @@ def build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(nation_daily(spark, sf_dir))
 
 
-def fit_per_nation(panel: DataFrame, params: linear.ElasticNetParameters | None = None) -> DataFrame:
+def fit_per_nation(panel: DataFrame, params: linear.PenaltyGrid | None = None) -> DataFrame:
     """EWM fill (WIN3), drop nulls (FLT3), positions + contiguous folds (WIN1,
     WIN5), z-score (AGG14/MOD1) and elastic net CV (MOD2/MOD3), all per nation."""
     filled = series.ewm(panel, FEATURES, "date_id", KEY, com=EWM_COM, null_mode="carry", fill=True)

@@ -83,11 +83,14 @@ def q_src5(spark, sf_dir):
     return io.read_csv(spark, path, st, flavor="pandas")
 
 
-# ST3 / JOIN3 input: labels act as the predictions for documents, one batch per source.
+# ST3 / JOIN3 input: labels act as the predictions for documents, one batch per source; toxic ones also
+# send a prediction for an id that no batch expects.
 _ALIGN_SQL = """
 e AS (SELECT source AS batch_id, doc_id, count(*) AS n_exp FROM documents GROUP BY ALL),
-r AS (SELECT d.source AS batch_id, l.doc_id, count(*) AS n_rcv
-      FROM labels l JOIN documents d USING (doc_id) GROUP BY ALL),
+p AS (SELECT doc_id FROM labels UNION ALL
+      SELECT -1 - doc_id FROM labels WHERE toxic = 1),
+r AS (SELECT coalesce(d.source, 'unknown') AS batch_id, p.doc_id, count(*) AS n_rcv
+      FROM p LEFT JOIN documents d USING (doc_id) GROUP BY ALL),
 j AS (SELECT coalesce(e.batch_id, r.batch_id) AS batch_id, coalesce(n_exp, 0) AS n_exp, coalesce(n_rcv, 0) AS n_rcv
       FROM e FULL OUTER JOIN r ON e.batch_id = r.batch_id AND e.doc_id = r.doc_id),
 per AS (SELECT batch_id, CAST(sum(n_exp) AS BIGINT) AS n_expected, CAST(sum(n_rcv) AS BIGINT) AS n_received,
@@ -107,8 +110,10 @@ chk AS (SELECT *,
 
 def _alignment(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("source").alias("batch_id"), "doc_id")
-    labels = table(spark, sf_dir, "labels").select("doc_id")
-    received = labels.join(docs, on="doc_id", how="inner")
+    labels = table(spark, sf_dir, "labels")
+    # predictions for the labelled documents, and some for ids that no batch has
+    preds = labels.select("doc_id").unionByName(labels.where("toxic = 1").select((-1 - F.col("doc_id")).alias("doc_id")))
+    received = preds.join(docs, on="doc_id", how="left").withColumn("batch_id", F.coalesce("batch_id", F.lit("unknown")))
     return joins.alignment(docs, received, "batch_id", "doc_id")
 
 

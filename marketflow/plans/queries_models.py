@@ -146,7 +146,7 @@ def q_path(spark, sf_dir):
     d = xt.withColumn("_series", F.lit(0))
     mom = linear.moments(d, V, "target", ["_series", "fold"]).withColumn("fold", F.col("fold").cast("int"))
     path = linear.cv_path(linear.train_minus_fold(mom, ["_series"]), ["_series"], len(V),
-                          linear.ElasticNetParameters())
+                          linear.PenaltyGrid())
     return path.groupBy("alpha_idx", "alpha").agg(F.avg("mse").alias("mean_mse"), F.count("fold").alias("n_folds"))
 
 

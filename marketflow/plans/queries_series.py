@@ -19,10 +19,8 @@ PATIENCE = 50
 EWM_COLS = ["E3", "P9", "S1", "S5", "V2"]
 _R = 1.0 - series.ewm_alpha(com=EWM_COM)  # decay per row
 _K = series.ewm_window_rows(series.ewm_alpha(com=EWM_COM))
-# the same literal weights the JVM engine uses, so both sides are bit-identical
+# the same literal weights the operator uses, so both sides are bit-identical
 _W = "[" + ", ".join(f"CAST({w!r} AS DOUBLE)" for w in series.ewm_weights(_R, _K)) + "]"
-# registered EWM queries run the JVM engine: its arithmetic order matches the oracle
-ENGINE = "window"
 
 
 def _ewm_sql(src: str, key: str | None, order: str, cols: list[str], mode: str, ids: list[str]) -> str:
@@ -98,8 +96,8 @@ def q_shift(spark, sf_dir):
 def _panel_ewm(spark, sf_dir, mode):
     p = panel(spark, sf_dir).select("date_id", *EWM_COLS)
     if mode == "fill":
-        return series.ewm(p, EWM_COLS, "date_id", com=EWM_COM, null_mode="carry", fill=True, engine=ENGINE)
-    out = series.ewm(p, EWM_COLS, "date_id", com=EWM_COM, null_mode=mode, engine=ENGINE)
+        return series.ewm(p, EWM_COLS, "date_id", com=EWM_COM, null_mode="carry", fill=True)
+    out = series.ewm(p, EWM_COLS, "date_id", com=EWM_COM, null_mode=mode)
     return out.select("date_id", *[f"{c}_ewm" for c in EWM_COLS])
 
 
@@ -136,7 +134,7 @@ def q_ewm_keyed(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
     v = ev.select("event_id", "user_id", "ts",
                   F.when(F.col("event_type") != "error", F.col("value")).alias("value"))
-    out = series.ewm(v, ["value"], "ts", "user_id", com=EWM_COM, null_mode="carry", engine=ENGINE)
+    out = series.ewm(v, ["value"], "ts", "user_id", com=EWM_COM, null_mode="carry")
     return out.select("event_id", "value", "value_ewm")
 
 

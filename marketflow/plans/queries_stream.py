@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from marketflow.functions.scalar import SignalParams, clip
 from marketflow.operators import joins
@@ -43,13 +42,6 @@ def q_batches(spark, sf_dir):
     return idx.join(counts, "batch_id").join(preds, "batch_id").select("batch_id", "batch_index", "n_rows", "prediction")
 
 
-EVENT_SCHEMA = T.StructType([
-    T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
-    T.StructField("user_id", T.LongType()), T.StructField("value", T.DoubleType()),
-    T.StructField("props", T.StringType()), T.StructField("event_type", T.StringType()),
-])
-
-
 def _batch_score(bdf):
     """Scorer of one micro-batch, Spark-native (any batch size): rows and the
     first value in time order per batch id."""
@@ -58,23 +50,40 @@ def _batch_score(bdf):
 
 
 @query("st1_st2_stream_replay", """
-SELECT event_type AS batch_id, count(*) AS n_rows, arg_min(value, ts) AS prediction FROM events GROUP BY event_type""")
+SELECT event_type AS batch_id, count(*) AS n_rows, arg_min(value, ts) AS prediction,
+       row_number() OVER (ORDER BY event_type) - 1 AS epoch, row_number() OVER (ORDER BY event_type) - 1 AS batch_index
+FROM events GROUP BY event_type""")
 def q_replay(spark, sf_dir):
-    """ST1 replay one file per batch through a file stream (availableNow), ST2
-    score each micro-batch in foreachBatch and append to a Parquet sink."""
+    """ST1 replay one batch per epoch in id order through a file stream
+    (availableNow), ST2 score each micro-batch in foreachBatch and append to a
+    Parquet sink, ST3 check each epoch's batch ids."""
     ev = table(spark, sf_dir, "events")
     path = st.write_batches(ev, "event_type")  # UDF3: the path is a plain argument
-    out = st.replay(spark, path, EVENT_SCHEMA, "event_type", _batch_score)
-    return out.select("batch_id", "n_rows", "prediction")
+
+    def check(rows, scores):
+        batch = rows.select(F.col("event_type").alias("batch_id")).distinct()
+        return joins.alignment(batch.select("batch_id", F.col("batch_id").alias("id")),
+                               scores.select("batch_id", F.col("batch_id").alias("id"), "prediction"), "batch_id", "id", "prediction")
+
+    out = st.replay(spark, path, _batch_score, check_fn=check)
+    return out.select("batch_id", "n_rows", "prediction", F.col("epoch").cast("long").alias("epoch"),
+                      F.col("batch_index").cast("long").alias("batch_index"))
 
 
 @query("st3_st4_join2_row_checks", """
-SELECT event_type AS batch_id, count(*) AS n_expected, count(*) AS n_received, 0::BIGINT AS n_missing,
-       0::BIGINT AS n_extra, 0::BIGINT AS n_dup, 'ok' AS status, NULL::INTEGER AS error_type,
-       count(*) FILTER (WHERE NOT coalesce(value >= 0, false)) AS n_fail_non_negative,
-       count(*) FILTER (WHERE NOT coalesce(prediction >= 0 AND prediction <= 2, false)) AS n_fail_signal_range
-FROM (SELECT *, CASE WHEN value IS NOT NULL THEN least(greatest(value / 100.0, 0.0), 2.0) END AS prediction FROM events)
-GROUP BY event_type""")
+WITH p AS (SELECT *, CASE WHEN value IS NOT NULL THEN least(greatest(value / 100.0, 0.0), 2.0) END AS prediction FROM events),
+k AS (SELECT event_type, event_id, count(*) AS n FROM p GROUP BY ALL),
+c AS (SELECT coalesce(e.event_type, r.event_type) AS batch_id, coalesce(e.n, 0) AS x, coalesce(r.n, 0) AS r
+      FROM k e FULL JOIN k r ON e.event_type = r.event_type AND e.event_id = r.event_id),
+a AS (SELECT batch_id, CAST(sum(x) AS BIGINT) AS n_expected, CAST(sum(r) AS BIGINT) AS n_received,
+      count(*) FILTER (WHERE x > 0 AND r = 0) AS n_missing, count(*) FILTER (WHERE x = 0 AND r > 0) AS n_extra,
+      count(*) FILTER (WHERE r > 1) AS n_dup FROM c GROUP BY batch_id),
+f AS (SELECT event_type AS batch_id, count(*) FILTER (WHERE NOT coalesce(value >= 0, false)) AS n_fail_non_negative,
+      count(*) FILTER (WHERE NOT coalesce(prediction >= 0 AND prediction <= 2, false)) AS n_fail_signal_range
+      FROM p GROUP BY event_type)
+SELECT a.*, CASE WHEN n_missing + n_extra + n_dup > 0 THEN 'Invalid predictions: row ids do not match' ELSE 'ok' END AS status,
+       CASE WHEN n_missing + n_extra + n_dup > 0 THEN 6 END AS error_type, n_fail_non_negative, n_fail_signal_range
+FROM a JOIN f USING (batch_id)""")
 def q_checks(spark, sf_dir):
     """Row-level predictions (UDF1 row form, mapInPandas), JOIN2 ids zipped by
     key, ST3 alignment of expected vs received ids per batch, ST4 custom checks."""

@@ -2,11 +2,13 @@
 
 On a cluster the scratch folder is whatever ``spark.checkpoint.dir`` names
 (a shared filesystem / object-store path). Only when it is unset (local runs,
-tests) do we pick a fresh folder under /tmp.
+tests) do we pick a fresh temporary folder.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -45,7 +47,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     Only a local-mode session (tests, a laptop) without the setting gets a
-    fresh folder under /tmp; on a cluster the setting is required, since a
+    fresh temporary folder, removed when the process ends; on a cluster the setting is required, since a
     machine-local folder would not survive a lost executor.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
@@ -53,7 +55,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         master = spark.sparkContext.master or ""
         if not master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/object store)")
-        d = tempfile.mkdtemp(prefix="marketflow-ckpt-", dir="/tmp")
+        d = tempfile.mkdtemp(prefix="marketflow-ckpt-")
+        atexit.register(shutil.rmtree, d, ignore_errors=True)  # a folder of our own, for this process
         spark.conf.set("spark.checkpoint.dir", d)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)

@@ -4,12 +4,13 @@ Batch form (the scalable default): the user's pandas ``predict`` runs once per
 batch with a declared output schema, all batches in parallel, ids travelling
 with the rows; row-wise predictors run on plain Arrow chunks (no grouping).
 
-Stream form (fidelity to the one-batch-at-a-time protocol): the table is
-written as one file per batch id, replayed with a file source at one file per
-trigger (``availableNow``), scored in ``foreachBatch`` and appended to a
-Parquet sink partitioned by epoch. Writes are idempotent per epoch (overwrite of
-``epoch=N``), and the checkpoint lives in the shared checkpoint folder, so a
-restarted query neither loses nor duplicates a batch.
+Stream form (fidelity to the one-batch-at-a-time protocol): batches are numbered in
+id order and staged by number; a file source over one small control file per
+batch gives one epoch per batch (``availableNow``), and epoch k scores the staged
+rows of batch k, whatever order the control files arrive in and over however
+many files a large batch is spread. Scores go to a Parquet folder per epoch.
+Writes are idempotent (overwrite of ``epoch=N``), and the checkpoint lives in the
+shared checkpoint folder, so a restarted query neither loses nor duplicates a batch.
 """
 
 from __future__ import annotations
@@ -17,10 +18,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marketflow.operators.series import add_position
+from marketflow.plans.materialize import materialize
 from marketflow.session import scratch_path
 
 DEFAULT_ID = "batch_id"
@@ -42,16 +45,11 @@ def _to_frame(result, batch_id, id_col: str, target: str) -> pd.DataFrame:
     return out
 
 
-# A user predict sees a whole batch in one pandas frame: batches above this
-# size are refused (use ``predict_rows`` or a DataFrame scorer instead).
-MAX_BATCH_ROWS = 5_000_000
-
-
 class BatchTooLarge(ValueError):
     pass
 
 
-def check_batch_sizes(df: DataFrame, batch_col: str, limit: int = MAX_BATCH_ROWS) -> int:
+def check_batch_sizes(df: DataFrame, batch_col: str, limit: int) -> int:
     """Largest batch size (one aggregation, one number to the driver); raises
     when it exceeds ``limit``."""
     m = df.groupBy(batch_col).count().agg(F.max("count")).first()[0] or 0
@@ -63,43 +61,51 @@ def check_batch_sizes(df: DataFrame, batch_col: str, limit: int = MAX_BATCH_ROWS
 
 def predict_batches(df: DataFrame, batch_col: str, predict: Callable[[pd.DataFrame], object],
                     out_schema: str | T.StructType, order_by: str | None = None,
-                    id_col: str = DEFAULT_ID, target: str = DEFAULT_TARGET,
-                    max_batch_rows: int | None = MAX_BATCH_ROWS) -> DataFrame:
+                    id_col: str = DEFAULT_ID, target: str = DEFAULT_TARGET) -> DataFrame:
     """UDF1 in batch form: ``predict(batch_pdf)`` per batch, all batches in
     parallel (``mapInPandas`` over batch-sorted partitions: one Python call
     per Arrow chunk, not per batch).
 
-    The protocol gives ``predict`` a whole batch (one time step), so a batch
-    is one group; its size is checked against ``max_batch_rows`` first.
-    ``out_schema`` must contain ``id_col``.
+    The protocol gives ``predict`` a whole batch (one time step) in one frame, so
+    a batch must fit one task; ``check_batch_sizes`` tells before a run, and
+    ``predict_rows`` has no such unit. Rows whose batch id is NULL are a batch
+    of their own. ``out_schema`` must contain ``id_col``.
     """
-    if max_batch_rows is not None:
-        check_batch_sizes(df, batch_col, max_batch_rows)
     order = [batch_col] + ([order_by] if order_by else [])
     # rows of a batch become contiguous inside one partition; the Python side
-    # walks the sorted Arrow chunks and calls predict once per batch, carrying
-    # a batch that spans two chunks (at most max_batch_rows rows are held)
+    # walks the sorted Arrow chunks and calls predict once per batch, holding
+    # the pieces of the batch that is still open
     d = df.repartition(batch_col).sortWithinPartitions(*order)
 
-    def score(done: pd.DataFrame):
-        return [_to_frame(predict(g.reset_index(drop=True)), bid, id_col, target)
-                for bid, g in done.groupby(batch_col, sort=False)]
+    def score(batch: pd.DataFrame) -> pd.DataFrame:
+        bid = batch[batch_col].iloc[0]
+        return _to_frame(predict(batch.reset_index(drop=True)), None if pd.isna(bid) else bid, id_col, target)
 
     def run(it):
-        carry = None
+        held: list[pd.DataFrame] = []
         for pdf in it:
-            if carry is not None and len(carry):
-                pdf = pd.concat([carry, pdf], ignore_index=True)
             if pdf.empty:
                 continue
-            last = pdf[batch_col].iloc[-1]
-            tail = (pdf[batch_col] == last).to_numpy()
-            carry = pdf[tail]
-            outs = score(pdf[~tail])
+            key = pdf[batch_col]
+            new = (key != key.shift()) & ~(key.isna() & key.shift().isna())
+            new.iloc[0] = False
+            if held:
+                a, b = held[-1][batch_col].iloc[-1], key.iloc[0]
+                new.iloc[0] = not (a == b or (pd.isna(a) and pd.isna(b)))
+            cuts = [0, *[i for i, flag in enumerate(new) if flag and i], len(pdf)]
+            outs = []
+            if held and new.iloc[0]:
+                outs.append(score(pd.concat(held, ignore_index=True)))
+                held = []
+            for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                if k:
+                    outs.append(score(pd.concat(held, ignore_index=True)))
+                    held = []
+                held.append(pdf.iloc[a:b])
             if outs:
                 yield pd.concat(outs, ignore_index=True)
-        if carry is not None and len(carry):
-            yield pd.concat(score(carry), ignore_index=True)
+        if held:
+            yield score(pd.concat(held, ignore_index=True))
 
     return d.mapInPandas(run, out_schema)
 
@@ -117,41 +123,54 @@ def predict_rows(df: DataFrame, predict: Callable[[pd.DataFrame], pd.DataFrame],
 
 # ------------------------------------------------- ST1: batches in id order
 
+INDEX = "batch_index"
+
+
 def batch_index(df: DataFrame, batch_col: str, order_col: str) -> DataFrame:
-    """ST5/SET5: batch counter = rank of the batch's first appearance
-    (computed on the one-row-per-batch table)."""
+    """ST5/SET5: batch counter = rank of the batch's first appearance (positions
+    on the one-row-per-batch table, without a one-task window)."""
     first = df.groupBy(batch_col).agg(F.min(order_col).alias("_first"))
-    w = Window.orderBy("_first", batch_col)
-    return first.select(batch_col, (F.row_number().over(w) - 1).cast("int").alias("batch_index"))
+    pos = add_position(first, ["_first", batch_col], pos_col=INDEX)
+    return pos.select(batch_col, F.col(INDEX).cast("int").alias(INDEX))
 
 
 def write_batches(df: DataFrame, batch_col: str, path: str | None = None) -> str:
-    """ST1 source side: one directory per batch id, one file each."""
+    """ST1 source side: the rows by batch number (``rows``; a large batch is spread
+    over several files) and one control file per batch (``control``)."""
     spark = df.sparkSession
     path = path or scratch_path(spark, "batches")
-    df.repartition(batch_col).write.mode("overwrite").partitionBy(batch_col).parquet(path)
+    ids = materialize(add_position(df.select(batch_col).distinct(), batch_col, pos_col=INDEX), "batch-ids")
+    left, right = df.alias("l"), ids.select(F.col(batch_col).alias("_id"), INDEX).alias("r")
+    rows = left.join(right, F.col(f"l.{batch_col}").eqNullSafe(F.col("_id"))).drop("_id")
+    rows.hint("rebalance", INDEX).write.mode("overwrite").partitionBy(INDEX).parquet(f"{path}/rows")
+    ids.select(F.col(INDEX).alias("n"), INDEX).repartition(INDEX).write.mode("overwrite").partitionBy(INDEX).parquet(f"{path}/control")
     return path
 
 
-def replay(spark: SparkSession, path: str, schema: T.StructType, batch_col: str,
-           score_fn: Callable[[DataFrame], DataFrame], sink: str | None = None,
-           checkpoint: str | None = None) -> DataFrame:
-    """ST1 + ST2 + ST5: replay one file (= one batch) per trigger, score each
-    micro-batch with ``score_fn`` (a DataFrame -> DataFrame function, e.g. a
-    ``predict_batches`` call), append to ``sink`` with the epoch id; returns
-    the sink as a DataFrame."""
+def replay(spark: SparkSession, path: str, score_fn: Callable[[DataFrame], DataFrame], sink: str | None = None,
+           checkpoint: str | None = None, check_fn: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+    """ST1 + ST2 + ST5: one epoch per batch, in id order; each epoch's rows are
+    scored with ``score_fn`` (a DataFrame -> DataFrame function, e.g. a
+    ``predict_batches`` call) and written with ``epoch`` and ``batch_index``.
+    ``check_fn(rows, scores)``, if given, returns the ST3 rows of the batch; a row whose
+    ``status`` is not "ok" ends the run. Returns the sink as a DataFrame."""
     sink = sink or scratch_path(spark, "scores")
     checkpoint = checkpoint or scratch_path(spark, "stream-ckpt")
-    src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-           .option("basePath", path).parquet(path))
-
-    def each(bdf: DataFrame, epoch_id: int):
-        if bdf.isEmpty():
-            return
-        out = score_fn(bdf).withColumn("epoch", F.lit(int(epoch_id)))
-        out.write.mode("overwrite").parquet(f"{sink}/epoch={int(epoch_id)}")
-
-    q = (src.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    source = (spark.readStream.schema(f"n long, {INDEX} long").option("maxFilesPerTrigger", 1)
+              .option("basePath", f"{path}/control").parquet(f"{path}/control"))
+    rows = spark.read.option("basePath", f"{path}/rows").parquet(f"{path}/rows")
+
+    def each(_: DataFrame, epoch_id: int):
+        batch = rows.where(F.col(INDEX) == int(epoch_id))  # one folder: pruned
+        out = score_fn(batch.drop(INDEX))
+        to = f"{sink}/epoch={int(epoch_id)}"
+        out.withColumn(INDEX, F.lit(int(epoch_id))).write.mode("overwrite").parquet(to)
+        if check_fn:
+            bad = check_fn(batch.drop(INDEX), spark.read.parquet(to)).where("status <> 'ok'").first()
+            if bad:
+                raise ValueError(f"batch {int(epoch_id)}: {bad['status']}")
+
+    q = (source.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.option("basePath", sink).parquet(sink)

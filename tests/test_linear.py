@@ -54,7 +54,7 @@ def test_cv_selection_matches_brute_force(spark):
     pdf = pd.DataFrame(X, columns=["a", "b", "c", "d"]).assign(y=y, t=np.arange(230, dtype="int64"))
     df = series.add_folds(series.add_position(spark.createDataFrame(pdf), "t"), "contiguous", 10)
     alphas = [0.3, 0.1, 0.03, 0.01, 0.003]
-    params = linear.ElasticNetParameters(alphas=alphas)
+    params = linear.PenaltyGrid(alphas=alphas)
     got = linear.elastic_net_cv(df, ["a", "b", "c", "d"], "y", params=params).first()
     # brute force: contiguous 10 folds, path per fold, mean mse
     folds = np.array_split(np.arange(230), 10)
@@ -78,7 +78,7 @@ def test_keyed_fits_many_series(spark):
     df = spark.createDataFrame(pdf)
     df = series.add_folds(series.add_position(df, "t", "s"), "contiguous", 5, partition_by="s")
     out = linear.elastic_net_cv(df, ["a", "b", "c"], "y", keys=["s"],
-                                params=linear.ElasticNetParameters(alphas=[0.1, 0.01])).collect()
+                                params=linear.PenaltyGrid(alphas=[0.1, 0.01])).collect()
     assert sorted(r["s"] for r in out) == [0, 1, 2] and all(len(r["coef"]) == 3 for r in out)
 
 
@@ -108,7 +108,7 @@ def test_per_nation_fit_equals_single_series_fit(spark):
     from marketflow.operators import schema
     from marketflow.operators.scale import apply_scaler, fit_scaler
     panel = npl.build(spark, "/root/testdata/sf0.001")
-    params = linear.ElasticNetParameters(alphas=[0.1, 0.01, 0.001])
+    params = linear.PenaltyGrid(alphas=[0.1, 0.01, 0.001])
     keyed = {r["nation"]: r for r in npl.fit_per_nation(panel, params).collect()}
     nat = sorted(keyed)[0]
     one = panel.where(F.col("nation") == nat).drop("nation")

@@ -64,7 +64,7 @@ def test_median_sketch_path_is_exact(spark, monkeypatch):
     v = np.concatenate([rng.normal(size=5001), np.full(300, 0.25)])
     pdf = pd.DataFrame({"x": v, "y": np.where(np.arange(len(v)) % 3 == 0, np.nan, v * 2)})
     df = spark.createDataFrame(pdf.where(pd.notnull(pdf), None)).repartition(7)
-    monkeypatch.setattr(impute, "MAX_CANDIDATES", 200)  # force sketch bounds + selection
+    monkeypatch.setattr(impute, "TARGET_VALUES", 200)  # force sketch bounds + selection
     m = impute.exact_medians(df, ["x", "y"])
     assert m["x"] == float(np.median(v))
     assert m["y"] == float(np.nanmedian(pdf["y"]))
@@ -160,9 +160,9 @@ def test_classify_error(spark):
 
 
 def test_elastic_net_param_check():
-    from marketflow.operators.linear import ElasticNetParameters
+    from marketflow.operators.linear import PenaltyGrid
     with pytest.raises(ValueError):
-        ElasticNetParameters(l1_ratio=1.5)
+        PenaltyGrid(l1_ratio=1.5)
     g = scalar.log_grid_values()
     assert len(g) == 100 and g[0] == pytest.approx(1e-4) and g[-1] == pytest.approx(1e2)
 
@@ -225,3 +225,59 @@ def test_semi_anti_join_and_report_success(spark):
     exp = spark.createDataFrame([(1, 10), (2, 20)], "b int, id int")
     rep = io.run_report(joins.alignment(exp, exp, "b", "id")).first()
     assert rep["Succeeded"] is True and rep["ErrorType"] is None and rep["ErrorName"] is None
+
+
+def test_median_of_many_ties(spark):
+    """A 0/1 column, an all-equal column and a half-tied one, of 5 million rows: ties never raise."""
+    from pyspark.sql import functions as F
+
+    from marketflow.operators import impute
+    i = F.col("id")
+    df = spark.range(5_000_000).select((i % 2).cast("double").alias("half"), (i % 5 > 0).cast("double").alias("flag"),
+                                       F.lit(7.0).alias("same"), F.when(i % 2 == 0, i.cast("double")).otherwise(-1.0).alias("mixed"))
+    assert impute.exact_medians(df, ["half", "flag", "same", "mixed"]) == {"half": 0.5, "flag": 1.0, "same": 7.0, "mixed": -0.5}
+
+
+def test_fold_metrics_and_blend_on_incomplete_scores(spark):
+    """Rows without target or prediction do not count; duplicate, missing and unknown models give no blend."""
+    from marketflow.operators import evaluate
+    df = spark.createDataFrame([(1, 1.0, None), (1, 2.0, 1.0), (2, None, 1.0)], "fold int, y double, p double")
+    got = {r["fold"]: (r["rmse"], r["r2"], r["n_excluded"]) for r in evaluate.fold_metrics(df, "y", "p", with_excluded=True).collect()}
+    assert got == {1: (1.0, 0.0, 1), 2: (None, None, 1)}
+    scores = spark.createDataFrame(
+        [(1, "gbt_a", 1.0), (1, "gbt_b", 2.0), (1, "gbt_c", 3.0), (2, "gbt_a", 1.0), (2, "gbt_a", 2.0), (2, "gbt_b", 1.0),
+         (3, "gbt_a", 1.0), (3, "gbt_b", None), (3, "gbt_c", 1.0), (4, "gbt_a", 1.0), (4, "gbt_b", 1.0), (4, "gbt_c", 1.0), (4, "x", 9.0)],
+        "id int, model string, pred double")
+    w = evaluate.weights_frame(spark)
+    blended = {r["id"]: r["blend"] for r in evaluate.blend(scores, w, ["id"]).collect()}
+    assert blended[2] is None and blended[3] is None and abs(blended[1] - 1.9) < 1e-12 and abs(blended[4] - 1.0) < 1e-12
+    report = {r["model"]: tuple(r)[1:] for r in evaluate.blend_report(scores, w, ["id"]).collect()}
+    assert report == {"gbt_a": (5, 0, 1, True), "gbt_b": (4, 1, 0, True), "gbt_c": (3, 0, 0, True), "x": (1, 0, 0, False)}
+
+
+def test_alignment_null_ids_and_types(spark):
+    from marketflow.operators import joins
+    e = spark.createDataFrame([("a", 1), ("a", None), ("b", 2)], "b string, i long")
+    same = {r["b"]: (r["n_missing"], r["n_extra"], r["status"]) for r in joins.alignment(e, e, "b", "i").collect()}
+    assert same == {"a": (0, 0, "ok"), "b": (0, 0, "ok")}
+    odd = e.selectExpr("b", "cast(i AS string) AS i", "array(1) AS p")
+    assert {r["status"] for r in joins.alignment(e, odd, "b", "i").collect()} == {"Invalid row id type"}
+    assert {r["status"] for r in joins.alignment(e, odd, "b", "i", "p").collect()} == {"Invalid prediction data type"}
+
+
+def test_penalty_grid_checks_every_field():
+    import pytest
+
+    from marketflow.operators.linear import PenaltyGrid
+    for wrong in ({"l1_ratio": 1.5}, {"cv": 1}, {"alphas": ()}, {"alphas": (0.0,)}, {"max_iter": 0}):
+        with pytest.raises(ValueError):
+            PenaltyGrid(**wrong)
+
+
+def test_wide_moments_null_group(spark):
+    from marketflow.operators import linear
+    df = spark.createDataFrame([(None, 1.0, 2.0), (None, 2.0, 1.0), ("a", 3.0, 1.0)], "k string, x double, y double")
+    for rows in (df, df.where("k IS NULL")):
+        a, b = ({r["k"]: (r["n"], r["sx"], r["sxx"], r["sxy"]) for r in linear.moments(rows, ["x"], "y", ["k"], engine=e).collect()}
+                for e in ("sql", "numpy"))
+        assert a == b and None in a

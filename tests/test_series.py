@@ -34,8 +34,8 @@ def test_ewm_known_answers(spark):
     assert [r["x"] for r in fill.collect()] == [None, 1.0, 1.0, 1.0, 4.0, 2.0]
 
 
-@pytest.mark.parametrize("block_rows,engine", [(41, "pandas"), (57, "window"), (57, "pandas"), (10_000, "auto")])
-def test_ewm_matches_pandas_with_long_gaps(spark, block_rows, engine):
+@pytest.mark.parametrize("block_rows", [41, 57, 10_000])
+def test_ewm_matches_pandas_with_long_gaps(spark, block_rows):
     rng = np.random.default_rng(3)
     v = rng.normal(size=700)
     v[:5] = np.nan          # leading nulls
@@ -43,7 +43,7 @@ def test_ewm_matches_pandas_with_long_gaps(spark, block_rows, engine):
     v[rng.choice(700, 80, replace=False)] = np.nan
     df = _frame(spark, [None if np.isnan(x) else float(x) for x in v])
     p = series.add_position(df, "t", n_buckets=7)
-    out = series.ewm(p, ["x"], "t", com=0.5, pos_col="pos", block_rows=block_rows, engine=engine).orderBy("t").toPandas()
+    out = series.ewm(p, ["x"], "t", com=0.5, pos_col="pos", block_rows=block_rows).orderBy("t").toPandas()
     ref = pd.Series(v).ewm(com=0.5).mean()
     got = out["x_ewm"].astype(float).to_numpy()
     assert np.allclose(got, ref.to_numpy(), atol=1e-12, equal_nan=True)
@@ -58,7 +58,7 @@ def test_ewm_keyed_matches_pandas(spark):
     v[rng.choice(n, 60, replace=False)] = np.nan
     pdf = pd.DataFrame({"t": np.arange(n, dtype="int64"), "k": keys, "x": v})
     df = spark.createDataFrame(pdf.where(pd.notnull(pdf), None))
-    out = series.ewm(df, ["x"], "t", "k", com=0.5, block_rows=45, engine="pandas").toPandas().sort_values("t")
+    out = series.ewm(df, ["x"], "t", "k", com=0.5, block_rows=45).toPandas().sort_values("t")
     ref = pdf.groupby("k")["x"].transform(lambda s: s.ewm(com=0.5).mean())
     assert np.allclose(out["x_ewm"].astype(float).to_numpy(), ref.to_numpy(), atol=1e-12, equal_nan=True)
 
@@ -136,7 +136,6 @@ def test_halo_edges_and_block_bound(spark):
     assert own == [(p, p // 4) for p in range(10)]
     # last row of a block -> next block; first two rows of blocks 1.. -> previous block
     assert halo == sorted([(3, 1), (7, 2), (4, 0), (5, 0), (8, 1), (9, 1)])
-    assert series.bounded_block_rows(10, 10 * series.MAX_BUCKETS * 3) == 30
     with pytest.raises(ValueError):
         series.with_halo(df, 4, before=4)
 
@@ -148,7 +147,27 @@ def test_null_series_key_keeps_rows(spark):
     assert pos.count() == 12
     got = sorted((r["k"] is None, r["t"], r["pos"]) for r in pos.collect())
     assert [g[2] for g in got if g[0]] == list(range(6)) and [g[2] for g in got if not g[0]] == list(range(6))
-    e = series.ewm(df, ["x"], "t", "k", engine="window").collect()
+    e = series.ewm(df, ["x"], "t", "k").collect()
     assert len(e) == 12 and all(r["x_ewm"] is not None for r in e)
     f = series.add_folds(pos, "contiguous", 2, partition_by="k")
     assert f.count() == 12
+
+
+@pytest.mark.parametrize("nulls", ["first", "last"])
+def test_positions_keep_null_tied_and_text_keys(spark, nulls):
+    """Rows in = rows out with NULL order keys, one timestamp with most rows, and text keys."""
+    rows = [(None if i % 7 == 0 else (5 if i % 3 else i), f"k{i:03d}", i) for i in range(300)]
+    df = spark.createDataFrame(rows, "t long, name string, i long").repartition(5)
+    got = {r["i"]: r["pos"] for r in series.add_position(df, ["t", "name"], n_buckets=6, nulls=nulls).collect()}
+    key = lambda r: ((r[0] is None) == (nulls == "last"), r[0] if r[0] is not None else 0, r[1])
+    assert got == {r[2]: p for p, r in enumerate(sorted(rows, key=key))}
+    named = {r["i"]: r["pos"] for r in series.add_position(df, "name", n_buckets=6).collect()}
+    assert named == {i: i for i in range(300)}
+    assert series.shift(df, {"before": ("i", 1)}, ["t", "name"]).count() == 300
+    assert series.running_best(df, "i", ["t", "name"]).count() == 300
+
+
+def test_ewm_leaves_other_columns_alone(spark):
+    df = spark.createDataFrame([(i, 9007199254740993 if i % 2 else None, float(i)) for i in range(100)], "t long, big long, x double")
+    out = series.ewm(df, ["x"], "t")
+    assert {r["big"] for r in out.collect()} == {None, 9007199254740993}

@@ -10,10 +10,10 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_replay_equals_batch(spark):
-    from marketflow.plans.queries_stream import EVENT_SCHEMA, _batch_score
+    from marketflow.plans.queries_stream import _batch_score
     ev = spark.read.parquet(f"{SF}/events.parquet")
     path = st.write_batches(ev, "event_type")
-    streamed = st.replay(spark, path, EVENT_SCHEMA, "event_type", _batch_score)
+    streamed = st.replay(spark, path, _batch_score)
     assert streamed.select("epoch").distinct().count() == ev.select("event_type").distinct().count()
     a = sorted(tuple(r) for r in streamed.select("batch_id", "n_rows", "prediction").collect())
     b = sorted(tuple(r) for r in _batch_score(ev).collect())
@@ -28,7 +28,7 @@ def test_predict_conversions_and_size_guard(spark):
                              "batch_id long, prediction double")
     assert sorted(r["prediction"] for r in ser.collect()) == [2.0, 4.0, 10.0]
     with pytest.raises(st.BatchTooLarge):
-        st.predict_batches(df, "b", lambda p: 0.0, "batch_id long, prediction double", max_batch_rows=1)
+        st.check_batch_sizes(df, "b", 1)
     rows = st.predict_rows(df, lambda p: p.assign(prediction=p["v"] + 1)[["b", "prediction"]],
                            "b long, prediction double")
     assert sorted(r["prediction"] for r in rows.collect()) == [2.0, 3.0, 6.0]
@@ -56,3 +56,32 @@ def test_batches_spanning_arrow_chunks(spark):
     exp = pdf.sort_values("t").groupby("b").apply(lambda g: g["v"].iloc[0] * 1000 + len(g))
     got = got.set_index("batch_id")["prediction"].sort_index()
     assert len(got) == 7 and np.allclose(got.to_numpy(), exp.sort_index().to_numpy())
+
+
+def test_null_batch_is_a_batch(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 2.0), (2, 5.0)], "b long, v double")
+    got = st.predict_batches(df, "b", lambda p: float(p["v"].sum()), "batch_id long, prediction double")
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == [(2, 5.0), (None, 3.0)]
+
+
+def test_replay_in_id_order_with_a_spread_batch(spark):
+    """Eight ids, one with most of the rows, partition coalescing off: epochs follow the ids."""
+    df = spark.range(4000).select(F.when(F.col("id") % 4 > 0, F.lit(3)).otherwise((F.col("id") / 4 % 8).cast("int")).alias("b"), "id")
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        path = st.write_batches(df, "b")
+        out = st.replay(spark, path, lambda d: d.groupBy("b").agg(F.count("*").alias("n")))
+        got = [tuple(r) for r in out.select("epoch", "batch_index", "b", "n").orderBy("epoch").collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    assert [(e, i, b) for e, i, b, _ in got] == [(k, k, k) for k in range(8)] and sum(r[3] for r in got) == 4000
+
+
+def test_failed_check_ends_the_replay(spark):
+    from marketflow.operators import joins
+    df = spark.createDataFrame([(1, 10), (1, 11), (2, 12)], "b long, i long")
+    path = st.write_batches(df, "b")
+    with pytest.raises(Exception, match="Invalid predictions"):
+        st.replay(spark, path, lambda d: d.where("i <> 11").select("b", "i"),
+                  check_fn=lambda rows, scores: joins.alignment(rows, scores, "b", "i"))
