@@ -9,11 +9,16 @@ its own, and the partial counts are summed per pair. Links are pairs with
 2. Screen: a set must share at least NUM/DEN of its n-grams. N-grams of a fixed part of the hash space are
    counted over all sets (combined per slice before the shuffle, n-grams seen twice losing their owner), and
    sets with too many n-grams of their own are done: they have no link.
-3. First candidates: each remaining set proposes the set that most often comes first for its leading
-   n-grams; after these links are verified most copies of a group are in one component.
+3. Rounds of first candidates: for each leading n-gram two of its sets are open to proposals, the one with the
+   smallest share of n-grams of its own (as the original of a group of edited copies has) and one by a hash
+   that differs in each round; a set proposes those of another component that pass the bounds, the nearest
+   first. Verified links merge components, until a round finds few.
 4. Remaining candidates: all pairs of sets in different components that share an n-gram of their prefixes
-   (size - ceil(NUM/DEN * size) + 1 n-grams) and pass the size and position bounds. No such pair is left
-   out, so no link between components is lost; pairs inside a component are not needed and never made.
+   (size - ceil(NUM/DEN * size) + 1 n-grams) and pass the bounds. No such pair is left out, so no link
+   between components is lost; pairs inside a component are not needed and never made.
+
+Bounds (none can drop a link): sizes; places in the order of a common prefix n-gram; and a parity bitmap of
+256 bits a set, in which two sets differ in at most as many bits as n-grams.
 
 Defined cases: a null or empty text has size 0 and its own id as component; texts of fewer than ``n`` words
 have one n-gram, the whole text; rows are nodes of their own: rows of one id with different texts are not
@@ -39,8 +44,15 @@ FRAGMENTS = 8
 SCREENED = 3
 #: Screened n-grams in one bucket of the shuffle.
 BUCKET_GRAMS = 2_000_000
-#: Leading n-grams by which a set looks for its first candidate.
-LEADING = 6
+#: Leading n-grams (of its prefix, those that another set has too) by which a set looks for first candidates.
+LEADING = 16
+#: Rounds of first candidates end when fewer than one set in so many found a link, or after ROUNDS.
+FEW, ROUNDS = 50, 6
+#: Candidates that a set proposes in a round, and sets by hash that an n-gram offers.
+PROPOSED, OFFERED = 3, 3
+#: Bits of a set's parity bitmap, and its columns.
+BITS = 256
+MAP = ("m0", "m1", "m2", "m3")
 COLUMNS = ("n_shingles", "component_id")
 _LAST = (1 << 63) - 1
 
@@ -73,6 +85,13 @@ class Sets:
         self.off = np.searchsorted(self.doc, np.arange(len(count) + 1))
         self.size = np.diff(self.off)
 
+    def bitmaps(self) -> np.ndarray:
+        """Parity of the n-grams on each of BITS bits, as four long columns."""
+        n = len(self.size)
+        bit = ((self.grams >> U64(8)) & U64(BITS - 1)).astype(np.int64)
+        parity = np.bincount(self.doc * BITS + bit, minlength=n * BITS).reshape(n, BITS) & 1
+        return np.packbits(parity.astype(bool), axis=1).view(np.int64)
+
     def key(self, salt: int) -> np.ndarray:
         total = np.zeros(len(self.grams) + 1, U64)
         np.cumsum(common.mix(self.grams ^ U64(salt)), out=total[1:])
@@ -151,7 +170,7 @@ def _own_counts(docs: DataFrame, sized: DataFrame, n: int) -> DataFrame:
 
 
 def _survivors(docs: DataFrame, kept: DataFrame, n: int) -> DataFrame:
-    """(sid, rep, n, grams): the sets that may have a link, from the text of their first document."""
+    """(sid, rep, n, own, m0..m3, grams): the sets that may have a link, from the text of their first document."""
 
     def run(batches):
         for piece in common.slices(batches):
@@ -159,14 +178,15 @@ def _survivors(docs: DataFrame, kept: DataFrame, n: int) -> DataFrame:
             right = np.flatnonzero(sets.key(1) == piece.column(4).to_numpy())
             offsets = pa.array(sets.off, pa.int32())
             lists = pa.ListArray.from_arrays(offsets, pa.array(sets.grams.view(np.int64)))
-            pick = pa.array(right)
+            pick, maps = pa.array(right), sets.bitmaps()[right]
             yield pa.RecordBatch.from_arrays(
-                [piece.column(3).take(pick), pa.array(sets.size[right], pa.int64()), lists.take(pick)],
-                names=["rep", "n", "grams"])
+                [piece.column(3).take(pick), pa.array(sets.size[right], pa.int64()), piece.column(5).take(pick),
+                 *(pa.array(np.ascontiguousarray(maps[:, k])) for k in range(4)), lists.take(pick)],
+                names=["rep", "n", "own", *MAP, "grams"])
 
-    rows = docs.join(kept.select("doc", "th", "rep", "k1"), ["doc", "th"]).select("doc", "th", "text", "rep", "k1")
-    found = rows.mapInArrow(run, "rep bigint, n bigint, grams array<bigint>").where("n > 0")
-    return found.withColumn("sid", F.monotonically_increasing_id()).select("sid", "rep", "n", "grams")
+    rows = docs.join(kept.select("doc", "th", "rep", "k1", "own"), ["doc", "th"]).select("doc", "th", "text", "rep", "k1", "own")
+    found = rows.mapInArrow(run, "rep bigint, n bigint, own bigint, m0 bigint, m1 bigint, m2 bigint, m3 bigint, grams array<bigint>")
+    return found.where("n > 0").withColumn("sid", F.monotonically_increasing_id()).select("sid", "rep", "n", "own", *MAP, "grams")
 
 
 def _ordered(classes: np.ndarray, grams: np.ndarray, off: np.ndarray):
@@ -229,14 +249,62 @@ def _prefixes(sets: DataFrame, classes) -> DataFrame:
     return sets.select("sid", "n", "grams").mapInArrow(run, "gram bigint, sid bigint, n bigint, pos int")
 
 
+def _partial(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
+    """(a, b, na, nb, both, miss): overlap of pairs inside the given fragments, and how many n-grams of a there
+    are not in b, summed over the fragments."""
+    left = fragments.select(F.col("sid").alias("a"), "frag", F.col("grams").alias("ga"))
+    right = fragments.select(F.col("sid").alias("b"), "frag", F.col("grams").alias("gb"))
+    both = F.coalesce(F.size(F.array_intersect("ga", "gb")), F.lit(0))
+    # a set may have nothing in these fragments: its pairs stay, with counts of 0
+    counted = pairs.join(left, "a", "left").join(right, ["b", "frag"], "left").select(
+        "a", "b", "na", "nb", both.alias("both"), (F.coalesce(F.size("ga"), F.lit(0)) - both).alias("miss"))
+    return counted.groupBy("a", "b", "na", "nb").agg(F.sum("both").alias("both"), F.sum("miss").alias("miss"))
+
+
 def _linked(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are links: overlaps are counted fragment by fragment and summed per pair."""
-    left = fragments.select(F.col("sid").alias("a"), F.col("n").alias("na"), "frag", F.col("grams").alias("ga"))
-    right = fragments.select(F.col("sid").alias("b"), F.col("n").alias("nb"), "frag", F.col("grams").alias("gb"))
-    partial = pairs.join(left, "a").join(right, ["b", "frag"]).select(
-        "a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("both"))
-    total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("both").alias("both"))
-    return total.where(f"{DEN} * both >= {NUM} * (na + nb - both)").select("a", "b")
+    """The pairs (a, b, na, nb) that are links, as (a, b): overlaps are counted fragment by fragment and summed
+    per pair; pairs that miss too much in the first two fragments need no more of them."""
+    least = f"ceil({NUM} * (na + nb) / {DEN + NUM})"
+    first = _partial(pairs, fragments.where("frag < 2")).where(f"na - miss >= {least}")
+    rest = _partial(first.select("a", "b", "na", "nb"), fragments.where("frag >= 2"))
+    total = common.written(first, "pairs").select("a", "b", "na", "nb", "both").unionByName(rest.select("a", "b", "na", "nb", "both"))
+    return total.groupBy("a", "b", "na", "nb").agg(F.sum("both").alias("both")).where(
+        f"{DEN} * both >= {NUM} * (na + nb - both)").select("a", "b")
+
+
+def _distance(a: str, b: str) -> str:
+    """SQL of the bits in which two bitmaps differ: at most the n-grams that are in one set only."""
+    return " + ".join(f"bit_count({a}{m} ^ {b}{m})" for m in MAP)
+
+
+def _bounds(a: str, b: str, na: str, nb: str) -> str:
+    """SQL that holds for every link, from sizes and bitmaps."""
+    return (f"{DEN} * least({na}, {nb}) >= {NUM} * greatest({na}, {nb}) AND "
+            f"{_distance(a, b)} <= {na} + {nb} - 2 * ceil({NUM} * ({na} + {nb}) / {DEN + NUM})")
+
+
+def _proposals(leading: DataFrame, labels: DataFrame, k: int) -> DataFrame:
+    """(a, b, na, nb): for each set the nearest candidates of other components that its leading n-grams offer."""
+    rows = leading.join(labels, "sid")
+    open_set = F.struct("sid", "n", "root", *MAP)
+    offers = [F.min_by(open_set, F.struct("share", "rep", "sid")),
+              *(F.min_by(open_set, F.xxhash64("sid", F.lit(OFFERED * k + j))) for j in range(OFFERED))]
+    hubs = rows.groupBy("gram").agg(F.array_distinct(F.array(*offers)).alias("cs"), F.count("*").alias("c")).where("c > 1")
+    pairs = rows.join(hubs.drop("c"), "gram").withColumn("c", F.explode("cs")).where(
+        "root <> c.root AND " + _bounds("", "c.", "n", "c.n"))
+    near = pairs.select("sid", "n", F.struct(F.expr(_distance("", "c.")).alias("d"), F.col("c.sid").alias("b"), F.col("c.n").alias("nb")).alias("c"))
+    best = near.groupBy("sid", "n").agg(F.slice(F.array_sort(F.collect_set("c")), 1, PROPOSED).alias("cs"))
+    return best.select(F.col("sid").alias("a"), "n", F.explode("cs").alias("c")).select(
+        "a", F.col("c.b").alias("b"), F.col("n").alias("na"), F.col("c.nb").alias("nb"))
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (sid, root) after the links (a, b) have joined components."""
+    of_a = links.join(labels.select(F.col("sid").alias("a"), F.col("root").alias("ra")), "a")
+    ends = of_a.join(labels.select(F.col("sid").alias("b"), F.col("root").alias("rb")), "b")
+    roots = components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    new = labels.join(roots.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+    return common.written(new.select("sid", F.coalesce("top", "root").alias("root")), "labels")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N,
@@ -264,27 +332,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = spark.sparkContext.broadcast(common.hot_classes(counts))
     prefixes, fragments = _prefixes(sets, classes), _fragments(sets, classes)
 
-    leading = prefixes.where(F.col("pos") < LEADING).select("gram", "sid")
-    hubs = leading.groupBy("gram").agg(F.min("sid").alias("hub"), F.max("sid").alias("top")).where("hub < top")
-    votes = leading.join(hubs, "gram").where("sid <> hub").groupBy("sid", "hub").count()
-    best = votes.groupBy("sid").agg(F.max(F.struct("count", (-F.col("hub")).alias("h"))).alias("v")).select(
-        F.col("sid").alias("a"), (-F.col("v.h")).alias("b"))
-    first = common.written(_linked(best, fragments), "links")
-    group = common.written(components(first), "groups")
-
-    placed = prefixes.join(group, prefixes["sid"] == group["node"], "left").select(
-        "gram", "sid", "n", "pos", F.coalesce("root", "sid").alias("root"))
-    placed = common.written(placed, "prefixes")
+    standing = sets.select("sid", (F.col("own") / F.col("n")).alias("share"), "rep", *MAP)
+    twice = prefixes.groupBy("gram").count().where("count > 1").select("gram")
+    prefixes = common.written(prefixes.join(twice, "gram", "left_semi"), "prefixes")
+    place = F.row_number().over(Window.partitionBy("sid").orderBy("pos"))
+    leading = prefixes.withColumn("place", place).where(F.col("place") <= LEADING).select("gram", "sid", "n")
+    leading = common.written(leading.join(standing, "sid"), "leading")
+    labels = common.written(sets.select("sid", F.col("sid").alias("root")), "labels")
+    few = sets.count() // FEW
+    for k in range(ROUNDS):
+        found = common.written(_linked(_proposals(leading, labels, k), fragments), "links")
+        n_found = found.count()
+        if n_found:
+            labels = _merged(labels, found)
+        if n_found <= few:
+            break
+    placed = common.written(prefixes.join(labels, "sid"), "placed")
     mixed = placed.groupBy("gram").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("gram")
-    side = common.written(placed.join(mixed, "gram", "left_semi"), "mixed")
-    a = side.select("gram", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("root").alias("ra"))
-    b = side.select("gram", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("root").alias("rb"))
-    bound = f"{DEN + NUM} * (least(na - pa, nb - pb)) >= {NUM} * (na + nb)"
-    pairs = a.join(b, "gram").where("ra < rb").where(f"{DEN} * least(na, nb) >= {NUM} * greatest(na, nb)").where(bound)
-    across = _linked(pairs.select("a", "b").distinct(), fragments)
-    all_links = common.written(first.union(across), "links")
-    roots = components(all_links).select(F.col("node").alias("sid"), "root")
-    labelled = sets.select("sid", "rep").join(roots, "sid")
+    side = common.written(placed.join(mixed, "gram", "left_semi").join(sets.select("sid", *MAP), "sid"), "mixed")
+    a, b = (side.select("gram", *(F.col(c).alias(x + c) for c in ("sid", "n", "pos", "root", *MAP))) for x in "ab")
+    pairs = a.join(b, "gram").where("aroot < broot").where(_bounds("a", "b", "an", "bn")).where(
+        f"{DEN + NUM} * least(an - apos, bn - bpos) >= {NUM} * (an + bn)").select(
+        F.col("asid").alias("a"), F.col("bsid").alias("b"), F.col("an").alias("na"), F.col("bn").alias("nb"))
+    across = common.written(pairs.distinct(), "across")
+    labels = _merged(labels, common.written(_linked(across, fragments), "links"))
+    labelled = sets.select("sid", "rep").join(labels, "sid")
     least = labelled.groupBy("root").agg(F.min("rep").alias("component"))
     by_rep = labelled.join(least, "root").select("rep", "component")
 
