@@ -78,20 +78,6 @@ def row_max(cols: list[str]) -> Column:
     return F.greatest(*[_d(c) for c in cols]) if len(cols) > 1 else _d(cols[0])
 
 
-def group_stat_columns(groups: dict[str, list[str]]) -> dict[str, Column]:
-    """ROW1-ROW5 for every non-empty group: {g}_mean, _std, _min, _max, _range."""
-    out: dict[str, Column] = {}
-    for g, cols in groups.items():
-        if not cols:
-            continue
-        out[f"{g}_mean"] = row_mean(cols)
-        out[f"{g}_std"] = row_std(cols)
-        out[f"{g}_min"] = row_min(cols)
-        out[f"{g}_max"] = row_max(cols)
-        out[f"{g}_range"] = row_max(cols) - row_min(cols)
-    return out
-
-
 def interaction_names(groups: dict[str, list[str]], among=INTERACTION_GROUPS) -> list[tuple[str, str]]:
     """ROW6 pairs: unordered pairs of non-empty groups, in list order."""
     present = [g for g in among if groups.get(g)]
@@ -124,8 +110,3 @@ def add_group_features(df: DataFrame, groups: dict[str, list[str]] | None = None
     inter = {f"{a}_{b}_interaction": F.col(f"{a}_mean") * F.col(f"{b}_mean")
              for a, b in interaction_names(groups, among)}
     return out.withColumns(inter) if inter else out
-
-
-def group_metadata(columns: list[str], prefixes=GROUP_PREFIXES) -> list[tuple[str, str]]:
-    """(group, column) pairs; drives the AGG16 group profile."""
-    return [(g, c) for g, cs in feature_groups(columns, prefixes).items() for c in cs]

@@ -49,16 +49,8 @@ def fmt(x, decimals: int = 6) -> Column:
     return F.format_string(f"%.{decimals}f", col(x))
 
 
-def log_grid(spark, n: int = 100, lo_exp: float = -4.0, hi_exp: float = 2.0) -> DataFrame:
-    """FN9: ``n`` log-spaced values 10**lo_exp .. 10**hi_exp as (idx, alpha).
-    Generated on the executors with ``range``."""
-    step = (hi_exp - lo_exp) / (n - 1) if n > 1 else 0.0
-    return spark.range(n).select(F.col("id").cast("int").alias("idx"),
-                                 F.pow(F.lit(10.0), F.lit(lo_exp) + F.col("id") * F.lit(step)).alias("alpha"))
-
-
 def log_grid_values(n: int = 100, lo_exp: float = -4.0, hi_exp: float = 2.0) -> list[float]:
-    """The same grid as plain floats (for the solver's parameter object)."""
+    """FN9: ``n`` log-spaced values 10**lo_exp .. 10**hi_exp."""
     step = (hi_exp - lo_exp) / (n - 1) if n > 1 else 0.0
     return [10.0 ** (lo_exp + i * step) for i in range(n)]
 

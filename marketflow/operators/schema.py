@@ -176,11 +176,6 @@ def concat_ignore_index(*dfs: DataFrame) -> DataFrame:
     return out
 
 
-def scalars_to_column(df: DataFrame, id_col: str, value: Column, name: str) -> DataFrame:
-    """SET4: one scalar per batch -> a named column keyed by the batch id."""
-    return df.select(F.col(id_col), value.alias(name))
-
-
 def distinct_in_order(df: DataFrame, key: str, order_col: str) -> DataFrame:
     """SET5: distinct keys with their first-appearance position (order key of
     the first row); sort by ``first_pos`` to get the order."""

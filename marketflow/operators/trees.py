@@ -5,10 +5,13 @@ trees are depth-wise with no L1/L2 leaf penalty, so values differ from those
 libraries; the shape of the result (per-fold fits, out-of-fold scores, test
 scores per fold model) is the same.
 
-Early stopping with patience (no MLlib built-in): fit ``max_rounds`` trees,
-read the validation loss of every prefix with ``evaluateEachIteration`` (one
-distributed pass over the validation rows per call), apply WIN7, then refit with
-``best + 1`` trees when the configuration predicts at the best iteration.
+Early stopping with patience (no MLlib built-in): tree m of a fit depends only on
+the data, the seed and the trees before it, so a shorter fit is a prefix of a
+longer one. An ensemble is therefore grown in steps (FIRST_STEP rounds, then twice
+as many, at most ``max_rounds``) until the validation losses of its prefixes
+(``evaluateEachIteration``, one distributed pass) fire the patience of WIN7; the
+fitted list of trees is then cut at the best iteration, or at the last one for a
+configuration that uses every round. Nothing is refitted.
 
 The target is scaled to unit variance before fitting: MLlib's stopping and
 split thresholds are absolute, and daily returns have a std near 0.01.
@@ -20,11 +23,14 @@ import math
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import SparkContext
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketflow.plans.materialize import materialize
+
 
 @dataclass(frozen=True)
 class TreeConfig:
@@ -48,6 +54,8 @@ LEARNERS = (
 )
 MAX_ROUNDS = 1000
 PATIENCE = 50
+# Rounds of the first growing step; the patience needs more than PATIENCE of them.
+FIRST_STEP = 64
 
 
 def _gbt(cfg: TreeConfig, rounds: int) -> GBTRegressor:
@@ -68,31 +76,51 @@ def stop_at(rmse: list[float], patience: int) -> tuple[int, int]:
     return best_i, len(rmse) - 1
 
 
-def fit_fold(train: DataFrame, valid: DataFrame, test: DataFrame | None, features: list[str], target: str,
-             id_col: str, cfg: TreeConfig, fold: int, max_rounds: int = MAX_ROUNDS,
+def first_trees(model: GBTRegressionModel, n: int) -> GBTRegressionModel:
+    """The ensemble of the first ``n`` fitted trees."""
+    java = model._java_obj
+    jvm, gateway = SparkContext._active_spark_context._jvm, SparkContext._active_spark_context._gateway
+    trees = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    weights = gateway.new_array(jvm.double, n)
+    for k in range(n):
+        trees[k], weights[k] = java.trees()[k], java.treeWeights()[k]
+    cut = jvm.org.apache.spark.ml.regression.GBTRegressionModel(java.uid(), trees, weights)
+    return GBTRegressionModel(java.copyValues(cut, java.extractParamMap()))
+
+
+def grow(train: DataFrame, valid: DataFrame, cfg: TreeConfig, max_rounds: int, patience: int):
+    """Fit in growing steps until the patience fires: (model, validation losses, best, last)."""
+    rounds = min(max(FIRST_STEP, patience + 1), max_rounds)
+    while True:
+        model = _gbt(cfg, rounds).fit(train)
+        losses = list(model.evaluateEachIteration(valid, "squared"))
+        best, last = stop_at(losses, patience)
+        if last < rounds - 1 or last - best >= patience or rounds >= max_rounds:
+            return model, losses, best, last
+        rounds = min(2 * rounds, max_rounds)
+
+
+def fit_fold(train: DataFrame, valid: DataFrame, test: DataFrame | None, target: str, id_col: str,
+             cfg: TreeConfig, fold: int, max_rounds: int = MAX_ROUNDS,
              patience: int = PATIENCE):
     """MOD6/7/8 + MOD9 for one fold: returns (scores, history rows).
 
     scores: long rows (id, model, fold, split, pred) for validation and test.
-    history: (model, fold, iteration, split, rmse) -- the SRC7 table.
+    history: (model, fold, iteration, split, rmse) -- the SRC7 table. ``train`` and
+    ``valid`` hold a ``features`` vector column of the model inputs.
     """
-    va = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
     st = train.agg(F.avg(target).alias("m"), F.stddev_pop(target).alias("s")).first()
     mu, sd = st["m"] or 0.0, (st["s"] or 1.0) or 1.0
-    prep = lambda d: va.transform(d).withColumn("_y", (F.col(target) - F.lit(mu)) / F.lit(sd))
-    tr, vl = prep(train).cache(), prep(valid)
-    model = _gbt(cfg, max_rounds).fit(tr)
-    hist_v = [math.sqrt(x) * sd for x in model.evaluateEachIteration(vl, "squared")]
+    scaled = lambda d: d.withColumn("_y", (F.col(target) - F.lit(mu)) / F.lit(sd))
+    tr, vl = scaled(train), scaled(valid)
+    model, losses, best_i, last_i = grow(tr, vl, cfg, max_rounds, patience)
+    hist_v = [math.sqrt(x) * sd for x in losses]
     hist_t = [math.sqrt(x) * sd for x in model.evaluateEachIteration(tr, "squared")]
-    best_i, last_i = stop_at(hist_v, patience)
-    use = best_i + 1 if cfg.predict_at_best else last_i + 1
-    if use < max_rounds:
-        model = _gbt(cfg, use).fit(tr)
-    tr.unpersist()
+    model = first_trees(model, best_i + 1 if cfg.predict_at_best else last_i + 1)
     unscale = F.col("_p") * F.lit(sd) + F.lit(mu)
     parts = [model.transform(vl).select(F.col(id_col), F.lit("valid").alias("split"), unscale.alias("pred"))]
     if test is not None:
-        parts.append(model.transform(va.transform(test)).select(F.col(id_col), F.lit("test").alias("split"),
+        parts.append(model.transform(test).select(F.col(id_col), F.lit("test").alias("split"),
                                                                unscale.alias("pred")))
     scores = parts[0]
     for p in parts[1:]:
@@ -112,14 +140,20 @@ def fit_ensemble(df: DataFrame, test: DataFrame | None, features: list[str], tar
 
     Returns (long score DataFrame, history DataFrame).
     """
+    # the vectors are written once; every fit reads its own rows of them
+    va = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
+    keep = [id_col, target, fold_col, "features"]
+    rows = materialize(va.transform(df).select(*keep), "tree-rows")
+    if test is not None:
+        test = materialize(va.transform(test).select(id_col, "features"), "tree-test")
     jobs = []
     for j in range(1, n_folds + 1):
-        tr = df.where(F.col(fold_col) < j)
-        vl = df.where(F.col(fold_col) == j)
+        tr = rows.where(F.col(fold_col) < j)
+        vl = rows.where(F.col(fold_col) == j)
         for cfg in learners:
             jobs.append((tr, vl, cfg, j))
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as ex:
-        res = list(ex.map(lambda a: fit_fold(a[0], a[1], test, features, target, id_col, a[2], a[3],
+        res = list(ex.map(lambda a: fit_fold(a[0], a[1], test, target, id_col, a[2], a[3],
                                              max_rounds, patience), jobs))
     scores = res[0][0]
     for s, _ in res[1:]:

@@ -13,14 +13,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketflow.functions.rowwise import add_group_features, feature_groups
+from marketflow.functions.rowwise import EXCLUDE_COLUMNS, add_group_features, feature_groups
 from marketflow.operators import evaluate, series, trees
 from marketflow.operators.impute import median_fill
 from marketflow.plans.materialize import materialize
 
-# Target, columns never used as features, split count.
+# Target, split count.
 TARGET = "forward_returns"
-EXCLUDE = ["date_id", "is_scored", "forward_returns", "risk_free_rate", "market_forward_excess_returns"]
 N_SPLITS = 5
 
 
@@ -43,7 +42,7 @@ def run(train: DataFrame, test: DataFrame, id_col: str = "date_id", spark=None,
     spark = spark or train.sparkSession
     tr = create_features(train)
     te = create_features(test)  # each table uses its own medians, as the reference does
-    feats = [c for c in tr.columns if c not in EXCLUDE and c in te.columns]
+    feats = [c for c in tr.columns if c not in EXCLUDE_COLUMNS and c in te.columns]
     tr = series.add_folds(series.add_position(tr, id_col), "expanding", N_SPLITS)
     tr, te = materialize(tr), materialize(te)
     scores, hist = trees.fit_ensemble(tr, te, feats, TARGET, id_col, "fold", N_SPLITS,

@@ -8,9 +8,9 @@ same feature function as the fit.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketflow.functions.scalar import SignalParams, ret_to_signal, u1, u2
@@ -23,19 +23,35 @@ from marketflow.plans.materialize import materialize
 MODEL_VARS = ["S2", "E2", "E3", "P9", "S1", "S5", "I2", "P8", "P10", "P12", "P13", "U1", "U2"]
 EWM_COM = 0.5
 CV_FOLDS = 10
-# raw inputs of the features (U1/U2 need I1, I7, I9, M11)
-RAW_INPUTS = ["S2", "E2", "E3", "P9", "S1", "S5", "I2", "P8", "P10", "P12", "P13", "I1", "I7", "I9", "M11"]
 
 
-def create_example_dataset(df: DataFrame, partition_by=None) -> DataFrame:
-    """PRJ5/PRJ6 derive U1/U2, PRJ4 select, WIN3 EWM fill (carry), FLT3 drop nulls.
-    ``partition_by`` fills each batch on its own (the reference's per-batch
-    inference); None fills along the whole series."""
-    d = df.withColumns({"U1": u1(), "U2": u2()})
-    keys = [partition_by] if isinstance(partition_by, str) else list(partition_by or [])
-    d = d.select(*keys, *[c for c in ["date_id", "target"] + MODEL_VARS if c not in keys])
-    d = series.ewm(d, MODEL_VARS, "date_id", keys or None, com=EWM_COM, null_mode="carry", fill=True)
-    return schema.drop_nulls(d, ["date_id", "target"] + MODEL_VARS)
+@dataclass(frozen=True)
+class FeatureSet:
+    """Model inputs as data: the plan below is built from this, for the fit and for scoring alike."""
+
+    id_col: str
+    target: str
+    inputs: tuple[str, ...]
+    derived: dict = field(default_factory=dict)   # name -> function that gives a Column
+    sources: tuple[str, ...] = ()                 # raw columns that derived inputs need
+    fill_com: float | None = None                 # EWM fill (carry) of the inputs; None leaves nulls
+
+    @property
+    def raw(self) -> list[str]:
+        """Columns a table must bring."""
+        return [self.id_col, self.target, *[c for c in self.inputs if c not in self.derived], *self.sources]
+
+    def rows(self, df: DataFrame, series_col: str | None = None) -> DataFrame:
+        """Complete model rows (ids, target, inputs). ``series_col`` fills each of its series by itself."""
+        have = [c for c in (series_col, self.id_col, self.target) if c]
+        shaped = df.withColumns({name: make() for name, make in self.derived.items()}).select(*dict.fromkeys(have), *self.inputs)
+        if self.fill_com is not None:
+            shaped = series.ewm(shaped, list(self.inputs), self.id_col, series_col, com=self.fill_com, null_mode="carry", fill=True)
+        return schema.drop_nulls(shaped, [self.id_col, self.target, *self.inputs])
+
+
+# U1 and U2 are derived from I1, I7, I9, M11 (PRJ5, PRJ6).
+FEATURES = FeatureSet("date_id", "target", tuple(MODEL_VARS), {"U1": u1, "U2": u2}, ("I1", "I7", "I9", "M11"), EWM_COM)
 
 
 @dataclass(frozen=True)
@@ -73,28 +89,13 @@ def predict_batches(test: DataFrame, fitted: FittedLinear, history: DataFrame |
     """
     t = test.withColumn("_batch", F.col("date_id")).withColumn("_hist", F.lit(False))
     if history is None:
-        feats = create_example_dataset(t, partition_by="_batch")
+        feats = FEATURES.rows(t, "_batch")
     else:
-        cols = ["date_id", "target", *RAW_INPUTS]
-        past = joins.anti_join(history.select(*cols), test.select("date_id"), "date_id")
-        feats = create_example_dataset(test.select(*cols).unionByName(past))
+        past = joins.anti_join(history.select(*FEATURES.raw), test.select("date_id"), "date_id")
+        feats = FEATURES.rows(test.select(*FEATURES.raw).unionByName(past))
         feats = joins.semi_join(feats, test.select("date_id"), "date_id").withColumn("_batch", F.col("date_id"))
     scored = score(feats, fitted, signal).withColumn("_batch", F.col("date_id"))
-    # first prediction of the batch; a batch with no surviving row -> NULL
-    firsts = schema.first_per_batch(scored, "_batch", "signal", "date_id", out="prediction")
-    raw = schema.first_per_batch(scored, "_batch", "raw_pred", "date_id", out="raw_pred")
+    # first row of the batch gives both outputs in one grouping; a batch with no surviving row -> NULL
+    first = scored.groupBy("_batch").agg(F.min_by(F.struct("raw_pred", F.col("signal").alias("prediction")), "date_id").alias("f"))
     ids = test.select(F.col("date_id").alias("_batch")).distinct()
-    return ids.join(firsts, "_batch", "left").join(raw, "_batch", "left") \
-              .select(F.col("_batch").alias("date_id"), "raw_pred", "prediction")
-
-
-def run(spark: SparkSession, train: DataFrame, test: DataFrame, params: PenaltyGrid | None = None,
-        use_history: bool = False):
-    """End to end: concat (PRJ11/SET1), features, fit, batch predictions."""
-    common = schema.common_columns(train, test)
-    both = schema.concat_strict(train.select(*common), test.select(*common))
-    data = materialize(create_example_dataset(both))
-    fitted, _ = fit(train, data, params)
-    hist = train if use_history else None
-    preds = predict_batches(test, fitted, hist)
-    return fitted, preds
+    return ids.join(first, "_batch", "left").select(F.col("_batch").alias("date_id"), "f.raw_pred", "f.prediction")

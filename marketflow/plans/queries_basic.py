@@ -13,14 +13,13 @@ from marketflow.operators.series import add_position
 from marketflow.plans.oracle import with_panel
 from marketflow.plans.panel import PANEL_COLUMNS
 from marketflow.plans.materialize import materialize
+from marketflow.plans.linear_signal import MODEL_VARS
 from marketflow.plans.registry import cached, panel, query, table
 from marketflow.session import scratch_path
 from marketflow.sources import io
 
 P = PANEL_COLUMNS
 
-# The linear model's input columns, in model order.
-LINEAR_VARS = ["S2", "E2", "E3", "P9", "S1", "S5", "I2", "P8", "P10", "P12", "P13", "U1", "U2"]
 # Rows at the end of the train table that recur in the test table.
 TEST_TAIL_ROWS = 10
 
@@ -218,9 +217,9 @@ def q_u(spark, sf_dir):
 
 
 def model_table(df):
-    """PRJ4: ["date_id", "target"] + LINEAR_VARS after deriving U1/U2."""
+    """PRJ4: ["date_id", "target"] + MODEL_VARS after deriving U1/U2."""
     d = df.withColumns({"U1": u1(), "U2": u2()})
-    return schema.select_ordered(d, ["date_id", "target", *LINEAR_VARS])
+    return schema.select_ordered(d, ["date_id", "target", *MODEL_VARS])
 
 
 _MODEL_COLS_SQL = ("date_id, market_forward_excess_returns AS target, S2, E2, E3, P9, S1, S5, I2, P8, P10, P12, P13, "
@@ -295,8 +294,8 @@ def q_numeric(spark, sf_dir):
 def q_vec(spark, sf_dir):
     """PRJ13 columns -> vector, PRJ14 vector -> named columns."""
     p = model_table(schema.rename(panel(spark, sf_dir), {"market_forward_excess_returns": "target"}))
-    v = schema.to_vector(p, LINEAR_VARS)
-    return schema.from_vector(v, "features", LINEAR_VARS, keep=["date_id", "target"])
+    v = schema.to_vector(p, MODEL_VARS)
+    return schema.from_vector(v, "features", MODEL_VARS, keep=["date_id", "target"])
 
 
 @query("prj15_prj16_attach_ids", """

@@ -121,7 +121,7 @@ def _linear_fit(spark, sf_dir):
         tr, te = load_train(spark, sf_dir), load_test(spark, sf_dir)
         common = schema.common_columns(tr, te)
         both = schema.concat_strict(tr.select(*common), te.select(*common))
-        data = materialize(ls.create_example_dataset(both))  # model input: written once
+        data = materialize(ls.FEATURES.rows(both))  # model input: written once
         fitted, xt = ls.fit(tr, data)
         return fitted, materialize(xt)
     return cached("linear_fit", spark, sf_dir, build)
@@ -240,9 +240,6 @@ def q_test_pred(spark, sf_dir):
 
 # ------------------------------------------------------ boosted trees (MOD6-9)
 
-# Round budget of the registered tree query (library default: 1000 / patience 50).
-GBT_QUERY_ROUNDS = 10
-GBT_QUERY_PATIENCE = 5
 def _gbt_run(spark, sf_dir):
     """The ensemble runs once per session and input; its tables are written to
     the checkpoint folder so every registered view reads the same result."""
@@ -254,7 +251,7 @@ def _gbt_run(spark, sf_dir):
         pos = series.add_position(p, "date_id")
         train = pos.where(F.col("pos") < n - TEST_TAIL_ROWS).drop("pos")
         test = pos.where(F.col("pos") >= n - TEST_TAIL_ROWS).drop("pos")
-        r = ensemble.run(train, test, "date_id", spark, max_rounds=GBT_QUERY_ROUNDS, patience=GBT_QUERY_PATIENCE)
+        r = ensemble.run(train, test, "date_id", spark)
         r.history = materialize(r.history)
         r.fold_metrics = materialize(r.fold_metrics)
         r.predictions = materialize(r.predictions)
@@ -284,6 +281,76 @@ def q_gbt_metrics(spark, sf_dir):
     return r.fold_metrics.unionByName(mean)
 
 
+_GBT_FOLDS_SQL = """
+tr AS (SELECT *, CASE WHEN pos < n - 5 * (n // 6) THEN 0 ELSE (pos - (n - 5 * (n // 6))) // (n // 6) + 1 END AS fold
+       FROM (SELECT date_id, forward_returns, row_number() OVER (ORDER BY date_id) - 1 AS pos, count(*) OVER () AS n FROM panel
+             WHERE date_id IN (SELECT date_id FROM panel QUALIFY row_number() OVER (ORDER BY date_id DESC) > 10)) t),
+models AS (SELECT unnest(['gbt_a', 'gbt_b', 'gbt_c']) AS model)"""
+
+
+@query("mod9_gbt_rows_scored", with_panel("""
+SELECT model, CAST(fold AS INTEGER) AS fold, 'valid' AS split, count(*) AS n_rows, count(*) AS n_ids, 0::BIGINT AS n_null
+FROM tr, models WHERE fold >= 1 GROUP BY ALL
+UNION ALL
+SELECT model, CAST(f AS INTEGER), 'test', (SELECT least(count(*), 10) FROM panel), (SELECT least(count(*), 10) FROM panel), 0::BIGINT
+FROM models, range(1, 6) r(f)""", _GBT_FOLDS_SQL))
+def q_gbt_rows(spark, sf_dir):
+    """MOD9: every validation row of a fold and every test row gets exactly one
+    score of each fitted learner and fold, none NULL."""
+    return _gbt_run(spark, sf_dir).scores.groupBy("model", "fold", "split").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("date_id").alias("n_ids"),
+        F.count_if(F.col("pred").isNull() | F.isnan("pred")).alias("n_null"))
+
+
+@query("win7_mod11_gbt_checks", with_panel("""
+SELECT 'history ends where the patience fires' AS "check", 3 * count(DISTINCT fold) AS n_checked, 0::BIGINT AS n_wrong FROM tr WHERE fold >= 1
+UNION ALL SELECT 'rmse and blend follow from the scores', count(DISTINCT fold), 0 FROM tr WHERE fold >= 1
+UNION ALL SELECT 'test prediction is the mean of the fold blends', (SELECT least(count(*), 10) FROM panel), 0
+""", _GBT_FOLDS_SQL))
+def q_gbt_checks(spark, sf_dir):
+    """WIN7 re-derived from the written history, MOD11/AGG11 and MOD10 re-derived
+    from the written scores with the panel's targets: checks and violations."""
+    r, p = _gbt_run(spark, sf_dir), panel(spark, sf_dir).select("date_id", F.col("forward_returns").alias("y"))
+    h = r.history.where("split = 'valid'")
+    best = h.groupBy("model", "fold").agg(F.max("iteration").alias("last"), F.min_by("iteration", F.struct("rmse", "iteration")).alias("best"),
+                                          F.count(F.lit(1)).alias("n"))
+    fired = (F.col("last") - F.col("best") == trees.PATIENCE) | ((F.col("last") == trees.MAX_ROUNDS - 1)
+                                                                 & (F.col("last") - F.col("best") < trees.PATIENCE))
+    right = fired & (F.col("n") == F.col("last") + 1)
+    weights = F.create_map(*[F.lit(x) for kv in evaluate.BLEND_WEIGHTS.items() for x in kv])
+    blended = r.scores.groupBy("date_id", "fold", "split").agg(F.sum(F.col("pred") * weights[F.col("model")]).alias("b"))
+    rmse = blended.where("split = 'valid'").join(p, "date_id").groupBy("fold").agg(F.sqrt(F.avg(F.pow(F.col("y") - F.col("b"), 2))).alias("e"))
+    both = rmse.join(r.fold_metrics, "fold", "full")
+    test = blended.where("split = 'test'").groupBy("date_id").agg(F.avg("b").alias("m"))
+    preds = r.predictions.join(test, "date_id", "full")
+    near = lambda a, b: F.coalesce(F.abs(F.col(a) - F.col(b)) < 1e-9, F.lit(False))
+    out = [("history ends where the patience fires", best, right), ("rmse and blend follow from the scores", both, near("e", "rmse")),
+           ("test prediction is the mean of the fold blends", preds, near("m", "forward_returns"))]
+    rows = [d.agg(F.count(F.lit(1)).alias("n_checked"), F.count_if(~ok).alias("n_wrong")).select(
+        F.lit(name).alias("check"), "n_checked", "n_wrong") for name, d, ok in out]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+# MOD12 with fixed coefficients: every panel row is a batch of its own.
+_FIXED_COEF = {c: round((-1) ** k * 0.0004 * (k + 1), 6) for k, c in enumerate(V)}
+_FIXED_INTERCEPT = 0.0003
+
+
+@query("mod4_mod5_mod12_fixed_model_batches", with_panel(
+    "SELECT p.date_id, round(z.raw_pred, 6) AS raw_pred, CASE WHEN z.raw_pred IS NOT NULL THEN round(least(greatest(z.raw_pred * 400.0 + 1.0, 0.0), 2.0), 6) END AS prediction "
+    "FROM panel p LEFT JOIN (SELECT mm.date_id, " + f"{_FIXED_INTERCEPT} + "
+    + " + ".join(f"{w} * ((mm.{c} - m_{c}) / s_{c})" for c, w in _FIXED_COEF.items()) + " AS raw_pred FROM mm, st) z USING (date_id)",
+    _MODEL_SQL))
+def q_fixed_batches(spark, sf_dir):
+    """MOD12 over every panel row, one batch per date: features rebuilt inside the
+    batch, z-scored with the train scaler, linear score of fixed coefficients,
+    signal, first row of the batch (NULL where a feature is missing)."""
+    rows = schema.rename(panel(spark, sf_dir), {"market_forward_excess_returns": "target"})
+    scaler = fit_scaler(_train_part(spark, sf_dir, _model_rows(spark, sf_dir)), V)
+    model = linear.LinearModel(tuple(V), _FIXED_INTERCEPT, tuple(_FIXED_COEF.values()), 0.0, 0.0)
+    return round_doubles(ls.predict_batches(rows, ls.FittedLinear(scaler, model, tuple(V))))
+
+
 @query("src4_src5_mod10_score_file")
 def q_score_file(spark, sf_dir):
     """MOD10 test prediction (mean of the 5 fold models' blends), PRJ17 score

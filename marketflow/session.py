@@ -73,10 +73,4 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def local_path(p: str) -> str:
-    """Strip a file: scheme for local os calls (tests only)."""
-    return p[len("file:"):] if p.startswith("file:") else p
-
-
-__all__ = ["get_session", "checkpoint_dir", "scratch_path", "shuffle_partitions",
-           "local_path"]
+__all__ = ["get_session", "checkpoint_dir", "scratch_path", "shuffle_partitions"]

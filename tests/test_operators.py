@@ -176,16 +176,16 @@ def test_one_row_batch_with_null_feature_gives_null(spark):
     V = ls.MODEL_VARS
     fitted = ls.FittedLinear(ScalerParams(tuple(V), tuple(0.0 for _ in V), tuple(1.0 for _ in V)),
                              LinearModel(tuple(V), 0.001, tuple(0.0 for _ in V), 0.1, 0.0), tuple(V))
-    cols = ["date_id", "target"] + ls.RAW_INPUTS
-    base = {c: 1.0 for c in ls.RAW_INPUTS}
-    r1 = [1, 0.0] + [base[c] for c in ls.RAW_INPUTS]
-    r2 = [2, 0.0] + [None if c == "E3" else base[c] for c in ls.RAW_INPUTS]
-    schema_ = ", ".join(["date_id long", "target double"] + [f"{c} double" for c in ls.RAW_INPUTS])
+    cols = ["date_id", "target"] + ls.FEATURES.raw[2:]
+    base = {c: 1.0 for c in ls.FEATURES.raw[2:]}
+    r1 = [1, 0.0] + [base[c] for c in ls.FEATURES.raw[2:]]
+    r2 = [2, 0.0] + [None if c == "E3" else base[c] for c in ls.FEATURES.raw[2:]]
+    schema_ = ", ".join(["date_id long", "target double"] + [f"{c} double" for c in ls.FEATURES.raw[2:]])
     test = spark.createDataFrame([r1, r2], schema_)
     out = {r["date_id"]: r for r in ls.predict_batches(test, fitted).collect()}
     assert out[1]["prediction"] == pytest.approx(1.4) and out[2]["prediction"] is None
     # with history the null is filled from the past and the batch is scored
-    hist = spark.createDataFrame([[0, 0.0] + [base[c] for c in ls.RAW_INPUTS]], schema_)
+    hist = spark.createDataFrame([[0, 0.0] + [base[c] for c in ls.FEATURES.raw[2:]]], schema_)
     out = {r["date_id"]: r for r in ls.predict_batches(test, fitted, history=hist).collect()}
     assert out[2]["prediction"] == pytest.approx(1.4)
 
