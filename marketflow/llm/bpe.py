@@ -16,6 +16,7 @@ import json
 import uuid
 from array import array
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -27,8 +28,8 @@ from marketflow.llm import common
 _S = r"\t-\r \x85\xa0  -     　"
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + _S + r"\p{L}\p{N}]+|[" + _S + r"]+(?![^" + _S + r"])|["
            + _S + "]+")
-#: Distinct pieces a worker keeps.
-KEPT_PIECES = 700_000
+#: Distinct pieces, and token pairs, that a worker keeps.
+KEPT_PIECES = 500_000
 COLUMNS = ("ids", "decoded")
 
 
@@ -63,6 +64,20 @@ class Vocabulary:
             self.parts.setdefault(ids["".join(pair) if isinstance(pair, list) else pair.replace(" ", "", 1)], (r, left, right))
 
 
+class Pieces(dict):
+    """Encoded pieces (ids as bytes of int32), made on first use; emptied when it has KEPT_PIECES of them."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= KEPT_PIECES:
+            self.clear()
+        ids = self[piece] = array("i", self.encode(piece.encode())).tobytes()
+        return ids
+
+
 class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         import ahocorasick
@@ -79,8 +94,8 @@ class Encoder:
             if token and i not in special:
                 self.automaton.add_word(token.decode("latin-1"), (len(token), i))
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.kept: dict[str, tuple[int, ...]] = {}
+        self.pairs: dict[int, bool] = {}
+        self.kept = Pieces(self.encode_piece)
         self.alone: dict[int, bool] = {}
 
     def compatible(self, left: int, right: int, whole: bool = False) -> bool:
@@ -128,9 +143,11 @@ class Encoder:
                 before = last[begin]
                 if before < 0:
                     continue
-                ok = pairs.get((before, token))
+                ok = pairs.get(before << 32 | token)
                 if ok is None:
-                    ok = pairs[before, token] = self.stands(token) and self.compatible(before, token)
+                    if len(pairs) >= KEPT_PIECES:
+                        pairs.clear()
+                    ok = pairs[before << 32 | token] = self.stands(token) and self.compatible(before, token)
                 if not ok:
                     continue
             elif not self.stands(token):
@@ -144,21 +161,20 @@ class Encoder:
             n -= size[n]
         return tuple(out[::-1])
 
-    def encode(self, text: str) -> array:
-        ids, kept = array("i"), self.kept
-        for k, part in enumerate(self.cut(text) if self.cut else (text,)):
+    def encode_bytes(self, text: str) -> bytes:
+        """Token ids of a text, as bytes of int32."""
+        if self.cut is None:
+            return b"".join(map(self.kept.__getitem__, self.find(text)))
+        out = []
+        for k, part in enumerate(self.cut(text)):
             if k & 1:
-                ids.append(self.v.special[part])
-                continue
-            for piece in self.find(part):
-                got = kept.get(piece)
-                if got is None:
-                    if len(kept) >= KEPT_PIECES:
-                        kept.clear()
-                        self.pairs.clear()
-                    got = kept[piece] = self.encode_piece(piece.encode())
-                ids.extend(got)
-        return ids
+                out.append(array("i", [self.v.special[part]]).tobytes())
+            else:
+                out += map(self.kept.__getitem__, self.find(part))
+        return b"".join(out)
+
+    def encode(self, text: str) -> array:
+        return array("i", self.encode_bytes(text))
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -202,12 +218,9 @@ def encode_decode(docs: DataFrame, path: str, text_col: str = "text") -> DataFra
         tokens = pa.array(encoder.v.tokens, pa.binary())
         for piece in common.slices(batches, text_col, 1 << 20):
             texts = piece.column(names.index(text_col)).to_pylist()
-            offsets, flat = [0], array("i")
-            for text in texts:
-                if text:
-                    flat.extend(encoder.encode(text))
-                offsets.append(len(flat))
-            values = pa.array(memoryview(flat), pa.int32()) if len(flat) else pa.array([], pa.int32())
+            parts = [encoder.encode_bytes(text) if text else b"" for text in texts]
+            offsets = np.cumsum([0, *(len(x) // 4 for x in parts)])
+            values = pa.array(np.frombuffer(b"".join(parts), np.int32))
             ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
             bytes_of = pa.ListArray.from_arrays(ids.offsets, tokens.take(values))
             decoded = pc.binary_join(bytes_of, pa.scalar(b"", pa.binary()))
