@@ -18,7 +18,7 @@ from marketflow.session import scratch_path
 
 U64 = np.uint64
 #: Bytes of text that one columnar step works on at a time (a longer single text is one step).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Rows of an Arrow batch sent to Python; bounds the memory of batches of long texts.
 ARROW_ROWS = 1000
 #: Cells of a frequency sketch: a fixed size, whatever the input.
