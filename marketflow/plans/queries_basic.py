@@ -56,6 +56,16 @@ def q_src2(spark, sf_dir):
     return _csv_roundtrip(spark, sf_dir, "polars")
 
 
+@query("src1_src2_csv_scan_inferred", with_panel(
+    "SELECT 'pandas' AS flavor, * REPLACE (CAST(D1 AS BIGINT) AS D1, CAST(D2 AS BIGINT) AS D2) FROM panel UNION ALL "
+    "SELECT 'polars', * REPLACE (CAST(D1 AS BIGINT) AS D1, CAST(D2 AS BIGINT) AS D2) FROM panel"))
+def q_src_inferred(spark, sf_dir):
+    """Panel written as CSV and read back without a schema, in both flavors."""
+    path = io.write_csv(panel(spark, sf_dir), scratch_path(spark, "panel-csv"))
+    both = [io.read_csv(spark, path, flavor=f).withColumn("flavor", F.lit(f)) for f in ("pandas", "polars")]
+    return both[0].unionByName(both[1])
+
+
 @query("src3_parquet_scan",
        "SELECT event_id, ts, user_id, event_type, value FROM events WHERE value > 10")
 def q_src3(spark, sf_dir):

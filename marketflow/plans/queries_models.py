@@ -150,6 +150,33 @@ def q_path(spark, sf_dir):
     return path.groupBy("alpha_idx", "alpha").agg(F.avg("mse").alias("mean_mse"), F.count("fold").alias("n_folds"))
 
 
+@query("mod2_mod3_optimality", with_panel(
+    "SELECT unnest([" + ", ".join(f"'{c}'" for c in [*V, "(alpha)"]) + "]) AS feature, (SELECT count(*) FROM m "
+    "WHERE target IS NOT NULL AND date_id >= (SELECT greatest(" + ", ".join(f"min(date_id) FILTER (WHERE {c} IS NOT NULL)" for c in V)
+    + ") FROM m) AND date_id IN (SELECT date_id FROM panel QUALIFY row_number() OVER (ORDER BY date_id DESC) > 10)) AS n_rows, "
+    "0::BIGINT AS n_wrong", _MODEL_SQL))
+def q_optimality(spark, sf_dir):
+    """MOD2/MOD3: the fitted coefficients meet the elastic net's optimality condition on
+    moments taken anew from the training rows, and the chosen alpha has the least mean
+    validation error of the path: one row per check with the rows used and violations (0)."""
+    import numpy as np
+
+    fitted, xt = _linear_fit(spark, sf_dir)
+    m, l1r = fitted.model, linear.PenaltyGrid().l1_ratio
+    row = linear.moments(xt, V, "target", []).first()  # p x p numbers
+    n, sx, sy, syy, s, sxy = linear._unpack(*(row[c] for c in ("n", "sx", "sy", "syy", "sxx", "sxy")), len(V))
+    _, _, q2, q, _ = linear._centered(n, sx, sy, syy, s, sxy)
+    w = np.array(m.coef)
+    slope = q - q2 @ w - n * m.alpha * (1 - l1r) * w
+    limit = n * m.alpha * l1r
+    slack = 1e-2 * max(limit, float(np.abs(q).max()))
+    wrong = np.where(w != 0, np.abs(slope - limit * np.sign(w)) > slack, np.abs(slope) > limit + slack)
+    path = q_path(spark, sf_dir)
+    best = path.agg(F.min_by("alpha", F.struct("mean_mse", -F.col("alpha")))).first()[0]
+    rows = [(c, int(n), int(x)) for c, x in zip(V, wrong)] + [("(alpha)", int(n), int(abs(best - m.alpha) > 1e-12))]
+    return spark.createDataFrame(rows, "feature string, n_rows long, n_wrong long")
+
+
 @query("mod4_mod5_mod12_batch_predictions")
 def q_predict(spark, sf_dir):
     """MOD12: per-batch inference on the test rows (features rebuilt inside each

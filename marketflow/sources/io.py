@@ -1,7 +1,7 @@
 """Scans and sinks (SRC1-SRC6).
 
-Readers take an explicit schema (no inference at scale: inference is a full
-extra pass over the data) and normalise NaN to SQL NULL at load, so every later
+Readers take an explicit schema, or infer one from the whole file in one extra
+distributed pass (CSV without a schema), and normalise NaN to SQL NULL at load, so every later
 operator can rely on ``isNull`` / ``dropna`` / ``avg`` skipping the same cells.
 """
 
@@ -64,13 +64,44 @@ def _csv_typed(raw: DataFrame, schema: T.StructType, na_tokens: list[str]) -> Da
     return raw.select(*out)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType,
+def infer_csv_schema(spark: SparkSession, path: str, flavor: str = "pandas") -> T.StructType:
+    """Types of a CSV file with header, from all its rows in one aggregation: boolean, bigint,
+    double or string, the first that every present value parses as. In the pandas flavor
+    an integer or boolean column with missing values is double or string, as there."""
+    tokens = PANDAS_NA_TOKENS if flavor == "pandas" else POLARS_NA_TOKENS
+    raw = spark.read.option("header", True).option("inferSchema", False).option("emptyValue", "") \
+        .option("nullValue", "\u0000never\u0000").csv(path)
+    aggs = []
+    for i, name in enumerate(raw.columns):
+        c = F.col(f"`{name}`")
+        c = F.when(c.isin(*tokens), F.lit(None)).otherwise(c)
+        whole = c.rlike(r"^\s*[+-]?[0-9]+\s*$") & c.try_cast("bigint").isNotNull()
+        aggs += [F.count(F.lit(1)).alias(f"n{i}"), F.count(c).alias(f"v{i}"), F.count_if(whole).alias(f"i{i}"),
+                 F.count_if(c.try_cast("double").isNotNull()).alias(f"d{i}"),
+                 F.count_if(F.lower(F.trim(c)).isin("true", "false")).alias(f"b{i}")]
+    row = raw.agg(*aggs).first() if aggs else {}
+
+    def kind(i: int) -> T.DataType:
+        n, v, ints, doubles, flags = (row[f"{k}{i}"] for k in "nvidb")
+        missing = flavor == "pandas" and v < n
+        if v and flags == v:
+            return T.StringType() if missing else T.BooleanType()
+        if v and ints == v:
+            return T.DoubleType() if missing else T.LongType()
+        return T.DoubleType() if doubles == v and (v or flavor == "pandas") else T.StringType()
+
+    return T.StructType([T.StructField(name, kind(i), True) for i, name in enumerate(raw.columns)])
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
              flavor: str = "pandas") -> DataFrame:
     """SRC1 (``flavor='pandas'``) / SRC2 (``flavor='polars'``) CSV scan with header.
 
-    The header is matched by name; the declared schema fixes the output types.
+    The header is matched by name; the declared schema fixes the output types, and
+    without one they are inferred (``infer_csv_schema``).
     """
     tokens = PANDAS_NA_TOKENS if flavor == "pandas" else POLARS_NA_TOKENS
+    schema = infer_csv_schema(spark, path, flavor) if schema is None else schema
     text_schema = T.StructType([T.StructField(f.name, T.StringType(), True)
                                 for f in schema.fields])
     raw = (spark.read.option("header", True).option("enforceSchema", False)

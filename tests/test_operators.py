@@ -281,3 +281,12 @@ def test_wide_moments_null_group(spark):
         a, b = ({r["k"]: (r["n"], r["sx"], r["sxx"], r["sxy"]) for r in linear.moments(rows, ["x"], "y", ["k"], engine=e).collect()}
                 for e in ("sql", "numpy"))
         assert a == b and None in a
+
+
+def test_csv_inference(spark, tmp_path):
+    from marketflow.sources import io
+    (tmp_path / "a.csv").write_text("i,f,s,b,m,e\n1,1.5,x,true,3,\n-2,2,NA,False,NA,\n3,1e3,7,true,5,\n")
+    kinds = lambda flavor: [f.dataType.simpleString() for f in io.read_csv(spark, str(tmp_path / "a.csv"), flavor=flavor).schema]
+    assert kinds("pandas") == ["bigint", "double", "string", "boolean", "double", "double"]
+    assert kinds("polars") == ["bigint", "double", "string", "boolean", "string", "string"]
+    assert [r["m"] for r in io.read_csv(spark, str(tmp_path / "a.csv")).collect()] == [3.0, None, 5.0]
