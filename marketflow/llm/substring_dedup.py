@@ -154,13 +154,19 @@ def _searched(segments: DataFrame, window: int) -> DataFrame:
     return dealt.mapInArrow(run, "anchor bigint, seg bigint, owner bigint, runs array<int>")
 
 
-def _fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(anchor, seg, owner, text) of wanted segments, cut out of their owners' texts."""
+def _fetched(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
+    """(anchor, seg, owner, text) of wanted segments, cut out of their owners' texts.
+
+    All columns of ``docs`` are read, so that this join and the last one are fed by one exchange of the texts."""
+    lists = wanted.groupBy(F.col("first.doc").alias("__doc"), F.col("first.th").alias("__th")).agg(
+        F.collect_list(F.struct("anchor", "seg", "first.start", "first.n")).alias("__lists"))
+    joined = docs.join(lists, ["__doc", "__th"])
+    doc_at, text_at = joined.columns.index("__doc"), joined.columns.index(text_col)
 
     def run(batches):
-        for piece in common.slices(batches):
+        for piece in common.slices(batches, text_col):
             out = []
-            for doc, text, lists in zip(piece.column(0).to_pylist(), piece.column(2).to_pylist(), piece.column(3).to_pylist()):
+            for doc, text, lists in zip(*(piece.column(k).to_pylist() for k in (doc_at, text_at, piece.num_columns - 1))):
                 words = text.encode().split()
                 out += [(s["anchor"], s["seg"], doc, b" ".join(words[s["start"]:s["start"] + s["n"]]).decode()) for s in lists]
             if out:
@@ -169,15 +175,14 @@ def _fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     [*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())],
                     names=["anchor", "seg", "owner", "text"])
 
-    lists = wanted.groupBy(F.col("first.doc").alias("doc"), F.col("first.th").alias("th")).agg(
-        F.collect_list(F.struct("anchor", "seg", "first.start", "first.n")).alias("lists"))
-    joined = docs.join(lists, ["doc", "th"]).select("doc", "th", "text", "lists")
     return joined.mapInArrow(run, "anchor bigint, seg bigint, owner bigint, text string").dropDuplicates(["anchor", "seg"])
 
 
-def repeated_intervals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc, th, spans): word intervals of documents (doc, th, text) that lie in windows seen in a smaller doc."""
-    spark = docs.sparkSession
+def repeated_intervals(base: DataFrame, text_col: str, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """(__doc, __th, __spans): word intervals of documents (__doc, __th, text) that lie in windows seen in a
+    smaller __doc."""
+    spark = base.sparkSession
+    docs = base.select(F.col("__doc").alias("doc"), F.col("__th").alias("th"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def cells(batches):
         for piece in common.slices(batches):
@@ -192,7 +197,7 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM)
     segs = common.written(shared.groupBy("anchor", "seg").agg(
         F.min(F.struct("doc", "th", "start", "n")).alias("first"), F.max("doc").alias("last")), "distinct")
     many = segs.groupBy("anchor").count().where("count > 1").select("anchor")
-    runs = _searched(_fetched(docs, segs.join(many, "anchor", "left_semi")), window)
+    runs = _searched(_fetched(base, segs.join(many, "anchor", "left_semi"), text_col), window)
     copies = shared.join(segs.where("first.doc < last").select("anchor", "seg", F.col("first.doc").alias("owner")),
                          ["anchor", "seg"]).where("doc > owner")
     whole = copies.select("doc", "th", F.array(F.col("start"), F.col("start") + F.col("n")).alias("span"))
@@ -201,7 +206,8 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM)
         F.sequence(F.lit(0), F.size("runs") - 1, F.lit(2)),
         lambda i: F.array(F.get("runs", i), F.get("runs", i + 1) + window - 1))).alias("r")).select(
         "doc", "th", F.transform("r", lambda x: x + F.col("start")).alias("span"))
-    return whole.unionByName(parts).groupBy("doc", "th").agg(F.collect_list("span").alias("spans"))
+    return whole.unionByName(parts).groupBy(
+        F.col("doc").alias("__doc"), F.col("th").alias("__th")).agg(F.collect_list("span").alias("__spans"))
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -210,9 +216,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = {"__doc": F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)),
             "__th": F.hash(F.coalesce(F.col(text_col), F.lit("")))}
     base = docs.drop(*COLUMNS).withColumns(keys)
-    slim = docs.select(keys["__doc"].alias("doc"), keys["__th"].alias("th"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    spans = repeated_intervals(slim, window).select(F.col("doc").alias("__doc"), F.col("th").alias("__th"), F.col("spans").alias("__spans"))
-    joined = base.join(spans, ["__doc", "__th"], "left").drop("__doc", "__th")
+    joined = base.join(repeated_intervals(base, text_col, window), ["__doc", "__th"], "left").drop("__doc", "__th")
     names = joined.columns[:-1]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:-1])
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
