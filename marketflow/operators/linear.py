@@ -176,42 +176,43 @@ def _centered(n, sx, sy, syy, S, sxy):
 
 
 def cd_gram(Q, q, yy, n, alpha, l1_ratio, w0=None, max_iter=1000, tol=TOL):
-    """Coordinate descent on the centred Gram matrix with a duality-gap stop."""
+    """Coordinate descent on the centred Gram matrix with a duality-gap stop.
+
+    The sweeps work on plain floats: a coordinate step is a handful of scalar operations, and the
+    products ``Q w`` are only touched when a coefficient changes."""
     p = Q.shape[0]
-    w = np.zeros(p) if w0 is None else w0.copy()
+    w = [0.0] * p if w0 is None else [float(x) for x in w0]
     l1 = alpha * l1_ratio * n
     l2 = alpha * (1.0 - l1_ratio) * n
-    tol_s = tol * yy
-    diag = np.diag(Q)
-    H = Q @ w
+    columns = Q.T.tolist()
+    target = [float(x) for x in q]
+    used = [j for j in range(p) if columns[j][j] != 0.0]
+    H = (Q @ np.array(w)).tolist() if p else []
     for _ in range(max_iter):
         w_max, d_max = 0.0, 0.0
-        for j in range(p):
-            if diag[j] == 0.0:
-                continue
-            wj = w[j]
-            tmp = q[j] - H[j] + diag[j] * wj
-            nw = np.sign(tmp) * max(abs(tmp) - l1, 0.0) / (diag[j] + l2)
-            if nw != wj:
-                H += Q[:, j] * (nw - wj)
-                w[j] = nw
-            d_max = max(d_max, abs(nw - wj))
-            w_max = max(w_max, abs(nw))
+        for j in used:
+            wj, column = w[j], columns[j]
+            tmp = target[j] - H[j] + column[j] * wj
+            size = abs(tmp) - l1
+            new = (size if tmp > 0 else -size) / (column[j] + l2) if size > 0.0 else 0.0
+            change = new - wj
+            if change:
+                H = [h + c * change for h, c in zip(H, column)]
+                w[j] = new
+                d_max = max(d_max, abs(change))
+            w_max = max(w_max, abs(new))
         if w_max == 0.0 or d_max / w_max < tol:
-            qw = w @ q
-            XtA = q - H - l2 * w
+            v, h = np.array(w), np.array(H)
+            qw = v @ q
+            XtA = q - h - l2 * v
             dual = np.max(np.abs(XtA)) if p else 0.0
-            R2 = yy + w @ H - 2.0 * qw
-            if dual > l1:
-                const = l1 / dual
-                gap = 0.5 * (R2 + R2 * const * const)
-            else:
-                const = 1.0
-                gap = R2
-            gap += l1 * np.sum(np.abs(w)) - const * (yy - qw) + 0.5 * l2 * (1 + const * const) * (w @ w)
-            if gap < tol_s:
+            R2 = yy + v @ h - 2.0 * qw
+            const = l1 / dual if dual > l1 else 1.0
+            gap = 0.5 * (R2 + R2 * const * const) if dual > l1 else R2
+            gap += l1 * np.sum(np.abs(v)) - const * (yy - qw) + 0.5 * l2 * (1 + const * const) * (v @ v)
+            if gap < tol * yy:
                 break
-    return w
+    return np.array(w)
 
 
 def _mse(w, b, n, sx, sy, syy, S, sxy):
