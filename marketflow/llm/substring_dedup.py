@@ -34,7 +34,7 @@ WINDOW = 50
 #: Words of a gram that can be an anchor.
 GRAM = 8
 #: Segment text that one FM-index holds; an index ends at the next change of anchor.
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 4 << 20
 COLUMNS = ("n_words", "n_removed", "removed", "kept_text")
 _LAST = (1 << 63) - 1
 
