@@ -285,6 +285,24 @@ def test_line_dedup_larger_window():
     assert len(shared) == 1 and place[(doc == 1) & (win == next(iter(shared))[1])].tolist() == [1]
 
 
+def test_line_dedup_single_short_lines(spark):
+    """A short line between lines of one document only goes from all documents but the first, a one-word line too."""
+    docs = [(k, f"start {k} here\nread our nine word notice before you go on\nmiddle {k}\n\nmenu\nend {k}") for k in range(50)]
+    got = line_dedup.line_dedup(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4))
+    want = {k: t if not k else f"start {k} here\nmiddle {k}\n\nend {k}" for k, t in docs}
+    assert {r[0]: r[1] for r in got.select("doc_id", "clean_text").collect()} == want
+
+
+def test_line_dedup_windows_of_shorter_lines(monkeypatch):
+    """With a larger least number of words, windows that hold a shorter line are joined besides the longer lines."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(line_dedup, "LONG_WORDS", 2)
+    doc, place, win, size = line_dedup.positions(line_dedup.Lines(pa.array(["a\nb b\nc c\nd d", "x\na\nb b"])), 2)
+    assert sorted(zip(doc, place, size)) == [(0, 0, 2), (0, 1, 1), (0, 2, 1), (0, 3, 1), (1, 0, 2), (1, 1, 2), (1, 2, 1)]
+    assert len(set(win)) == 5
+
+
 # ------------------------------------------------------------------ decontamination
 
 def brute_hits(docs, items, window=13):
