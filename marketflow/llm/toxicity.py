@@ -1,26 +1,30 @@
 """Toxicity scores by the nearest labelled examples under exact TF-IDF cosine.
 
-Features are words (A-Z lower-cased; runs of digits, letters and characters beyond ASCII) and word beginnings
-of 4 to 8 bytes; a feature that a text holds at least twice, and once in ``DENSE`` words or more often, is
-also a dense feature. The labelled examples are a bounded sample (``MAX_LABELLED`` rows of the training part,
-in hash order); on it the ``MAX_FEATURES`` features with the largest chi-square against the label are chosen.
-Inverse document frequencies of these are counted over all documents. The examples' vectors form a block-max
-inverted index: blocks of examples with the largest weight of each feature in a block. A document's blocks
-are visited by falling upper bound until no unvisited block can beat its k-th neighbour, so the neighbours
-are exact. Votes are weighted by similarity squared, and the share of toxic votes is calibrated (monotone
-steps, fitted on leave-one-out votes of the examples themselves). The neighbours are returned as evidence.
+Terms are words (A-Z lower-cased; runs of digits, letters and characters beyond ASCII) and word beginnings of 4 to
+8 bytes; a term that a text holds at least twice, and once in ``DENSE`` words or more often, also has a dense form.
+The labelled examples are a bounded sample (``MAX_LABELLED`` rows of the training part, in hash order); all their
+terms are kept, in sparse vectors. Document frequencies are counted over all documents. A term's weight is its
+inverse document frequency times sqrt(1 + chi-square against the label): none is dropped by it, but terms that go
+with the label count for more than the many rare words of a text. The examples' vectors form an inverted
+index in blocks of examples: rare terms have posting lists, terms of at least one in ``FREQUENT`` examples a column
+for each block with its maximum. A document's posting lists are added up, and the frequent terms only in blocks
+whose upper bound reaches its k-th neighbour, so the neighbours are exact. Votes are weighted by similarity
+squared, and the share of toxic votes is calibrated (monotone steps, fitted on leave-one-out votes of the examples
+themselves). The neighbours are returned as evidence.
 
 Labels enter only through training rows: crc32 of the id as text, modulo 3, other than 1. Labels, language,
 source and id are no input of a score.
 
-Defined cases: texts without any chosen feature (null and empty ones too) get the calibrated score of examples
-without features; of several labels of one id the largest counts; labels without id or value are left out;
+Defined cases: texts without any term of the examples (null and empty ones too) get the calibrated score of examples
+without terms; of several labels of one id the largest counts; labels without id or value are left out;
 with no labelled example every score is 0. A null id is not held out. Rows are scored one by one. Input
 columns stay, except that columns with the names of ``COLUMNS`` are replaced.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,12 +34,13 @@ from marketflow.llm import common
 from marketflow.llm.common import U64
 
 MAX_LABELLED = 12_000
-MAX_FEATURES = 256
-#: Least chi-square of a feature (one degree of freedom, p = 0.000001, as there are very many candidates).
-MIN_CHI2 = 24.0
 #: A dense feature stands at least once in so many words.
 DENSE = 150
 BLOCK = 32
+#: A term of at least one in so many examples is kept as a column, others as posting lists.
+FREQUENT = 12
+#: Queries, and postings of them, that are added up at a time (one query may exceed the latter).
+QUERIES, POSTINGS = 64, 1 << 21
 NEIGHBOURS = 15
 THRESHOLD = 0.7
 STEMS = (4, 5, 6, 7, 8)
@@ -55,82 +60,187 @@ def _features(texts: pa.Array):
     return np.concatenate(out), np.concatenate(docs), words.counts
 
 
+class Sparse:
+    """Entries (row, term, value) of a matrix, by row."""
+
+    def __init__(self, row: np.ndarray, term: np.ndarray, value: np.ndarray, shape: tuple[int, int]):
+        order = np.argsort(row, kind="stable")
+        self.row, self.term, self.value, self.shape = row[order], term[order], value[order], shape
+        self.start = np.searchsorted(self.row, np.arange(shape[0] + 1))
+
+    def with_value(self, value: np.ndarray) -> Sparse:
+        out = object.__new__(Sparse)
+        out.row, out.term, out.value, out.shape, out.start = self.row, self.term, value, self.shape, self.start
+        return out
+
+    @classmethod
+    def of(cls, dense: np.ndarray) -> Sparse:
+        row, term = np.nonzero(dense)
+        return cls(row, term, dense[row, term], dense.shape)
+
+    def dense(self) -> np.ndarray:
+        out = np.zeros(self.shape, self.value.dtype)
+        out[self.row, self.term] = self.value
+        return out
+
+    def __len__(self) -> int:
+        return self.shape[0]
+
+    def __getitem__(self, k: int) -> np.ndarray:
+        out = np.zeros(self.shape[1], self.value.dtype)
+        here = slice(self.start[k], self.start[k + 1])
+        out[self.term[here]] = self.value[here]
+        return out
+
+
+def _counted(feature: np.ndarray, doc: np.ndarray):
+    """Distinct (feature, doc) with their number, by feature."""
+    order = np.lexsort((doc, feature))
+    feature, doc = feature[order], doc[order]
+    new = np.flatnonzero(np.append(True, (feature[1:] != feature[:-1]) | (doc[1:] != doc[:-1]))) if len(feature) else np.zeros(0, np.int64)
+    return feature[new], doc[new], np.diff(np.append(new, len(feature)))
+
+
 class Vocabulary:
-    """Chosen features (hash, whether the dense form); ``counts`` gives the term counts of a slice's documents."""
+    """Terms: features (sorted hashes) and the dense forms of some of them (``dense``: their places among the
+    features); ``counts`` gives the term counts of a slice's documents."""
 
     def __init__(self, hashes: np.ndarray, dense: np.ndarray):
-        self.hashes = np.unique(hashes.astype(U64))
-        self.base, self.dense = np.searchsorted(self.hashes, hashes.astype(U64)), dense.astype(bool)
-        self.size = len(self.base)
-        self.filter = np.zeros(1 << 16, bool)
-        self.filter[(self.hashes & U64(0xFFFF)).astype(np.int64)] = True
-
-    def counts(self, texts: pa.Array) -> np.ndarray:
-        n, v = len(texts), len(self.hashes)
-        if not v:
-            return np.zeros((n, 0), np.int64)
+        self.hashes = hashes
+        self.dense_term = np.full(len(hashes), -1, np.int32)
+        self.dense_term[dense] = len(hashes) + np.arange(len(dense))
+        self.size = len(hashes) + len(dense)
+
+    def counts(self, texts: pa.Array) -> Sparse:
         feature, doc, words = _features(texts)
-        near = np.flatnonzero(self.filter[(feature & U64(0xFFFF)).astype(np.int64)])
-        feature, doc = feature[near], doc[near]
-        at = np.minimum(np.searchsorted(self.hashes, feature), v - 1)
+        feature, doc, count = _counted(feature, doc)
+        if not len(feature) or not self.size:
+            return Sparse(doc[:0], doc[:0], count[:0], (len(texts), self.size))
+        at = np.minimum(np.searchsorted(self.hashes, feature), len(self.hashes) - 1)
         hit = self.hashes[at] == feature
-        found = np.bincount(doc[hit] * v + at[hit], minlength=n * v).reshape(n, v)[:, self.base]
-        return np.where(self.dense, _dense(found, words[:, None]), found)
+        return self.with_dense(doc[hit], at[hit], count[hit], words)
+
+    def with_dense(self, doc: np.ndarray, term: np.ndarray, count: np.ndarray, words: np.ndarray) -> Sparse:
+        form = self.dense_term[term]
+        some = (form >= 0) & _dense(count, words[doc])
+        return Sparse(np.append(doc, doc[some]), np.append(term, form[some]), np.append(count, count[some]), (len(words), self.size))
 
 
 def _dense(count, words):
-    return (count >= 2) & (count * DENSE >= words)
+    return (count >= 2) & (count * np.int64(DENSE) >= words)
+
+
+def vectors(counts: Sparse | np.ndarray, weight: np.ndarray) -> Sparse | np.ndarray:
+    """Unit vectors of (1 + ln tf) times the weight of the term; rows without terms stay zero."""
+    if isinstance(counts, np.ndarray):
+        return vectors(Sparse.of(counts), weight).dense()
+    w = np.log(counts.value.astype(np.float32))
+    w += 1
+    w *= np.asarray(weight, np.float32)[counts.term]
+    norm = np.sqrt(np.bincount(counts.row, weights=w * w, minlength=len(counts)))
+    w /= np.maximum(norm, 1e-12).astype(np.float32)[counts.row]
+    return counts.with_value(w)
 
 
-def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Unit TF-IDF vectors (1 + ln tf); rows without features stay zero."""
-    w = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0) * idf
-    norm = np.sqrt((w * w).sum(1, keepdims=True))
-    return (w / np.maximum(norm, 1e-12)).astype(np.float32)
+def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (size[0] numbers), start[1], ..."""
+    return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
 
 
 class BlockMaxIndex:
-    def __init__(self, rows: np.ndarray, names: np.ndarray, labels: np.ndarray):
-        full = np.flatnonzero(rows.any(1)) if rows.shape[1] else np.zeros(0, np.int64)
-        order = full[np.lexsort((names[full], rows[full].max(1).round(3), rows[full].argmax(1)))] if len(full) else full
+    def __init__(self, rows: Sparse | np.ndarray, names: np.ndarray, labels: np.ndarray):
+        rows = Sparse.of(rows) if isinstance(rows, np.ndarray) else rows
+        # rows with the same heaviest term side by side
+        full = np.flatnonzero(np.diff(rows.start))
+        heaviest = np.maximum.reduceat(rows.value, rows.start[full]) if len(full) else rows.value
+        most = np.flatnonzero(rows.value == np.repeat(heaviest, np.diff(rows.start)[full]))
+        lead = rows.term[most[np.searchsorted(rows.row[most], full)]] if len(full) else full
+        order = full[np.lexsort((names[full], lead))]
         pad = -len(order) % BLOCK if len(order) else BLOCK
         self.names = np.append(names[order], np.zeros(pad, np.int64))
         self.labels = np.append(labels[order], np.zeros(pad, np.int64))
-        self.size = len(order)
-        self.rows = np.vstack([rows[order], np.zeros((pad, rows.shape[1]), np.float32)])
-        self.blocks = self.rows.reshape(len(self.rows) // BLOCK, BLOCK, self.rows.shape[1])
+        self.size, self.terms = len(order), rows.shape[1]
+        number = np.zeros(len(rows), np.int32)
+        number[order] = np.arange(len(order))
+        frequent = np.bincount(rows.term, minlength=self.terms) * FREQUENT >= max(self.size, 1)
+        self.column = np.where(frequent, np.cumsum(frequent) - 1, -1).astype(np.int32)
+        column = self.column[rows.term]
+        columns = np.zeros((len(self.names), int(frequent.sum())), np.float32)
+        some = np.flatnonzero(column >= 0)
+        columns[number[rows.row[some]], column[some]] = rows.value[some]
+        self.blocks = columns.reshape(len(columns) // BLOCK, BLOCK, columns.shape[1])
         self.maxima = self.blocks.max(1).T.copy()
-
-    def search(self, queries: np.ndarray, k: int = NEIGHBOURS, skip: np.ndarray | None = None):
+        del some
+        rare = np.flatnonzero(column < 0)
+        del column
+        rare = rare[np.argsort(rows.term[rare], kind="stable")]
+        self.start = np.append(0, np.cumsum(np.bincount(rows.term[rare], minlength=self.terms))).astype(np.int32 if len(rare) < 1 << 31 else np.int64)
+        self.example, self.weight = number[rows.row[rare]].astype(np.uint16 if self.size < 1 << 16 else np.int32), rows.value[rare].astype(np.float32)
+
+    def part(self, a: int, z: int) -> Sparse:
+        """The vectors of the examples from number a to z."""
+        columns = self.blocks.reshape(len(self.names), self.blocks.shape[2])[a:z]
+        example, column = np.nonzero(columns)
+        at = np.flatnonzero((self.example >= a) & (self.example < z))
+        term = np.searchsorted(self.start, at, side="right") - 1
+        return Sparse(np.append(example, self.example[at].astype(np.int64) - a), np.append(np.flatnonzero(self.column >= 0)[column], term),
+                      np.append(columns[example, column], self.weight[at]), (z - a, self.terms))
+
+    @property
+    def rows(self) -> Sparse:
+        return self.part(0, self.size)
+
+    def own_votes(self, step: int = 1000) -> np.ndarray:
+        """Votes on the examples themselves, each left out of its own neighbours."""
+        out = [np.zeros(0)]
+        for a in range(0, self.size, step):
+            z = min(a + step, self.size)
+            out.append(self.votes(*self.search(self.part(a, z), skip=np.arange(a, z))))
+        return np.concatenate(out)
+
+    def search(self, queries: Sparse | np.ndarray, k: int = NEIGHBOURS, skip: np.ndarray | None = None):
         """(example numbers, similarities) of the k nearest; -1 and 0 where there are fewer with a positive
         similarity. ``skip``: an example that a query may not have (itself, in leave-one-out)."""
-        m, nb = len(queries), len(self.blocks)
+        queries = Sparse.of(queries) if isinstance(queries, np.ndarray) else queries
+        m = len(queries)
         best, who = np.zeros((m, k)), np.full((m, k), -1, np.int64)
-        bound = np.round(queries @ self.maxima + 1e-5, 5)
-        order = np.argsort(-bound, axis=1, kind="stable")
-        live = np.flatnonzero(queries.any(1))
-        for r in range(nb):
-            live = live[bound[live, order[live, r]] > best[live, -1]]
-            if not len(live):
-                break
-            block = order[live, r]
-            scores = np.empty((len(live), BLOCK))
-            by = np.argsort(block, kind="stable")
-            cuts = np.flatnonzero(np.append(True, np.diff(block[by]) > 0))
-            for a, b in zip(cuts, np.append(cuts[1:], len(by))):
-                at = by[a:b]
-                scores[at] = queries[live[at]] @ self.blocks[block[at[0]]].T
-            number = block[:, None] * BLOCK + np.arange(BLOCK)
-            scores = np.round(scores, 5)
-            scores[number >= self.size] = 0
-            if skip is not None:
-                scores[number == skip[live, None]] = 0
-            both, names = np.hstack([best[live], scores]), np.hstack([who[live], number])
-            top = np.argsort(-both, axis=1, kind="stable")[:, :k]
-            best[live] = np.take_along_axis(both, top, 1)
-            who[live] = np.where(best[live] > 0, np.take_along_axis(names, top, 1), -1)
+        total = np.append(0, np.cumsum(np.diff(self.start)[queries.term]))[queries.start]
+        a = 0
+        while a < m:
+            z = max(a + 1, min(a + QUERIES, int(np.searchsorted(total, total[a] + POSTINGS, side="right")) - 1))
+            who[a:z], best[a:z] = self._nearest(queries, a, z, k, None if skip is None else skip[a:z])
+            a = z
         return who, best
 
+    def _nearest(self, queries: Sparse, a: int, z: int, k: int, skip: np.ndarray | None):
+        m, n = z - a, len(self.names)
+        here = slice(queries.start[a], queries.start[z])
+        row, term, value = queries.row[here] - a, queries.term[here], queries.value[here]
+        size = self.start[term + 1] - self.start[term]
+        at = _spans(self.start[term], size)
+        scores = np.bincount(np.repeat(row * n, size) + self.example[at], weights=np.repeat(value, size) * self.weight[at],
+                             minlength=m * n).astype(float).reshape(m, n)
+        common_terms = np.zeros((m, self.blocks.shape[2]), np.float32)
+        column = self.column[term]
+        common_terms[row[column >= 0], column[column >= 0]] = value[column >= 0]
+        if skip is not None:
+            scores[np.arange(m), skip] = -9
+        # what the posting lists give is a lower bound of a similarity
+        least = np.partition(scores, n - k, axis=1)[:, n - k]
+        bound = scores.reshape(m, -1, BLOCK).max(2) + common_terms @ self.maxima + 1e-4
+        live = bound >= least[:, None]
+        for b in np.flatnonzero(live.any(0)):
+            q = np.flatnonzero(live[:, b])
+            scores[q, b * BLOCK:(b + 1) * BLOCK] += common_terms[q] @ self.blocks[b].T
+        scores[:, self.size:] = 0
+        if skip is not None:
+            scores[np.arange(m), skip] = 0
+        # rounded similarity, then the smaller number
+        key = np.rint(scores * 1e5).astype(np.int64) * n + (n - 1 - np.arange(n))
+        key = -np.sort(-np.partition(key, n - k, axis=1)[:, n - k:], axis=1)
+        best = key // n / 1e5
+        return np.where(best > 0, n - 1 - key % n, -1), best
+
     def votes(self, who: np.ndarray, best: np.ndarray) -> np.ndarray:
         """Share of toxic votes, weighted by similarity squared; NaN without neighbours."""
         w = best * best
@@ -162,12 +272,12 @@ class Calibration:
 
 
 class Model:
-    def __init__(self, vocabulary: Vocabulary, idf: np.ndarray, index: BlockMaxIndex, calibration: Calibration | None):
-        self.vocabulary, self.idf, self.index, self.calibration = vocabulary, idf, index, calibration
+    def __init__(self, vocabulary: Vocabulary, weight: np.ndarray, index: BlockMaxIndex, calibration: Calibration | None):
+        self.vocabulary, self.weight, self.index, self.calibration = vocabulary, weight, index, calibration
 
     def score(self, texts: pa.Array):
         """(scores, example numbers, similarities)."""
-        queries = vectors(self.vocabulary.counts(texts), self.idf)
+        queries = vectors(self.vocabulary.counts(texts), self.weight)
         who, best = self.index.search(queries)
         if self.calibration is None:
             return np.zeros(len(texts)), who, best
@@ -181,65 +291,71 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> Model
     sample = known.orderBy(F.xxhash64("id"), "id").limit(MAX_LABELLED)
     rows = common.written(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(
         F.broadcast(sample), "id"), "labelled")
-    n1, n = (int(x or 0) for x in rows.agg(F.sum("toxic"), F.count("*")).first())
 
-    def distinct(batches):
+    def counted(batches):
         for piece in common.slices(batches):
             feature, doc, words = _features(piece.column(1))
-            order = np.lexsort((doc, feature))
-            feature, doc = feature[order], doc[order]
-            new = np.flatnonzero(np.append(True, (feature[1:] != feature[:-1]) | (doc[1:] != doc[:-1]))) if len(feature) else np.zeros(0, np.int64)
-            count = np.diff(np.append(new, len(feature)))
-            feature, doc = feature[new], doc[new]
-            label = piece.column(2).to_numpy().astype(np.int64)[doc]
-            for dense in (False, True):
-                keep = _dense(count, words[doc]) if dense else np.ones(len(feature), bool)
-                f, y = feature[keep], label[keep]
-                begin = np.flatnonzero(np.append(True, f[1:] != f[:-1])) if len(f) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(f[begin].view(np.int64)), pa.array(np.full(len(begin), dense)),
-                     pa.array(np.diff(np.append(begin, len(f))), pa.int64()),
-                     pa.array(np.add.reduceat(y, begin) if len(begin) else np.zeros(0, np.int64))], names=["f", "dense", "n", "n1"])
-
-    seen = rows.select("id", "text", "toxic").mapInArrow(distinct, "f bigint, dense boolean, n bigint, n1 bigint").groupBy("f", "dense").agg(
-        F.sum("n").cast("double").alias("n"), F.sum("n1").cast("double").alias("n1"))
-    n0 = n - n1
-    # 2 x 2 table of (feature in the text, label)
-    gap = F.col("n1") * F.lit(float(n0)) - (F.col("n") - F.col("n1")) * F.lit(float(n1))
-    chi2 = gap * gap * n / (F.lit(float(max(n1, 1))) * max(n0, 1) * F.col("n") * F.greatest(F.lit(float(n)) - F.col("n"), F.lit(1.0)))
-    best = seen.where("n >= 5").withColumn("c", chi2).where(F.col("c") >= MIN_CHI2).orderBy(F.desc("c"), "f", "dense").limit(MAX_FEATURES).collect()
-    vocabulary = Vocabulary(np.array([r["f"] for r in best], np.int64).view(U64), np.array([r["dense"] for r in best], bool))
-    v = vocabulary.size
+            feature, doc, count = _counted(feature, doc)
+            order = np.argsort(doc, kind="stable")
+            feature, count = feature[order], count[order].astype(np.int32)
+            cuts = np.searchsorted(doc[order], np.arange(piece.num_rows + 1))
+            spans = list(zip(cuts, cuts[1:]))
+            yield pa.RecordBatch.from_arrays(
+                [piece.column(0), piece.column(2), pa.array(words, pa.int64()), pa.array([feature[i:j].tobytes() for i, j in spans], pa.binary()),
+                 pa.array([count[i:j].tobytes() for i, j in spans], pa.binary())], names=["id", "toxic", "words", "f", "n"])
+
+    table = rows.select("id", "text", "toxic").mapInArrow(counted, "id bigint, toxic int, words bigint, f binary, n binary")
+    # the terms of all examples are a large part of the driver's memory: one partition at a time, one copy of an array
+    known, feature, count = [], bytearray(), bytearray()
+    for r in table.toLocalIterator():
+        known.append((r["id"], zlib.crc32(r["f"]), zlib.crc32(r["n"]), r["toxic"], r["words"], len(r["f"]) // 8))
+        feature += r["f"]
+        count += r["n"]
+    by = sorted(range(len(known)), key=known.__getitem__)
+    rank = np.zeros(len(known), np.int32)
+    rank[by] = np.arange(len(known))
+    names, y, words = (np.array([known[k][c] for k in by], np.int64) for c in (0, 3, 4))
+    doc = np.repeat(rank, [r[5] for r in known])
+    feature, count = np.frombuffer(feature, U64), np.frombuffer(count, np.int32)
+    del known
+    order = np.argsort(feature, kind="stable")
+    doc, count, feature = doc[order], count[order], feature[order]
+    del order
+    new = np.append(True, feature[1:] != feature[:-1]) if len(feature) else np.zeros(0, bool)
+    hashes, term = feature[new], np.cumsum(new, dtype=np.int32) - np.int32(1)
+    del feature, new
+    vocabulary = Vocabulary(hashes, np.unique(term[_dense(count, words[doc])]))
+    examples = vocabulary.with_dense(doc, term, count, words)
+    del doc, term, count
+    v, n, n1 = vocabulary.size, len(y), int(y.sum())
+    # 2 x 2 table of (term in the text, label)
+    seen = np.bincount(examples.term, minlength=v).astype(float)
+    seen1 = np.bincount(examples.term, weights=y[examples.row], minlength=v)
+    gap = seen1 * (n - n1) - (seen - seen1) * n1
+    chi2 = gap * gap * n / (max(n1, 1) * max(n - n1, 1) * np.maximum(seen, 1) * np.maximum(n - seen, 1))
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def frequencies(batches):
         total = np.zeros(v + 1, np.int64)
         for piece in common.slices(batches):
-            total[:v] += (vocabulary.counts(piece.column(0)) > 0).sum(0)
+            total[:v] += np.bincount(shared.value.counts(piece.column(0)).term, minlength=v)
             total[v] += piece.num_rows
-        yield pa.RecordBatch.from_pydict({"i": pa.array(np.arange(v + 1)), "n": pa.array(total)})
-
-    df = np.zeros(v + 1)
-    for r in docs.select(text_col).mapInArrow(frequencies, "i bigint, n bigint").groupBy("i").agg(F.sum("n")).collect():
-        df[r[0]] = r[1]
-    idf = np.log((1 + df[v]) / (1 + df[:v])) + 1
-
-    def weigh(batches):
-        for piece in common.slices(batches):
-            w = vectors(vocabulary.counts(piece.column(1)), idf)
-            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), pa.array([x.tobytes() for x in w], pa.binary())],
-                                             names=["id", "toxic", "w"])
-
-    known = rows.select("id", "text", "toxic").mapInArrow(weigh, "id bigint, toxic int, w binary").orderBy("id", "w").collect()
-    names = np.array([r[0] for r in known], np.int64)
-    y = np.array([r[1] for r in known], np.int64)
-    w = np.frombuffer(b"".join(r[2] for r in known), np.float32).reshape(len(known), v) if len(known) else np.zeros((0, v), np.float32)
-    index = BlockMaxIndex(w, names, y)
-    if not len(known):
-        return Model(vocabulary, idf, index, None)
-    who, sim = index.search(index.rows[:index.size], skip=np.arange(index.size))
-    empty = y[~w.any(1)] if v else y
-    votes = np.append(index.votes(who, sim), np.full(len(empty), np.nan))
-    return Model(vocabulary, idf, index, Calibration(votes, np.append(index.labels[:index.size], empty)))
+        yield pa.RecordBatch.from_pydict({"n": pa.array([total.tobytes()], pa.binary())})
+
+    parts = docs.select(F.col(text_col).alias("text")).mapInArrow(frequencies, "n binary").rdd.map(lambda r: np.frombuffer(r[0], np.int64))
+    add = lambda a, b: a + b
+    df = parts.treeAggregate(0, add, add, 3) + np.zeros(v + 1, np.int64)
+    shared.destroy()
+    weight = (np.log((1 + df[v]) / (1 + df[:v])) + 1) * np.sqrt(1 + chi2)
+    weight = weight.astype(np.float32)
+    examples = vectors(examples, weight)
+    index = BlockMaxIndex(examples, names, y)
+    if not n:
+        return Model(vocabulary, weight, index, None)
+    empty = y[np.diff(examples.start) == 0]
+    del examples
+    votes = np.append(index.own_votes(), np.full(len(empty), np.nan))
+    return Model(vocabulary, weight, index, Calibration(votes, np.append(index.labels[:index.size], empty)))
 
 
 def _held_out(name):

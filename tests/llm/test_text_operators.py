@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 import re
+import zlib
 
 import duckdb
 import pytest
@@ -494,6 +495,40 @@ def test_block_max_neighbours_are_exact():
             assert k < 0 or abs(float(w[500 + q] @ index.rows[k]) - s) < 2e-5
 
 
+def test_block_max_neighbours_of_sparse_vectors(monkeypatch):
+    """Many rare terms and some frequent ones, in small steps: the neighbours of the full product."""
+    import numpy as np
+
+    monkeypatch.setattr(toxicity, "POSTINGS", 500)
+    rng = np.random.default_rng(3)
+    counts = np.hstack([rng.poisson(0.3, (600, 20)), rng.poisson(0.004, (600, 2000))])
+    w = toxicity.vectors(counts, rng.random(2020) * 3 + 0.5)
+    index = toxicity.BlockMaxIndex(toxicity.Sparse.of(w[:450]), np.arange(450), np.zeros(450, np.int64))
+    assert 0 < index.blocks.shape[2] <= 20 and len(index.example)
+    who, best = index.search(toxicity.Sparse.of(w[450:]))
+    exact = np.sort(w[450:] @ w[:450].T, 1)[:, ::-1][:, :toxicity.NEIGHBOURS]
+    assert np.allclose(best, exact, atol=2e-5)
+    own, sims = index.search(index.rows, skip=np.arange(index.size))
+    assert not (own == np.arange(index.size)[:, None]).any() and (sims[:, 0] > 0).all()
+
+
+def test_toxicity_finds_rare_terms(spark):
+    """A word in two of the examples only, and labelled words by the hundred: all are found, none is cut off."""
+    insults = [f"insult{chr(97 + k // 26)}{chr(97 + k % 26)}x" for k in range(400)]
+    ids = [i for i in range(3000) if i and zlib.crc32(str(i).encode()) % 3 != 1]
+    other = [i for i in range(3000, 9000) if zlib.crc32(str(i).encode()) % 3 == 1][:400]
+    pairs = [(i, insults[k // 2]) for k, i in enumerate(ids[:800])]
+    plain = [(i, f"calm{i % 37}z peace{i % 11}q") for i in ids[800:1600]]
+    docs = spark.createDataFrame([(i, f"some text {w}") for i, w in pairs + plain + list(zip(other, insults))], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1) for i, _ in pairs] + [(i, 0) for i, _ in plain], "doc_id bigint, toxic int")
+    got = toxicity.score_toxicity(docs, labels).where("doc_id >= 3000").select("doc_id", "predicted", "evidence").collect()
+    twins = {w: {i for i, x in pairs if x == w} for w in insults}
+    word = dict(zip(other, insults))
+    assert len(got) == 400
+    for r in got:
+        assert r["predicted"] == 1 and {e["id"] for e in r["evidence"][:2]} == twins[word[r["doc_id"]]]
+
+
 def test_toxicity_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
