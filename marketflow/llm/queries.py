@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marketflow.llm import bpe, decontaminate, html_extract, jaccard_join, line_dedup, pii, quality_rules, substring_dedup, toxicity, url_filter
+from marketflow.llm import (bpe, decontaminate, hard_negatives, html_extract, jaccard_join, kd_shards, line_dedup, pii, quality_rules,
+                            substring_dedup, toxicity, url_filter, vector_codes)
 from marketflow.llm.registry import query, table
 
 
@@ -80,3 +81,23 @@ def op7_line_dedup(spark, sf_dir):
     n_deleted = F.aggregate("deleted", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
     return line_dedup.line_dedup(docs).select("doc_id", "n_lines", n_deleted.alias("n_deleted"), F.sha2(
         F.coalesce("clean_text", F.lit("")).cast("binary"), 256).alias("clean_sha256"))
+
+
+@query("op11_vector_codes", vector_codes.oracle())
+def op11_vector_codes(spark, sf_dir):
+    coded, books = vector_codes.vector_codes(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+    return vector_codes.with_label_error(coded).select("vec_id", "code", "error", "label_error", F.sha2(
+        F.lit(vector_codes.codebook_text(books)).cast("binary"), 256).alias("codebooks_sha256"))
+
+
+@query("op12_kd_shards", kd_shards.oracle(8))
+def op12_kd_shards(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang")
+    return kd_shards.kd_shards(docs, shards=8).select("doc_id", *kd_shards.COLUMNS)
+
+
+@query("op13_hard_negatives", hard_negatives.ORACLE)
+def op13_hard_negatives(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label").withColumn(
+        "label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
