@@ -70,6 +70,8 @@ def _cut(rows: DataFrame, n_dims: int, name: str) -> DataFrame:
     dims = range(n_dims)
     extents = [f(F.col("__dims")[d]).alias(f"{n}{d}") for d in dims for n, f in (("a", F.min), ("b", F.max))]
     nodes = rows.groupBy("__node", "__k").agg(F.sum("__size").alias("total"), *extents).collect()
+    if not nodes:
+        return rows
     span = [max(r[f"b{d}"] for r in nodes) - min(r[f"a{d}"] for r in nodes) for d in dims]
     plan = []
     for r in nodes:
