@@ -64,31 +64,30 @@ def _running(rows: DataFrame, order: list[str], group: str, amount: Column) -> D
     return summed.withColumn("__upto", F.col("__upto") + F.col("__offset")).drop("__offset", "__range")
 
 
-def _cut(rows: DataFrame, n_dims: int, name: str) -> DataFrame:
-    """One level: all nodes with several shards are cut. ``rows`` has __node (first shard of the node) and __k (its shards)."""
-    spark = rows.sparkSession
+def _cut(rows: DataFrame, shards: dict[int, int], n_dims: int, name: str) -> tuple[DataFrame, dict[int, int]]:
+    """One level: all nodes with several shards are cut. ``rows`` has __node (first shard of the node); ``shards``: their
+    number by node."""
     dims = range(n_dims)
     extents = [f(F.col("__dims")[d]).alias(f"{n}{d}") for d in dims for n, f in (("a", F.min), ("b", F.max))]
-    nodes = rows.groupBy("__node", "__k").agg(F.sum("__size").alias("total"), *extents).collect()
-    if not nodes:
-        return rows
-    span = [max(r[f"b{d}"] for r in nodes) - min(r[f"a{d}"] for r in nodes) for d in dims]
+    nodes = rows.groupBy("__node").agg(F.sum("__size").alias("total"), *extents).collect()  # at most one row for each shard
+    span = [max((r[f"b{d}"] for r in nodes), default=0) - min((r[f"a{d}"] for r in nodes), default=0) for d in dims]
     plan = []
     for r in nodes:
         wide = [(r[f"b{d}"] - r[f"a{d}"]) / span[d] if span[d] else 0.0 for d in dims]
-        plan.append((r["__node"], r["__k"], wide.index(max(wide)), int(r["total"])))
-    table = spark.createDataFrame(plan, "__node int, __k int, __dim int, __total bigint")
-    at = rows.join(F.broadcast(table), ["__node", "__k"])  # at most one row for each shard
+        plan.append((r["__node"], shards[r["__node"]], wide.index(max(wide)), int(r["total"])))
+    table = rows.sparkSession.createDataFrame(plan, "__node int, __k int, __dim int, __total bigint")
     order = ["__value", "__crc", "__id", "__row"]
-    dealt = _ranges(at.withColumn("__value", F.element_at("__dims", F.col("__dim") + 1)), order, "__node", name)
+    at = rows.join(F.broadcast(table), "__node").withColumn("__value", F.element_at("__dims", F.col("__dim") + 1))
     left = (F.col("__k") / 2).cast("int")
-    wide = "decimal(38,0)"
-    middle = (2 * F.col("__upto") - F.col("__size")).cast(wide) * F.col("__k")
-    goes_left = (F.col("__k") > 1) & (middle <= (2 * F.col("__total")).cast(wide) * left)
-    return _running(dealt, order, "__node", F.col("__size")).withColumns({
-        "__node": F.when(goes_left | (F.col("__k") == 1), F.col("__node")).otherwise(F.col("__node") + left),
-        "__k": F.when(F.col("__k") == 1, 1).when(goes_left, left).otherwise(F.col("__k") - left),
-    }).drop("__value", "__dim", "__total", "__upto")
+    middle = (2 * F.col("__upto") - F.col("__size")).cast("decimal(38,0)") * F.col("__k")
+    goes_left = (F.col("__k") == 1) | (middle <= (2 * F.col("__total")).cast("decimal(38,0)") * left)
+    placed = _running(_ranges(at, order, "__node", name), order, "__node", F.col("__size"))
+    cut = placed.withColumn("__node", F.when(goes_left, F.col("__node")).otherwise(F.col("__node") + left))
+    after = dict(shards)
+    for node, k in shards.items():
+        if k > 1:
+            after |= {node: k // 2, node + k // 2: k - k // 2}
+    return cut.drop("__value", "__k", "__dim", "__total", "__upto"), after
 
 
 def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None, id_col: str = "doc_id",
@@ -102,14 +101,14 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
     rows = common.written(docs.select(
         F.struct(*(F.col(c) for c in carried)).alias("__kept"), size.alias("__size"), F.crc32(text).alias("__crc"),
         F.col(id_col).alias("__id"), F.array(*(coordinate(docs, c) for c in dimensions), size).alias("__dims"),
-        F.monotonically_increasing_id().alias("__row")), "points")
+        F.monotonically_increasing_id().alias("__row"), F.lit(0).alias("__node")), "points")
     if shards is None:
         shards = max(1, -(-int(rows.agg(F.sum("__size")).first()[0] or 0) // target_bytes))
-    rows = rows.withColumns({"__node": F.lit(0), "__k": F.lit(int(shards))})
+    nodes = {0: int(shards)}
     for level in range(max(0, shards - 1).bit_length()):
-        rows = _cut(rows, len(dimensions) + 1, f"level{level}")
+        rows, nodes = _cut(rows, nodes, len(dimensions) + 1, f"level{level}")
     order = ["__id", "__crc", "__row"]
-    dealt = _ranges(rows.drop("__dims", "__k"), order, "__node", "slots")
+    dealt = _ranges(rows.drop("__dims"), order, "__node", "slots")
     placed = _running(dealt, order, "__node", F.lit(1).cast("bigint"))
     return placed.select("__kept.*", F.col("__size").alias("size"), F.col("__crc").alias("text_crc32"),
                          F.lit("bytes").alias("law"), F.col("__node").alias("shard"), (F.col("__upto") - 1).alias("slot"),
