@@ -7,12 +7,14 @@ batch slice, so no per-word Python object is made.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from marketflow.session import scratch_path
 
@@ -42,6 +44,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_key(text: Column) -> Column:
+    """128 bits of a text: with the id the key of a row, also where many rows share a (null) id."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+def lean(run: Callable) -> Callable:
+    """``run`` over the batches of a partition; the worker, which lives on for other stages, then gives the memory
+    of freed arrays and Arrow buffers back to the system."""
+
+    def partition(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim()
+
+    return partition
+
+
+def trim() -> None:
+    """Hand freed memory back to the system, where the C library can."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def byte_table(word: Callable[[int], bool]) -> np.ndarray:
     return np.array([word(b) for b in range(256)], dtype=bool)
 
@@ -190,7 +219,7 @@ def sketch(df: DataFrame, cells: Callable[[Iterator[pa.RecordBatch]], Iterator[n
         out = out.astype(np.uint32)
         yield pa.RecordBatch.from_pydict({"counts": pa.array([out.tobytes()], pa.binary())})
 
-    parts = df.mapInArrow(count, "counts binary").rdd.map(lambda r: np.frombuffer(r[0], np.uint32).astype(np.int64))
+    parts = df.mapInArrow(lean(count), "counts binary").rdd.map(lambda r: np.frombuffer(r[0], np.uint32).astype(np.int64))
     add = lambda a, b: a + b
     return parts.treeAggregate(0, add, add, 3) + np.zeros(SKETCH_CELLS, np.int64)
 

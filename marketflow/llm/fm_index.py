@@ -18,23 +18,21 @@ def suffix_array(text: np.ndarray, sigma: int, limit: int | None = None, keep_de
     at a depth between keep_depth/2 and keep_depth, and that depth.
     """
     n = len(text)
+    small = np.int32 if n < 1 << 31 else np.int64  # of a shard's positions
     bits = max(1, int(sigma - 1).bit_length())
     depth = max(1, 62 // bits)
     if keep_depth:
         depth = min(depth, keep_depth)
-    at = np.arange(n, dtype=np.int64)
     ends = np.flatnonzero(text == 0)
-    to_end = (ends[np.searchsorted(ends, at)] - at) if len(ends) and ends[-1] == n - 1 else None
-    if to_end is None:
+    if not len(ends) or ends[-1] != n - 1:
         raise ValueError("the text must end with a separator")
+    to_end = (np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(n)).astype(small)
     key = np.zeros(n, np.int64)
     for k in range(depth):
-        shifted = np.zeros(n, np.int64)
+        key <<= bits
         if k < n:
-            shifted[:n - k] = text[k:]
-        shifted[to_end < k] = 0
-        key = (key << bits) | shifted
-    sa = np.argsort(key, kind="stable")
+            key[:n - k] |= np.where(to_end[:n - k] < k, 0, text[k:])
+    sa = np.argsort(key, kind="stable").astype(small)
     new = np.ones(n, bool)
     ordered = key[sa]
     new[1:] = (ordered[1:] != ordered[:-1]) | (to_end[sa[1:]] < depth)
@@ -42,7 +40,7 @@ def suffix_array(text: np.ndarray, sigma: int, limit: int | None = None, keep_de
     kept = None
     while True:
         starts = np.flatnonzero(new)
-        rank = np.empty(n, np.int64)
+        rank = np.empty(n, small)
         rank[sa] = np.repeat(starts, np.diff(np.append(starts, n)))
         if keep_depth and depth <= keep_depth:
             kept = (rank, depth)
@@ -56,7 +54,7 @@ def suffix_array(text: np.ndarray, sigma: int, limit: int | None = None, keep_de
         pos = sa[rows]
         group = rank[pos]
         nxt = rank[np.minimum(pos + depth, n - 1)]
-        order = np.lexsort((nxt, group)) if n >= 1 << 31 else np.argsort(group * np.int64(n) + nxt, kind="stable")
+        order = np.lexsort((nxt, group)) if n >= 1 << 31 else np.argsort(group.astype(np.int64) * n + nxt, kind="stable")
         pos, group, nxt = pos[order], group[order], nxt[order]
         sa[rows] = pos
         depth *= 2
@@ -85,6 +83,8 @@ class WaveletMatrix:
             self.ranks.append(ranks)
             self.zeros.append(int(self.n - ones.sum(dtype=np.int64)))
             seq = np.concatenate([seq[~bit], seq[bit]])
+            del bit, packed
+        del seq
         codes = np.arange(sigma, dtype=np.int64)
         self.node = self._descend(codes, np.zeros(sigma, np.int64))
 
@@ -120,7 +120,7 @@ class FMIndex:
 
     def __init__(self, text: np.ndarray, sigma: int, limit: int | None = None,
                  keep_depth: int | None = None, sample: int | None = None):
-        text = np.asarray(text, np.int64)
+        text = np.asarray(text)
         built = suffix_array(text, sigma, limit, keep_depth)
         sa, self.kept = built if keep_depth else (built, None)
         self.sa = sa if keep_depth else None

@@ -108,7 +108,7 @@ def _sized(docs: DataFrame, n: int) -> DataFrame:
                 [piece.column(0), piece.column(1), pa.array(sets.size, pa.int64()), pa.array(sets.key(1)), pa.array(sets.key(2))],
                 names=["doc", "th", "n", "k1", "k2"])
 
-    return docs.mapInArrow(run, "doc bigint, th int, n bigint, k1 bigint, k2 bigint")
+    return docs.mapInArrow(common.lean(run), "doc bigint, th binary, n bigint, k1 bigint, k2 bigint")
 
 
 def _own_counts(docs: DataFrame, sized: DataFrame, n: int) -> DataFrame:
@@ -164,13 +164,13 @@ def _own_counts(docs: DataFrame, sized: DataFrame, n: int) -> DataFrame:
             own, n_own = np.unique(low[(low == high) & (low != 0)], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(n_own, pa.int64())], names=["k1", "own"])
 
-    sent = docs.mapInArrow(send, "bucket bigint, owners binary, counts binary, grams binary")
+    sent = docs.mapInArrow(common.lean(send), "bucket bigint, owners binary, counts binary, grams binary")
     dealt = sent.repartition(buckets, "bucket")
-    return dealt.mapInArrow(count, "k1 bigint, own bigint").groupBy("k1").agg(F.sum("own").alias("own"))
+    return dealt.mapInArrow(common.lean(count), "k1 bigint, own bigint").groupBy("k1").agg(F.sum("own").alias("own"))
 
 
 def _survivors(docs: DataFrame, kept: DataFrame, n: int) -> DataFrame:
-    """(sid, rep, n, own, m0..m3, grams): the sets that may have a link, from the text of their first document."""
+    """(sid, k1, k2, rep, n, own, m0..m3, grams): the sets that may have a link, from the text of their first document."""
 
     def run(batches):
         for piece in common.slices(batches):
@@ -180,13 +180,16 @@ def _survivors(docs: DataFrame, kept: DataFrame, n: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(offsets, pa.array(sets.grams.view(np.int64)))
             pick, maps = pa.array(right), sets.bitmaps()[right]
             yield pa.RecordBatch.from_arrays(
-                [piece.column(3).take(pick), pa.array(sets.size[right], pa.int64()), piece.column(5).take(pick),
-                 *(pa.array(np.ascontiguousarray(maps[:, k])) for k in range(4)), lists.take(pick)],
-                names=["rep", "n", "own", *MAP, "grams"])
+                [piece.column(4).take(pick), piece.column(6).take(pick), piece.column(3).take(pick), pa.array(sets.size[right], pa.int64()),
+                 piece.column(5).take(pick), *(pa.array(np.ascontiguousarray(maps[:, k])) for k in range(4)), lists.take(pick)],
+                names=["k1", "k2", "rep", "n", "own", *MAP, "grams"])
 
-    rows = docs.join(kept.select("doc", "th", "rep", "k1", "own"), ["doc", "th"]).select("doc", "th", "text", "rep", "k1", "own")
-    found = rows.mapInArrow(run, "rep bigint, n bigint, own bigint, m0 bigint, m1 bigint, m2 bigint, m3 bigint, grams array<bigint>")
-    return found.where("n > 0").withColumn("sid", F.monotonically_increasing_id()).select("sid", "rep", "n", "own", *MAP, "grams")
+    names = ["doc", "th", "text", "rep", "k1", "own", "k2"]
+    # equal rows are one: the join has brought them together
+    rows = docs.join(kept.select("doc", "th", "rep", "k1", "own", "k2"), ["doc", "th"]).dropDuplicates(["doc", "th"]).select(names)
+    found = rows.mapInArrow(common.lean(run), "k1 bigint, k2 bigint, rep bigint, n bigint, own bigint, m0 bigint, m1 bigint, m2 bigint, "
+                            "m3 bigint, grams array<bigint>")
+    return found.where("n > 0").withColumn("sid", F.monotonically_increasing_id()).select("sid", "k1", "k2", "rep", "n", "own", *MAP, "grams")
 
 
 def _ordered(classes: np.ndarray, grams: np.ndarray, off: np.ndarray):
@@ -225,7 +228,7 @@ def _fragments(sets: DataFrame, classes) -> DataFrame:
                 [batch.column(0).take(pick), batch.column(1).take(pick), pa.array((code[begin] % FRAGMENTS).astype(np.int32)), lists],
                 names=["sid", "n", "frag", "grams"])
 
-    return sets.select("sid", "n", "grams").mapInArrow(run, "sid bigint, n bigint, frag int, grams array<bigint>")
+    return sets.select("sid", "n", "grams").mapInArrow(common.lean(run), "sid bigint, n bigint, frag int, grams array<bigint>")
 
 
 def _prefixes(sets: DataFrame, classes) -> DataFrame:
@@ -246,7 +249,7 @@ def _prefixes(sets: DataFrame, classes) -> DataFrame:
                 [pa.array(grams[keep]), batch.column(0).take(pick), batch.column(1).take(pick), pa.array(pos[keep].astype(np.int32))],
                 names=["gram", "sid", "n", "pos"])
 
-    return sets.select("sid", "n", "grams").mapInArrow(run, "gram bigint, sid bigint, n bigint, pos int")
+    return sets.select("sid", "n", "grams").mapInArrow(common.lean(run), "gram bigint, sid bigint, n bigint, pos int")
 
 
 def _partial(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
@@ -311,10 +314,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     keep_one: bool = False) -> DataFrame:
     """``docs`` plus n_shingles (size of the set) and component_id (smallest id of the component).
 
-    ``keep_one``: only the row that bears the component's id (one of them, if the row is repeated)."""
+    ``keep_one``: only the component's first row by (id, 128-bit text key), one of them if the row is repeated."""
     spark = docs.sparkSession
     common.prepare(spark)
-    doc, th = F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)), F.hash(F.coalesce(F.col(text_col), F.lit("")))
+    doc, th = F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)), common.text_key(F.col(text_col))
     slim = docs.select(doc.alias("doc"), th.alias("th"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sized = common.written(_sized(slim, n), "sized")
     classes_of = sized.where("n > 0").groupBy("k1", "k2", "n").agg(F.min(F.struct("doc", "th")).alias("f"))
@@ -356,20 +359,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("asid").alias("a"), F.col("bsid").alias("b"), F.col("an").alias("na"), F.col("bn").alias("nb"))
     across = common.written(pairs.distinct(), "across")
     labels = _merged(labels, common.written(_linked(across, fragments), "links"))
-    labelled = sets.select("sid", "rep").join(labels, "sid")
-    least = labelled.groupBy("root").agg(F.min("rep").alias("component"))
-    by_rep = labelled.join(least, "root").select("rep", "component")
-
-    of_class = screened.select("k1", "k2", "n", "rep").join(by_rep, "rep", "left").select(
-        "k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
-    of_row = sized.join(of_class, ["k1", "k2", "n"], "left").groupBy("doc", "th").agg(
-        F.min("n").alias("n_shingles"), F.min("component").alias("component"))
+    key = ["k1", "k2", "n"]
+    of_set = screened.select(*key, F.struct("doc", "th").alias("first")).join(
+        sets.select("sid", *key).join(labels, "sid").drop("sid"), key, "left")
+    least = of_set.where("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("__first"))
+    of_class = of_set.join(least, "root", "left").select(*key, F.coalesce("__first", "first").alias("__first"))
+    of_row = sized.join(of_class, key, "left").groupBy("doc", "th").agg(F.min("n").alias("n_shingles"), F.min("__first").alias("__first"))
     out = docs.drop(*COLUMNS).withColumns({"__doc": doc, "__th": th}).join(
-        of_row.select(F.col("doc").alias("__doc"), F.col("th").alias("__th"), "n_shingles", "component"), ["__doc", "__th"], "left")
-    own = F.coalesce(F.col("component"), F.col(id_col).cast("bigint"))
+        of_row.select(F.col("doc").alias("__doc"), F.col("th").alias("__th"), "n_shingles", "__first"), ["__doc", "__th"], "left")
+    own = F.coalesce(F.col("__first.doc"), F.col("__doc"))
     out = out.withColumn("component_id", F.when(own != _LAST, own))
     if keep_one:
         place = F.row_number().over(Window.partitionBy("__doc", "__th").orderBy("__doc"))
-        out = out.where((F.col("__doc") == F.col("component_id")) | F.col("component_id").isNull()).withColumn("__place", place)
+        itself = F.struct(F.col("__doc").alias("doc"), F.col("__th").alias("th"))
+        out = out.where(F.coalesce(F.col("__first") == itself, F.lit(True))).withColumn("__place", place)
         out = out.where("__place = 1").drop("__place")
-    return out.drop("__doc", "__th", "component")
+    return out.drop("__doc", "__th", "__first")

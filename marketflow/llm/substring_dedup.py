@@ -72,7 +72,7 @@ def _segments(docs: DataFrame, classes, window: int, gram: int) -> DataFrame:
                  pa.array(seg.view(np.int64)), pa.array((start - words.doc[doc]).astype(np.int32)),
                  pa.array(n.astype(np.int32))], names=["doc", "th", "anchor", "seg", "start", "n"])
 
-    return docs.mapInArrow(run, "doc bigint, th int, anchor bigint, seg bigint, start int, n int")
+    return docs.mapInArrow(common.lean(run), "doc bigint, th binary, anchor bigint, seg bigint, start int, n int")
 
 
 def search_shard(texts: pa.Array, owners: np.ndarray, window: int) -> list[list[int]]:
@@ -83,23 +83,25 @@ def search_shard(texts: pa.Array, owners: np.ndarray, window: int) -> list[list[
     size = words.counts
     lanes = len(size)
     begin = np.cumsum(size + 1) - size - 1
-    text = np.zeros(int(size.sum()) + lanes, np.int64)
-    doc = np.repeat(np.arange(lanes), size)
-    text[np.arange(len(codes)) + doc] = codes + 1
-    owner_at = np.repeat(owners, size + 1)
-    index = FMIndex(text, int(codes.max(initial=0)) + 2, limit=window + 1, keep_depth=window)
+    text = np.zeros(int(size.sum()) + lanes, np.int32)
+    text[np.arange(len(codes)) + np.repeat(np.arange(lanes), size)] = codes + 1
+    sigma = int(codes.max(initial=0)) + 2
+    del words, codes
+    index = FMIndex(text, sigma, limit=window + 1, keep_depth=window)
     sa, (rank, depth) = index.sa, index.kept
-    rest = window - depth
-    tail = rank[np.minimum(sa + rest, len(text) - 1)]
+    index.sa = index.kept = None
+    tail = rank[np.minimum(sa + (window - depth), len(text) - 1)]
     head = rank[sa]
     new = np.ones(len(sa), bool)
     new[1:] = (head[1:] != head[:-1]) | (tail[1:] != tail[:-1])
-    starts = np.flatnonzero(new)
-    stops = np.append(starts[1:], len(sa))
-    group = np.cumsum(new) - 1
-    least = np.minimum.reduceat(owner_at[sa], starts)
-    index.sa = index.kept = None
-    del sa, rank, tail, head, new
+    del rank, tail, head
+    starts = np.flatnonzero(new).astype(np.int32)
+    stops = np.append(starts[1:], np.int32(len(sa)))
+    group = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    by_owner, place = np.unique(owners, return_inverse=True)  # owners in order, as small numbers
+    lane_at = np.repeat(place.astype(np.int32), size + 1)
+    least = by_owner[np.minimum.reduceat(lane_at[sa], starts)]
+    del sa, new, lane_at
 
     lo, hi = np.zeros(lanes, np.int64), np.full(lanes, len(text), np.int64)
     repeated = np.zeros(len(text), bool)
@@ -151,7 +153,7 @@ def _searched(segments: DataFrame, window: int) -> DataFrame:
             yield from flush(held)
 
     dealt = segments.repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(run, "anchor bigint, seg bigint, owner bigint, runs array<int>")
+    return dealt.mapInArrow(common.lean(run), "anchor bigint, seg bigint, owner bigint, runs array<int>")
 
 
 def _fetched(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
@@ -175,7 +177,7 @@ def _fetched(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
                     [*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())],
                     names=["anchor", "seg", "owner", "text"])
 
-    return joined.mapInArrow(run, "anchor bigint, seg bigint, owner bigint, text string").dropDuplicates(["anchor", "seg"])
+    return joined.mapInArrow(common.lean(run), "anchor bigint, seg bigint, owner bigint, text string").dropDuplicates(["anchor", "seg"])
 
 
 def repeated_intervals(base: DataFrame, text_col: str, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -206,15 +208,16 @@ def repeated_intervals(base: DataFrame, text_col: str, window: int = WINDOW, gra
         F.sequence(F.lit(0), F.size("runs") - 1, F.lit(2)),
         lambda i: F.array(F.get("runs", i), F.get("runs", i + 1) + window - 1))).alias("r")).select(
         "doc", "th", F.transform("r", lambda x: x + F.col("start")).alias("span"))
+    # a set: equal rows bring the same spans
     return whole.unionByName(parts).groupBy(
-        F.col("doc").alias("__doc"), F.col("th").alias("__th")).agg(F.collect_list("span").alias("__spans"))
+        F.col("doc").alias("__doc"), F.col("th").alias("__th")).agg(F.collect_set("span").alias("__spans"))
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """``docs`` plus n_words, n_removed, removed (merged word intervals) and kept_text."""
     common.prepare(docs.sparkSession)
     keys = {"__doc": F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)),
-            "__th": F.hash(F.coalesce(F.col(text_col), F.lit("")))}
+            "__th": common.text_key(F.col(text_col))}
     base = docs.drop(*COLUMNS).withColumns(keys)
     joined = base.join(repeated_intervals(base, text_col, window), ["__doc", "__th"], "left").drop("__doc", "__th")
     names = joined.columns[:-1]
@@ -242,5 +245,5 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 [*piece.columns[:-1], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
                  pa.array(removed, kind), pa.array(kept, pa.string())], names=[*names, *COLUMNS])
 
-    return joined.mapInArrow(cut, schema + ", n_words bigint, n_removed bigint, "
+    return joined.mapInArrow(common.lean(cut), schema + ", n_words bigint, n_removed bigint, "
                              "removed array<struct<start:int,end:int>>, kept_text string")
