@@ -46,7 +46,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def text_key(text: Column) -> Column:
     """128 bits of a text: with the id the key of a row, also where many rows share a (null) id."""
-    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    key = F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    return F.coalesce(key, F.lit(b""))  # never null, and known to be so: joins need no filter on it
 
 
 def lean(run: Callable) -> Callable:
