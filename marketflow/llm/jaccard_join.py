@@ -362,7 +362,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     key = ["k1", "k2", "n"]
     of_set = screened.select(*key, F.struct("doc", "th").alias("first")).join(
         sets.select("sid", *key).join(labels, "sid").drop("sid"), key, "left")
-    least = of_set.where("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("__first"))
+    # written, so that the join by component can be split where one component holds many sets
+    least = common.written(of_set.where("root IS NOT NULL").groupBy("root").agg(
+        F.min("first").alias("__first"), F.count("*").alias("sets")).where("sets > 1").drop("sets"), "least")
     of_class = of_set.join(least, "root", "left").select(*key, F.coalesce("__first", "first").alias("__first"))
     of_row = sized.join(of_class, key, "left").groupBy("doc", "th").agg(F.min("n").alias("n_shingles"), F.min("__first").alias("__first"))
     out = docs.drop(*COLUMNS).withColumns({"__doc": doc, "__th": th}).join(
