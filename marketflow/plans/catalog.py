@@ -5,3 +5,4 @@ from marketflow.plans import queries_stats  # noqa: F401
 from marketflow.plans import queries_series  # noqa: F401
 from marketflow.plans import queries_models  # noqa: F401
 from marketflow.plans import queries_stream  # noqa: F401
+from marketflow.plans import queries_stack  # noqa: F401
