@@ -7,3 +7,4 @@ from marketflow.plans import queries_models  # noqa: F401
 from marketflow.plans import queries_stream  # noqa: F401
 from marketflow.plans import queries_stack  # noqa: F401
 from marketflow.plans import queries_purge  # noqa: F401
+from marketflow.plans import queries_rolling  # noqa: F401
