@@ -27,6 +27,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -177,6 +178,23 @@ class BlockMaxIndex:
         self.start = np.append(0, np.cumsum(np.bincount(rows.term[rare], minlength=self.terms))).astype(np.int32 if len(rare) < 1 << 31 else np.int64)
         self.example, self.weight = number[rows.row[rare]].astype(np.uint16 if self.size < 1 << 16 else np.int32), rows.value[rare].astype(np.float32)
 
+    def __getstate__(self) -> dict:
+        """Travels without zeros: the frequent terms' columns are mostly empty, and every executor gets a copy on its disk."""
+        state = {k: v for k, v in self.__dict__.items() if k not in ("blocks", "maxima")}
+        columns = self.blocks.reshape(len(self.names), self.blocks.shape[2])
+        example, column = np.nonzero(columns)
+        order = np.argsort(column, kind="stable")
+        kind = np.uint16 if len(self.names) < 1 << 16 else np.int32
+        return state | {"packed": (np.bincount(column, minlength=columns.shape[1]), example[order].astype(kind), columns[example[order], column[order]])}
+
+    def __setstate__(self, state: dict) -> None:
+        size, example, value = state.pop("packed")
+        self.__dict__.update(state)
+        columns = np.zeros((len(self.names), len(size)), np.float32)
+        columns[example, np.repeat(np.arange(len(size)), size)] = value
+        self.blocks = columns.reshape(len(columns) // BLOCK, BLOCK, len(size))
+        self.maxima = self.blocks.max(1).T.copy()
+
     def part(self, a: int, z: int) -> Sparse:
         """The vectors of the examples from number a to z."""
         columns = self.blocks.reshape(len(self.names), self.blocks.shape[2])[a:z]
@@ -272,20 +290,20 @@ class Calibration:
 
 
 class Model:
-    def __init__(self, vocabulary: Vocabulary, weight: np.ndarray, index: BlockMaxIndex, calibration: Calibration | None):
-        self.vocabulary, self.weight, self.index, self.calibration = vocabulary, weight, index, calibration
+    def __init__(self, weight: np.ndarray, index: BlockMaxIndex, calibration: Calibration | None):
+        self.weight, self.index, self.calibration = weight, index, calibration
 
-    def score(self, texts: pa.Array):
+    def score(self, texts: pa.Array, vocabulary: Vocabulary):
         """(scores, example numbers, similarities)."""
-        queries = vectors(self.vocabulary.counts(texts), self.weight)
+        queries = vectors(vocabulary.counts(texts), self.weight)
         who, best = self.index.search(queries)
         if self.calibration is None:
             return np.zeros(len(texts)), who, best
         return self.calibration(self.index.votes(who, best)), who, best
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> Model:
-    """Fit on the bounded sample of labelled rows; document frequencies come from all documents."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tuple[Model, Broadcast]:
+    """The model and its vocabulary, broadcast already. Fit on the bounded sample of labelled rows; document frequencies come from all documents."""
     known = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull() & ~_held_out(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
     sample = known.orderBy(F.xxhash64("id"), "id").limit(MAX_LABELLED)
@@ -304,7 +322,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> Model
                 [piece.column(0), piece.column(2), pa.array(words, pa.int64()), pa.array([feature[i:j].tobytes() for i, j in spans], pa.binary()),
                  pa.array([count[i:j].tobytes() for i, j in spans], pa.binary())], names=["id", "toxic", "words", "f", "n"])
 
-    table = rows.select("id", "text", "toxic").mapInArrow(counted, "id bigint, toxic int, words bigint, f binary, n binary")
+    table = rows.select("id", "text", "toxic").mapInArrow(common.lean(counted), "id bigint, toxic int, words bigint, f binary, n binary")
     # the terms of all examples are a large part of the driver's memory: one partition at a time, one copy of an array
     known, feature, count = [], bytearray(), bytearray()
     for r in table.toLocalIterator():
@@ -333,7 +351,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> Model
     seen1 = np.bincount(examples.term, weights=y[examples.row], minlength=v)
     gap = seen1 * (n - n1) - (seen - seen1) * n1
     chi2 = gap * gap * n / (max(n1, 1) * max(n - n1, 1) * np.maximum(seen, 1) * np.maximum(n - seen, 1))
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # also used for scoring: it travels once
 
     def frequencies(batches):
         total = np.zeros(v + 1, np.int64)
@@ -342,20 +360,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> Model
             total[v] += piece.num_rows
         yield pa.RecordBatch.from_pydict({"n": pa.array([total.tobytes()], pa.binary())})
 
-    parts = docs.select(F.col(text_col).alias("text")).mapInArrow(frequencies, "n binary").rdd.map(lambda r: np.frombuffer(r[0], np.int64))
+    parts = docs.select(F.col(text_col).alias("text")).mapInArrow(common.lean(frequencies), "n binary").rdd.map(lambda r: np.frombuffer(r[0], np.int64))
     add = lambda a, b: a + b
     df = parts.treeAggregate(0, add, add, 3) + np.zeros(v + 1, np.int64)
-    shared.destroy()
     weight = (np.log((1 + df[v]) / (1 + df[:v])) + 1) * np.sqrt(1 + chi2)
     weight = weight.astype(np.float32)
     examples = vectors(examples, weight)
     index = BlockMaxIndex(examples, names, y)
     if not n:
-        return Model(vocabulary, weight, index, None)
+        return Model(weight, index, None), shared
     empty = y[np.diff(examples.start) == 0]
     del examples
     votes = np.append(index.own_votes(), np.full(len(empty), np.nan))
-    return Model(vocabulary, weight, index, Calibration(votes, np.append(index.labels[:index.size], empty)))
+    return Model(weight, index, Calibration(votes, np.append(index.labels[:index.size], empty))), shared
 
 
 def _held_out(name):
@@ -366,7 +383,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """``docs`` plus held_out, score, predicted and evidence (id, label and similarity of the neighbours)."""
     spark = docs.sparkSession
     common.prepare(spark)
-    model = spark.sparkContext.broadcast(fit(docs, labels, id_col, text_col))
+    fitted, vocabulary = fit(docs, labels, id_col, text_col)
+    model = spark.sparkContext.broadcast(fitted)
+    del fitted
     base = docs.drop(*COLUMNS)
     names = base.columns
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields]
@@ -375,7 +394,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     def run(batches):
         index = model.value.index
         for piece in common.slices(batches, text_col):
-            score, who, best = model.value.score(piece.column(names.index(text_col)))
+            score, who, best = model.value.score(piece.column(names.index(text_col)), vocabulary.value)
             some = who >= 0
             flat, sims = who[some], best[some]
             structs = pa.StructArray.from_arrays(
@@ -386,5 +405,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                                              names=[*names, "score", "evidence"])
 
     schema = ", ".join([*fields, "score double", "evidence array<struct<id:bigint,label:int,similarity:double>>"])
-    return base.mapInArrow(run, schema).withColumns({
+    return base.mapInArrow(common.lean(run), schema).withColumns({
         "held_out": _held_out(F.col(id_col)), "predicted": (F.col("score") >= THRESHOLD).cast("int")})

@@ -63,3 +63,19 @@ def test_equal_rows_are_one_set(spark):
     kept = sized.groupBy("k1", "k2", "n").agg({"doc": "min"}).withColumnRenamed("min(doc)", "doc").join(
         sized.drop("doc").distinct(), ["k1", "k2", "n"]).selectExpr("doc", "th", "doc AS rep", "k1", "0L AS own", "k2")
     assert jaccard_join._survivors(slim, kept, 5).count() == 2
+
+
+def test_index_travels_whole():
+    import pickle
+
+    import numpy as np
+
+    from marketflow.llm import toxicity
+
+    rng = np.random.default_rng(1)
+    dense = (rng.random((70, 40)) * (rng.random((70, 40)) < np.linspace(0.02, 0.9, 40))).astype(np.float32)
+    index = toxicity.BlockMaxIndex(dense, np.arange(70), np.arange(70) % 2)
+    back = pickle.loads(pickle.dumps(index))
+    assert (back.blocks == index.blocks).all() and (back.maxima == index.maxima).all()
+    for a, b in zip(index.search(dense[:9]), back.search(dense[:9])):
+        assert (a == b).all()
