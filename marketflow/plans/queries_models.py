@@ -378,6 +378,29 @@ def q_fixed_batches(spark, sf_dir):
     return round_doubles(ls.predict_batches(rows, ls.FittedLinear(scaler, model, tuple(V))))
 
 
+# Fixed value of the query: batch ids of one trigger.
+_IDS_PER_TRIGGER = 1000
+
+
+@query("st1_st2_mod12_fitted_replay", with_panel(
+    "SELECT p.date_id, round(z.raw_pred, 6) AS raw_pred, CASE WHEN z.raw_pred IS NOT NULL THEN round(least(greatest(z.raw_pred * 400.0 + 1.0, 0.0), 2.0), 6) END AS prediction, "
+    f"row_number() OVER (ORDER BY p.date_id) - 1 AS batch_index, (row_number() OVER (ORDER BY p.date_id) - 1) // {_IDS_PER_TRIGGER} AS epoch "
+    "FROM panel p LEFT JOIN (SELECT mm.date_id, " + f"{_FIXED_INTERCEPT} + "
+    + " + ".join(f"{w} * ((mm.{c} - m_{c}) / s_{c})" for c, w in _FIXED_COEF.items()) + " AS raw_pred FROM mm, st) z USING (date_id)",
+    _MODEL_SQL))
+def q_fitted_replay(spark, sf_dir):
+    """ST1 + ST2 with the real scorer: every panel date is a batch, replayed through a file stream in id order, many dates
+    a trigger; inside ``foreachBatch`` the fitted scaler and linear model derive, scale, score and clip (MOD12)."""
+    from marketflow.streaming import score as st
+    rows = schema.rename(panel(spark, sf_dir), {"market_forward_excess_returns": "target"})
+    scaler = fit_scaler(_train_part(spark, sf_dir, _model_rows(spark, sf_dir)), V)
+    fitted = ls.FittedLinear(scaler, linear.LinearModel(tuple(V), _FIXED_INTERCEPT, tuple(_FIXED_COEF.values()), 0.0, 0.0), tuple(V))
+    arrived = materialize(series.add_position(rows, "date_id", pos_col="arrival"))
+    path = st.write_triggers(arrived, "date_id", _IDS_PER_TRIGGER, "arrival")
+    out = st.replay_triggers(spark, path, "date_id", lambda batch: ls.predict_batches(batch.drop("arrival"), fitted))
+    return round_doubles(out.select("date_id", "raw_pred", "prediction", F.col(st.INDEX).cast("long").alias("batch_index"), F.col("epoch").cast("long").alias("epoch")))
+
+
 @query("src4_src5_mod10_score_file")
 def q_score_file(spark, sf_dir):
     """MOD10 test prediction (mean of the 5 fold models' blends), PRJ17 score

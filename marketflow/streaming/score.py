@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketflow.operators.series import add_position
+from marketflow.operators.series import add_position, sortedness
 from marketflow.plans.materialize import materialize
 from marketflow.session import scratch_path
 
@@ -176,6 +176,58 @@ def replay(spark: SparkSession, path: str, score_fn: Callable[[DataFrame], DataF
     return spark.read.option("basePath", sink).parquet(sink)
 
 
+TRIGGER = "trigger"
+
+
+def write_triggers(df: DataFrame, batch_col: str, ids_per_trigger: int, arrival_col: str | None = None, path: str | None = None) -> str:
+    """ST1 source side for many ids: consecutive batch ids share a trigger, so a million ids are not a million folders
+    and micro-batches. Writes the rows by trigger, one control file per trigger, and the ids with their numbers.
+
+    ``arrival_col``: the order in which the rows came; ids that do not rise along it are an error."""
+    spark = df.sparkSession
+    if arrival_col:
+        wrong = sortedness(df, batch_col, arrival_col).first()
+        if wrong and not wrong["is_sorted"]:
+            raise ValueError(f"{batch_col} falls in {wrong['n_unsorted']} rows along {arrival_col}")
+    path = path or scratch_path(spark, "triggers")
+    ids = add_position(df.select(batch_col).distinct(), batch_col, pos_col=INDEX).withColumn(TRIGGER, F.floor(F.col(INDEX) / ids_per_trigger))
+    ids.write.mode("overwrite").parquet(f"{path}/ids")
+    ids = spark.read.schema(ids.schema).parquet(f"{path}/ids")
+    named = ids.select(F.col(batch_col).alias("_id"), TRIGGER)
+    rows = df.join(named, F.col(batch_col).eqNullSafe(F.col("_id"))).drop("_id")
+    rows.hint("rebalance", TRIGGER).write.mode("overwrite").partitionBy(TRIGGER).parquet(f"{path}/rows")
+    per = ids.groupBy(TRIGGER).agg(F.count(F.lit(1)).alias("n"))
+    per.repartition(TRIGGER).write.mode("overwrite").partitionBy(TRIGGER).parquet(f"{path}/control")
+    return path
+
+
+def replay_triggers(spark: SparkSession, path: str, batch_col: str, score_fn: Callable[[DataFrame], DataFrame], sink: str | None = None,
+                    checkpoint: str | None = None) -> DataFrame:
+    """ST1 + ST2 + ST5 over ``write_triggers``: one epoch per trigger, in id order; ``score_fn`` gets the rows of all ids of
+    the trigger and returns one row for each id (such as a fitted model's ``predict_batches``). Every epoch is checked
+    (ST3): an id without a score, twice, or unknown ends the run. Returns the scores with ``epoch`` and ``batch_index``."""
+    sink = sink or scratch_path(spark, "scores")
+    source = (spark.readStream.schema(f"n long, {TRIGGER} long").option("maxFilesPerTrigger", 1)
+              .option("basePath", f"{path}/control").parquet(f"{path}/control"))
+    rows = spark.read.option("basePath", f"{path}/rows").parquet(f"{path}/rows")
+    ids = spark.read.parquet(f"{path}/ids")
+
+    def each(_: DataFrame, epoch_id: int):
+        k = int(epoch_id)
+        scores = materialize(score_fn(rows.where(F.col(TRIGGER) == k).drop(TRIGGER)), "epoch")  # one folder: pruned
+        own = ids.where(F.col(TRIGGER) == k).select(F.col(batch_col).alias("_id"), INDEX)
+        got = scores.groupBy(F.col(batch_col).alias("_got")).agg(F.count(F.lit(1)).alias("n"))
+        bad = own.join(got, F.col("_id").eqNullSafe(F.col("_got")), "full").where(f"n IS NULL OR n > 1 OR {INDEX} IS NULL").count()
+        if bad:
+            raise ValueError(f"epoch {k}: {bad} ids without exactly one score")
+        scores.join(own, F.col(batch_col).eqNullSafe(F.col("_id"))).drop("_id").write.mode("overwrite").parquet(f"{sink}/epoch={k}")
+
+    q = (source.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint or scratch_path(spark, "stream-ckpt"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.option("basePath", sink).parquet(sink)
+
+
 # -------------------------------------------------------------- ST3 / ST4
 
 def custom_checks(df: DataFrame, batch_col: str, checks: dict[str, Column]) -> DataFrame:

@@ -85,3 +85,31 @@ def test_failed_check_ends_the_replay(spark):
     with pytest.raises(Exception, match="Invalid predictions"):
         st.replay(spark, path, lambda d: d.where("i <> 11").select("b", "i"),
                   check_fn=lambda rows, scores: joins.alignment(rows, scores, "b", "i"))
+
+
+def test_many_ids_per_trigger(spark):
+    from marketflow.streaming import score as st
+
+    data = [(k // 3 if k < 60 else None, k) for k in range(63)]
+    df = spark.createDataFrame(data, "id bigint, arrival int").repartition(3)
+    seen = []
+
+    def score(batch):
+        seen.append(sorted(r[0] is None or r[0] for r in batch.select("id").distinct().collect()))
+        return batch.groupBy("id").agg(F.count("*").alias("n"))
+
+    path = st.write_triggers(df, "id", 8, "arrival")
+    got = sorted(((r.batch_index, r.epoch, r.id, r.n) for r in st.replay_triggers(spark, path, "id", score).collect()))
+    assert got == [(k, k // 8, k if k < 20 else None, 3) for k in range(21)]
+    assert len(seen) == 3  # triggers, not ids
+
+
+def test_triggers_want_rising_ids_and_one_score_each(spark):
+    from marketflow.streaming import score as st
+
+    df = spark.createDataFrame([(5, 0), (4, 1)], "id bigint, arrival int")
+    with pytest.raises(ValueError):
+        st.write_triggers(df, "id", 2, "arrival")
+    path = st.write_triggers(df, "id", 2)
+    with pytest.raises(Exception, match="without exactly one score"):
+        st.replay_triggers(spark, path, "id", lambda b: b.where("id = 5").select("id"))
