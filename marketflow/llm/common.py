@@ -112,13 +112,19 @@ class _Powers:
 _POWERS = _Powers()
 
 
-def span_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of values[start:end] for every span, by prefix sums (position independent)."""
+def prefix_sums(values: np.ndarray) -> np.ndarray:
+    """What ``span_hash`` needs of the values, for callers that hash spans of the same values several times."""
     n = len(values)
     up, _ = _POWERS.get(n + 1)
     sums = np.zeros(n + 1, U64)
     np.cumsum((values.astype(U64) + U64(1)) * up[:n], out=sums[1:])
-    _, down = _POWERS.get(n + 1)
+    return sums
+
+
+def span_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hash of values[start:end] for every span, by prefix sums (position independent)."""
+    sums = prefix_sums(values) if sums is None else sums
+    _, down = _POWERS.get(len(values) + 1)
     out = (sums[end] - sums[start]) * down[start]
     return mix(out + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
 

@@ -28,7 +28,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketflow.llm import common
@@ -41,7 +41,11 @@ BLOCK = 32
 #: A term of at least one in so many examples is kept as a column, others as posting lists.
 FREQUENT = 12
 #: Queries, and postings of them, that are added up at a time (one query may exceed the latter).
-QUERIES, POSTINGS = 64, 1 << 21
+QUERIES, POSTINGS = 128, 1 << 25
+#: A posting list of at most so many entries is added up together with those of other terms.
+SHORT = 16
+#: Leading bits by which a feature is looked up.
+CELL_BITS = 20
 NEIGHBOURS = 15
 THRESHOLD = 0.7
 STEMS = (4, 5, 6, 7, 8)
@@ -52,12 +56,13 @@ def _features(texts: pa.Array):
     """Hashes of all features of a slice and their documents (a feature once for each place); words by document."""
     words = common.Words(texts, common.ALNUM, lower=True)
     doc = np.repeat(np.arange(len(texts)), words.counts)
-    out, docs = [words.hash], [doc]
-    for size in STEMS:
-        long = np.flatnonzero(words.end - words.start > size)
-        start = words.start[long]
-        out.append(common.span_hash(words.data, start, start + size) ^ U64(size))
-        docs.append(doc[long])
+    out, docs, start, size = [words.hash], [doc], words.start, words.end - words.start
+    sums = common.prefix_sums(words.data)
+    for stem in STEMS:
+        long = np.flatnonzero(size > stem)
+        start, size, doc = start[long], size[long], doc[long]
+        out.append(common.span_hash(words.data, start, start + stem, sums) ^ U64(stem))
+        docs.append(doc)
     return np.concatenate(out), np.concatenate(docs), words.counts
 
 
@@ -111,15 +116,40 @@ class Vocabulary:
         self.dense_term = np.full(len(hashes), -1, np.int32)
         self.dense_term[dense] = len(hashes) + np.arange(len(dense))
         self.size = len(hashes) + len(dense)
+        self.cells = np.searchsorted(hashes >> U64(64 - CELL_BITS), np.arange((1 << CELL_BITS) + 1, dtype=U64)).astype(np.int32)
+
+    def __getstate__(self) -> dict:
+        return {"hashes": self.hashes, "dense": np.flatnonzero(self.dense_term >= 0)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__init__(**state)
 
     def counts(self, texts: pa.Array) -> Sparse:
         feature, doc, words = _features(texts)
-        feature, doc, count = _counted(feature, doc)
         if not len(feature) or not self.size:
-            return Sparse(doc[:0], doc[:0], count[:0], (len(texts), self.size))
-        at = np.minimum(np.searchsorted(self.hashes, feature), len(self.hashes) - 1)
-        hit = self.hashes[at] == feature
-        return self.with_dense(doc[hit], at[hit], count[hit], words)
+            return Sparse(doc[:0], doc[:0], doc[:0], (len(texts), self.size))
+        hit, at = self._places(feature)
+        # equal (document, feature) side by side
+        key = np.sort(doc[hit] * np.int64(len(self.hashes)) + at)
+        new = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        doc, term = np.divmod(key[new], len(self.hashes))
+        return self.with_dense(doc, term, np.diff(np.append(new, len(key))), words)
+
+    def _places(self, feature: np.ndarray):
+        """Which of the features are in the vocabulary, and their places: all with the same leading bits are tried."""
+        cell = (feature >> U64(64 - CELL_BITS)).astype(np.int64)
+        at, last = self.cells[cell], self.cells[cell + 1]
+        hits, places, left = [], [], np.flatnonzero(at < last)
+        at, last = at[left], last[left]
+        while len(left):
+            same = self.hashes[at] == feature[left]
+            hits.append(left[same])
+            places.append(at[same])
+            at = at + 1
+            more = ~same & (at < last)
+            left, at, last = left[more], at[more], last[more]
+        none = [np.zeros(0, np.int64)]
+        return np.concatenate(hits or none), np.concatenate(places or none)
 
     def with_dense(self, doc: np.ndarray, term: np.ndarray, count: np.ndarray, words: np.ndarray) -> Sparse:
         form = self.dense_term[term]
@@ -176,18 +206,32 @@ class BlockMaxIndex:
         del column
         rare = rare[np.argsort(rows.term[rare], kind="stable")]
         self.start = np.append(0, np.cumsum(np.bincount(rows.term[rare], minlength=self.terms))).astype(np.int32 if len(rare) < 1 << 31 else np.int64)
-        self.example, self.weight = number[rows.row[rare]].astype(np.uint16 if self.size < 1 << 16 else np.int32), rows.value[rare].astype(np.float32)
+        self._lists(number[rows.row[rare]], rows.value[rare].astype(np.float32))
+
+    def _lists(self, example: np.ndarray, weight: np.ndarray) -> None:
+        # example and weight side by side, so that a list is one slice
+        self.postings = np.empty(len(example), [("weight", np.float32), ("example", np.int32)])
+        self.postings["example"], self.postings["weight"] = example, weight
+
+    @property
+    def example(self) -> np.ndarray:
+        return self.postings["example"]
+
+    @property
+    def weight(self) -> np.ndarray:
+        return self.postings["weight"]
 
     def __getstate__(self) -> dict:
         """Travels without zeros: the frequent terms' columns are mostly empty, and every executor gets a copy on its disk."""
-        state = {k: v for k, v in self.__dict__.items() if k not in ("blocks", "maxima")}
+        state = {k: v for k, v in self.__dict__.items() if k not in ("blocks", "maxima", "postings")}
         columns = self.blocks.reshape(len(self.names), self.blocks.shape[2])
         example, column = np.nonzero(columns)
         order = np.argsort(column, kind="stable")
-        kind = np.uint16 if len(self.names) < 1 << 16 else np.int32
+        state["lists"] = self.example.astype(kind := np.uint16 if len(self.names) < 1 << 16 else np.int32), self.weight.copy()
         return state | {"packed": (np.bincount(column, minlength=columns.shape[1]), example[order].astype(kind), columns[example[order], column[order]])}
 
     def __setstate__(self, state: dict) -> None:
+        self._lists(*state.pop("lists"))
         size, example, value = state.pop("packed")
         self.__dict__.update(state)
         columns = np.zeros((len(self.names), len(size)), np.float32)
@@ -208,13 +252,9 @@ class BlockMaxIndex:
     def rows(self) -> Sparse:
         return self.part(0, self.size)
 
-    def own_votes(self, step: int = 1000) -> np.ndarray:
-        """Votes on the examples themselves, each left out of its own neighbours."""
-        out = [np.zeros(0)]
-        for a in range(0, self.size, step):
-            z = min(a + step, self.size)
-            out.append(self.votes(*self.search(self.part(a, z), skip=np.arange(a, z))))
-        return np.concatenate(out)
+    def own_votes(self, a: int, z: int) -> np.ndarray:
+        """Votes on the examples from number a to z, each left out of its own neighbours."""
+        return self.votes(*self.search(self.part(a, z), skip=np.arange(a, z)))
 
     def search(self, queries: Sparse | np.ndarray, k: int = NEIGHBOURS, skip: np.ndarray | None = None):
         """(example numbers, similarities) of the k nearest; -1 and 0 where there are fewer with a positive
@@ -235,9 +275,11 @@ class BlockMaxIndex:
         here = slice(queries.start[a], queries.start[z])
         row, term, value = queries.row[here] - a, queries.term[here], queries.value[here]
         size = self.start[term + 1] - self.start[term]
-        at = _spans(self.start[term], size)
-        scores = np.bincount(np.repeat(row * n, size) + self.example[at], weights=np.repeat(value, size) * self.weight[at],
+        short = np.flatnonzero(size <= SHORT)
+        at = _spans(self.start[term[short]], size[short])
+        scores = np.bincount(np.repeat(row[short] * n, size[short]) + self.example[at], weights=np.repeat(value[short], size[short]) * self.weight[at],
                              minlength=m * n).astype(float).reshape(m, n)
+        self._add_long(scores, row, term, value, size)
         common_terms = np.zeros((m, self.blocks.shape[2]), np.float32)
         column = self.column[term]
         common_terms[row[column >= 0], column[column >= 0]] = value[column >= 0]
@@ -259,6 +301,26 @@ class BlockMaxIndex:
         best = key // n / 1e5
         return np.where(best > 0, n - 1 - key % n, -1), best
 
+    def _add_long(self, scores: np.ndarray, row: np.ndarray, term: np.ndarray, value: np.ndarray, size: np.ndarray) -> None:
+        """Add the posting lists of more than SHORT entries, query by query, in buffers that are used again."""
+        long = np.flatnonzero(size > SHORT)
+        if not len(long):
+            return
+        row, value, size = row[long], value[long], size[long]
+        start = self.start[term[long]].astype(np.int64)
+        cuts = np.searchsorted(row, np.arange(len(scores) + 1))
+        total = np.append(0, np.cumsum(size, dtype=np.int64))[cuts]
+        most, plain = int(np.diff(total).max()), self.postings.view(np.uint64)
+        both, who, what = np.empty(most, np.uint64), np.empty(most, np.int64), np.empty(most)
+        for q in np.flatnonzero(np.diff(total)):
+            here, k = slice(cuts[q], cuts[q + 1]), int(total[q + 1] - total[q])
+            spans = map(slice, start[here].tolist(), (start[here] + size[here]).tolist())
+            np.concatenate([plain[x] for x in spans], out=both[:k])
+            pair = both[:k].view(self.postings.dtype)
+            who[:k] = pair["example"]
+            np.multiply(pair["weight"], np.repeat(value[here], size[here]), out=what[:k])
+            scores[q] += np.bincount(who[:k], what[:k], minlength=scores.shape[1])
+
     def votes(self, who: np.ndarray, best: np.ndarray) -> np.ndarray:
         """Share of toxic votes, weighted by similarity squared; NaN without neighbours."""
         w = best * best
@@ -290,20 +352,41 @@ class Calibration:
 
 
 class Model:
-    def __init__(self, weight: np.ndarray, index: BlockMaxIndex, calibration: Calibration | None):
-        self.weight, self.index, self.calibration = weight, index, calibration
+    """What scoring needs: the broadcast vocabulary, the broadcast (term weights, index), and the calibration."""
+
+    def __init__(self, vocabulary: Broadcast, index: Broadcast, calibration: Calibration | None):
+        self.vocabulary, self.weighted_index, self.calibration = vocabulary, index, calibration
 
-    def score(self, texts: pa.Array, vocabulary: Vocabulary):
+    @property
+    def index(self) -> BlockMaxIndex:
+        return self.weighted_index.value[1]
+
+    def score(self, texts: pa.Array):
         """(scores, example numbers, similarities)."""
-        queries = vectors(vocabulary.counts(texts), self.weight)
-        who, best = self.index.search(queries)
+        weight, index = self.weighted_index.value
+        who, best = index.search(vectors(self.vocabulary.value.counts(texts), weight))
         if self.calibration is None:
             return np.zeros(len(texts)), who, best
-        return self.calibration(self.index.votes(who, best)), who, best
+        return self.calibration(index.votes(who, best)), who, best
+
+
+def _own_votes(spark: SparkSession, index: Broadcast, size: int, step: int = 500) -> np.ndarray:
+    """Leave-one-out votes of the examples, some in each task."""
+
+    def run(batches):
+        for batch in batches:
+            for a in batch.column(0).to_pylist():
+                part = index.value[1].own_votes(a, min(a + step, size))
+                yield pa.RecordBatch.from_arrays([pa.array([a], pa.int64()), pa.array([part.tobytes()], pa.binary())], names=["id", "votes"])
+
+    starts = spark.range(0, size, step, max(1, -(-size // step)))
+    rows = starts.mapInArrow(common.lean(run), "id bigint, votes binary").collect()
+    return np.frombuffer(b"".join(r["votes"] for r in sorted(rows, key=lambda r: r["id"])))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tuple[Model, Broadcast]:
-    """The model and its vocabulary, broadcast already. Fit on the bounded sample of labelled rows; document frequencies come from all documents."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, by_label: bool = True) -> Model:
+    """Fit on the bounded sample of labelled rows; document frequencies come from all documents. ``by_label``: whether
+    the label's chi-square is a factor of a term's weight."""
     known = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull() & ~_held_out(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
     sample = known.orderBy(F.xxhash64("id"), "id").limit(MAX_LABELLED)
@@ -363,38 +446,37 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tuple
     parts = docs.select(F.col(text_col).alias("text")).mapInArrow(common.lean(frequencies), "n binary").rdd.map(lambda r: np.frombuffer(r[0], np.int64))
     add = lambda a, b: a + b
     df = parts.treeAggregate(0, add, add, 3) + np.zeros(v + 1, np.int64)
-    weight = (np.log((1 + df[v]) / (1 + df[:v])) + 1) * np.sqrt(1 + chi2)
-    weight = weight.astype(np.float32)
+    weight = np.log((1 + df[v]) / (1 + df[:v])) + 1
+    weight = (weight * np.sqrt(1 + chi2) if by_label else weight).astype(np.float32)
     examples = vectors(examples, weight)
     index = BlockMaxIndex(examples, names, y)
+    sent = docs.sparkSession.sparkContext.broadcast((weight, index))
     if not n:
-        return Model(weight, index, None), shared
+        return Model(shared, sent, None)
     empty = y[np.diff(examples.start) == 0]
-    del examples
-    votes = np.append(index.own_votes(), np.full(len(empty), np.nan))
-    return Model(weight, index, Calibration(votes, np.append(index.labels[:index.size], empty))), shared
+    size, known = index.size, np.append(index.labels[:index.size], empty)
+    del examples, index
+    votes = np.append(_own_votes(docs.sparkSession, sent, size), np.full(len(empty), np.nan))
+    return Model(shared, sent, Calibration(votes, known))
 
 
 def _held_out(name):
     return F.coalesce(F.crc32(name.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", by_label: bool = True) -> DataFrame:
     """``docs`` plus held_out, score, predicted and evidence (id, label and similarity of the neighbours)."""
-    spark = docs.sparkSession
-    common.prepare(spark)
-    fitted, vocabulary = fit(docs, labels, id_col, text_col)
-    model = spark.sparkContext.broadcast(fitted)
-    del fitted
+    common.prepare(docs.sparkSession)
+    model = fit(docs, labels, id_col, text_col, by_label)
     base = docs.drop(*COLUMNS)
     names = base.columns
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields]
     evidence = pa.list_(pa.struct([("id", pa.int64()), ("label", pa.int32()), ("similarity", pa.float64())]))
 
     def run(batches):
-        index = model.value.index
+        index = model.index
         for piece in common.slices(batches, text_col):
-            score, who, best = model.value.score(piece.column(names.index(text_col)), vocabulary.value)
+            score, who, best = model.score(piece.column(names.index(text_col)))
             some = who >= 0
             flat, sims = who[some], best[some]
             structs = pa.StructArray.from_arrays(
