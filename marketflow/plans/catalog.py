@@ -9,3 +9,4 @@ from marketflow.plans import queries_stack  # noqa: F401
 from marketflow.plans import queries_purge  # noqa: F401
 from marketflow.plans import queries_rolling  # noqa: F401
 from marketflow.plans import queries_correlate  # noqa: F401
+from marketflow.plans import queries_quantiles  # noqa: F401
