@@ -70,8 +70,10 @@ class Sparse:
     """Entries (row, term, value) of a matrix, by row."""
 
     def __init__(self, row: np.ndarray, term: np.ndarray, value: np.ndarray, shape: tuple[int, int]):
-        order = np.argsort(row, kind="stable")
-        self.row, self.term, self.value, self.shape = row[order], term[order], value[order], shape
+        if (row[1:] < row[:-1]).any():
+            order = np.argsort(row, kind="stable")
+            row, term, value = row[order], term[order], value[order]
+        self.row, self.term, self.value, self.shape = row, term, value, shape
         self.start = np.searchsorted(self.row, np.arange(shape[0] + 1))
 
     def with_value(self, value: np.ndarray) -> Sparse:
@@ -153,8 +155,10 @@ class Vocabulary:
 
     def with_dense(self, doc: np.ndarray, term: np.ndarray, count: np.ndarray, words: np.ndarray) -> Sparse:
         form = self.dense_term[term]
-        some = (form >= 0) & _dense(count, words[doc])
-        return Sparse(np.append(doc, doc[some]), np.append(term, form[some]), np.append(count, count[some]), (len(words), self.size))
+        some = np.flatnonzero((form >= 0) & _dense(count, words[doc]))
+        # each dense form behind its feature, so that the rows stay together
+        return Sparse(np.insert(doc, some + 1, doc[some]), np.insert(term, some + 1, form[some]), np.insert(count, some + 1, count[some]),
+                      (len(words), self.size))
 
 
 def _dense(count, words):
@@ -202,7 +206,7 @@ class BlockMaxIndex:
         self.blocks = columns.reshape(len(columns) // BLOCK, BLOCK, columns.shape[1])
         self.maxima = self.blocks.max(1).T.copy()
         del some
-        rare = np.flatnonzero(column < 0)
+        rare = np.flatnonzero(column < 0).astype(np.int32 if len(column) < 1 << 31 else np.int64)
         del column
         rare = rare[np.argsort(rows.term[rare], kind="stable")]
         self.start = np.append(0, np.cumsum(np.bincount(rows.term[rare], minlength=self.terms))).astype(np.int32 if len(rare) < 1 << 31 else np.int64)
@@ -419,15 +423,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, by_label
     doc = np.repeat(rank, [r[5] for r in known])
     feature, count = np.frombuffer(feature, U64), np.frombuffer(count, np.int32)
     del known
-    order = np.argsort(feature, kind="stable")
-    doc, count, feature = doc[order], count[order], feature[order]
+    # by example, one array after another: a few of them at a time are all that the driver holds
+    order = np.argsort(doc, kind="stable").astype(np.int32 if len(doc) < 1 << 31 else np.int64)
+    doc, count = doc[order], count[order]
+    feature = feature[order]
     del order
-    new = np.append(True, feature[1:] != feature[:-1]) if len(feature) else np.zeros(0, bool)
-    hashes, term = feature[new], np.cumsum(new, dtype=np.int32) - np.int32(1)
-    del feature, new
+    hashes = np.sort(feature)
+    hashes = hashes[np.append(True, hashes[1:] != hashes[:-1])] if len(hashes) else hashes
+    term = np.empty(len(feature), np.int32)
+    for k in range(0, len(feature), 1 << 20):
+        term[k:k + (1 << 20)] = np.searchsorted(hashes, feature[k:k + (1 << 20)])
+    del feature
+    common.trim()
     vocabulary = Vocabulary(hashes, np.unique(term[_dense(count, words[doc])]))
     examples = vocabulary.with_dense(doc, term, count, words)
     del doc, term, count
+    common.trim()
     v, n, n1 = vocabulary.size, len(y), int(y.sum())
     # 2 x 2 table of (term in the text, label)
     seen = np.bincount(examples.term, minlength=v).astype(float)
@@ -450,12 +461,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, by_label
     weight = (weight * np.sqrt(1 + chi2) if by_label else weight).astype(np.float32)
     examples = vectors(examples, weight)
     index = BlockMaxIndex(examples, names, y)
+    empty = y[np.diff(examples.start) == 0]
+    del examples
+    common.trim()
     sent = docs.sparkSession.sparkContext.broadcast((weight, index))
+    size, known = index.size, np.append(index.labels[:index.size], empty)
+    del index
+    common.trim()
     if not n:
         return Model(shared, sent, None)
-    empty = y[np.diff(examples.start) == 0]
-    size, known = index.size, np.append(index.labels[:index.size], empty)
-    del examples, index
     votes = np.append(_own_votes(docs.sparkSession, sent, size), np.full(len(empty), np.nan))
     return Model(shared, sent, Calibration(votes, known))
 
