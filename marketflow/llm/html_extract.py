@@ -5,8 +5,10 @@ footers, sidebars, notices, adverts, forms, scripts, reader comments) are left o
 composite text density is taken (characters per tag, adjusted for the share of link text, against the body's
 own share); the node with the largest sum of its children's densities is the core. From the body down, the
 core's ancestors are opened and every other node whose density reaches the least density on the body-core
-path is kept whole. Where the core lies in an ``article`` or ``main`` element, that element is the result,
-so that short blocks of an article (headings, one-line paragraphs) are not lost.
+path is kept whole. Where the core lies in an ``article`` or ``main`` element, the outermost such element is kept
+whole, so that short blocks of an article (headings, one-line paragraphs) are not lost; with an ``article``, every
+other outermost ``article`` whose density reaches that least density is kept too, in page order. A ``header`` inside
+an ``article`` belongs to it (its title); an ``article`` named as a comment is furniture.
 
 Defined cases: null or empty html gives an empty text; cut-off pages are read as far as they go (an open tag
 at the end is dropped, a reference cut short stays as written); pages are judged one by one, so repeated rows
@@ -37,6 +39,8 @@ _WORDS = (r"ad|ads|adbox|adslot|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|
           r"disqus\w*|respond|replies|sidebar\w*|side-bar|nav|navbar|navigation|menu\w*|breadcrumb\w*|header|masthead|footer|foot|"
           r"related\w*|share|sharing|social\w*|newsletter\w*|subscribe\w*|signup|popup\w*|modal\w*|overlay\w*|toolbar|widget\w*|"
           r"pagination|pager|login|search\w*|skip-link|legal|copyright")
+#: Class names and ids of an ``article`` that is a reader comment.
+REPLY = re.compile(r"(?:.*[-_])?(?:comments?|reply|replies)(?:[-_].*)?", re.I)
 NAMED = re.compile(rf"(?:{_WORDS})(?:[-_].*)?|(?!no[-_]|has[-_]|with[-_]|without[-_]).*[-_](?:{_WORDS})", re.I)
 #: Elements that are never furniture by class name.
 FRAMES = frozenset("html body article main".split())
@@ -57,8 +61,8 @@ class Node:
         self.parts: list = []
 
 
-def _furniture(tag: str, rest: str) -> bool:
-    if tag in FURNITURE:
+def _furniture(tag: str, rest: str, parent: Node) -> bool:
+    if tag in FURNITURE and not (tag == "header" and any(x.tag == "article" for x in _path(parent))):
         return True
     if "=" not in rest and "hidden" not in rest:
         return False
@@ -68,6 +72,8 @@ def _furniture(tag: str, rest: str) -> bool:
     if re.search(r"display\s*:\s*none", found.get("style", ""), re.I):
         return True
     names = f"{found.get('class', '')} {found.get('id', '')}".split()
+    if tag == "article":
+        return any(REPLY.fullmatch(x) for x in names)
     return tag not in FRAMES and any(NAMED.fullmatch(x) for x in names)
 
 
@@ -100,7 +106,7 @@ def parse(page: str) -> Node:
             node = _close(node, *CLOSES[tag])
         if tag == "body":
             node = _close(node, ("head",), ("body",))
-        new = Node(tag, node, _furniture(tag, m[3]))
+        new = Node(tag, node, _furniture(tag, m[3], node))
         node.parts.append(new)
         if tag in RAW and not m[3].endswith("/>"):
             end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
@@ -170,11 +176,14 @@ def main_text(page: str | None) -> str:
     core = max(nodes, key=lambda x: x.total)
     path = list(_path(core))
     path = path[:path.index(body) + 1]
+    least = min(x.density for x in path)
     whole = [x for x in path if x.tag in ("article", "main")]
     if whole:
         keep = [whole[-1]]
+        if keep[0].tag == "article":
+            keep = [x for x in nodes if x.tag == "article" and all(up.tag not in ("article", "main") for up in _path(x.parent))
+                    and (x is keep[0] or x.chars and x.density >= least)]
     else:
-        least = min(x.density for x in path)
         opened, keep, todo = set(map(id, path[1:])), [], [body]
         while todo:
             node = todo.pop()

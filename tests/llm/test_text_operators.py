@@ -232,6 +232,22 @@ def test_html_extract(spark):
     assert html_extract.extract(table.limit(0)).count() == 0
 
 
+def test_html_extract_articles():
+    """Sibling articles, titles in an article's header, comments marked up as articles, teasers made of links."""
+    long = "One plain sentence of the story goes here, and it goes on for a while. " * 6
+    page = (f"<body><header><h1>Site</h1></header><div><article><header><h2>First title</h2></header><p>{long}</p></article>"
+            f"<article><header class='x'><h2>Second title</h2></header><div><p>{long}</p><p>{long}</p></div><footer>tags</footer></article>"
+            f"<article class='comment-7'><p>{long}</p></article><article><ul><li><a href=a>go</a></li><li><a href=b>on</a></li></ul></article></div>"
+            "<footer>about</footer></body>")
+    block = long.strip()
+    assert html_extract.main_text(page) == "\n".join(["First title", block, "Second title", block, block])
+    nested = f"<main><p>Short.</p><article><p>{long}</p><article><p>Inner.</p></article></article></main><article><p>{long}</p></article>"
+    assert html_extract.main_text(nested) == "\n".join(["Short.", block, "Inner.", block])
+    many = "<body>" + f"<article><h2>T</h2><p>{long}</p></article>" * 3 + "</body>"
+    assert html_extract.main_text(many) == "\n".join(["T", block] * 3)
+    assert html_extract.main_text("<body><article></article><article> </article></body>") == ""
+
+
 def test_html_extract_pages(spark):
     """All pages of the test data: the text is the article's blocks."""
     for r in html_extract.extract(spark.read.parquet(f"{SF}/pages.parquet")).select("html", "text").collect():
