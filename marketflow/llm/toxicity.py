@@ -23,6 +23,7 @@ columns stay, except that columns with the names of ``COLUMNS`` are replaced.
 
 from __future__ import annotations
 
+import functools
 import zlib
 
 import numpy as np
@@ -44,6 +45,9 @@ FREQUENT = 12
 QUERIES, POSTINGS = 128, 1 << 25
 #: A posting list of at most so many entries is added up together with those of other terms.
 SHORT = 16
+#: Examples, and entries of their vectors, that the fit handles at a time.
+ROWS, ENTRIES = 1 << 9, 1 << 18
+POSTING = [("weight", np.float32), ("example", np.int32)]
 #: Leading bits by which a feature is looked up.
 CELL_BITS = 20
 NEIGHBOURS = 15
@@ -169,19 +173,45 @@ def vectors(counts: Sparse | np.ndarray, weight: np.ndarray) -> Sparse | np.ndar
     """Unit vectors of (1 + ln tf) times the weight of the term; rows without terms stay zero."""
     if isinstance(counts, np.ndarray):
         return vectors(Sparse.of(counts), weight).dense()
-    w = np.log(counts.value.astype(np.float32))
-    w += 1
-    w *= np.asarray(weight, np.float32)[counts.term]
-    norm = np.sqrt(np.bincount(counts.row, weights=w * w, minlength=len(counts)))
-    w /= np.maximum(norm, 1e-12).astype(np.float32)[counts.row]
+    w, weight = np.empty(len(counts.value), np.float32), np.asarray(weight, np.float32)
+    for a in range(0, len(counts), ROWS):
+        here = slice(counts.start[a], counts.start[min(a + ROWS, len(counts))])
+        x, row = np.log(counts.value[here].astype(np.float32)), counts.row[here] - a
+        x += 1
+        x *= weight[counts.term[here]]
+        norm = np.sqrt(np.bincount(row, weights=x * x))
+        np.divide(x, np.maximum(norm, 1e-12).astype(np.float32)[row], out=w[here])
     return counts.with_value(w)
 
 
+def _tally(at: np.ndarray, size: int, weight: np.ndarray | None = None, of: np.ndarray | None = None) -> np.ndarray:
+    """How often each number below ``size`` is in ``at``, or the sum of ``weight[of]`` there; some entries at a time."""
+    total = np.zeros(size)
+    for here in _parts(len(at)):
+        total += np.bincount(at[here], None if weight is None else weight[of[here]], size)
+    return total
+
+
+def _parts(n: int):
+    return (slice(a, min(a + ENTRIES, n)) for a in range(0, n, ENTRIES))
+
+
 def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """start[0], start[0] + 1, ... (size[0] numbers), start[1], ..."""
     return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
 
 
+def _places(some: np.ndarray, lists: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries ``some`` by their list, and their places: the next free ones of each list, which move on."""
+    some = some[np.argsort(lists[some], kind="stable")]
+    own = lists[some]
+    first = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else some
+    size = np.diff(np.append(first, len(own)))
+    at = _spans(free[own[first]], size)
+    free[own[first]] += size.astype(free.dtype)
+    return some, at
+
+
 class BlockMaxIndex:
     def __init__(self, rows: Sparse | np.ndarray, names: np.ndarray, labels: np.ndarray):
         rows = Sparse.of(rows) if isinstance(rows, np.ndarray) else rows
@@ -197,24 +227,39 @@ class BlockMaxIndex:
         self.size, self.terms = len(order), rows.shape[1]
         number = np.zeros(len(rows), np.int32)
         number[order] = np.arange(len(order))
-        frequent = np.bincount(rows.term, minlength=self.terms) * FREQUENT >= max(self.size, 1)
+        with_term = _tally(rows.term, self.terms)
+        frequent = with_term * FREQUENT >= max(self.size, 1)
         self.column = np.where(frequent, np.cumsum(frequent) - 1, -1).astype(np.int32)
-        column = self.column[rows.term]
-        columns = np.zeros((len(self.names), int(frequent.sum())), np.float32)
-        some = np.flatnonzero(column >= 0)
-        columns[number[rows.row[some]], column[some]] = rows.value[some]
-        self.blocks = columns.reshape(len(columns) // BLOCK, BLOCK, columns.shape[1])
-        self.maxima = self.blocks.max(1).T.copy()
-        del some
-        rare = np.flatnonzero(column < 0).astype(np.int32 if len(column) < 1 << 31 else np.int64)
-        del column
-        rare = rare[np.argsort(rows.term[rare], kind="stable")]
-        self.start = np.append(0, np.cumsum(np.bincount(rows.term[rare], minlength=self.terms))).astype(np.int32 if len(rare) < 1 << 31 else np.int64)
-        self._lists(number[rows.row[rare]], rows.value[rare].astype(np.float32))
+        of_column = with_term[frequent].astype(np.int64)
+        with_term[frequent] = 0
+        self.start = np.append(0, np.cumsum(with_term)).astype(np.int32 if len(rows.term) < 1 << 31 else np.int64)
+        self.postings = np.empty(self.start[-1], POSTING)
+        # the frequent terms' entries, by column
+        self.packed = of_column, np.empty(of_column.sum(), np.uint16 if len(self.names) < 1 << 16 else np.int32), np.empty(of_column.sum(), np.float32)
+        # lists fill up in the order of the rows, some entries at a time
+        free, free_column = self.start[:-1].copy(), np.append(0, np.cumsum(of_column))[:-1]
+        for here in _parts(len(rows.term)):
+            term, example, value = rows.term[here], number[rows.row[here]], rows.value[here]
+            some, at = _places(np.flatnonzero(frequent[term]), self.column[term], free_column)
+            self.packed[1][at], self.packed[2][at] = example[some], value[some]
+            rare, at = _places(np.flatnonzero(~frequent[term]), term, free)
+            self.postings["example"][at], self.postings["weight"][at] = example[rare], value[rare]
+
+    @functools.cached_property
+    def blocks(self) -> np.ndarray:
+        """The frequent terms' columns, by block of examples; mostly zeros, so only tasks that search hold them."""
+        size, example, value = self.packed
+        columns = np.zeros((len(self.names), len(size)), np.float32)
+        columns[example, np.repeat(np.arange(len(size)), size)] = value
+        return columns.reshape(len(columns) // BLOCK, BLOCK, len(size))
+
+    @functools.cached_property
+    def maxima(self) -> np.ndarray:
+        return self.blocks.max(1).T.copy()
 
     def _lists(self, example: np.ndarray, weight: np.ndarray) -> None:
         # example and weight side by side, so that a list is one slice
-        self.postings = np.empty(len(example), [("weight", np.float32), ("example", np.int32)])
+        self.postings = np.empty(len(example), POSTING)
         self.postings["example"], self.postings["weight"] = example, weight
 
     @property
@@ -228,20 +273,12 @@ class BlockMaxIndex:
     def __getstate__(self) -> dict:
         """Travels without zeros: the frequent terms' columns are mostly empty, and every executor gets a copy on its disk."""
         state = {k: v for k, v in self.__dict__.items() if k not in ("blocks", "maxima", "postings")}
-        columns = self.blocks.reshape(len(self.names), self.blocks.shape[2])
-        example, column = np.nonzero(columns)
-        order = np.argsort(column, kind="stable")
-        state["lists"] = self.example.astype(kind := np.uint16 if len(self.names) < 1 << 16 else np.int32), self.weight.copy()
-        return state | {"packed": (np.bincount(column, minlength=columns.shape[1]), example[order].astype(kind), columns[example[order], column[order]])}
+        state["lists"] = self.example.astype(self.packed[1].dtype), self.weight.copy()
+        return state
 
     def __setstate__(self, state: dict) -> None:
         self._lists(*state.pop("lists"))
-        size, example, value = state.pop("packed")
         self.__dict__.update(state)
-        columns = np.zeros((len(self.names), len(size)), np.float32)
-        columns[example, np.repeat(np.arange(len(size)), size)] = value
-        self.blocks = columns.reshape(len(columns) // BLOCK, BLOCK, len(size))
-        self.maxima = self.blocks.max(1).T.copy()
 
     def part(self, a: int, z: int) -> Sparse:
         """The vectors of the examples from number a to z."""
@@ -388,6 +425,37 @@ def _own_votes(spark: SparkSession, index: Broadcast, size: int, step: int = 500
     return np.frombuffer(b"".join(r["votes"] for r in sorted(rows, key=lambda r: r["id"])))
 
 
+def _encoded(rows) -> tuple[np.ndarray, np.ndarray, Vocabulary, Sparse]:
+    """(ids, labels, vocabulary, term counts) of the examples, by id. The terms of all examples are a large part of the
+    driver's memory: each is held once, and arrays of all of them are filled a few examples at a time."""
+    rows = sorted(((r["id"], r["toxic"], r["words"], bytes(r["f"]), bytes(r["n"])) for r in rows),
+                  key=lambda r: (r[0], zlib.crc32(r[3]), zlib.crc32(r[4]), *r[1:3]))
+    names, y, words = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+    hashes = dense = np.zeros(0, U64)
+    size = 0
+    for a in range(0, len(rows), ROWS):
+        doc, feature, count = _joined(rows[a:a + ROWS])
+        extra = feature[_dense(count, words[a + doc])]
+        hashes, dense, size = np.union1d(hashes, feature), np.union1d(dense, extra), size + len(feature) + len(extra)
+    vocabulary = Vocabulary(hashes, np.searchsorted(hashes, dense))
+    whole, at = [np.empty(size, np.int32) for _ in range(3)], 0
+    for a in range(0, len(rows), ROWS):
+        doc, feature, count = _joined(rows[a:a + ROWS])
+        rows[a:a + ROWS] = [None] * len(rows[a:a + ROWS])
+        part = vocabulary.with_dense(doc, np.searchsorted(hashes, feature).astype(np.int32), count, words[a:a + ROWS])
+        for out, x in zip(whole, (part.row + np.int32(a), part.term, part.value)):
+            out[at:at + len(x)] = x
+        at += len(part.row)
+        common.trim()
+    return names, y, vocabulary, Sparse(*whole, (len(names), vocabulary.size))
+
+
+def _joined(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the row, feature, count) of all terms of some examples."""
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[3]) // 8 for r in rows])
+    return doc, np.frombuffer(b"".join(r[3] for r in rows), U64), np.frombuffer(b"".join(r[4] for r in rows), np.int32)
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, by_label: bool = True) -> Model:
     """Fit on the bounded sample of labelled rows; document frequencies come from all documents. ``by_label``: whether
     the label's chi-square is a factor of a term's weight."""
@@ -410,39 +478,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, by_label
                  pa.array([count[i:j].tobytes() for i, j in spans], pa.binary())], names=["id", "toxic", "words", "f", "n"])
 
     table = rows.select("id", "text", "toxic").mapInArrow(common.lean(counted), "id bigint, toxic int, words bigint, f binary, n binary")
-    # the terms of all examples are a large part of the driver's memory: one partition at a time, one copy of an array
-    known, feature, count = [], bytearray(), bytearray()
-    for r in table.toLocalIterator():
-        known.append((r["id"], zlib.crc32(r["f"]), zlib.crc32(r["n"]), r["toxic"], r["words"], len(r["f"]) // 8))
-        feature += r["f"]
-        count += r["n"]
-    by = sorted(range(len(known)), key=known.__getitem__)
-    rank = np.zeros(len(known), np.int32)
-    rank[by] = np.arange(len(known))
-    names, y, words = (np.array([known[k][c] for k in by], np.int64) for c in (0, 3, 4))
-    doc = np.repeat(rank, [r[5] for r in known])
-    feature, count = np.frombuffer(feature, U64), np.frombuffer(count, np.int32)
-    del known
-    # by example, one array after another: a few of them at a time are all that the driver holds
-    order = np.argsort(doc, kind="stable").astype(np.int32 if len(doc) < 1 << 31 else np.int64)
-    doc, count = doc[order], count[order]
-    feature = feature[order]
-    del order
-    hashes = np.sort(feature)
-    hashes = hashes[np.append(True, hashes[1:] != hashes[:-1])] if len(hashes) else hashes
-    term = np.empty(len(feature), np.int32)
-    for k in range(0, len(feature), 1 << 20):
-        term[k:k + (1 << 20)] = np.searchsorted(hashes, feature[k:k + (1 << 20)])
-    del feature
-    common.trim()
-    vocabulary = Vocabulary(hashes, np.unique(term[_dense(count, words[doc])]))
-    examples = vocabulary.with_dense(doc, term, count, words)
-    del doc, term, count
-    common.trim()
+    names, y, vocabulary, examples = _encoded(table.toLocalIterator())
     v, n, n1 = vocabulary.size, len(y), int(y.sum())
     # 2 x 2 table of (term in the text, label)
-    seen = np.bincount(examples.term, minlength=v).astype(float)
-    seen1 = np.bincount(examples.term, weights=y[examples.row], minlength=v)
+    seen, seen1 = _tally(examples.term, v), _tally(examples.term, v, y, examples.row)
     gap = seen1 * (n - n1) - (seen - seen1) * n1
     chi2 = gap * gap * n / (max(n1, 1) * max(n - n1, 1) * np.maximum(seen, 1) * np.maximum(n - seen, 1))
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # also used for scoring: it travels once
