@@ -1,14 +1,18 @@
-"""Line deduplication by joining line hashes.
+"""Line deduplication by winnowed line hashes.
 
-Every non-blank line is hashed, and every line of at least ``LONG_WORDS`` words (1, so every non-blank line) is a
-fingerprint by itself. Windows of ``WINDOW`` consecutive lines are fingerprints only where they hold a shorter
-line: with ``LONG_WORDS`` = 1 there are none, and a window of longer lines would add nothing, since each of its
-lines has an earlier copy when the window has one. All positions are joined on the content hash of their line or
-window with the first position in the corpus (by id, then place) that has it; no window minima are selected,
-because a single repeated line can only be found if its own hash is joined. The lines of later positions are
-deleted, adjoining ones as one run; the first copy stays.
+Every non-blank line is hashed. Of each ``WINDOW`` consecutive lines of a document the one with the least hash is an
+anchor (the last of equal ones). Anchors are joined on their line hash with the first anchor in the corpus (by id,
+then place) that has it, and a match is extended both ways as long as the neighbouring line hashes agree, by up to
+``WINDOW`` lines, where the next anchor is. Matches of at least ``WINDOW`` lines, and matched anchors of at least
+``LONG_WORDS`` words, are runs of an earlier copy.
 
-A fingerprint's positions are combined to their first one before the shuffle, and joined back by key, so a
+No window guarantees a shared run of fewer than ``WINDOW`` lines, nor one whose anchor stands elsewhere before. So what
+lies in no matched run is joined by itself with its first position: every line of at least ``LONG_WORDS`` words (1, so
+every non-blank line), and windows that hold a shorter line. A first position lies in no matched run, since a
+matched run has an earlier copy, so none is missed. The lines of later positions are deleted, adjoining ones as one
+run; the first copy stays.
+
+A hash's positions are combined to their first one before the shuffle, and joined back by key, so a
 line that a third of the documents share is never gathered in one place.
 
 Defined cases: null and empty texts have no lines and come back unchanged; blank lines are never deleted; rows
@@ -48,6 +52,22 @@ class Lines:
         self.doc = before[lines.doc]
         self.counts = np.diff(self.doc)
 
+    @classmethod
+    def of(cls, hashes: pa.Array, words: pa.Array) -> Lines:
+        """From the bytes of each document's line hashes and word counts; without places in a text."""
+        out = object.__new__(cls)
+        hashes, words = hashes.to_pylist(), words.to_pylist()
+        out.hash, out.words = np.frombuffer(b"".join(hashes), U64), np.frombuffer(b"".join(words), np.int32)
+        out.counts = np.array([len(h) // 8 for h in hashes], np.int64)
+        out.doc = np.append(0, np.cumsum(out.counts))
+        return out
+
+    def packed(self) -> tuple[pa.Array, pa.Array]:
+        """What ``of`` takes."""
+        hashes, words = self.hash.tobytes(), np.minimum(self.words, (1 << 31) - 1).astype(np.int32).tobytes()
+        spans = list(zip(self.doc[:-1].tolist(), self.doc[1:].tolist()))
+        return pa.array([hashes[8 * a:8 * b] for a, b in spans], pa.binary()), pa.array([words[4 * a:4 * b] for a, b in spans], pa.binary())
+
 
 def fingerprints(lines: Lines, window: int):
     """(document, place, least line hash, content hash, number of lines) of all windows."""
@@ -62,6 +82,18 @@ def fingerprints(lines: Lines, window: int):
     return doc, at - lines.doc[:-1][doc], least, content, np.full(len(at), window)
 
 
+def anchors(lines: Lines, window: int):
+    """(document, number of the line in the slice) of the lines that have the least hash of a window, each once."""
+    doc, place, least, _, _ = fingerprints(lines, window)
+    first = lines.doc[:-1][doc] + place
+    at = first.copy()
+    for k in range(1, window):
+        here = lines.hash[first + k] == least
+        at[here] = first[here] + k
+    at = np.unique(at)
+    return np.searchsorted(lines.doc, at, side="right") - 1, at
+
+
 def positions(lines: Lines, window: int):
     """(document, place, content hash, number of lines) of all that is joined: lines of at least ``LONG_WORDS``
     words, and windows with a shorter line."""
@@ -77,22 +109,93 @@ def positions(lines: Lines, window: int):
     return tuple(np.append(a, b[short]) for a, b in zip(found, (doc, place, content, size)))
 
 
-def repeated_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc, th, runs): matched windows [place, number of lines] of documents (doc, th, text)."""
+def outside(lines: Lines, runs: list, doc: np.ndarray, place: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which positions do not lie in one of the documents' matched runs [place, number of lines]."""
+    start = np.array([lines.doc[d] + p for d, some in enumerate(runs) for p, _ in some or ()], np.int64)
+    many = np.array([n for some in runs for _, n in some or ()], np.int64)
+    # the farthest end of a run that starts at or before a line; runs of documents before it end before it
+    end = np.zeros(len(lines.hash) + 1, np.int64)
+    np.maximum.at(end, start, start + many)
+    end = np.maximum.accumulate(end)
+    at = lines.doc[:-1][doc] + place
+    return np.flatnonzero(end[at] < at + size)
+
+
+def _line_hashes(docs: DataFrame) -> DataFrame:
+    """(doc, th, hashes, words) of documents (doc, th, text), as ``Lines.packed`` gives them."""
 
     def run(batches):
         for piece in common.slices(batches):
-            doc, place, content, size = positions(Lines(piece.column(2)), window)
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *Lines(piece.column(2)).packed()],
+                                             names=["doc", "th", "hashes", "words"])
+
+    return docs.mapInArrow(common.lean(run), "doc bigint, th binary, hashes binary, words binary")
+
+
+def matched_runs(hashed: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc, th, place, size): runs that start at a winnowed match, extended both ways."""
+    sides = [f"{side}{k}" for side in "ba" for k in range(1, window + 1)]
+
+    def run(batches):
+        for batch in batches:
+            lines = Lines.of(batch.column(2), batch.column(3))
+            doc, at = anchors(lines, window)
+            first, last, pick = lines.doc[:-1][doc], lines.doc[1:][doc], pa.array(doc)
+            near = []
+            for k in (*range(-1, -window - 1, -1), *range(1, window + 1)):
+                there = (at + k >= first) & (at + k < last)
+                near.append(pa.array(lines.hash[np.where(there, at + k, at)].view(np.int64), mask=~there))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pick), batch.column(1).take(pick), pa.array(lines.hash[at].view(np.int64)),
+                 pa.array((at - first).astype(np.int32)), pa.array(lines.words[at] >= LONG_WORDS), *near],
+                names=["doc", "th", "line", "place", "long", *sides])
+
+    found = hashed.mapInArrow(common.lean(run), ", ".join(["doc bigint, th binary, line bigint, place int, long boolean",
+                                                           *(f"{s} bigint" for s in sides)]))
+    here = F.struct("doc", "th", "place")
+    first = found.groupBy("line").agg(F.min(F.struct("doc", "th", "place", *sides)).alias("first"), F.max(here).alias("last"))
+    first = first.where(F.struct("first.doc", "first.th", "first.place") < F.col("last")).drop("last")
+
+    def agreeing(side: str):
+        n = F.lit(window)
+        for k in range(window, 0, -1):
+            n = F.when(F.col(f"{side}{k}") == F.col(f"first.{side}{k}"), n).otherwise(F.lit(k - 1))
+        return n
+
+    later = found.join(first, "line").where(here > F.struct("first.doc", "first.th", "first.place"))
+    runs = later.select("doc", "th", "place", "long", agreeing("b").alias("before"), agreeing("a").alias("after"))
+    whole = F.col("before") + 1 + F.col("after") >= window
+    return runs.where(whole | F.col("long")).select(
+        "doc", "th", F.when(whole, F.col("place") - F.col("before")).otherwise(F.col("place")).alias("place"),
+        F.when(whole, F.col("before") + 1 + F.col("after")).otherwise(F.lit(1)).alias("size"))
+
+
+def _of_documents(runs: DataFrame) -> DataFrame:
+    return runs.groupBy("doc", "th").agg(F.collect_set(F.array("place", "size")).alias("runs"))
+
+
+def repeated_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc, th, runs): runs [place, number of lines] of documents (doc, th, text) that have an earlier copy."""
+
+    def run(batches):
+        for batch in batches:
+            lines = Lines.of(batch.column(2), batch.column(3))
+            doc, place, content, size = positions(lines, window)
+            left = outside(lines, batch.column(4).to_pylist(), doc, place, size)
+            doc, place, content, size = doc[left], place[left], content[left], size[left]
             pick = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
-                [piece.column(0).take(pick), piece.column(1).take(pick), pa.array(content.view(np.int64)),
+                [batch.column(0).take(pick), batch.column(1).take(pick), pa.array(content.view(np.int64)),
                  pa.array(place.astype(np.int32)), pa.array(size.astype(np.int32))], names=["doc", "th", "win", "place", "size"])
 
-    found = common.written(docs.mapInArrow(common.lean(run), "doc bigint, th binary, win bigint, place int, size int"), "fingerprints")
+    hashed = common.written(_line_hashes(docs), "lines")
+    matched = common.written(matched_runs(hashed, window), "matched")
+    rest = hashed.join(_of_documents(matched), ["doc", "th"], "left").select("doc", "th", "hashes", "words", "runs")
+    found = common.written(rest.mapInArrow(common.lean(run), "doc bigint, th binary, win bigint, place int, size int"), "fingerprints")
     here = F.struct("doc", "th", "place")
     first = found.groupBy("win").agg(F.min(here).alias("first"), F.max(here).alias("last")).where("first <> last")
     later = found.join(first.select("win", "first"), "win").where(here > F.col("first"))
-    return later.groupBy("doc", "th").agg(F.collect_set(F.array("place", "size")).alias("runs"))
+    return _of_documents(matched.unionByName(later.select("doc", "th", "place", "size")))
 
 
 def cut_text(text: str, runs: list) -> tuple[list[list[int]], str]:

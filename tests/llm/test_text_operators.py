@@ -320,6 +320,47 @@ def test_line_dedup_windows_of_shorter_lines(monkeypatch):
     assert len(set(win)) == 5
 
 
+def test_line_dedup_winnowed_anchors():
+    """One line of each window is an anchor, that with the least hash; positions in a matched run are not joined again."""
+    import numpy as np
+    import pyarrow as pa
+
+    lines = line_dedup.Lines(pa.array(["\n".join(f"line {k}" for k in range(40)), "one", None, "p\nq"]))
+    again = line_dedup.Lines.of(*lines.packed())
+    assert (again.hash == lines.hash).all() and (again.words == lines.words).all() and again.doc.tolist() == lines.doc.tolist()
+    doc, at = line_dedup.anchors(again, 4)
+    want = {a + int(np.argmin(lines.hash[a:a + 4])) for a in range(37)}
+    assert at.tolist() == sorted(want) and not doc.any() and len(want) < 30
+    runs = [[[0, 39]], None, [], [[0, 1], [0, 2]]]
+    doc, place, _, size = line_dedup.positions(again, 4)
+    left = line_dedup.outside(again, runs, doc, place, size)
+    assert list(zip(doc[left].tolist(), place[left].tolist())) == [(0, 39), (1, 0)]
+
+
+def test_line_dedup_matches_are_extended(spark):
+    """A passage is matched as one run, found by its anchors and extended both ways; nothing is lost beside it."""
+    import random
+
+    passage = [f"passage line {k}" for k in range(30)]
+    docs = [(k, "\n".join([f"own {k}", *passage, f"end {k}"])) for k in range(4)]
+    hashed = line_dedup._line_hashes(spark.createDataFrame([(i, b"t", t) for i, t in docs], "doc bigint, th binary, text string"))
+    got = line_dedup.matched_runs(hashed).collect()
+    covered = {i: set() for i, _ in docs}
+    for r in got:
+        assert r["size"] >= line_dedup.WINDOW
+        covered[r["doc"]] |= set(range(r["place"], r["place"] + r["size"]))
+    assert covered == {0: set(), **{k: set(range(1, 31)) for k in range(1, 4)}}
+    assert len(got) < 3 * 30
+
+    rng = random.Random(7)
+    docs = [(k // 2, "\n".join(rng.choice("abcdefghijklmnopqrstuvwxyz") * rng.choice((1, 2)) for _ in range(rng.randrange(12)))) for k in range(60)]
+    docs.append((None, "a\nb\nunique\na\nb"))
+    want = brute_lines(docs)
+    got = line_dedup.line_dedup(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5))
+    got = got.selectExpr("doc_id", "text", "n_lines", "aggregate(deleted, 0L, (n, r) -> n + r.end - r.start) AS n", "clean_text").collect()
+    assert len(got) == len(docs) and all((r[0], *r[2:]) == want[r[0], r[1]] for r in got)
+
+
 # ------------------------------------------------------------------ decontamination
 
 def brute_hits(docs, items, window=13):
