@@ -18,7 +18,9 @@ its own, and the partial counts are summed per pair. Links are pairs with
    between components is lost; pairs inside a component are not needed and never made.
 
 Bounds (none can drop a link): sizes; places in the order of a common prefix n-gram; and a parity bitmap of
-256 bits a set, in which two sets differ in at most as many bits as n-grams.
+256 bits a set, in which two sets differ in at most as many bits as n-grams. The pairs that pass meet a bitmap of
+2,048 bits, which also tells large sets apart (random ones differ in half the bits), before overlaps are counted: so
+sets of one family that are near, but not near enough, are not counted pair by pair.
 
 Defined cases: a null or empty text has size 0 and its own id as component; texts of fewer than ``n`` words
 have one n-gram, the whole text; rows are nodes of their own: rows of one id with different texts are not
@@ -52,6 +54,8 @@ FEW, ROUNDS = 50, 6
 PROPOSED, OFFERED = 3, 3
 #: Bits of a set's parity bitmap, and its columns.
 BITS = 256
+#: Bits of the wide parity bitmap that the candidates meet before their overlaps are counted.
+WIDE = 2048
 MAP = ("m0", "m1", "m2", "m3")
 COLUMNS = ("n_shingles", "component_id")
 _LAST = (1 << 63) - 1
@@ -85,11 +89,11 @@ class Sets:
         self.off = np.searchsorted(self.doc, np.arange(len(count) + 1))
         self.size = np.diff(self.off)
 
-    def bitmaps(self) -> np.ndarray:
-        """Parity of the n-grams on each of BITS bits, as four long columns."""
+    def bitmaps(self, bits: int = BITS) -> np.ndarray:
+        """Parity of the n-grams on each of the bits, as long columns."""
         n = len(self.size)
-        bit = ((self.grams >> U64(8)) & U64(BITS - 1)).astype(np.int64)
-        parity = np.bincount(self.doc * BITS + bit, minlength=n * BITS).reshape(n, BITS) & 1
+        bit = ((self.grams >> U64(8)) & U64(bits - 1)).astype(np.int64)
+        parity = np.bincount(self.doc * bits + bit, minlength=n * bits).reshape(n, bits) & 1
         return np.packbits(parity.astype(bool), axis=1).view(np.int64)
 
     def key(self, salt: int) -> np.ndarray:
@@ -170,7 +174,7 @@ def _own_counts(docs: DataFrame, sized: DataFrame, n: int) -> DataFrame:
 
 
 def _survivors(docs: DataFrame, kept: DataFrame, n: int) -> DataFrame:
-    """(sid, k1, k2, rep, n, own, m0..m3, grams): the sets that may have a link, from the text of their first document."""
+    """(sid, k1, k2, rep, n, own, m0..m3, wide, grams): the sets that may have a link, from the text of their first document."""
 
     def run(batches):
         for piece in common.slices(batches):
@@ -178,18 +182,20 @@ def _survivors(docs: DataFrame, kept: DataFrame, n: int) -> DataFrame:
             right = np.flatnonzero(sets.key(1) == piece.column(4).to_numpy())
             offsets = pa.array(sets.off, pa.int32())
             lists = pa.ListArray.from_arrays(offsets, pa.array(sets.grams.view(np.int64)))
-            pick, maps = pa.array(right), sets.bitmaps()[right]
+            pick, maps, wide = pa.array(right), sets.bitmaps()[right], sets.bitmaps(WIDE)[right]
+            wide = pa.ListArray.from_arrays(pa.array(np.arange(len(right) + 1) * wide.shape[1], pa.int32()), pa.array(wide.ravel()))
             yield pa.RecordBatch.from_arrays(
                 [piece.column(4).take(pick), piece.column(6).take(pick), piece.column(3).take(pick), pa.array(sets.size[right], pa.int64()),
-                 piece.column(5).take(pick), *(pa.array(np.ascontiguousarray(maps[:, k])) for k in range(4)), lists.take(pick)],
-                names=["k1", "k2", "rep", "n", "own", *MAP, "grams"])
+                 piece.column(5).take(pick), *(pa.array(np.ascontiguousarray(maps[:, k])) for k in range(4)), wide, lists.take(pick)],
+                names=["k1", "k2", "rep", "n", "own", *MAP, "wide", "grams"])
 
     names = ["doc", "th", "text", "rep", "k1", "own", "k2"]
     # equal rows are one: the join has brought them together
     rows = docs.join(kept.select("doc", "th", "rep", "k1", "own", "k2"), ["doc", "th"]).dropDuplicates(["doc", "th"]).select(names)
     found = rows.mapInArrow(common.lean(run), "k1 bigint, k2 bigint, rep bigint, n bigint, own bigint, m0 bigint, m1 bigint, m2 bigint, "
-                            "m3 bigint, grams array<bigint>")
-    return found.where("n > 0").withColumn("sid", F.monotonically_increasing_id()).select("sid", "k1", "k2", "rep", "n", "own", *MAP, "grams")
+                            "m3 bigint, wide array<bigint>, grams array<bigint>")
+    return found.where("n > 0").withColumn("sid", F.monotonically_increasing_id()).select(
+        "sid", "k1", "k2", "rep", "n", "own", *MAP, "wide", "grams")
 
 
 def _ordered(classes: np.ndarray, grams: np.ndarray, off: np.ndarray):
@@ -264,17 +270,29 @@ def _partial(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
     return counted.groupBy("a", "b", "na", "nb").agg(F.sum("both").alias("both"), F.sum("miss").alias("miss"))
 
 
-def _linked(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
+def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b, na, nb) whose wide bitmaps differ in no more bits than those of a link can."""
+    of_a, of_b = (sets.select(F.col("sid").alias(x), F.col("wide").alias("w" + x)) for x in "ab")
+    bits = "aggregate(zip_with(wa, wb, (x, y) -> bit_count(x ^ y)), 0, (n, x) -> n + x)"
+    return pairs.join(of_a, "a").join(of_b, "b").where(f"{bits} <= {_room('na', 'nb')}").select("a", "b", "na", "nb")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, fragments: DataFrame) -> DataFrame:
     """The pairs (a, b, na, nb) that are links, as (a, b): overlaps are counted fragment by fragment and summed
     per pair; pairs that miss too much in the first two fragments need no more of them."""
     least = f"ceil({NUM} * (na + nb) / {DEN + NUM})"
-    first = _partial(pairs, fragments.where("frag < 2")).where(f"na - miss >= {least}")
+    first = common.written(_partial(_near(pairs, sets), fragments.where("frag < 2")).where(f"na - miss >= {least}"), "pairs")
     rest = _partial(first.select("a", "b", "na", "nb"), fragments.where("frag >= 2"))
-    total = common.written(first, "pairs").select("a", "b", "na", "nb", "both").unionByName(rest.select("a", "b", "na", "nb", "both"))
+    total = first.select("a", "b", "na", "nb", "both").unionByName(rest.select("a", "b", "na", "nb", "both"))
     return total.groupBy("a", "b", "na", "nb").agg(F.sum("both").alias("both")).where(
         f"{DEN} * both >= {NUM} * (na + nb - both)").select("a", "b")
 
 
+def _room(na: str, nb: str) -> str:
+    """SQL of the most n-grams of two sets that can be in one only, if they are linked."""
+    return f"{na} + {nb} - 2 * ceil({NUM} * ({na} + {nb}) / {DEN + NUM})"
+
+
 def _distance(a: str, b: str) -> str:
     """SQL of the bits in which two bitmaps differ: at most the n-grams that are in one set only."""
     return " + ".join(f"bit_count({a}{m} ^ {b}{m})" for m in MAP)
@@ -283,7 +301,7 @@ def _distance(a: str, b: str) -> str:
 def _bounds(a: str, b: str, na: str, nb: str) -> str:
     """SQL that holds for every link, from sizes and bitmaps."""
     return (f"{DEN} * least({na}, {nb}) >= {NUM} * greatest({na}, {nb}) AND "
-            f"{_distance(a, b)} <= {na} + {nb} - 2 * ceil({NUM} * ({na} + {nb}) / {DEN + NUM})")
+            f"{_distance(a, b)} <= {_room(na, nb)}")
 
 
 def _proposals(leading: DataFrame, labels: DataFrame, k: int) -> DataFrame:
@@ -344,7 +362,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = common.written(sets.select("sid", F.col("sid").alias("root")), "labels")
     few = sets.count() // FEW
     for k in range(ROUNDS):
-        found = common.written(_linked(_proposals(leading, labels, k), fragments), "links")
+        found = common.written(_linked(_proposals(leading, labels, k), sets, fragments), "links")
         n_found = found.count()
         if n_found:
             labels = _merged(labels, found)
@@ -358,7 +376,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         f"{DEN + NUM} * least(an - apos, bn - bpos) >= {NUM} * (an + bn)").select(
         F.col("asid").alias("a"), F.col("bsid").alias("b"), F.col("an").alias("na"), F.col("bn").alias("nb"))
     across = common.written(pairs.distinct(), "across")
-    labels = _merged(labels, common.written(_linked(across, fragments), "links"))
+    labels = _merged(labels, common.written(_linked(across, sets, fragments), "links"))
     key = ["k1", "k2", "n"]
     of_set = screened.select(*key, F.struct("doc", "th").alias("first")).join(
         sets.select("sid", *key).join(labels, "sid").drop("sid"), key, "left")

@@ -257,6 +257,35 @@ def test_html_extract_pages(spark):
         assert r["text"] == "\n".join(b for b in blocks if b)
 
 
+def test_jaccard_join_near_misses_are_not_counted(spark):
+    """Large sets of one family that miss the threshold do not reach the overlap counts pair by pair; links all do."""
+    import itertools
+
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(400)]
+
+    def edited(words, seed, step):
+        return [f"x{seed}_{k}" if (k + 7 * seed) % step == 0 else w for k, w in enumerate(words)]
+
+    texts = [" ".join(edited(base, k, 50)) for k in range(24)]
+    texts += [" ".join(texts[k].split()[:-rng.randrange(1, 40)]) for k in range(12)]
+    sets = jaccard_join.Sets(pa.array(texts), jaccard_join.N)
+    grams = [set(sets.grams[a:b].tolist()) for a, b in zip(sets.off[:-1], sets.off[1:])]
+    linked = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2)
+              if 100 * len(grams[a] & grams[b]) >= 75 * len(grams[a] | grams[b])}
+    rows = spark.createDataFrame([(k, len(grams[k]), m.tolist(), *n.tolist()) for k, (m, n) in enumerate(zip(sets.bitmaps(jaccard_join.WIDE), sets.bitmaps()))],
+                                 "sid bigint, n bigint, wide array<bigint>, m0 bigint, m1 bigint, m2 bigint, m3 bigint")
+    a, b = (rows.select(*(F.col(c).alias(x + c) for c in ("sid", "n", *jaccard_join.MAP))) for x in "ab")
+    pairs = a.join(b, F.col("asid") < F.col("bsid")).where(jaccard_join._bounds("a", "b", "an", "bn")).selectExpr(
+        "asid AS a", "bsid AS b", "an AS na", "bn AS nb")
+    near = {(r.a, r.b) for r in jaccard_join._near(pairs, rows).collect()}
+    assert len(linked) >= 12 and linked <= near
+    assert pairs.count() > 400 and len(near) < len(linked) + 20
+
+
 # ------------------------------------------------------------------ line dedup
 
 def brute_lines(docs):
@@ -339,8 +368,6 @@ def test_line_dedup_winnowed_anchors():
 
 def test_line_dedup_matches_are_extended(spark):
     """A passage is matched as one run, found by its anchors and extended both ways; nothing is lost beside it."""
-    import random
-
     passage = [f"passage line {k}" for k in range(30)]
     docs = [(k, "\n".join([f"own {k}", *passage, f"end {k}"])) for k in range(4)]
     hashed = line_dedup._line_hashes(spark.createDataFrame([(i, b"t", t) for i, t in docs], "doc bigint, th binary, text string"))
