@@ -40,14 +40,13 @@ MAX_LABELLED = 12_000
 DENSE = 150
 BLOCK = 32
 #: A term of at least one in so many examples is kept as a column, others as posting lists.
-FREQUENT = 12
+FREQUENT = 20
 #: Queries, and postings of them, that are added up at a time (one query may exceed the latter).
-QUERIES, POSTINGS = 128, 1 << 25
-#: A posting list of at most so many entries is added up together with those of other terms.
+QUERIES, POSTINGS = 256, 1 << 25
+#: A posting list of at most so many entries is gathered together with those of other terms.
 SHORT = 16
 #: Examples, and entries of their vectors, that the fit handles at a time.
 ROWS, ENTRIES = 1 << 9, 1 << 18
-POSTING = [("weight", np.float32), ("example", np.int32)]
 #: Leading bits by which a feature is looked up.
 CELL_BITS = 20
 NEIGHBOURS = 15
@@ -60,14 +59,21 @@ def _features(texts: pa.Array):
     """Hashes of all features of a slice and their documents (a feature once for each place); words by document."""
     words = common.Words(texts, common.ALNUM, lower=True)
     doc = np.repeat(np.arange(len(texts)), words.counts)
-    out, docs, start, size = [words.hash], [doc], words.start, words.end - words.start
+    word, feature = _word_features(words, np.arange(len(doc)))
+    return feature, doc[word], words.counts
+
+
+def _word_features(words: common.Words, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place among ``some``, hash) of all features of some words: the words themselves, then their beginnings."""
+    out, places = [words.hash[some]], [np.arange(len(some))]
+    start, size, place = words.start[some], words.end[some] - words.start[some], places[0]
     sums = common.prefix_sums(words.data)
     for stem in STEMS:
         long = np.flatnonzero(size > stem)
-        start, size, doc = start[long], size[long], doc[long]
+        start, size, place = start[long], size[long], place[long]
         out.append(common.span_hash(words.data, start, start + stem, sums) ^ U64(stem))
-        docs.append(doc)
-    return np.concatenate(out), np.concatenate(docs), words.counts
+        places.append(place)
+    return np.concatenate(places), np.concatenate(out)
 
 
 class Sparse:
@@ -131,15 +137,27 @@ class Vocabulary:
         self.__init__(**state)
 
     def counts(self, texts: pa.Array) -> Sparse:
-        feature, doc, words = _features(texts)
-        if not len(feature) or not self.size:
-            return Sparse(doc[:0], doc[:0], doc[:0], (len(texts), self.size))
+        words = common.Words(texts, common.ALNUM, lower=True)
+        if not len(words.hash) or not self.size:
+            none = np.zeros(0, np.int64)
+            return Sparse(none, none, none, (len(texts), self.size))
+        # each different word of the slice is looked up once
+        order = np.argsort(words.hash)
+        new = np.append(True, words.hash[order][1:] != words.hash[order][:-1])
+        first, word = order[new], np.empty(len(order), np.int64)
+        word[order] = np.cumsum(new) - 1
+        place, feature = _word_features(words, first)
         hit, at = self._places(feature)
+        order = np.argsort(place[hit], kind="stable")
+        place, at = place[hit][order], at[order]
+        start = np.searchsorted(place, np.arange(len(first) + 1))
+        size = np.diff(start)[word]
+        doc = np.repeat(np.repeat(np.arange(len(texts)), words.counts), size)
         # equal (document, feature) side by side
-        key = np.sort(doc[hit] * np.int64(len(self.hashes)) + at)
+        key = np.sort(doc * np.int64(len(self.hashes)) + at[_spans(start[word], size)])
         new = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
         doc, term = np.divmod(key[new], len(self.hashes))
-        return self.with_dense(doc, term, np.diff(np.append(new, len(key))), words)
+        return self.with_dense(doc, term, np.diff(np.append(new, len(key))), words.counts)
 
     def _places(self, feature: np.ndarray):
         """Which of the features are in the vocabulary, and their places: all with the same leading bits are tried."""
@@ -173,15 +191,25 @@ def vectors(counts: Sparse | np.ndarray, weight: np.ndarray) -> Sparse | np.ndar
     """Unit vectors of (1 + ln tf) times the weight of the term; rows without terms stay zero."""
     if isinstance(counts, np.ndarray):
         return vectors(Sparse.of(counts), weight).dense()
+    rows, length = weighted(counts, weight)
+    for here in _parts(len(rows.value)):
+        rows.value[here] /= length[rows.row[here]]
+    return rows
+
+
+def weighted(counts: Sparse, weight: np.ndarray) -> tuple[Sparse, np.ndarray]:
+    """(1 + ln tf) times the weight of the term, and the lengths of the rows."""
     w, weight = np.empty(len(counts.value), np.float32), np.asarray(weight, np.float32)
+    length = np.full(len(counts), 1e-12, np.float32)
     for a in range(0, len(counts), ROWS):
-        here = slice(counts.start[a], counts.start[min(a + ROWS, len(counts))])
+        z = min(a + ROWS, len(counts))
+        here = slice(counts.start[a], counts.start[z])
         x, row = np.log(counts.value[here].astype(np.float32)), counts.row[here] - a
         x += 1
         x *= weight[counts.term[here]]
-        norm = np.sqrt(np.bincount(row, weights=x * x))
-        np.divide(x, np.maximum(norm, 1e-12).astype(np.float32)[row], out=w[here])
-    return counts.with_value(w)
+        np.maximum(np.sqrt(np.bincount(row, weights=x * x, minlength=z - a)), 1e-12, out=length[a:z], casting="same_kind")
+        w[here] = x
+    return counts.with_value(w), length
 
 
 def _tally(at: np.ndarray, size: int, weight: np.ndarray | None = None, of: np.ndarray | None = None) -> np.ndarray:
@@ -212,8 +240,18 @@ def _places(some: np.ndarray, lists: np.ndarray, free: np.ndarray) -> tuple[np.n
     return some, at
 
 
+def _kth(values: np.ndarray, k: int) -> np.ndarray:
+    """The k-th largest of each row; 0 where there are fewer, or where it is less."""
+    if values.shape[1] < k:
+        return np.zeros(len(values))
+    return np.maximum(np.partition(values, values.shape[1] - k, axis=1)[:, values.shape[1] - k], 0)
+
+
 class BlockMaxIndex:
-    def __init__(self, rows: Sparse | np.ndarray, names: np.ndarray, labels: np.ndarray):
+    """Vectors ``rows`` / ``length`` (None: 1) of examples. A posting is only the example's number: the entries of a term
+    with one value lie side by side as a run, which holds the value, and the lengths divide the sums."""
+
+    def __init__(self, rows: Sparse | np.ndarray, names: np.ndarray, labels: np.ndarray, length: np.ndarray | None = None):
         rows = Sparse.of(rows) if isinstance(rows, np.ndarray) else rows
         # rows with the same heaviest term side by side
         full = np.flatnonzero(np.diff(rows.start))
@@ -225,6 +263,9 @@ class BlockMaxIndex:
         self.names = np.append(names[order], np.zeros(pad, np.int64))
         self.labels = np.append(labels[order], np.zeros(pad, np.int64))
         self.size, self.terms = len(order), rows.shape[1]
+        self.length = np.ones(len(self.names), np.float32)
+        if length is not None:
+            self.length[:self.size] = length[order]
         number = np.zeros(len(rows), np.int32)
         number[order] = np.arange(len(order))
         with_term = _tally(rows.term, self.terms)
@@ -233,17 +274,38 @@ class BlockMaxIndex:
         of_column = with_term[frequent].astype(np.int64)
         with_term[frequent] = 0
         self.start = np.append(0, np.cumsum(with_term)).astype(np.int32 if len(rows.term) < 1 << 31 else np.int64)
-        self.postings = np.empty(self.start[-1], POSTING)
+        small = np.uint16 if len(self.names) < 1 << 16 else np.int32
+        self.example, value_of = np.empty(self.start[-1], small), np.empty(self.start[-1], np.float32)
         # the frequent terms' entries, by column
-        self.packed = of_column, np.empty(of_column.sum(), np.uint16 if len(self.names) < 1 << 16 else np.int32), np.empty(of_column.sum(), np.float32)
+        self.packed = of_column, np.empty(of_column.sum(), small), np.empty(of_column.sum(), np.float32)
         # lists fill up in the order of the rows, some entries at a time
         free, free_column = self.start[:-1].copy(), np.append(0, np.cumsum(of_column))[:-1]
         for here in _parts(len(rows.term)):
             term, example, value = rows.term[here], number[rows.row[here]], rows.value[here]
             some, at = _places(np.flatnonzero(frequent[term]), self.column[term], free_column)
-            self.packed[1][at], self.packed[2][at] = example[some], value[some]
+            self.packed[1][at], self.packed[2][at] = example[some], value[some] / self.length[example[some]]
             rare, at = _places(np.flatnonzero(~frequent[term]), term, free)
-            self.postings["example"][at], self.postings["weight"][at] = example[rare], value[rare]
+            self.example[at], value_of[at] = example[rare], value[rare]
+        self._runs(value_of)
+
+    def _runs(self, value_of: np.ndarray) -> None:
+        """Sort each list by value, some lists at a time; where the runs of equal values start, and their values."""
+        first, values, runs, a = [], [], np.zeros(self.terms + 1, np.int32), 0
+        while a < self.terms:
+            z = max(a + 1, int(np.searchsorted(self.start, self.start[a] + ENTRIES, side="right")) - 1)
+            here = slice(self.start[a], self.start[z])
+            term = np.repeat(np.arange(a, z, dtype=np.int32), np.diff(self.start[a:z + 1]))
+            order = np.lexsort((self.example[here], value_of[here], term))
+            self.example[here], value = self.example[here][order], value_of[here][order]
+            new = np.flatnonzero(np.append(True, (value[1:] != value[:-1]) | (term[1:] != term[:-1]))) if len(term) else order
+            first.append((new + self.start[a]).astype(self.start.dtype))
+            values.append(value[new])
+            runs[a + 1:z + 1] = np.bincount(term[new] - a, minlength=z - a)
+            a = z
+        #: Of each term its first run; of each run its first posting, and its value.
+        self.runs = np.cumsum(runs, dtype=np.int32)
+        self.run_start = np.concatenate([*first, self.start[-1:]])
+        self.run_value = np.concatenate(values or [np.zeros(0, np.float32)])
 
     @functools.cached_property
     def blocks(self) -> np.ndarray:
@@ -257,37 +319,27 @@ class BlockMaxIndex:
     def maxima(self) -> np.ndarray:
         return self.blocks.max(1).T.copy()
 
-    def _lists(self, example: np.ndarray, weight: np.ndarray) -> None:
-        # example and weight side by side, so that a list is one slice
-        self.postings = np.empty(len(example), POSTING)
-        self.postings["example"], self.postings["weight"] = example, weight
-
-    @property
-    def example(self) -> np.ndarray:
-        return self.postings["example"]
-
-    @property
-    def weight(self) -> np.ndarray:
-        return self.postings["weight"]
+    @functools.cached_property
+    def lists(self) -> tuple[np.ndarray, list]:
+        """Number of each term's list among those of more than SHORT entries, and these lists as bytes, which join fastest."""
+        long = np.flatnonzero(np.diff(self.start) > SHORT)
+        number = np.full(self.terms, -1, np.int32)
+        number[long] = np.arange(len(long))
+        return number, [self.example[i:j].tobytes() for i, j in zip(self.start[long].tolist(), self.start[long + 1].tolist())]
 
     def __getstate__(self) -> dict:
         """Travels without zeros: the frequent terms' columns are mostly empty, and every executor gets a copy on its disk."""
-        state = {k: v for k, v in self.__dict__.items() if k not in ("blocks", "maxima", "postings")}
-        state["lists"] = self.example.astype(self.packed[1].dtype), self.weight.copy()
-        return state
-
-    def __setstate__(self, state: dict) -> None:
-        self._lists(*state.pop("lists"))
-        self.__dict__.update(state)
+        return {k: v for k, v in self.__dict__.items() if k not in ("blocks", "maxima", "lists")}
 
     def part(self, a: int, z: int) -> Sparse:
         """The vectors of the examples from number a to z."""
         columns = self.blocks.reshape(len(self.names), self.blocks.shape[2])[a:z]
         example, column = np.nonzero(columns)
         at = np.flatnonzero((self.example >= a) & (self.example < z))
-        term = np.searchsorted(self.start, at, side="right") - 1
-        return Sparse(np.append(example, self.example[at].astype(np.int64) - a), np.append(np.flatnonzero(self.column >= 0)[column], term),
-                      np.append(columns[example, column], self.weight[at]), (z - a, self.terms))
+        own, term = self.example[at].astype(np.int64), np.searchsorted(self.start, at, side="right") - 1
+        value = self.run_value[np.searchsorted(self.run_start, at, side="right") - 1] / self.length[own]
+        return Sparse(np.append(example, own - a), np.append(np.flatnonzero(self.column >= 0)[column], term),
+                      np.append(columns[example, column], value), (z - a, self.terms))
 
     @property
     def rows(self) -> Sparse:
@@ -315,52 +367,70 @@ class BlockMaxIndex:
         m, n = z - a, len(self.names)
         here = slice(queries.start[a], queries.start[z])
         row, term, value = queries.row[here] - a, queries.term[here], queries.value[here]
-        size = self.start[term + 1] - self.start[term]
-        short = np.flatnonzero(size <= SHORT)
-        at = _spans(self.start[term[short]], size[short])
-        scores = np.bincount(np.repeat(row[short] * n, size[short]) + self.example[at], weights=np.repeat(value[short], size[short]) * self.weight[at],
-                             minlength=m * n).astype(float).reshape(m, n)
-        self._add_long(scores, row, term, value, size)
+        scores = self._added(m, row, term, value)
         common_terms = np.zeros((m, self.blocks.shape[2]), np.float32)
         column = self.column[term]
         common_terms[row[column >= 0], column[column >= 0]] = value[column >= 0]
         if skip is not None:
             scores[np.arange(m), skip] = -9
         # what the posting lists give is a lower bound of a similarity
-        least = np.partition(scores, n - k, axis=1)[:, n - k]
-        bound = scores.reshape(m, -1, BLOCK).max(2) + common_terms @ self.maxima + 1e-4
-        live = bound >= least[:, None]
-        for b in np.flatnonzero(live.any(0)):
+        by_block = scores.reshape(m, -1, BLOCK).max(2)
+        live = by_block + common_terms @ self.maxima + 1e-4 >= _kth(by_block, k)[:, None]
+        # side by side, blocks that most queries need are one product for all queries
+        most = 2 * live.sum(0) >= m
+        for run in np.split(np.flatnonzero(most), np.flatnonzero(np.diff(np.flatnonzero(most)) > 1) + 1):
+            if len(run):
+                examples = slice(run[0] * BLOCK, (run[-1] + 1) * BLOCK)
+                scores[:, examples] += common_terms @ self.blocks.reshape(n, -1)[examples].T
+        for b in np.flatnonzero(live.any(0) & ~most):
             q = np.flatnonzero(live[:, b])
             scores[q, b * BLOCK:(b + 1) * BLOCK] += common_terms[q] @ self.blocks[b].T
         scores[:, self.size:] = 0
         if skip is not None:
             scores[np.arange(m), skip] = 0
+        # k blocks have an example of at least the k-th largest maximum, so that no smaller similarity is among the k
+        enough = np.maximum(_kth(scores.reshape(m, -1, BLOCK).max(2), k) - 2e-5, 0)
+        q, e = np.nonzero(scores > enough[:, None])
         # rounded similarity, then the smaller number
-        key = np.rint(scores * 1e5).astype(np.int64) * n + (n - 1 - np.arange(n))
-        key = -np.sort(-np.partition(key, n - k, axis=1)[:, n - k:], axis=1)
-        best = key // n / 1e5
-        return np.where(best > 0, n - 1 - key % n, -1), best
-
-    def _add_long(self, scores: np.ndarray, row: np.ndarray, term: np.ndarray, value: np.ndarray, size: np.ndarray) -> None:
-        """Add the posting lists of more than SHORT entries, query by query, in buffers that are used again."""
-        long = np.flatnonzero(size > SHORT)
-        if not len(long):
-            return
-        row, value, size = row[long], value[long], size[long]
-        start = self.start[term[long]].astype(np.int64)
-        cuts = np.searchsorted(row, np.arange(len(scores) + 1))
-        total = np.append(0, np.cumsum(size, dtype=np.int64))[cuts]
-        most, plain = int(np.diff(total).max()), self.postings.view(np.uint64)
-        both, who, what = np.empty(most, np.uint64), np.empty(most, np.int64), np.empty(most)
-        for q in np.flatnonzero(np.diff(total)):
-            here, k = slice(cuts[q], cuts[q + 1]), int(total[q + 1] - total[q])
-            spans = map(slice, start[here].tolist(), (start[here] + size[here]).tolist())
-            np.concatenate([plain[x] for x in spans], out=both[:k])
-            pair = both[:k].view(self.postings.dtype)
-            who[:k] = pair["example"]
-            np.multiply(pair["weight"], np.repeat(value[here], size[here]), out=what[:k])
-            scores[q] += np.bincount(who[:k], what[:k], minlength=scores.shape[1])
+        similarity = np.rint(scores[q, e] * 1e5).astype(np.int64)
+        order = np.lexsort((e, -similarity, q))
+        q, e, similarity = q[order], e[order], similarity[order]
+        place = np.arange(len(q)) - np.searchsorted(q, np.arange(m))[q]
+        some = (place < k) & (similarity > 0)
+        who, best = np.full((m, k), -1, np.int64), np.zeros((m, k))
+        who[q[some], place[some]], best[q[some], place[some]] = e[some], similarity[some] / 1e5
+        return who, best
+
+    def _added(self, m: int, row: np.ndarray, term: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """The posting lists' share of the similarities of m queries with all examples."""
+        number, lists = self.lists
+        scores = np.zeros((m, len(self.names)))
+        size = self.start[term + 1] - self.start[term]
+        long, short = np.flatnonzero(size > SHORT), np.flatnonzero((size > 0) & (size <= SHORT))
+        at = _spans(self.start[term[short]], size[short])
+        gathered, weight = self.example[at], np.repeat(*self._weights(term[short], value[short]))
+        each, run_size = self._weights(term[long], value[long])
+        one, at = np.ones(len(at), run_size.dtype), np.empty(int(np.bincount(row, size, m).max(initial=0)), np.int64)
+        cuts, short_cuts = (np.searchsorted(row[some], np.arange(m + 1)) for some in (long, short))
+        run_cuts = np.append(0, np.cumsum(self.runs[term[long] + 1] - self.runs[term[long]]))[cuts]
+        at_cuts = np.append(0, np.cumsum(size[short]))[short_cuts]
+        numbers = number[term[long]].tolist()
+        for q in range(m):
+            runs, few = slice(run_cuts[q], run_cuts[q + 1]), slice(at_cuts[q], at_cuts[q + 1])
+            joined = b"".join([gathered[few].tobytes(), *[lists[x] for x in numbers[cuts[q]:cuts[q + 1]]]])
+            who = np.frombuffer(joined, self.example.dtype)
+            if len(who):
+                at[:len(who)] = who
+                what = np.repeat(np.append(weight[few], each[runs]), np.append(one[few], run_size[runs]))
+                scores[q] = np.bincount(at[:len(who)], what, len(self.names))
+        scores /= self.length
+        return scores
+
+    def _weights(self, term: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the runs of the terms' lists the value times that of the query, and the number of entries."""
+        number = self.runs[term + 1] - self.runs[term]
+        runs = _spans(self.runs[term], number)
+        return np.repeat(value.astype(float), number) * self.run_value[runs], self.run_start[runs + 1] - self.run_start[runs]
 
     def votes(self, who: np.ndarray, best: np.ndarray) -> np.ndarray:
         """Share of toxic votes, weighted by similarity squared; NaN without neighbours."""
@@ -453,7 +523,8 @@ def _encoded(rows) -> tuple[np.ndarray, np.ndarray, Vocabulary, Sparse]:
 def _joined(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(number of the row, feature, count) of all terms of some examples."""
     doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[3]) // 8 for r in rows])
-    return doc, np.frombuffer(b"".join(r[3] for r in rows), U64), np.frombuffer(b"".join(r[4] for r in rows), np.int32)
+    counts = [np.frombuffer(r[4], np.uint8 if 8 * len(r[4]) == len(r[3]) else np.int32) for r in rows]  # bytes where all fit
+    return doc, np.frombuffer(b"".join(r[3] for r in rows), U64), np.concatenate([np.zeros(0, np.int32), *counts])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, by_label: bool = True) -> Model:
@@ -473,9 +544,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, by_label
             feature, count = feature[order], count[order].astype(np.int32)
             cuts = np.searchsorted(doc[order], np.arange(piece.num_rows + 1))
             spans = list(zip(cuts, cuts[1:]))
+            counts = [count[i:j] if (count[i:j] > 255).any() else count[i:j].astype(np.uint8) for i, j in spans]
             yield pa.RecordBatch.from_arrays(
                 [piece.column(0), piece.column(2), pa.array(words, pa.int64()), pa.array([feature[i:j].tobytes() for i, j in spans], pa.binary()),
-                 pa.array([count[i:j].tobytes() for i, j in spans], pa.binary())], names=["id", "toxic", "words", "f", "n"])
+                 pa.array([x.tobytes() for x in counts], pa.binary())], names=["id", "toxic", "words", "f", "n"])
 
     table = rows.select("id", "text", "toxic").mapInArrow(common.lean(counted), "id bigint, toxic int, words bigint, f binary, n binary")
     names, y, vocabulary, examples = _encoded(table.toLocalIterator())
@@ -498,8 +570,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, by_label
     df = parts.treeAggregate(0, add, add, 3) + np.zeros(v + 1, np.int64)
     weight = np.log((1 + df[v]) / (1 + df[:v])) + 1
     weight = (weight * np.sqrt(1 + chi2) if by_label else weight).astype(np.float32)
-    examples = vectors(examples, weight)
-    index = BlockMaxIndex(examples, names, y)
+    examples, length = weighted(examples, weight)
+    index = BlockMaxIndex(examples, names, y, length)
     empty = y[np.diff(examples.start) == 0]
     del examples
     common.trim()

@@ -596,6 +596,41 @@ def test_block_max_neighbours_of_sparse_vectors(monkeypatch):
     assert not (own == np.arange(index.size)[:, None]).any() and (sims[:, 0] > 0).all()
 
 
+def test_postings_are_example_numbers_with_runs_of_equal_values():
+    """No weight for each posting: terms of counts 1 and 2 have two runs each, lengths divide the sums, also in what travels."""
+    import pickle
+
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    counts = toxicity.Sparse.of((rng.random((900, 300)) < 0.03) * rng.integers(1, 3, (900, 300)))
+    raw, length = toxicity.weighted(counts, rng.random(300) * 3 + 0.5)
+    index = toxicity.BlockMaxIndex(raw, np.arange(900), np.zeros(900, np.int64), length)
+    assert index.example.itemsize == 2 and len(index.example) > 7000 and len(index.run_value) <= 600
+    whole = raw.dense() / length[:, None]
+    assert np.allclose(index.rows.dense(), whole[index.names[:index.size]], atol=1e-6)
+    who, best = pickle.loads(pickle.dumps(index)).search(whole[:300], skip=np.argsort(index.names[:index.size])[:300])
+    exact = whole[:300] @ whole.T
+    exact[np.arange(300), np.arange(300)] = 0
+    assert np.allclose(best, -np.sort(-exact, 1)[:, :toxicity.NEIGHBOURS], atol=2e-5)
+    assert (np.abs(np.take_along_axis(exact, index.names[who], 1) - best) < 2e-5).all()
+
+
+def test_toxicity_term_counts_of_repeated_words():
+    """Words that repeat within and between texts count as if each was looked up by itself."""
+    import collections
+
+    import numpy as np
+
+    texts = pa.array(["Abcdefghij abcdefghij abcdxyz", None, "abcd " * 3 + "zzz", "", "abcdefghij 12 zzz zzz"])
+    feature, doc, words = toxicity._features(texts)
+    hashes = np.unique(feature)[::2]
+    got = toxicity.Vocabulary(hashes, np.zeros(0, np.int64)).counts(texts)
+    want = collections.Counter((int(d), int(f)) for f, d in zip(feature, doc) if f in hashes)
+    assert {(int(r), int(hashes[t])): int(v) for r, t, v in zip(got.row, got.term, got.value)} == want
+    assert (np.diff(got.row) >= 0).all() and words.tolist() == [3, 0, 4, 0, 4]
+
+
 def test_toxicity_finds_rare_terms(spark):
     """A word in two of the examples only, and labelled words by the hundred: all are found, none is cut off."""
     insults = [f"insult{chr(97 + k // 26)}{chr(97 + k % 26)}x" for k in range(400)]
